@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup, minhash_dedup
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import line_dedup
 
-    return {"op8_line_dedup": line_dedup.op8_line_dedup}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"op5_minhash_dedup": minhash_dedup.op5_minhash_dedup, "op8_line_dedup": line_dedup.op8_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup
-
-    return {"op8_line_dedup": line_dedup.OP8_SQL}
+    return {"op5_minhash_dedup": minhash_dedup.OP5_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
