@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash_dedup
+from . import line_dedup, minhash_dedup, piece_codec, risk_rules, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash_dedup": minhash_dedup.op5_minhash_dedup, "op8_line_dedup": line_dedup.op8_line_dedup}
+    return {
+        "op1_url_filter": url_filter.op1_url_filter,
+        "op2_piece_codec": piece_codec.op2_piece_codec,
+        "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
+        "op6_risk_rules": risk_rules.op6_risk_rules,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
