@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash_dedup, piece_codec, risk_rules, url_filter
+from . import ann, line_dedup, minhash_dedup, piece_codec, risk_rules, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
         "op6_risk_rules": risk_rules.op6_risk_rules,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_ann": ann.op10_ann,
     }
 
 
