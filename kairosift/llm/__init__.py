@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, line_dedup, minhash_dedup, piece_codec, risk_rules, url_filter
+from . import ann, line_dedup, minhash_dedup, piece_codec, risk_rules, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_piece_codec": piece_codec.op2_piece_codec,
         "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
         "op6_risk_rules": risk_rules.op6_risk_rules,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_ann": ann.op10_ann,
     }
