@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, line_dedup, minhash_dedup, piece_codec, risk_rules, suffix_dedup, url_filter
+from . import ann, line_dedup, minhash_dedup, piece_codec, quality_lm, risk_rules, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_piece_codec": piece_codec.op2_piece_codec,
+        "op3_quality_lm": quality_lm.op3_quality_lm,
         "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
         "op6_risk_rules": risk_rules.op6_risk_rules,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
