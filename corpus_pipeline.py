@@ -1 +1,65 @@
-"""placeholder"""
+"""The corpus pipeline: stages of (name, function), each over all that the one before it has kept.
+
+A stage takes (spark, docs, sf_dir), ``docs`` with the columns of documents, and returns the documents it keeps
+(the last one: the packing plan). ``run`` applies them in order; between stages the result is written as Parquet.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kairosift.llm.common import stored
+from kairosift.llm.line_dedup import drop_repeated_lines
+from kairosift.llm.minhash_dedup import drop_near_duplicates
+from kairosift.llm.packing import pack_documents
+from kairosift.llm.quality_lm import drop_rejected
+from kairosift.llm.suffix_dedup import remove_repeats
+
+#: Bytes of a repeated passage; 50 words have more in any of the languages.
+PASSAGE_BYTES = 200
+
+
+def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``; n_chars follows the text."""
+    if "n_chars" in like.columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
+    return docs.select(*like.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that read like trusted text; the others go."""
+    return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of three documents or more stay in one."""
+    return _as_documents(drop_repeated_lines(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8."""
+    return drop_near_duplicates(docs, shingle=5, percent=80)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur more than once go."""
+    return _as_documents(remove_repeats(docs, length=PASSAGE_BYTES), docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of what is left, in length buckets and batches."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]
+
+#: Perplexity, hashing and dynamic programming can't be put in SQL; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

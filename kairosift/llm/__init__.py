@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, line_dedup, minhash_dedup, piece_codec, quality_lm, risk_rules, suffix_dedup, url_filter
+from . import ann, lang_crf, line_dedup, minhash_dedup, packing, piece_codec, quality_lm, risk_rules, suffix_dedup, url_filter
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,11 +20,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_piece_codec": piece_codec.op2_piece_codec,
         "op3_quality_lm": quality_lm.op3_quality_lm,
+        "op4_lang_crf": lang_crf.op4_lang_crf,
         "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
         "op6_risk_rules": risk_rules.op6_risk_rules,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_packing": packing.op9_packing,
         "op10_ann": ann.op10_ann,
+        "pipeline": _pipeline,
     }
 
 
