@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from kairosift.functions import temporal as tmp
 from kairosift.operators import blocks, chunks, represent
-from kairosift.plans.queries import ORACLE, QUERIES
+from kairosift.plans.more import ORACLE, QUERIES
 from kairosift.sources import intake
 from kairosift.streaming import runs
 
