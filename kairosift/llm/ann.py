@@ -4,7 +4,8 @@ Centroids come from balanced k-means on a sample of at most about ``sample`` vec
 put into the list of its nearest centroid and, if it lies near a boundary, also into up to ``replicas`` - 1 others
 whose centroids are at most (1 + ``closure``) times as far. Centroids are found by beam search over a neighbour
 graph held in memory (at most ``max_lists`` centroids, so its size is bounded). A query looks into the lists whose
-centroids are at most (1 + ``reach``) times as far as its nearest. Lists and their queries are joined in blocks of
+centroids are at most (1 + ``reach``) times as far as its nearest, and into the next ones as long as those hold under
+40 * k vectors. Lists and their queries are joined in blocks of
 at most about ``block`` vectors and ``block`` queries, so no task holds a whole hot list; each block gives every
 query its nearest, measured again in double precision on the original vectors.
 
@@ -73,8 +74,8 @@ class Centroids:
             near[at : at + 1024] = d.argsort(1)[:, : near.shape[1]]
         self.links = np.hstack([near, rng.integers(0, n, (n, far))])
         self.entry = rng.choice(n, min(n, 16), replace=False)
-        #: Distances under half the usual one count as that: a vector may be a centroid itself.
-        self.least = 0.5 * float(np.median(self.search(sample[:1000], 4)[1][:, 0])) if len(sample) else 0.0
+        #: Distances under the usual one count as that: a vector may be a centroid itself.
+        self.least = float(np.median(self.search(sample[:1000], 4)[1][:, 0])) if len(sample) else 0.0
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of q the ``beam`` nearest centroids found and their distances, nearest first; -1 and inf fill up."""
@@ -110,8 +111,11 @@ class Centroids:
             ids, dist, open_ = np.hstack([ids, new]), np.hstack([dist, d]), np.hstack([open_, fresh])
 
 
-def _lists(shared, beam: int, ratio: float, most: int | None):
-    """Rows of (vec_id, v) to rows of (list, vec_id, v), one for each list."""
+def _lists(shared, beam: int, ratio: float, most: int | None = None, sizes: np.ndarray | None = None, need: int = 0):
+    """Rows of (vec_id, v) to rows of (list, vec_id, v), one for each list.
+
+    With ``sizes`` of the lists, as many of the nearest are taken as hold ``need`` vectors, however far they are.
+    """
 
     def run(batches):
         graph = shared.value
@@ -123,6 +127,9 @@ def _lists(shared, beam: int, ratio: float, most: int | None):
             inside = (ids >= 0) & (dist <= (1 + ratio) * np.maximum(dist[:, :1], graph.least))
             if most:
                 inside[:, most:] = False
+            if sizes is not None:
+                nearer = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
+                inside[:, 1:] |= (nearer[:, :-1] < need) & (ids[:, 1:] >= 0)
             row, at = np.nonzero(inside)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row, at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "vec_id", "v"])
 
@@ -169,7 +176,10 @@ def nearest(
     shared = spark.sparkContext.broadcast(Centroids(balanced_centroids(x, lists), x))
     schema = "list long, vec_id long, v array<double>"
     posted = stored(vectors.mapInArrow(_lists(shared, 16, closure, replicas), schema), "postings")
-    probes = stored(queries.mapInArrow(_lists(shared, beam, reach, None), schema), "probes")
+    sizes = np.zeros(lists, np.int64)
+    for r in posted.groupBy("list").count().collect():  # max_lists rows at most
+        sizes[r["list"]] = r["count"]
+    probes = stored(queries.mapInArrow(_lists(shared, beam, reach, sizes=sizes, need=40 * k), schema), "probes")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
