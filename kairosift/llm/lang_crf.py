@@ -1,6 +1,6 @@
 """Operator 4: language identification by a linear-chain conditional random field over words.
 
-Every word has features: the word, its prefixes and suffixes of 1 to 3 characters, its 3-grams and the language
+Every word has features: the word, its prefixes and suffixes of 1 to 3 bytes, its 3-grams of bytes and the language
 whose lexicon uses it most; the field learns their weights and the transitions between languages. Forward-backward
 gives each word a probability for each language, so runs of code-switched text are found; a document's language is
 the one with the largest mean probability over its words, that mean is the score.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,12 @@ def words_of(text: str | None) -> list[str]:
 
 def features(word: str, lexicon: dict[str, str]) -> list[int]:
     """Numbers of a word's features, 1 to BUCKETS - 1; long words are looked at whole."""
-    padded = f"^{word}$"
-    names = {f"w{word}", *(f"p{word[:i]}" for i in (1, 2, 3)), *(f"s{word[-i:]}" for i in (1, 2, 3)), *(f"g{padded[i : i + 3]}" for i in range(len(padded) - 2))}
+    raw = b"^" + word.encode("utf-8", "surrogatepass") + b"$"
+    names = {raw, raw[:2], raw[:3], raw[:4], raw[-2:], raw[-3:], raw[-4:], *(raw[i : i + 3] for i in range(1, len(raw) - 3))}
     if word in lexicon:
-        names.add(f"l{lexicon[word]}")
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 for n in names]
+        names.add(b"l" + lexicon[word].encode())
+    crc = zlib.crc32
+    return [crc(n) % (BUCKETS - 1) + 1 for n in names]
 
 
 class Field:
@@ -69,16 +71,21 @@ class Field:
         self.langs, self.lexicon, self.w, self.t = state
         self.known, self.rows = {}, np.zeros((1024, len(self.langs)), np.float32)
 
-    def emissions(self, words: list[str], most: int = 300_000) -> np.ndarray:
+    def emissions(self, words: list[str], most: int = 600_000) -> np.ndarray:
         """A row of language scores for each word."""
         if len(self.known) > most:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
-            i = known[w] = len(known)
-            if i == len(self.rows):
+        new = [w for w in set(words) if w not in known]
+        if new:
+            first = len(known)
+            while first + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[i] = self.w[features(w, self.lexicon)].sum(0)
+            found = [features(w, self.lexicon) for w in new]
+            starts = np.cumsum([0, *map(len, found)])[:-1]
+            flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+            self.rows[first : first + len(new)] = np.add.reduceat(self.w[flat], starts, axis=0)
+            known.update(zip(new, range(first, first + len(new))))
         return self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].astype(np.float64)
 
     def fit(self, sequences: list[list[str]], labels: list[np.ndarray], epochs: int = 8, batch: int = 128, rate: float = 0.2, seed: int = 3) -> None:
@@ -217,12 +224,13 @@ def train(docs: DataFrame, per_lang: int = 500, windows: int = 6, seed: int = 17
     docs = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = stored(docs.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = (F.col("n") / F.col("total")).alias("share")
-    lexicon = counts.join(totals, "lang").where("n >= 3 and n >= 1e-4 * total").select("word", "lang", share)
+    lexicon = counts.join(totals, "lang").where("n >= 3 and n >= 1e-4 * total").select("word", "lang", (F.col("n") / F.col("total")).alias("share"))
     best = lexicon.groupBy("word").agg(F.max(F.struct("share", "lang")).alias("best")).select("word", "best.lang").toArrow()
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("docs") < F.lit(per_lang) * 1_000_000
-    chosen = docs.join(sizes, "lang").where(spot).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each language
+    share = F.lit(0)
+    for lang, n in sizes.items():  # no join, so no text is shuffled by so hot a key
+        share = F.when(F.col("lang") == lang, F.lit(-(-per_lang * 1_000_000 // n))).otherwise(share)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id", "lang", "text")
     sample = chosen.mapInArrow(_windows(windows), "doc_id long, lang string, words array<string>").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["lang"], r["words"]))
     langs = sorted({r["lang"] for r in sample})
