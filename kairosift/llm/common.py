@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,6 +36,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    # Rows here hold whole texts or their shingles: Spark's 10,000 of them in one Arrow batch can outgrow a worker.
+    if int(spark.conf.get(ARROW_ROWS)) > 500:
+        spark.conf.set(ARROW_ROWS, "500")
     path = scratch(spark, name)
     writer = df.write
     if partition_by:

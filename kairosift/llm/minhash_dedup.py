@@ -5,10 +5,13 @@ tables are the m*m pairs (left sub-key i, right sub-key j), each a key of 2*r mi
 that strength would need 2*m*m*r minhashes. With m = 10 and r = 3 a pair of similarity 0.85 meets in some table
 with probability 1 - 1.5e-4, of 0.9 with 1 - 2e-6.
 
-Steps: texts of one shingle set are one class, named by its least doc_id. In every table, members are tied to
-the least member of their bucket; for each text the most similar such pair by sketch is confirmed on full sets
-first, then those between different components. Then every bucket that still holds several components has all
-its pairs between different components confirmed, so no link that any bucket holds is lost, whatever its size.
+Steps: texts of one shingle set are one class, named by its least doc_id. In every table, the members of a bucket
+are compared on full sets with the bucket's smallest set alone, its leader, so a bucket gives no more pairs than
+members. Links between other members follow without comparing all pairs: let x not be linked with its leader l,
+and y be another member. Both have at least as many shingles as l, so to reach the similarity x and y must share
+a shingle that l hasn't got. Such members are therefore joined on their shingles outside of l (rarest first, as
+many as the needed overlap asks for), and what meets there is compared on full sets. Independent edits share
+nothing outside of l and give no pairs, however large the group is.
 
 Defined cases
 * null, empty or wordless text: n_shingles 0, linked with nothing;
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, small_slices, stored
+from .common import small_slices, stored
 from .components import components
 
 _U = np.uint64
@@ -138,20 +141,25 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(batches):
-        for batch in small_slices(batches, 1000):
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return run
+def _compare(batches):
+    """Of each pair of full sets: both sizes, what they share, and the shingles of y alone."""
+    for batch in small_slices(batches, 1000):
+        nx, ny, shared, more = [], [], [], []
+        for a, b in zip(batch.column(2), batch.column(3)):
+            a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
+            extra = np.setdiff1d(b, a, assume_unique=True)
+            nx.append(len(a))
+            ny.append(len(b))
+            shared.append(len(b) - len(extra))
+            more.append(extra.view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(shared, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
+            names=_COMPARED.names,
+        )
 
 
 _PAIR = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
+_COMPARED = T.StructType([*_PAIR.fields, *[T.StructField(c, T.LongType()) for c in ("nx", "ny", "shared")], T.StructField("more", T.ArrayType(T.LongType()))])
 
 
 class NearDuplicates:
@@ -166,54 +174,65 @@ class NearDuplicates:
         self.nodes = stored(own.select("id", "n_shingles", "left_keys", "right_keys", "sketch"), "minhash-nodes")
 
     def run(self) -> DataFrame:
-        nodes = self.nodes
-        tables = nodes.select("id", F.posexplode("left_keys").alias("i", "l"), "right_keys").select("id", "i", "l", F.posexplode("right_keys").alias("j", "r"))
-        tables = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id")
-        buckets = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1").drop("n")
-        members = stored(tables.join(buckets, "key"), "minhash-members")
-        stars = self._likely(members.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct())
-        stars = stored(stars, "minhash-stars")
-        first = stars.groupBy("y").agg(F.max_by("x", F.struct("est", -F.col("x"))).alias("x")).select("x", "y")
-        links = stored(self._confirmed(first), "minhash-links")
+        rank = F.shiftleft("n_shingles", 40).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("rank")
+        tables = self.nodes.select("id", rank, F.posexplode("left_keys").alias("i", "l"), "right_keys")
+        tables = tables.select("id", "rank", "i", "l", F.posexplode("right_keys").alias("j", "r"))
+        tables = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "rank")
+        leaders = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "rank").alias("x")).where("n > 1").drop("n")
+        leaders = stored(leaders, "minhash-leaders")  # a plain table: Spark then splits a hot bucket
+        stars = tables.select("key", F.col("id").alias("y")).join(leaders, "key").where("x <> y").select("x", "y").distinct()
+        stars = stored(self._compared(self._likely(stored(stars, "minhash-stars"))), "minhash-stars")
+        linked = F.expr(f"100 * shared >= {self.percent} * (nx + ny - shared)")
+        links = stars.where(linked).select("x", "y")
         labels = components(links)
-        rest = self._apart(stars.select("x", "y").join(first, ["x", "y"], "left_anti"), labels)
-        more = stored(self._confirmed(rest), "minhash-links")
-        links = links.union(more)
-        labels = components(links)
-        named = members.join(labels, members.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        named = stored(named.join(mixed, "key"), "minhash-mixed")
-        other = named.select("key", F.col("id").alias("y"), F.col("component").alias("other"))
-        pairs = named.select("key", F.col("id").alias("x"), "component").join(other, "key").where("component <> other and x < y").select("x", "y").distinct()
-        pairs = pairs.join(stars.select("x", "y"), ["x", "y"], "left_anti")
-        last = stored(self._confirmed(self._likely(pairs).select("x", "y")), "minhash-links")
-        if not last.isEmpty():
-            labels = components(links.union(last))
-        forget(members)
+        more = stored(self._compared(self._beside(stars, labels)).where(linked).select("x", "y"), "minhash-links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
         return labels
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
-        """(x, y, est) of the pairs whose sizes allow the similarity and whose sketches don't speak against it (5 deviations)."""
-        a = self.nodes.select(F.col("id").alias("x"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
-        b = self.nodes.select(F.col("id").alias("y"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
-        both = pairs.join(a, "x").join(b, "y").where(f"100 * least(nx, ny) >= {self.percent} * greatest(nx, ny)")
-        est = both.select("x", "y", "sx", "sy").mapInArrow(_estimates, T.StructType([*_PAIR.fields, T.StructField("est", T.DoubleType())]))
-        return est.where(F.col("est") >= self.percent / 100 - 0.25)
-
-    def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        a = labels.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-        b = labels.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-        return pairs.join(a, "x", "left").join(b, "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
-
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full shingle sets have the similarity."""
+        """The pairs whose sketches don't speak against the similarity (5 deviations)."""
+        a = self.nodes.select(F.col("id").alias("x"), F.col("sketch").alias("sx"))
+        b = self.nodes.select(F.col("id").alias("y"), F.col("sketch").alias("sy"))
+        both = pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
+        est = both.mapInArrow(_estimates, T.StructType([*_PAIR.fields, T.StructField("est", T.DoubleType())]))
+        return est.where(F.col("est") >= self.percent / 100 - 0.25).select("x", "y")
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "minhash-pairs")
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-        texts = self.core.join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+        texts = self.core.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
         sets = stored(texts.mapInArrow(_sets(self.k), T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])), "minhash-sets")
         a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
         b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-        return pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_confirm(self.percent), _PAIR)
+        return pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_compare, _COMPARED)
+
+    def _beside(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of members of one leader, of different components, that share enough outside of the leader's set."""
+        a = labels.select(F.col("node").alias("x"), F.col("component").alias("cx"))
+        b = labels.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+        rows = stars.join(a, "x", "left").join(b, "y", "left").withColumns({"cx": F.coalesce("cx", "x"), "cy": F.coalesce("cy", "y")})
+        rows = rows.withColumn("apart", F.col("cx") != F.col("cy"))
+        # What both must share outside of the leader is at least, for the smaller set of a pair, and for the larger:
+        t = self.percent
+        small = f"greatest(1, cast(ceil({2 * t / (100 + t)} * ny - 1e-9) as long) - shared)"
+        large = f"greatest(1, cast(ceil({t / 100} * ny - 1e-9) as long) - shared)"
+        rows = rows.select("x", "y", "cy", "apart", "ny", "more", F.expr(f"size(more) - {small} + 1").alias("small"), F.expr(f"size(more) - {large} + 1").alias("large")).where("size(more) > 0 and large > 0")
+        rows = stored(rows.join(rows.where("apart").select("x").distinct(), "x", "left_semi"), "minhash-beside")
+        each = rows.select("x", "y", F.explode("more").alias("e"))
+        common = each.groupBy("x", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        each = each.join(common, ["x", "e"]).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+        each = rows.select("x", "y", "cy", "apart", "ny", "small", "large", F.size("more").alias("n")).join(each, ["x", "y"])
+        each = stored(each.withColumn("alone", F.col("n") - F.size("es")), "minhash-beside")  # shingles that no other member has come first
+
+        def first(role: str) -> DataFrame:
+            left = (F.col(role) - F.col("alone")).cast("int")
+            return each.where(left > 0).select("x", "y", "cy", "apart", "ny", F.explode(F.slice("es", F.lit(1), left)).alias("s")).select("x", "y", "cy", "apart", "ny", "s.e")
+
+        other = first("large").select("x", "e", F.col("y").alias("z"), F.col("cy").alias("cz"), F.col("apart").alias("apart_z"), F.col("ny").alias("nz"))
+        order = f"(ny < nz or ny = nz and y < z) and 100 * ny >= {t} * nz"
+        met = first("small").join(other, ["x", "e"]).where(f"cy <> cz and (apart or apart_z) and {order}")
+        return met.select(F.col("y").alias("x"), F.col("z").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
