@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, small_slices, stored, with_columns, without
+from .common import fields, forget, small_slices, stored, with_columns, without
 from .suffix_sort import suffix_array
 
 _U = np.uint64
@@ -44,7 +44,7 @@ def _pair(data: bytes) -> tuple[int, int]:
 
 def kgram_hashes(data: np.ndarray) -> np.ndarray:
     h, width = _BYTE[data], 1
-    power = _P
+    power = np.array([_P])  # an array wraps around without a word
     while width < K:
         h = h[:-width] * power + h[width:]
         power = power * power
@@ -327,16 +327,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, as_text
     docs = without(docs, "n_bytes", "n_removed", "n_spans", *([] if as_text else ["kept"]))
     hashed = docs.mapInArrow(_hashed, fields(docs, ("__d1", _L), ("__d2", _L), ("__bytes", _L)))
     texts = docs.where("text is not null").select("text")
-    found = stored(texts.mapInArrow(_anchors(length), _struct(d1=_L, d2=_L, h=_L, s0=_L, s1=_L, p=_L)), "suffix-anchors").distinct()
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    wanted = found.join(again, "h").groupBy("d1", "d2").agg(F.collect_list(F.struct("s0", "s1", "p", "h")).alias("found"))
+    anchors = stored(texts.mapInArrow(_anchors(length), _struct(d1=_L, d2=_L, h=_L, s0=_L, s1=_L, p=_L)).distinct(), "suffix-anchors")
+    again = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "suffix-again")  # a plain table: Spark then splits a hot hash
+    wanted = anchors.join(again, "h").groupBy("d1", "d2").agg(F.collect_list(F.struct("s0", "s1", "p", "h")).alias("found"))
     own = hashed.where(F.col("__bytes") >= length).select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), "text")
     one = own.groupBy("d1", "d2").agg(F.min("text").alias("text"))  # copies meet before the shuffle
     cut = stored(one.join(wanted, ["d1", "d2"]).select("d1", "d2", "text", "found").mapInArrow(_cut_slices(length), _SLICE), "suffix-slices")
+    forget(anchors)
     classes = stored(to_classes(cut.withColumn("n", F.lit(1).cast("long"))), "suffix-classes")
+    places = stored(cut.select("d1", "d2", "s0", *_CLASS), "suffix-places")
+    forget(cut)
     spans = stored(solve_classes(classes, length, most, length - K + 1), "suffix-spans")
+    forget(classes)
     moved = F.transform("spans", lambda x: F.struct((x.a + F.col("s0")).cast("int").alias("a"), (x.b + F.col("s0")).cast("int").alias("b")))
-    places = cut.select("d1", "d2", "s0", *_CLASS).join(spans, _CLASS)
+    places = places.join(spans, _CLASS)
     by_text = places.groupBy("d1", "d2").agg(F.flatten(F.collect_list(moved)).alias("__spans"))
     twins = hashed.where(F.col("__bytes") >= length).groupBy(F.col("__d1").alias("d1"), F.col("__d2").alias("d2")).agg((F.count(F.lit(1)) > 1).alias("__twins"))
     info = twins.join(by_text, ["d1", "d2"], "left").where(F.col("__twins") | F.col("__spans").isNotNull())
