@@ -17,6 +17,7 @@ or ``decoded`` is replaced); rows are independent, so repeated rows and ties nee
 from __future__ import annotations
 
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -34,7 +35,7 @@ SPACE = "▁"
 class Pieces:
     """A vocabulary: its automaton, the compatibility of pairs, and the bytes of every id."""
 
-    def __init__(self, model: str, remembered: int = 300_000):
+    def __init__(self, model: str, remembered: int = 600_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.vocab_size()
         self.text = {i: sp.id_to_piece(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
@@ -48,16 +49,18 @@ class Pieces:
             self.raw[i] = t.replace(SPACE, " ").encode()
         for b, i in self.byte_id.items():
             self.raw[i] = bytes([b])
+        self.size = [len(self.text.get(i, "")) for i in range(n)]
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id.items():
-            self.automaton.add_word(t, (i, len(t)))
+            if self.merged(t) == [t]:  # a piece that isn't the encoding of its own text is in no encoding
+                self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.n = n
+        self.pairs: dict[int, bool] = {}  # left * n + right -> compatible
         self.words: dict[str, bytes] = {}
         self.remembered = remembered
-        alone = "" if "\n" in self.id else r"\n|"
-        self.split = re.compile(rf"{alone}{SPACE}+[^{SPACE}{'' if not alone else chr(92) + 'n'}]*|[^{SPACE}{'' if not alone else chr(92) + 'n'}]+")
+        alone, stop = ("", "") if "\n" in self.id else (r"\n|", r"\n")
+        self.split = re.compile(f"{alone}{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+")
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by the definition: merge the best pair, leftmost first, until none is left."""
@@ -72,38 +75,33 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, piece: int) -> bool:
-        """Whether the piece's own text is encoded as that piece."""
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = self.merged(self.text[piece]) == [self.text[piece]]
-        return ok
-
-    def compatible(self, left: int, right: int) -> bool:
-        ok = self.pairs.get((left, right))
-        if ok is None:
-            a, b = self.text[left], self.text[right]
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            ok = self.pairs[left, right] = self.merged(a + b) == [a, b]
+    def test(self, left: int, right: int) -> bool:
+        """Whether the two pieces are the encoding of their texts, and note it."""
+        a, b = self.text[left], self.text[right]
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        ok = self.pairs[left * self.n + right] = self.merged(a + b) == [a, b]
         return ok
 
     def last_pieces(self, word: str) -> list[int]:
         """For each prefix length the id of the prefix's last piece; -1 where that is a character outside the vocabulary."""
         last = [-1] * (len(word) + 1)
-        done = 0
+        known, n = self.pairs.get, self.n
         for end, (piece, size) in self.automaton.iter(word):
-            if done > end:  # the one last piece of this prefix is known
+            end += 1
+            if last[end] >= 0:  # the one last piece of this prefix is known
                 continue
-            start = end + 1 - size
-            before = last[start]
-            if self.stands(piece) if start == 0 or before < 0 else self.compatible(before, piece):
-                last[end + 1] = piece
-                done = end + 1
+            before = last[end - size]
+            if before < 0:  # the start, or after a character outside the vocabulary
+                last[end] = piece
+            else:
+                ok = known(before * n + piece)
+                if ok or ok is None and self.test(before, piece):
+                    last[end] = piece
         return last
 
     def word_ids(self, word: str) -> list[int]:
-        last, ids, at = self.last_pieces(word), [], len(word)
+        last, ids, at, size = self.last_pieces(word), [], len(word), self.size
         while at:
             piece = last[at]
             if piece < 0:
@@ -111,7 +109,7 @@ class Pieces:
                 at -= 1
             else:
                 ids.append(piece)
-                at -= len(self.text[piece])
+                at -= size[piece]
         ids.reverse()
         return ids
 
@@ -119,7 +117,7 @@ class Pieces:
         """The word's ids as 32-bit integers."""
         found = self.words.get(word)
         if found is None:
-            found = np.array(self.word_ids(word), np.int32).tobytes()
+            found = array("i", self.word_ids(word)).tobytes()
             if len(word) <= 64:
                 if len(self.words) >= self.remembered:
                     self.words.clear()
@@ -132,6 +130,11 @@ class Pieces:
         words = self.split.findall(SPACE + text.replace(" ", SPACE))
         return np.frombuffer(b"".join(map(self.packed, words)), np.int32)
 
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        return sum(map(len, map(self.packed, self.split.findall(SPACE + text.replace(" ", SPACE))))) // 4
+
     def decode(self, ids) -> str:
         """The text of ids; a leading space mark, put there by encoding, is taken away."""
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -193,7 +196,7 @@ def token_counts(docs: DataFrame, model: str | None = None, name: str = "n_token
     def run(batches):
         codec = pieces(model)
         for batch in small_slices(batches, 500):
-            n = [len(codec.encode(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            n = [codec.count(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield with_columns(batch, {name: pa.array(n, pa.int64())})
 
     return docs.mapInArrow(run, fields(docs, (name, T.LongType())))
