@@ -133,6 +133,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     for i in range(len(cuts) + 1):
         runs.add(keys.where(F.col("__batch") == i).drop("__batch"))
     common = merged(runs.all()).where(F.col("n_docs") >= min_docs).select(*H, "owner")
+    common = stored(common, "line-common")  # a plain table: Spark then splits a hot line
     drops = keys.join(common, H).where(F.col("__id") != F.col("owner"))
     drops = drops.groupBy("__id").agg(F.collect_set(F.struct(*H)).alias("__drop"))
     joined = docs.join(drops, F.col("doc_id") == F.col("__id"), "left").drop("__id")
