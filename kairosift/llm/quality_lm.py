@@ -1,12 +1,16 @@
-"""Operator 3: quality classifier, an interpolated modified Kneser-Ney n-gram model trained on trusted text.
-
-Characters are mapped to an alphabet of ``A`` symbols, so an order-4 model has at most A**4 cells (5.3 million,
-21 MB as dense logarithms) whatever the size of the corpus: that is the bound of what is sent to the executors,
-and no text is shuffled. Counts of every trusted document are summed over all of the corpus, sharded by n-gram;
-context totals, counts of counts and continuation counts come from joins and groupings of those shards by context
-and by suffix. Each document's perplexity is compared with a high quantile of the trusted documents' perplexities
+"""Operator 3: quality classifier, an interpolated modified Kneser-Ney model of words trained on trusted text.
+
+Word trigrams of every trusted document are counted over all of the corpus and stay in tables sharded by n-gram;
+context totals, counts of counts and continuation counts come from joins and groupings of those shards, and every
+document's distinct trigrams, counted by (trigram, document), are joined with them. A word is any run of letters or
+digits (20 at most, then the next begins), or one character where a script has no spaces, or one sign; none is
+mapped to another, so the tables grow with the corpus. Below single words stands the spelling of the word: a
+character model of order 4 over ``A`` symbols times an even share of each symbol's characters, so words that trusted
+text hasn't got are told apart too; that model alone is dense (48^4 cells) and sent to the executors.
+Each document's perplexity a character is compared with a high quantile of the trusted documents' perplexities
 in its language, so languages that the model finds harder are not punished. Those perplexities come from a model of
 the other half of the trusted documents, so a small corpus, known by heart, doesn't make the threshold too strict.
+N-grams are keyed by 64-bit hashes, texts by MD5.
 
 Defined cases
 * null or empty text: perplexity null, rejected (nothing to keep);
@@ -19,13 +23,15 @@ Defined cases
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fields, small_slices, stored, with_columns, without
+from .common import small_slices, stored, without
 
 A = 48
 ORDER = 4
@@ -147,32 +153,170 @@ def fit(counts: DataFrame) -> np.ndarray | None:
     return np.log(lower).astype(np.float32)
 
 
-def with_log_probability(docs: DataFrame, models: tuple) -> DataFrame:
-    """``docs`` (text, fold) with n_symbols and log-probabilities of every whole text (null or empty: 0 symbols).
+#: Scripts without spaces: each character is a word.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{_SINGLE}]|[^\\W{_SINGLE}]{{1,20}}|[^\\w\\s]")
+_U = np.uint64
+#: The models: of all trusted text, of that of fold 0, of fold 1.
+MODELS = ("a", "b", "c")
+_TRIGRAM = ("k3", "k12", "k23", "w2", "w3")
+START = 0
+
+
+class _Words(dict):
+    """Hash of each word met, kept in a worker up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_WORDS = _Words()
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _U(0x9E3779B97F4A7C15) + b + _U(0x632BE59BD9B4E019)
+    x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(29))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(32))
+
 
-    ``models``: of all trusted text, of that of fold 0, of fold 1. log_probability is the first one's, held_out that
-    of the model that hasn't seen the document's fold.
+def trigrams(text: str) -> tuple[np.ndarray, ...]:
+    """Keys of the trigram that ends at each word, of its first and last two words, and its last two words."""
+    words = WORD.findall(text)
+    w = np.zeros(len(words) + 2, _U)
+    w[2:] = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
+    k2 = _key(w[:-1], w[1:])
+    return tuple(x.view(np.int64) for x in (_key(k2[:-1], w[2:]), k2[:-1], k2[1:], w[1:-1], w[2:]))
+
+
+def spelling(model: np.ndarray, word: str) -> float:
+    """Log-probability of a word's characters."""
+    s = symbols(word)
+    if len(_TABLE) < 2:
+        _TABLE.append(np.log(np.maximum(np.bincount(_TABLE[0], minlength=A), 1)))
+    return float(model[grams(f" {word} ")[1:]].sum(dtype=np.float64) - _TABLE[1][s].sum())
+
+
+def _count_words(batches):
+    """(k3, k12, k23, w2, w3, n0, n1): the trigrams of a task's texts (text, fold), by fold."""
+    for batch in small_slices(batches, 500):
+        found, folds = [], []
+        for t, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found.append(trigrams(t))
+            folds.append(np.full(len(found[-1][0]), fold, np.int64))
+        columns, fold = [np.concatenate(x) for x in zip(*found)], np.concatenate(folds)
+        k, at, of = np.unique(columns[0], return_index=True, return_inverse=True)
+        n1 = np.bincount(of, weights=fold, minlength=len(k)).astype(np.int64)
+        n = np.bincount(of, minlength=len(k))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*[c[at] for c in columns], n - n1, n1)], names=[*_TRIGRAM, "n0", "n1"])
+
+
+def _distinct_trigrams(batches):
+    for batch in small_slices(batches, 500):
+        columns = [np.concatenate(x) for x in zip(*map(trigrams, batch.column(0).to_pylist()))]
+        at = np.unique(columns[0], return_index=True)[1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns], names=_TRIGRAM)
+
+
+def _postings(batches):
+    """(tid, k3, n): how often each text (tid, text) has each of its trigrams."""
+    for batch in small_slices(batches, 500):
+        keys, counts = zip(*[np.unique(trigrams(t)[0], return_counts=True) for t in batch.column(1).to_pylist()])
+        row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts).astype(np.int64))], names=["tid", "k3", "n"])
+
+
+def _words_of(batches):
+    for batch in small_slices(batches, 500):
+        words = list({w for t in batch.column(0).to_pylist() for w in WORD.findall(t)})
+        keys = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary())], names=["w", "word"])
+
+
+class WordModel:
+    """Discounted shares and context weights of trusted trigrams, bigrams and words, as tables sharded by n-gram.
+
+    ``trusted``: (text, fold); ``spelled``: the character models of MODELS.
     """
-    docs = without(docs, "n_symbols", "log_probability", "held_out")
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches):
-        whole, *halves = shared.value
-        for batch in small_slices(batches, 500):
-            n, logs, held = [], [], []
-            for t, fold in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "fold"))):
-                n.append(len(t or ""))
-                if t:
-                    g = grams(t)
-                    logs.append(float(whole[g].sum(dtype=np.float64)))
-                    other = halves[1 - fold]
-                    held.append(float(other[g].sum(dtype=np.float64)) if other is not None else logs[-1])
-                else:
-                    logs.append(0.0)
-                    held.append(0.0)
-            yield with_columns(batch, {"n_symbols": pa.array(n, pa.int64()), "log_probability": pa.array(logs, pa.float64()), "held_out": pa.array(held, pa.float64())})
-
-    return docs.mapInArrow(run, fields(docs, ("n_symbols", T.LongType()), ("log_probability", T.DoubleType()), ("held_out", T.DoubleType())))
+
+    def __init__(self, trusted: DataFrame, spelled: tuple):
+        self.spelled = trusted.sparkSession.sparkContext.broadcast(spelled)
+        counted = trusted.where("text is not null and text <> ''").select("text", "fold").mapInArrow(_count_words, ", ".join(f"{c} long" for c in (*_TRIGRAM, "n0", "n1")))
+        counts = counted.groupBy("k3").agg(*[F.first(c).alias(c) for c in _TRIGRAM[1:]], F.sum("n0").alias("b"), F.sum("n1").alias("c"))
+        counts = stored(counts.withColumn("a", F.col("b") + F.col("c")), "lm-words")
+        self.parts, self.weights = {}, {}
+        for order, key, context in ((3, "k3", "k12"), (2, "k23", "w2"), (1, "w3", None)):
+            self._level(counts, order, key, context)
+            if order > 1:
+                rest = {3: ("k23", "w2", "w3"), 2: ("w3",)}[order]
+                more = [F.count_if(F.col(m) > 0).alias(m) for m in MODELS]
+                counts = stored(counts.groupBy(rest[0]).agg(*[F.first(c).alias(c) for c in rest[1:]], *more), "lm-words")
+
+    def _level(self, counts: DataFrame, order: int, key: str, context: str | None) -> None:
+        of = counts.agg(*[F.count_if(F.col(m) == k).alias(f"{m}{k}") for m in MODELS for k in (1, 2, 3, 4)]).first()
+        totals, d = [], {}
+        for m in MODELS:
+            n1, n2, n3, n4 = (of[f"{m}{k}"] for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0
+            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 else None
+            d1, d2, d3 = [min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(raw, 1)] if raw else [0.5, 1.0, 1.5]
+            n = F.col(m)
+            d[m] = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
+            total = F.sum(m)
+            gamma = (d1 * F.count_if(n == 1) + d2 * F.count_if(n == 2) + d3 * F.count_if(n >= 3)) / total
+            totals += [total.alias(f"t{m}"), F.when(total > 0, gamma).otherwise(1.0).alias(f"g{m}")]
+        if context:
+            weights = self.weights[order] = stored(counts.groupBy(F.col(context).alias("context")).agg(*totals), "lm-words")
+            counts = counts.withColumnRenamed(context, "context").join(weights, "context")
+        else:
+            first = counts.agg(*totals).first()
+            self.base = [first[f"g{m}"] for m in MODELS]
+            counts = counts.withColumns({f"t{m}": F.lit(first[f"t{m}"]) for m in MODELS})
+        part = [F.when(F.col(m) > 0, (F.col(m) - d[m]) / F.col(f"t{m}")).otherwise(0.0).alias(f"p{m}") for m in MODELS]
+        self.parts[order] = stored(counts.select(F.col(key).alias("key"), *part), "lm-words")
+
+    def _joined(self, grams: DataFrame, order: int, key: str, below: list) -> DataFrame:
+        """The n-grams with their probabilities: their shares, and ``below`` by the weights of their contexts."""
+        found = grams.join(self.parts[order].withColumnRenamed("key", key), key, "left")
+        return found.withColumns({f"p{m}": F.coalesce(f"p{m}", F.lit(0.0)) + b for m, b in zip(MODELS, below)})
+
+    def _weights(self, grams: DataFrame, order: int, key: str) -> DataFrame:
+        """The n-grams with the weights they have as contexts of n-grams of ``order`` words."""
+        found = grams.join(self.weights[order].select(F.col("context").alias(key), *[f"g{m}" for m in MODELS]), key, "left")
+        return found.withColumns({f"g{m}": F.coalesce(f"g{m}", F.lit(1.0)) for m in MODELS})
+
+    def scores(self, texts: DataFrame) -> DataFrame:
+        """(tid, la, lb, lc): log-probabilities under MODELS, from (tid, text); copies of a text are added up."""
+        texts, spelled = texts.where("text <> ''"), self.spelled
+        pick = lambda df, old, new, *names: df.select(F.col(old).alias(new), *[F.col(f"{n}{m}").alias(f"{as_}{m}") for n, as_ in names for m in MODELS])
+
+        def spell(batches):
+            models = spelled.value
+            for batch in batches:
+                words = [w.decode("utf-8", "surrogatepass") for w in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([np.exp(spelling(x, w)) for w in words], pa.float64()) for x in models]], names=["w", *[f"s{m}" for m in MODELS]])
+
+        words = texts.select("text").mapInArrow(_words_of, "w long, word binary").groupBy("w").agg(F.first("word").alias("word"))
+        words = words.mapInArrow(spell, "w long, " + ", ".join(f"s{m} double" for m in MODELS))
+        words = stored(words.union(texts.sparkSession.range(1).select(F.lit(START).cast("long"), *[F.lit(0.0)] * 3)), "lm-words")
+        words = self._joined(words, 1, "w", [g * F.col(f"s{m}") for m, g in zip(MODELS, self.base)])
+        words = stored(self._weights(words, 2, "w").select("w", *[f"{x}{m}" for x in "pg" for m in MODELS]), "lm-words")
+        three = texts.select("text").mapInArrow(_distinct_trigrams, ", ".join(f"{c} long" for c in _TRIGRAM))
+        three = stored(three.groupBy("k3").agg(*[F.first(c).alias(c) for c in _TRIGRAM[1:]]), "lm-words")
+        ends = F.lit(int(_key(np.zeros(1, _U), np.zeros(1, _U)).view(np.int64)[0]))
+        two = three.groupBy("k23").agg(F.first("w2").alias("w2"), F.first("w3").alias("w3"))
+        two = stored(two.union(texts.sparkSession.range(1).select(ends, F.lit(START).cast("long"), F.lit(START).cast("long"))), "lm-words")
+        two = two.join(pick(words, "w", "w2", ("g", "h")), "w2").join(pick(words, "w", "w3", ("p", "q")), "w3")
+        two = self._joined(two, 2, "k23", [F.col(f"h{m}") * F.col(f"q{m}") for m in MODELS])
+        two = stored(self._weights(two, 3, "k23").select("k23", *[f"{x}{m}" for x in "pg" for m in MODELS]), "lm-words")
+        three = three.select("k3", "k12", "k23").join(pick(two, "k23", "k12", ("g", "h")), "k12").join(pick(two, "k23", "k23", ("p", "q")), "k23")
+        three = self._joined(three, 3, "k3", [F.col(f"h{m}") * F.col(f"q{m}") for m in MODELS])
+        three = stored(three.select("k3", *[F.log(F.greatest(f"p{m}", F.lit(1e-307))).alias(f"l{m}") for m in MODELS]), "lm-words")
+        found = texts.select("tid", "text").mapInArrow(_postings, "tid binary, k3 long, n long").join(three.hint("merge"), "k3")
+        return found.groupBy("tid").agg(*[F.sum(F.col("n") * F.col(f"l{m}")).alias(f"l{m}") for m in MODELS])
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
@@ -189,16 +333,22 @@ class Judge:
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.03, prior: int = 300, least: int = 30):
-        self.prior, self.limits, self.overall, self.mean = prior, {}, float("inf"), 0.0
-        good = _trusted(labels).hint("merge")  # the same plan at every size: the texts are shuffled once
+        self.prior, self.limits, self.overall, self.mean, self.docs = prior, {}, float("inf"), 0.0, docs
+        good = _trusted(labels).hint("merge")  # the same plan at every size
         fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
-        core = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), fold)
-        counts = count_grams(core.join(good, "doc_id", "left_semi"))
+        lang = F.coalesce("lang", F.lit("")).alias("lang")
+        trusted = stored(docs.select("doc_id", "text", fold).join(good, "doc_id", "left_semi"), "lm-trusted")
+        counts = count_grams(trusted)
         self.model = fit(counts.select("g", (F.col("n0") + F.col("n1")).alias("n")))
         if self.model is None:
             return
         halves = [fit(counts.where(f"{c} > 0").select("g", F.col(c).alias("n"))) for c in ("n0", "n1")]
-        self.scored = stored(with_log_probability(core, (self.model, *halves)).drop("text", "fold"), "lm-scores")
+        self.words = WordModel(trusted, tuple(self.model if x is None else x for x in (self.model, *halves)))
+        core = stored(docs.select("doc_id", lang, fold, self._tid(), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols")), "lm-texts")
+        self.sums = self._sums(docs)
+        other = F.when(F.col("fold") == 0, F.col("la" if halves[1] is None else "lc")).otherwise(F.col("la" if halves[0] is None else "lb"))
+        logs = {"log_probability": F.coalesce("la", F.lit(0.0)), "held_out": F.coalesce(other, F.lit(0.0))}
+        self.scored = stored(core.join(self.sums, "tid", "left").withColumns(logs).drop("tid", "fold", "la", "lb", "lc"), "lm-scores")
         trusted = self.scored.where("n_symbols > 0").join(good, "doc_id", "left_semi")
         logs, n = trusted.agg(F.sum("held_out"), F.sum("n_symbols")).first()
         self.mean = logs / n
@@ -207,41 +357,42 @@ class Judge:
         by_lang = trusted.groupBy("lang").agg(mark.alias("mark"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         self.limits = {r["lang"]: r["mark"] * margin for r in by_lang.collect()}  # a number for each language
 
+    @staticmethod
+    def _tid():
+        return F.unhex(F.md5(F.col("text").cast("binary"))).alias("tid")
+
+    def _sums(self, docs: DataFrame) -> DataFrame:
+        """(tid, la, lb, lc) of every different text."""
+        texts = docs.select(self._tid(), "text")
+        copies = texts.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"))
+        return stored(self.words.scores(texts).join(copies, "tid").select("tid", *[(F.col(f"l{m}") / F.col("copies")).alias(f"l{m}") for m in MODELS]), "lm-sums")
+
+    def _judged(self, df: DataFrame) -> DataFrame:
+        """``df`` (log_probability, n_symbols, lang) with perplexity, threshold and kept."""
+        limit = F.lit(self.overall)
+        for lang, value in self.limits.items():
+            limit = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(value)).otherwise(limit)
+        out = df.withColumns({"perplexity": F.when(F.col("n_symbols") > 0, self._perplexity()), "threshold": limit})
+        return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
+
     def _perplexity(self, logs: str = "log_probability"):
         return F.exp(-(F.col(logs) + self.prior * F.lit(self.mean)) / (F.col("n_symbols") + self.prior))
 
     def verdicts(self) -> DataFrame:
         """(doc_id, lang, n_symbols, perplexity, threshold, kept) of the documents judged by, without their texts."""
-        limit = F.lit(self.overall)
-        for lang, value in self.limits.items():
-            limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
-        out = self.scored.withColumns({"perplexity": F.when(F.col("n_symbols") > 0, self._perplexity()), "threshold": limit})
-        return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+        return self._judged(self.scored).select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "kept")
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with n_symbols, perplexity, threshold and kept; no shuffle."""
+        """``docs`` with n_symbols, perplexity, threshold and kept."""
         names = ["n_symbols", "perplexity", "threshold", "kept"]
-        docs = without(docs, *names)
-        model, limits, overall, mean, prior = docs.sparkSession.sparkContext.broadcast(self.model), self.limits, self.overall, self.mean, self.prior
-
-        def run(batches):
-            table = model.value
-            for batch in small_slices(batches, 500):
-                at = batch.schema.get_field_index
-                n, perplexity, threshold, kept = [], [], [], []
-                for t, lang in zip(batch.column(at("text")).to_pylist(), batch.column(at("lang")).to_pylist()):
-                    n.append(len(t or ""))
-                    threshold.append(limits.get(lang or "", overall))
-                    if t and table is not None:
-                        p = float(np.exp(-(float(table[grams(t)].sum(dtype=np.float64)) + prior * mean) / (len(t) + prior)))
-                    else:
-                        p = None
-                    perplexity.append(p)
-                    kept.append(bool(t) and (p is None or p <= threshold[-1]))
-                yield with_columns(batch, {"n_symbols": pa.array(n, pa.int64()), "perplexity": pa.array(perplexity, pa.float64()), "threshold": pa.array(threshold, pa.float64()), "kept": pa.array(kept, pa.bool_())})
-
-        kinds = zip(names, (T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType()))
-        return docs.mapInArrow(run, fields(docs, *kinds))
+        rest = without(docs, *names)
+        size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+        if self.model is None:
+            return rest.withColumns({"n_symbols": size, "perplexity": F.lit(None).cast("double"), "threshold": F.lit(self.overall), "kept": F.coalesce(F.col("text") != "", F.lit(False))})
+        sums = (self.sums if docs is self.docs else self._sums(rest)).select("tid", F.col("la").alias("log_probability"))
+        found = rest.withColumns({"n_symbols": size, "tid": self._tid()}).join(sums, "tid", "left")
+        found = found.withColumn("log_probability", F.coalesce("log_probability", F.lit(0.0)))  # white space alone
+        return self._judged(found).select(*rest.columns, *names)
 
 
 def judge(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:

@@ -161,6 +161,65 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
 
 
+def test_word_model_against_textbook(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["the", "cat", "Sat", "on", "a", "mat.", "été", "кот", "猫猫"], k=30)) for _ in range(20)]
+    trusted = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, fold int")
+    counts = quality_lm.count_grams(trusted)
+    spelled = quality_lm.fit(counts.selectExpr("g", "n0 + n1 as n"))
+    model = quality_lm.WordModel(trusted, (spelled,) * 3)
+    probe = ["the cat Sat on кот", "кит 猫 zq#1", "Sat", "猫猫猫", texts[0]]
+    rows = model.scores(spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(probe)], "tid binary, text string")).collect()
+    assert len(rows) == len(probe)
+    for m, part in zip("abc", (texts, texts[::2], texts[1::2])):
+        seqs = [["", "", *quality_lm.WORD.findall(t)] for t in part]
+        c = {3: Counter(tuple(s[i : i + 3]) for s in seqs for i in range(len(s) - 2))}
+        c[2] = Counter(g[1:] for g in c[3])
+        c[1] = Counter(g[1:] for g in c[2])
+        d, after = {}, defaultdict(list)
+        for k in c:
+            n1, n2, n3, n4 = (sum(v == j for v in c[k].values()) for j in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0
+            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 else None
+            d[k] = [min(max(x, 0.05 * j), 0.95 * j) for j, x in enumerate(raw, 1)] if raw else [0.5, 1.0, 1.5]
+            for g, v in c[k].items():
+                after[k, g[:-1]].append(v)
+
+        def p(g):
+            if not g:
+                return None
+            below = p(g[1:]) if len(g) > 1 else np.exp(quality_lm.spelling(spelled, g[0]))
+            seen, v = after.get((len(g), g[:-1])), c[len(g)].get(g, 0)
+            if not seen:
+                return below
+            return ((v - d[len(g)][min(v, 3) - 1] if v else 0) + sum(d[len(g)][min(x, 3) - 1] for x in seen) * below) / sum(seen)
+
+        for r in rows:
+            s = ["", "", *quality_lm.WORD.findall(probe[r.tid[0]])]
+            assert abs(r[f"l{m}"] - sum(np.log(p(tuple(s[i : i + 3]))) for i in range(len(s) - 2))) < 1e-6
+
+
+def test_word_salad_is_rejected_in_every_script(spark):
+    """Letters outside of a-z were one symbol, so other words of the same lengths scored like trusted text."""
+    rng = random.Random(5)
+    rows, bad = [], []
+    for at, (lang, letters) in enumerate((("ru", "абвгдежзиклмнопрст"), ("zh", "山水火木金土日月人口手足目耳大小中上"))):
+        words = ["".join(rng.choices(letters, k=5)) for _ in range(40)]
+        follows = {w: rng.sample(words, 2) for w in words}
+        for i in range(60):
+            w = [rng.choice(words)]
+            while len(w) < 200:
+                w.append(rng.choice(follows[w[-1]]))
+            rows.append((at * 1000 + i, " ".join(w), lang))
+        for i in range(10):
+            bad.append((at * 1000 + 500 + i, " ".join("".join(rng.choices(letters, k=5)) for _ in range(200)), lang))
+            bad.append((at * 1000 + 600 + i, " ".join(rng.choices(words, k=200)), lang))
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality_lm.Judge(docs, labels).verdicts().where("kept").collect()}
+    assert kept >= {r[0] for r in rows} and not kept & {r[0] for r in bad}
+
+
 # ---- 4 languages
 
 
