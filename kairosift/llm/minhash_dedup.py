@@ -96,7 +96,7 @@ def sub_keys(signature: np.ndarray, m: int, r: int) -> np.ndarray:
 
 _FEATURES = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("n_shingles", T.LongType()),
-     T.StructField("left_keys", T.ArrayType(T.LongType())), T.StructField("right_keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+     T.StructField("left_keys", T.ArrayType(T.LongType())), T.StructField("right_keys", T.ArrayType(T.LongType()))]
 )
 
 
@@ -107,32 +107,22 @@ def _features(k: int, m: int, r: int):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             c1, c2 = [None] * len(sets), [None] * len(sets)
-            left, right, sketch = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            left, right = [None] * len(sets), [None] * len(sets)
             if full:
-                signature = minhashes([sets[i] for i in full], 2 * m * r)
-                keys = sub_keys(signature, m, r)
-                small = (_mix(signature) & _U(0xFFFF)).astype(np.uint16)
+                keys = sub_keys(minhashes([sets[i] for i in full], 2 * m * r), m, r)
                 for at, i in enumerate(full):
                     n = xxhash.xxh3_128_intdigest(sets[i].tobytes())
                     c1[i], c2[i] = (n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)
-                    left[i], right[i], sketch[i] = keys[at, :m], keys[at, m:], small[at].tobytes()
+                    left[i], right[i] = keys[at, :m], keys[at, m:]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                 pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))],
                 names=_FEATURES.names,
             )
 
     return run
 
 
-def _estimates(batches):
-    """Share of equal minhashes of each pair's sketches."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1), pa.float64())], names=["x", "y", "est"])
-
-
 def _sets(k: int):
     def run(batches):
         for batch in small_slices(batches, 256):
@@ -171,7 +161,7 @@ class NearDuplicates:
         self.features = stored(self.core.mapInArrow(_features(k, m, r), _FEATURES), "minhash")
         self.classes = self.features.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"))
         own = self.features.join(self.classes, ["c1", "c2"]).where("id = rep")
-        self.nodes = stored(own.select("id", "n_shingles", "left_keys", "right_keys", "sketch"), "minhash-nodes")
+        self.nodes = stored(own.select("id", "n_shingles", "left_keys", "right_keys"), "minhash-nodes")
 
     def run(self) -> DataFrame:
         rank = F.shiftleft("n_shingles", 40).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("rank")
@@ -181,7 +171,7 @@ class NearDuplicates:
         leaders = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "rank").alias("x")).where("n > 1").drop("n")
         leaders = stored(leaders, "minhash-leaders")  # a plain table: Spark then splits a hot bucket
         stars = tables.select("key", F.col("id").alias("y")).join(leaders, "key").where("x <> y").select("x", "y").distinct()
-        stars = stored(self._compared(self._likely(stored(stars, "minhash-stars"))), "minhash-stars")
+        stars = stored(self._compared(stars), "minhash-stars")  # all of them: members unlike their leader may be alike
         linked = F.expr(f"100 * shared >= {self.percent} * (nx + ny - shared)")
         links = stars.where(linked).select("x", "y")
         labels = components(links)
@@ -190,14 +180,6 @@ class NearDuplicates:
             labels = components(links.union(more))
         return labels
 
-    def _likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sketches don't speak against the similarity (5 deviations)."""
-        a = self.nodes.select(F.col("id").alias("x"), F.col("sketch").alias("sx"))
-        b = self.nodes.select(F.col("id").alias("y"), F.col("sketch").alias("sy"))
-        both = pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
-        est = both.mapInArrow(_estimates, T.StructType([*_PAIR.fields, T.StructField("est", T.DoubleType())]))
-        return est.where(F.col("est") >= self.percent / 100 - 0.25).select("x", "y")
-
     def _compared(self, pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "minhash-pairs")
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()

@@ -313,6 +313,35 @@ def test_components(spark):
     assert out == {n: c for n, c in label.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_links_beside_leaders_that_are_unlike(spark):
+    """Two near copies; every bucket they meet in is led by a third document with six to eight of their 60 words."""
+    x = [f"w{i}" for i in range(60)]
+    y = x[:57] + ["u1", "u2", "u3"]
+    word = {int(minhash_dedup.shingle_set(w, 1)[0]): w for w in x + y}
+    a, b = minhash_dedup._coefficients(60)
+    least = [[min((h for h, w in word.items() if w in t), key=lambda h: ((h ^ int(b[j])) * int(a[j])) % 2**64) for j in range(60)] for t in (x, y)]
+    same = [[i for i in range(10) if all(least[0][at + 3 * i + j] == least[1][at + 3 * i + j] for j in range(3))] for at in (0, 30)]
+    assert same[0] and same[1]
+    docs = [(1, " ".join(x)), (2, " ".join(y))]
+    for i in same[0]:
+        for k in same[1]:
+            docs.append((len(docs) + 1, " ".join(sorted({word[least[0][j]] for j in (*range(3 * i, 3 * i + 3), *range(30 + 3 * k, 33 + 3 * k))}))))
+    rows = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 1, 85).collect()}
+    want = brute_components([t for _, t in docs], 1, 85)
+    assert rows[2] == 1 and [rows[d] for d, _ in docs] == [docs[c][0] for _, c in want]
+
+
+def test_links_in_a_pool_of_passages(spark):
+    rng = random.Random(6)
+    pool = [" ".join(f"p{i}x{j}" for j in range(8)) for i in range(60)]
+    docs = [" ".join(rng.sample(pool, rng.randint(20, 30))) for _ in range(600)]
+    for i in range(0, 100, 2):
+        parts = docs[i].split(" ")
+        docs[i + 1] = " ".join(parts[:-6] + [f"n{i}y{j}" for j in range(6)])
+    rows = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 3, 85).collect()}
+    assert [rows[i] for i in range(600)] == [c for _, c in brute_components(docs, 3, 85)]
+
+
 # ---- 6 rules
 
 
