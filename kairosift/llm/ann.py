@@ -3,9 +3,9 @@
 Centroids come from balanced k-means on a sample of at most about ``sample`` vectors; every valid vector is then
 put into the list of its nearest centroid and, if it lies near a boundary, also into up to ``replicas`` - 1 others
 whose centroids are at most (1 + ``closure``) times as far. Centroids are found by beam search over a neighbour
-graph held in memory (at most ``max_lists`` centroids, so its size is bounded). A query looks into the lists whose
+graph held in memory (at most ``max_lists`` centroids, so its size is bounded). A query looks into all the lists whose
 centroids are at most (1 + ``reach``) times as far as its nearest, and into the next ones as long as those hold under
-40 * k vectors. Lists and their queries are joined in blocks of
+40 * k vectors; where the beam ends before that, the query ranks all the centroids. Lists and their queries are joined in blocks of
 at most about ``block`` vectors and ``block`` queries, so no task holds a whole hot list; each block gives every
 query its nearest, measured again in double precision on the original vectors.
 
@@ -111,12 +111,29 @@ class Centroids:
             ids, dist, open_ = np.hstack([ids, new]), np.hstack([dist, d]), np.hstack([open_, fresh])
 
 
+    def rank(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of q all the centroids and their distances, nearest first."""
+        dist = np.maximum((q**2).sum(1)[:, None] + self.norm[None] - 2 * q @ self.c.T, 0)
+        ids = np.argsort(dist, axis=1, kind="stable")
+        return ids, np.sqrt(np.take_along_axis(dist, ids, axis=1))
+
+
 def _lists(shared, beam: int, ratio: float, most: int | None = None, sizes: np.ndarray | None = None, need: int = 0):
     """Rows of (vec_id, v) to rows of (list, vec_id, v), one for each list.
 
-    With ``sizes`` of the lists, as many of the nearest are taken as hold ``need`` vectors, however far they are.
+    With ``sizes`` of the lists, all within the ratio are taken, and as many of the nearest as hold ``need`` vectors,
+    however far they are: the beam is no bound.
     """
 
+    def chosen(graph, ids, dist):
+        inside = (ids >= 0) & (dist <= (1 + ratio) * np.maximum(dist[:, :1], graph.least))
+        if most:
+            inside[:, most:] = False
+        if sizes is not None:
+            nearer = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
+            inside[:, 1:] |= (nearer[:, :-1] < need) & (ids[:, 1:] >= 0)
+        return inside
+
     def run(batches):
         graph = shared.value
         for batch in small_slices(batches, 512):
@@ -124,14 +141,20 @@ def _lists(shared, beam: int, ratio: float, most: int | None = None, sizes: np.n
                 continue
             v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
             ids, dist = graph.search(v, beam)
-            inside = (ids >= 0) & (dist <= (1 + ratio) * np.maximum(dist[:, :1], graph.least))
-            if most:
-                inside[:, most:] = False
-            if sizes is not None:
-                nearer = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
-                inside[:, 1:] |= (nearer[:, :-1] < need) & (ids[:, 1:] >= 0)
+            inside = chosen(graph, ids, dist)
             row, at = np.nonzero(inside)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row, at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "vec_id", "v"])
+            found = [(row, ids[row, at])]
+            if sizes is not None and ids.shape[1] < len(graph.c):
+                cut = np.flatnonzero(inside[:, -1])  # more lists may follow beyond the beam
+                found = [(row[~inside[row, -1]], ids[row, at][~inside[row, -1]])]
+                if len(cut):
+                    ids, dist = graph.rank(v[cut])
+                    row, at = np.nonzero(chosen(graph, ids, dist))
+                    found.append((cut[row], ids[row, at]))
+            for row, lists in found:
+                for at in range(0, len(row), 4096):
+                    part = pa.array(row[at : at + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[at : at + 4096]), batch.column(0).take(part), batch.column(1).take(part)], names=["list", "vec_id", "v"])
 
     return run
 

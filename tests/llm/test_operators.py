@@ -2,8 +2,10 @@ import hashlib
 import itertools
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,3 +491,41 @@ def test_odd_vectors(spark):
     out = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(v, v.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
     assert out == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
+
+
+def spread_vectors(n, means=30, seed=8):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(means, 64))[rng.integers(0, means, n)] * 0.08 + rng.normal(size=(n, 64)) * 0.1
+
+
+def test_every_list_within_reach_is_probed():
+    """1,000 lists: a beam of 64 was the most that a query looked into."""
+    x = spread_vectors(3000)
+    graph = ann.Centroids(x[:1000], x)
+    q = x[2000:2100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(q.tolist(), pa.list_(pa.float64()))], names=["vec_id", "v"])
+    sizes = np.full(1000, 3)
+    found = defaultdict(set)
+    for part in ann._lists(SimpleNamespace(value=graph), 64, 0.25, sizes=sizes, need=400)([batch]):
+        for at, i in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            assert at not in found[i]
+            found[i].add(at)
+    for i in range(100):
+        d = np.sqrt(((x[:1000] - q[i]) ** 2).sum(1))
+        within = set(np.flatnonzero(d <= 1.25 * d.min() * (1 - 1e-9)).tolist())
+        assert within <= found[i] and set(np.argsort(d)[:134].tolist()) <= found[i]
+
+
+def test_neighbours_over_many_lists(spark):
+    x = spread_vectors(12_000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    rows = ann.nearest(df, df.where("vec_id % 200 = 0"), per_list=8).collect()
+    found = defaultdict(set)
+    for r in rows:
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 12_000, 200):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / 600 > 0.99
