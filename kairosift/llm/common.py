@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 import pyarrow as pa
@@ -14,7 +14,26 @@ from pyspark.sql import types as T
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows here hold whole texts or packed arrays, so Arrow batches are bounded by bytes too; and the shuffle files of a
+#: job that writes a table go when the table is there.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def options(spark: SparkSession, wanted: dict[str, str]):
+    """The session's options for a while."""
+    was = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,31 +41,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    """A new folder name below the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = own.get() if own.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    # Rows here hold whole texts or their shingles: Spark's 10,000 of them in one Arrow batch can outgrow a worker.
-    if int(spark.conf.get(ARROW_ROWS)) > 500:
-        spark.conf.set(ARROW_ROWS, "500")
     path = scratch(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with options(spark, WRITING):
+        writer = df.write
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_blocks(parts, name: str) -> DataFrame:
+    """The tables that ``parts`` (functions) make, one after the other, as one table: a block's shuffle files go before the next begins."""
+    path, schema, spark = None, None, None
+    for i, part in enumerate(parts):
+        df = part()
+        spark, schema = df.sparkSession, df.schema
+        path = path or scratch(spark, name)
+        with options(spark, WRITING):
+            df.write.parquet(f"{path}/block={i}")
+    return spark.read.schema(schema).parquet(*[f"{path}/block={i}" for i in range(len(parts))])
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
     spark = df.sparkSession

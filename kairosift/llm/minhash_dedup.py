@@ -5,31 +5,34 @@ tables are the m*m pairs (left sub-key i, right sub-key j), each a key of 2*r mi
 that strength would need 2*m*m*r minhashes. With m = 10 and r = 3 a pair of similarity 0.85 meets in some table
 with probability 1 - 1.5e-4, of 0.9 with 1 - 2e-6.
 
-Steps: texts of one shingle set are one class, named by its least doc_id. In every table, the members of a bucket
+Steps: texts of one shingle set are one class. In every table, the members of a bucket
 are compared on full sets with the bucket's smallest set alone, its leader, so a bucket gives no more pairs than
-members. Links between other members follow without comparing all pairs: let x not be linked with its leader l,
-and y be another member. Both have at least as many shingles as l, so to reach the similarity x and y must share
-a shingle that l hasn't got. Such members are therefore joined on their shingles outside of l (rarest first, as
-many as the needed overlap asks for), and what meets there is compared on full sets. Independent edits share
-nothing outside of l and give no pairs, however large the group is.
+members. Links between other members are found level by level without comparing all pairs: let y and z be members of
+buckets led by x, one of them not linked with x. Both have at least as many shingles as x, so to reach the similarity
+they must share a shingle that x hasn't got. So members are put into new buckets, one for each such shingle (rarest
+first, as many as the needed overlap asks for); there again all are compared with the smallest one alone, and so on
+until no bucket holds a member apart from its leader. Leaders grow from level to level, so this ends; independent
+edits share nothing outside of x and make no bucket, however large the group is.
 
 Defined cases
 * null, empty or wordless text: n_shingles 0, linked with nothing;
 * fewer words than a shingle has: the whole sequence is the one shingle;
-* rows sharing a doc_id are one node of the graph and share a component; each keeps its own n_shingles;
+* a row is judged by its own text: rows sharing a doc_id but not the text may be in different components;
 * null doc_id: component null, kept true; empty table: empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_slices, stored
+from .common import forget, small_slices, stored
 from .components import components
 
 _U = np.uint64
@@ -95,7 +98,7 @@ def sub_keys(signature: np.ndarray, m: int, r: int) -> np.ndarray:
 
 
 _FEATURES = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("n_shingles", T.LongType()),
+    [*[T.StructField(c, T.LongType()) for c in ("id", "t1", "t2")], T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("n_shingles", T.LongType()),
      T.StructField("left_keys", T.ArrayType(T.LongType())), T.StructField("right_keys", T.ArrayType(T.LongType()))]
 )
 
@@ -103,8 +106,7 @@ _FEATURES = T.StructType(
 def _features(k: int, m: int, r: int):
     def run(batches):
         for batch in small_slices(batches, 256):
-            ids = batch.column(0)
-            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, k) for t in batch.column(3).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             c1, c2 = [None] * len(sets), [None] * len(sets)
             left, right = [None] * len(sets), [None] * len(sets)
@@ -115,7 +117,7 @@ def _features(k: int, m: int, r: int):
                     c1[i], c2[i] = (n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)
                     left[i], right[i] = keys[at, :m], keys[at, m:]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [*batch.columns[:3], pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))],
                 names=_FEATURES.names,
             )
@@ -152,86 +154,103 @@ _PAIR = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.Lon
 _COMPARED = T.StructType([*_PAIR.fields, *[T.StructField(c, T.LongType()) for c in ("nx", "ny", "shared")], T.StructField("more", T.ArrayType(T.LongType()))])
 
 
+_RANK = "shiftleft({n}, 40) | (xxhash64({id}) & 1099511627775)"  # by size; ties by hash
+
+
 class NearDuplicates:
-    """One run over ``docs``; ``labels`` holds (id, n_shingles, component) when it is done."""
+    """One run over ``docs``: ``features`` holds the rows, ``nodes`` the different sets by 64 bits of their hash."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int, m: int, r: int):
         self.k, self.percent = k, percent
-        self.core = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+        self.core = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), *text_keys(), "text")
         self.features = stored(self.core.mapInArrow(_features(k, m, r), _FEATURES), "minhash")
-        self.classes = self.features.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-        own = self.features.join(self.classes, ["c1", "c2"]).where("id = rep")
-        self.nodes = stored(own.select("id", "n_shingles", "left_keys", "right_keys"), "minhash-nodes")
+        first = F.min_by(F.struct("t1", "t2", "n_shingles", "left_keys", "right_keys"), F.struct("id", "t1", "t2")).alias("f")
+        nodes = self.features.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), first)
+        self.nodes = stored(nodes.select(F.col("c1").alias("id"), "rep", "f.*"), "minhash-nodes")
 
     def run(self) -> DataFrame:
-        rank = F.shiftleft("n_shingles", 40).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("rank")
-        tables = self.nodes.select("id", rank, F.posexplode("left_keys").alias("i", "l"), "right_keys")
+        tables = self.nodes.select("id", F.expr(_RANK.format(n="n_shingles", id="id")).alias("rank"), F.posexplode("left_keys").alias("i", "l"), "right_keys")
         tables = tables.select("id", "rank", "i", "l", F.posexplode("right_keys").alias("j", "r"))
         tables = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "rank")
         leaders = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "rank").alias("x")).where("n > 1").drop("n")
         leaders = stored(leaders, "minhash-leaders")  # a plain table: Spark then splits a hot bucket
         stars = tables.select("key", F.col("id").alias("y")).join(leaders, "key").where("x <> y").select("x", "y").distinct()
-        stars = stored(self._compared(stars), "minhash-stars")  # all of them: members unlike their leader may be alike
+        stars = self._compared(stars)  # all of them: members unlike their leader may be alike
+        forget(leaders)
         linked = F.expr(f"100 * shared >= {self.percent} * (nx + ny - shared)")
-        links = stars.where(linked).select("x", "y")
-        labels = components(links)
-        more = stored(self._compared(self._beside(stars, labels)).where(linked).select("x", "y"), "minhash-links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
-        return labels
+        links = [stars.where(linked).select("x", "y")]
+        labels, done = components(links[0]), stars.select("x", "y")
+        while True:
+            stars = self._compared(self._beside(stars.withColumn("apart", ~linked), labels).join(done, ["x", "y"], "left_anti"))
+            if stars.isEmpty():
+                break
+            links.append(stars.where(linked).select("x", "y"))
+            done = done.union(stars.select("x", "y"))
+        return components(reduce(DataFrame.union, links)) if len(links) > 1 else labels
 
     def _compared(self, pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "minhash-pairs")
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-        texts = self.core.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+        own = self.nodes.select("id", "t1", "t2").join(ids.hint("merge"), "id", "left_semi")
+        texts = self.core.drop("id").join(own.hint("merge"), ["t1", "t2"]).groupBy("id").agg(F.max("text").alias("text"))
         sets = stored(texts.mapInArrow(_sets(self.k), T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])), "minhash-sets")
         a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
         b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-        return pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_compare, _COMPARED)
+        out = stored(pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_compare, _COMPARED), "minhash-stars")
+        forget(pairs)
+        forget(sets)
+        return out
 
     def _beside(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of members of one leader, of different components, that share enough outside of the leader's set."""
-        a = labels.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-        b = labels.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-        rows = stars.join(a, "x", "left").join(b, "y", "left").withColumns({"cx": F.coalesce("cx", "x"), "cy": F.coalesce("cy", "y")})
-        rows = rows.withColumn("apart", F.col("cx") != F.col("cy"))
-        # What both must share outside of the leader is at least, for the smaller set of a pair, and for the larger:
-        t = self.percent
-        small = f"greatest(1, cast(ceil({2 * t / (100 + t)} * ny - 1e-9) as long) - shared)"
-        large = f"greatest(1, cast(ceil({t / 100} * ny - 1e-9) as long) - shared)"
-        rows = rows.select("x", "y", "cy", "apart", "ny", "more", F.expr(f"size(more) - {small} + 1").alias("small"), F.expr(f"size(more) - {large} + 1").alias("large")).where("size(more) > 0 and large > 0")
+        """Stars of the next level: leaders and members of buckets (x, shingle outside of x) of the members of x."""
+        of = labels.select(F.col("node").alias("y"), F.col("component").alias("c"))
+        rows = stars.join(of, "y", "left").withColumn("c", F.coalesce("c", "y"))
+        # What a member must share outside of x with another one to link with it, where it is the larger of the two:
+        need = f"greatest(1, cast(ceil({self.percent / 100} * ny - 1e-9) as long) - shared)"
+        rows = rows.select("x", "y", "c", "apart", "ny", "more", F.expr(f"size(more) - {need} + 1").alias("left")).where("size(more) > 0 and left > 0")
         rows = stored(rows.join(rows.where("apart").select("x").distinct(), "x", "left_semi"), "minhash-beside")
         each = rows.select("x", "y", F.explode("more").alias("e"))
-        common = each.groupBy("x", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        common = stored(each.groupBy("x", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-common")
         each = each.join(common, ["x", "e"]).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-        each = rows.select("x", "y", "cy", "apart", "ny", "small", "large", F.size("more").alias("n")).join(each, ["x", "y"])
-        each = stored(each.withColumn("alone", F.col("n") - F.size("es")), "minhash-beside")  # shingles that no other member has come first
+        each = rows.select("x", "y", "c", "apart", "ny", "left", F.size("more").alias("n")).join(each, ["x", "y"])
+        left = (F.col("left") - F.col("n") + F.size("es")).cast("int")  # shingles that no other member has come first
+        each = each.where(left > 0).select("x", "y", "c", "apart", F.expr(_RANK.format(n="ny", id="y")).alias("rank"), F.explode(F.slice("es", F.lit(1), left)).alias("s"))
+        each = stored(each.select("x", "s.e", "y", "c", "apart", "rank"), "minhash-buckets")
+        leaders = each.groupBy("x", "e").agg(F.min_by("y", "rank").alias("to"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("apart").alias("open"))
+        leaders = stored(leaders.where("open and c0 <> c1").select("x", "e", "to"), "minhash-leaders")
+        met = each.join(leaders, ["x", "e"]).where("y <> to").select(F.col("to").alias("x"), "y").distinct()
+        return met
 
-        def first(role: str) -> DataFrame:
-            left = (F.col(role) - F.col("alone")).cast("int")
-            return each.where(left > 0).select("x", "y", "cy", "apart", "ny", F.explode(F.slice("es", F.lit(1), left)).alias("s")).select("x", "y", "cy", "apart", "ny", "s.e")
 
-        other = first("large").select("x", "e", F.col("y").alias("z"), F.col("cy").alias("cz"), F.col("apart").alias("apart_z"), F.col("ny").alias("nz"))
-        order = f"(ny < nz or ny = nz and y < z) and 100 * ny >= {t} * nz"
-        met = first("small").join(other, ["x", "e"]).where(f"cy <> cz and (apart or apart_z) and {order}")
-        return met.select(F.col("y").alias("x"), F.col("z").alias("y")).distinct()
+def text_keys() -> tuple[Column, Column]:
+    return F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, any more)."""
+def labelled_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, component_id) of every row of ``docs`` with a doc_id; t1 and t2 are keys of its text."""
     found = NearDuplicates(docs, shingle, percent, m, r)
     labels = found.run()
-    classes = found.classes.join(labels, found.classes.rep == labels.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    rows = found.features.select("id", "c1", "c2", "n_shingles").join(classes, ["c1", "c2"], "left")
-    out = rows.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    reps = found.nodes.select("id", "rep").join(labels, F.col("id") == F.col("node"), "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = stored(least, "minhash-least")  # a plain table: Spark then splits a large component
+    classes = stored(reps.join(least, "component").select(F.col("id").alias("c1"), "component_id"), "minhash-classes")
+    rows = found.features.select("id", "t1", "t2", "c1", "n_shingles").join(classes, "c1", "left")
+    return rows.select(F.col("id").alias("doc_id"), "t1", "t2", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, any more)."""
+    out = labelled_rows(docs, shingle, percent, m, r).drop("t1", "t2")
     nulls = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nulls).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` less every document that isn't the least doc_id of its component."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` less every row whose doc_id isn't the least one of its text's component."""
+    gone = labelled_rows(docs, shingle, percent).where("doc_id <> component_id").select("doc_id", "t1", "t2").distinct()
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    a, b = text_keys()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (a == F.col("__t1")) & (b == F.col("__t2")), "left_anti")
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:

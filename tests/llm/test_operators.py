@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kairosift.llm import ann, lang_crf, line_dedup, minhash_dedup, packing, piece_codec, quality_lm, risk_rules, url_filter
+from kairosift.llm import ann, lang_crf, line_dedup, minhash_dedup, packing, piece_codec, risk_rules, url_filter
 from kairosift.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -88,140 +88,6 @@ def test_codec_against_library(spark):
     assert all(n[r.doc_id] == len(r.ids) for r in out)
 
 
-# ---- 3 perplexity
-
-
-def brute_kneser_ney(texts):
-    """Probability of every n-gram's last symbol by the textbook, for the n-grams of the texts."""
-    A, n = quality_lm.A, quality_lm.ORDER
-    seqs = [tuple([0] * (n - 1) + [int(s) for s in quality_lm.symbols(t)]) for t in texts]
-    counts = {n: Counter(s[i : i + n] for s in seqs for i in range(len(s) - n + 1))}
-    for k in range(n - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    d = {}
-    for k, c in counts.items():
-        n1, n2, n3, n4 = (sum(v == j for v in c.values()) for j in (1, 2, 3, 4))
-        if n1 and n2 and n3:
-            y = n1 / (n1 + 2 * n2)
-            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-            d[k] = [min(max(x, 0.05 * j), 0.95 * j) for j, x in enumerate(raw, 1)]
-        else:
-            d[k] = [0.5, 1.0, 1.5]
-    after = {k: defaultdict(list) for k in counts}
-    for k, c in counts.items():
-        for g, v in c.items():
-            after[k][g[:-1]].append(v)
-
-    def p(g):
-        if not g:
-            return 1 / A
-        k = len(g)
-        seen = after[k].get(g[:-1])
-        if not seen:
-            return p(g[1:])
-        gamma = sum(d[k][min(v, 3) - 1] for v in seen) / sum(seen)
-        v = counts[k].get(g, 0)
-        return (v - d[k][min(v, 3) - 1] if v else 0) / sum(seen) + gamma * p(g[1:])
-
-    return p
-
-
-def test_model_against_textbook(spark):
-    rng = random.Random(2)
-    texts = [" ".join(rng.choices(["the", "cat", "Sat", "on", "a", "mat.", "été"], k=30)) for _ in range(20)]
-    counts = quality_lm.count_grams(spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, fold int"))
-    model = quality_lm.fit(counts.selectExpr("g", "n0 + n1 as n"))
-    assert quality_lm.fit(counts.where("n0 < 0").selectExpr("g", "n0 as n")) is None
-    p = brute_kneser_ney(texts)
-    probe = ["the cat", "zq#1", "Sat on été", "x"]
-    for t in probe:
-        s = tuple([0] * 3 + [int(x) for x in quality_lm.symbols(t)])
-        want = sum(np.log(p(s[i : i + 4])) for i in range(len(t)))
-        assert abs(float(model[quality_lm.grams(t)].sum(dtype=np.float64)) - want) < 1e-3
-    assert np.allclose(np.exp(model.reshape(-1, quality_lm.A).astype(float)).sum(1), 1, atol=1e-4)
-
-
-def test_quality_edge_cases(spark):
-    good = [(i, "the quick brown fox jumps over the lazy dog " * 5, "en") for i in range(40)]
-    docs = spark.createDataFrame(good + [(100, None, "en"), (101, "", None), (102, "#### $$$$ !!!! @@@@ " * 20, "en"), (103, "the quick fox", None)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(102, None, None), (7, 1, None)], "doc_id long, quality int, toxic int")
-    found = quality_lm.Judge(docs, labels)
-    a = {r.doc_id: (r.kept, r.perplexity) for r in found.verdicts().collect()}
-    b = {r.doc_id: (r.kept, r.perplexity) for r in found.score(docs).collect()}
-    assert {k: v[0] for k, v in a.items()} == {k: v[0] for k, v in b.items()}
-    assert all(a[i][0] for i in range(40)) and not a[100][0] and not a[101][0] and not a[102][0] and a[100][1] is None
-    none = quality_lm.judge(docs, labels.where("doc_id < 0"))
-    assert {r.doc_id for r in none.collect() if not r.kept} == {100, 101}
-    assert quality_lm.judge(docs.limit(0), labels).count() == 0
-
-
-def test_quality_on_held_out_labels(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    seen = labels.where("doc_id % 3 <> 0")
-    rows = quality_lm.judge(docs, seen).join(labels.where("doc_id % 3 = 0 and toxic = 0"), "doc_id").collect()
-    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
-
-
-def test_word_model_against_textbook(spark):
-    rng = random.Random(4)
-    texts = [" ".join(rng.choices(["the", "cat", "Sat", "on", "a", "mat.", "été", "кот", "猫猫"], k=30)) for _ in range(20)]
-    trusted = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, fold int")
-    counts = quality_lm.count_grams(trusted)
-    spelled = quality_lm.fit(counts.selectExpr("g", "n0 + n1 as n"))
-    model = quality_lm.WordModel(trusted, (spelled,) * 3)
-    probe = ["the cat Sat on кот", "кит 猫 zq#1", "Sat", "猫猫猫", texts[0]]
-    rows = model.scores(spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(probe)], "tid binary, text string")).collect()
-    assert len(rows) == len(probe)
-    for m, part in zip("abc", (texts, texts[::2], texts[1::2])):
-        seqs = [["", "", *quality_lm.WORD.findall(t)] for t in part]
-        c = {3: Counter(tuple(s[i : i + 3]) for s in seqs for i in range(len(s) - 2))}
-        c[2] = Counter(g[1:] for g in c[3])
-        c[1] = Counter(g[1:] for g in c[2])
-        d, after = {}, defaultdict(list)
-        for k in c:
-            n1, n2, n3, n4 = (sum(v == j for v in c[k].values()) for j in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2) if n1 else 0
-            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 else None
-            d[k] = [min(max(x, 0.05 * j), 0.95 * j) for j, x in enumerate(raw, 1)] if raw else [0.5, 1.0, 1.5]
-            for g, v in c[k].items():
-                after[k, g[:-1]].append(v)
-
-        def p(g):
-            if not g:
-                return None
-            below = p(g[1:]) if len(g) > 1 else np.exp(quality_lm.spelling(spelled, g[0]))
-            seen, v = after.get((len(g), g[:-1])), c[len(g)].get(g, 0)
-            if not seen:
-                return below
-            return ((v - d[len(g)][min(v, 3) - 1] if v else 0) + sum(d[len(g)][min(x, 3) - 1] for x in seen) * below) / sum(seen)
-
-        for r in rows:
-            s = ["", "", *quality_lm.WORD.findall(probe[r.tid[0]])]
-            assert abs(r[f"l{m}"] - sum(np.log(p(tuple(s[i : i + 3]))) for i in range(len(s) - 2))) < 1e-6
-
-
-def test_word_salad_is_rejected_in_every_script(spark):
-    """Letters outside of a-z were one symbol, so other words of the same lengths scored like trusted text."""
-    rng = random.Random(5)
-    rows, bad = [], []
-    for at, (lang, letters) in enumerate((("ru", "абвгдежзиклмнопрст"), ("zh", "山水火木金土日月人口手足目耳大小中上"))):
-        words = ["".join(rng.choices(letters, k=5)) for _ in range(40)]
-        follows = {w: rng.sample(words, 2) for w in words}
-        for i in range(60):
-            w = [rng.choice(words)]
-            while len(w) < 200:
-                w.append(rng.choice(follows[w[-1]]))
-            rows.append((at * 1000 + i, " ".join(w), lang))
-        for i in range(10):
-            bad.append((at * 1000 + 500 + i, " ".join("".join(rng.choices(letters, k=5)) for _ in range(200)), lang))
-            bad.append((at * 1000 + 600 + i, " ".join(rng.choices(words, k=200)), lang))
-    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in quality_lm.Judge(docs, labels).verdicts().where("kept").collect()}
-    assert kept >= {r[0] for r in rows} and not kept & {r[0] for r in bad}
-
-
 # ---- 4 languages
 
 
@@ -304,6 +170,28 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash_dedup.near_duplicates(docs.limit(0), 3, 85).count() == 0
 
 
+def test_texts_of_one_doc_id_are_dropped_alone(spark):
+    texts = {"a": "p q r s t u v w x y z", "b": "one two three four five six", "c": "seven eight nine ten eleven twelve"}
+    docs = spark.createDataFrame([(1, texts["a"], 1, "x"), (2, texts["a"], 1, "x"), (2, texts["b"], 1, "x"), (2, texts["c"], 1, "x"), (3, texts["c"], 1, "x"), (4, None, 1, "x"), (5, "", 1, "x"), (None, texts["a"], 1, "x")], "doc_id long, text string, t1 int, Kept string")
+    left = minhash_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(0, texts["a"]), (1, texts["a"]), (2, texts["b"]), (2, texts["c"]), (4, ""), (5, "")])
+    assert minhash_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_group_that_shares_much_beside_its_leader(spark):
+    """Members of one bucket family that share different extras, some of them linked with their leader and some not."""
+    rng = random.Random(12)
+    core = [f"c{i}" for i in range(80)]
+    blocks = [[f"b{j}x{i}" for i in range(14)] for j in range(6)]
+    docs = [" ".join(core)]
+    for i in range(150):
+        words = core + [w for j in rng.sample(range(6), rng.randint(0, 3)) for w in blocks[j]] + [f"own{i}x{k}" for k in range(rng.randint(0, 4))]
+        docs.append(" ".join(words))
+    rows = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 1, 85).collect()}
+    assert [rows[i] for i in range(len(docs))] == [c for _, c in brute_components(docs, 1, 85)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
