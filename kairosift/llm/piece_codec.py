@@ -8,7 +8,8 @@ is compatible with it; the ids are then recovered backwards. Time is linear in t
 characters outside the vocabulary stand alone and become their bytes.
 
 No piece of the vocabulary has a space mark after another character (checked on loading), so no piece crosses
-from a word to the next space; words are encoded one by one and a worker keeps a bounded table of those it met.
+from a word to the next space; where no piece joins Latin letters with ASCII signs either (found on loading), runs of
+both are encoded apart too. A worker keeps a bounded table of the runs it met.
 
 Defined cases: null and '' have no ids and decode to ''; ``docs`` may hold any more columns (one named ``ids``
 or ``decoded`` is replaced); rows are independent, so repeated rows and ties need no rule.
@@ -32,10 +33,30 @@ from .common import fields, small_slices, with_columns, without
 SPACE = "▁"
 
 
+class Remembered(dict):
+    """What a function gives for each run of characters; emptied when it is full."""
+
+    def __init__(self, of, most: int):
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, run: str):
+        found = self.of(run)
+        if len(run) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[run] = found
+        return found
+
+
+#: Letters and digits of Latin script, and ASCII signs, as parts of a regular expression's class.
+LATIN, SIGNS = "0-9A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
+
+
 class Pieces:
     """A vocabulary: its automaton, the compatibility of pairs, and the bytes of every id."""
 
-    def __init__(self, model: str, remembered: int = 600_000):
+    def __init__(self, model: str, remembered: int = 600_000, counted: int = 1_000_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.vocab_size()
         self.text = {i: sp.id_to_piece(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
@@ -57,10 +78,15 @@ class Pieces:
         self.automaton.make_automaton()
         self.n = n
         self.pairs: dict[int, bool] = {}  # left * n + right -> compatible
-        self.words: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.packed = Remembered(lambda run: array("i", self.word_ids(run)).tobytes(), remembered)
+        self.counts = Remembered(lambda run: len(self.word_ids(run)), counted)
         alone, stop = ("", "") if "\n" in self.id else (r"\n|", r"\n")
-        self.split = re.compile(f"{alone}{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+")
+        plain = f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+"
+        if any(map(re.compile(f"[{LATIN}][{SIGNS}]|[{SIGNS}][{LATIN}]").search, self.text.values())):
+            self.split = re.compile(alone + plain)
+        else:  # a run that another character follows isn't cut off
+            other = f"(?![^{LATIN}{SIGNS}{SPACE}{stop}])"
+            self.split = re.compile(f"{alone}{SPACE}*+[{LATIN}]++{other}|{SPACE}*+[{SIGNS}]++{other}|{plain}")
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by the definition: merge the best pair, leftmost first, until none is left."""
@@ -113,27 +139,16 @@ class Pieces:
         ids.reverse()
         return ids
 
-    def packed(self, word: str) -> bytes:
-        """The word's ids as 32-bit integers."""
-        found = self.words.get(word)
-        if found is None:
-            found = array("i", self.word_ids(word)).tobytes()
-            if len(word) <= 64:
-                if len(self.words) >= self.remembered:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
         words = self.split.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self.packed, words)), np.int32)
+        return np.frombuffer(b"".join(map(self.packed.__getitem__, words)), np.int32)
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        return sum(map(len, map(self.packed, self.split.findall(SPACE + text.replace(" ", SPACE))))) // 4
+        return sum(map(self.counts.__getitem__, self.split.findall(SPACE + text.replace(" ", SPACE))))
 
     def decode(self, ids) -> str:
         """The text of ids; a leading space mark, put there by encoding, is taken away."""

@@ -1,12 +1,14 @@
 """Operator 6: quality rules with risk-controlled thresholds.
 
 Each rule rejects a document whose share of something (symbols, repeated lines, repeated words, capitals) is over
-a cutoff. Cutoffs are taken from a fixed grid, for each stratum (language) alone: on a labelled holdout, the exact
-binomial test must show that the cutoff rejects fewer than ``risk`` / rules of the good documents, at level
-``delta`` over all strata, rules and grid values tested (Bonferroni). The least cutoff that passes is used, if on
-the other labelled half it also rejects bad documents ``gain`` times as often as good ones. So with probability
-1 - delta no stratum loses more than ``risk`` of its good documents to the rules; a stratum with too few labels to
-show that has no rule.
+a cutoff. For each stratum (language) alone, half of the labelled documents lay out a path of nested cutoffs, from
+loose to strict: at each level every rule takes the least cutoff of a fixed grid that rejects at most so many of that
+half's good documents, if it also rejects bad ones ``gain`` times as often as good ones. On the other half, the
+holdout, the exact binomial test must then show that all rules of a level together reject fewer than ``risk`` of the
+good documents. Levels are tested in order, each at ``delta`` / strata, up to the first that fails (a fixed sequence
+needs no correction within a stratum; strata are corrected by Bonferroni), and the last that passed is used. So with
+probability 1 - delta no stratum loses more than ``risk`` of its good documents to the rules; a stratum with too few
+labels to show that has no rule. The guarantee is for documents that pass the base rule, as the labelled ones did.
 
 Defined cases
 * null text: no words, so the base rule rejects it; empty text alike;
@@ -19,10 +21,11 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,8 @@ RULES = {
     "upper_share": "n_upper / greatest(n_letters, 1)",
 }
 GRID = [0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+#: Levels of the path: the good documents that a rule may reject in the half that lays it out, as parts of the risk.
+LEVELS = [0.0, 0.025, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0]
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -114,47 +119,59 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1.0 / max(1 - (a + b) * x / (a + 1), tiny)
     value = d
-    for m in range(1, 10_000):
+    for m in range(1, 10_000_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 / (1 + num * d if abs(1 + num * d) > tiny else tiny)
             c = 1 + num / c if abs(1 + num / c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1) < 1e-14:
-            break
-    return front * value
+            return front * value
+    raise ArithmeticError("the continued fraction has not settled")
 
 
-def cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05, gain: float = 3.0) -> DataFrame:
-    """(stratum, rule, cutoff) from ``labelled`` (doc_id, stratum, good, and the shares named in RULES).
-
-    The table has a row for each stratum and rule at most; what is tested has as many rows times the grid.
-    """
+def _path(labelled: DataFrame, risk: float, gain: float) -> DataFrame:
+    """(stratum, path): for each level a cutoff or null for each rule of RULES."""
     share = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("share")) for r in RULES])).alias("x")
     bucket = F.size(F.filter(F.array(*[F.lit(g) for g in GRID]), lambda g: g < F.col("x.share"))).alias("bucket")
-    half = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0).alias("holdout")
-    hist = labelled.select("stratum", "good", half, share).groupBy("stratum", "x.rule", bucket).agg(
-        F.count_if(F.col("holdout") & F.col("good")).alias("hold_good"),
-        F.count_if(~F.col("holdout") & F.col("good")).alias("other_good"),
-        F.count_if(~F.col("holdout") & ~F.col("good")).alias("other_bad"),
-    )
-    every = hist.select("stratum", "rule").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(len(GRID)))))
-    hist = every.join(hist, ["stratum", "rule", "bucket"], "left").na.fill(0)
-    up = Window.partitionBy("stratum", "rule").orderBy(F.desc("bucket"))
-    whole = Window.partitionBy("stratum", "rule")
-    for c in ("hold_good", "other_good", "other_bad"):
+    hist = labelled.select("stratum", "good", share).groupBy("stratum", "x.rule", bucket).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    up, whole = Window.partitionBy("stratum", "rule").orderBy(F.desc("bucket")), Window.partitionBy("stratum", "rule")
+    for c in ("good", "bad"):
         hist = hist.withColumn(f"{c}_over", F.sum(c).over(up)).withColumn(f"{c}_all", F.sum(c).over(whole))
-    hist = hist.where("bucket > 0")  # bucket i holds the shares over GRID[i - 1]
-    tests = hist.count()
-    level, share_of_risk = delta / max(tests, 1), risk / len(RULES)
+    # bucket i holds the shares over GRID[i - 1]; a cutoff with an empty bucket rejects the same as the next one that has rows
+    useful = F.col("bad_over") * F.greatest("good_all", F.lit(1)) >= gain * F.col("good_over") * F.greatest("bad_all", F.lit(1))
+    fit = hist.where((F.col("bucket") > 0) & useful & (F.col("bad_over") > 0))
+    least = fit.groupBy("stratum", "rule").agg(*[F.min(F.when(F.col("good_over") <= level * risk * F.col("good_all"), F.col("bucket"))).alias(f"b{i}") for i, level in enumerate(LEVELS)])
+    cut = lambda i: F.get(F.array(*[F.lit(g) for g in GRID]), F.col(f"b{i}") - 1)
+    of = lambda i, r: F.max(F.when(F.col("rule") == r, cut(i)))
+    return least.groupBy("stratum").agg(F.array(*[F.array(*[of(i, r) for r in RULES]) for i in range(len(LEVELS))]).alias("path"))
+
 
-    def passes(batches):
+def cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05, gain: float = 3.0) -> DataFrame:
+    """(stratum, rule, cutoff) from ``labelled`` (doc_id, stratum, good, and the shares named in RULES).
+
+    The tables between have a row for each stratum and level at most.
+    """
+    holdout = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    path = stored(_path(labelled.where(~holdout), risk, gain), "rule-paths")
+    good = labelled.where(holdout & F.col("good")).join(path, "stratum")
+    fires = lambda i: reduce(Column.__or__, [F.coalesce(F.col(r) > F.col("path")[i][j], F.lit(False)) for j, r in enumerate(RULES)])
+    first = F.coalesce(*[F.when(fires(i), F.lit(i)) for i in range(len(LEVELS))], F.lit(len(LEVELS))).alias("level")
+    counts = good.select("stratum", first).groupBy("stratum", "level").count()
+    strata = path.count()
+    every = path.select("stratum", F.explode(F.sequence(F.lit(0), F.lit(len(LEVELS)))).alias("level"))
+    counts = every.join(counts, ["stratum", "level"], "left").na.fill(0, ["count"])
+    by = Window.partitionBy("stratum")
+    counts = counts.withColumns({"k": F.sum("count").over(by.orderBy("level")), "n": F.sum("count").over(by)}).where(F.col("level") < len(LEVELS))
+
+    def fails(batches):
         for pdf in batches:
-            ok = [n > 0 and binomial_cdf(int(k), int(n), share_of_risk) <= level for k, n in zip(pdf.hold_good_over, pdf.hold_good_all)]
-            yield pdf[ok][["stratum", "rule", "bucket"]]
+            bad = [n == 0 or binomial_cdf(int(k), int(n), risk) > delta / strata for k, n in zip(pdf.k, pdf.n)]
+            yield pdf[bad][["stratum", "level"]]
 
-    useful = F.col("other_bad_over") * F.greatest("other_good_all", F.lit(1)) >= gain * F.col("other_good_over") * F.greatest("other_bad_all", F.lit(1))
-    found = hist.where(useful & (F.col("other_bad_over") > 0)).mapInPandas(passes, "stratum string, rule string, bucket int")
-    return found.groupBy("stratum", "rule").agg(F.array(*[F.lit(g) for g in GRID])[F.min("bucket") - 1].alias("cutoff"))
+    failed = counts.mapInPandas(fails, "stratum string, level int").groupBy("stratum").agg(F.min("level").alias("failed"))
+    used = path.join(failed, "stratum", "left").select("stratum", F.get("path", F.coalesce("failed", F.lit(len(LEVELS))) - 1).alias("cuts")).where("cuts is not null")
+    rules = F.explode(F.arrays_zip(F.array(*[F.lit(r) for r in RULES]).alias("rule"), F.col("cuts").alias("cutoff"))).alias("x")
+    return used.select("stratum", rules).select("stratum", "x.rule", "x.cutoff").where("cutoff is not null")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:

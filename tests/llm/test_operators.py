@@ -277,6 +277,83 @@ def test_cutoffs_hold_their_risk(spark):
         assert np.mean([r[3] > cut for r in mine if r[2]]) < 0.02 and np.mean([r[3] > cut for r in mine if not r[2]]) > 0.8
 
 
+def brute_cutoffs(rows, risk, delta, gain):
+    """rows: (doc_id, stratum, good, shares by rule)."""
+    import zlib
+    from math import comb
+
+    half = lambda r: zlib.crc32(str(r[0]).encode()) % 2 == 0
+    paths = {}
+    for st in {r[1] for r in rows}:
+        path = [{} for _ in risk_rules.LEVELS]
+        mine = [r for r in rows if r[1] == st and not half(r)]
+        n_good, n_bad = sum(r[2] for r in mine), sum(not r[2] for r in mine)
+        for rule in risk_rules.RULES:
+            for i, level in enumerate(risk_rules.LEVELS):
+                for at, g in enumerate(risk_rules.GRID):
+                    over = [r for r in mine if r[3][rule] > g]
+                    a, b = sum(r[2] for r in over), sum(not r[2] for r in over)
+                    top = risk_rules.GRID[at + 1] if at + 1 < len(risk_rules.GRID) else 9
+                    if b and b * max(n_good, 1) >= gain * a * max(n_bad, 1) and a <= level * risk * n_good and any(g < r[3][rule] <= top for r in mine):
+                        path[i][rule] = g
+                        break
+        if any(path):
+            paths[st] = path
+    out = {}
+    for st, path in paths.items():
+        mine = [r for r in rows if r[1] == st and half(r) and r[2]]
+        used = None
+        for cuts in path:
+            k, n = sum(any(r[3][x] > c for x, c in cuts.items()) for r in mine), len(mine)
+            if not n or sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) > delta / len(paths):
+                break
+            used = cuts
+        out |= {(st, x): c for x, c in (used or {}).items()}
+    return out
+
+
+def test_judge_against_brute_force(spark):
+    rng = random.Random(15)
+    docs = []
+    for i in range(1500):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(15, 60))]
+        bad = rng.random() < 0.3
+        for j in range(len(words)):
+            if rng.random() < (0.4 if bad else 0.002):
+                words[j] += rng.choice("#$|")
+            elif bad and i % 2 and rng.random() < 0.5:
+                words[j] = words[j].upper()
+        docs.append((i, rng.choice(["en", "en", "en", None]), " ".join(words), bad))
+    docs += [(2000, "en", None, True), (2001, None, "", True), (2002, "zz", "a b " * 30, True)]
+    table = spark.createDataFrame([(i, lang, t, 1, 2) for i, lang, t, _ in docs] + [(0, *docs[0][1:3], 1, 2)], "doc_id long, lang string, text string, kept int, rules int")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, *_, b in docs if i % 4] + [(1, None, None)], "doc_id long, quality int, toxic int")
+    rows = []
+    shares = {}
+    for i, lang, t, bad in docs:
+        c = dict(zip(risk_rules.COUNTS, risk_rules.text_counts(t)))
+        shares[i] = {"symbol_share": c["n_symbols"] / max(c["word_chars"], 1), "dup_line_share": c["n_dup_lines"] / max(c["n_lines"], 1), "repeat_share": c["n_repeat_words"] / max(c["n_words"], 1), "upper_share": c["n_upper"] / max(c["n_letters"], 1)}
+        shares[i]["failed"] = c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"]
+        if i % 4 and not shares[i]["failed"]:
+            rows.append((i, lang or "", not bad, shares[i]))
+    want = brute_cutoffs(rows, 0.05, 0.1, 3.0)
+    assert want
+    out = risk_rules.judge(table, labels, 0.05, 0.1).collect()
+    assert len(out) == len(docs) + 1
+    lang_of = {i: lang or "" for i, lang, *_ in docs}
+    for r in out:
+        failed = [x for x in risk_rules.RULES if shares[r.doc_id][x] > want.get((lang_of[r.doc_id], x), 9)]
+        assert list(r.rules) == failed and r.base_failed == shares[r.doc_id]["failed"] and r.kept == (not r.base_failed and not failed)
+    none = risk_rules.judge(table, labels.limit(0)).collect()
+    assert all(r.kept == (not r.base_failed) and not r.rules for r in none) and len(none) == len(out)
+    assert risk_rules.judge(table.limit(0), labels).count() == 0
+
+
+def test_rules_fire_on_the_tables(spark):
+    rows = risk_rules.op6_risk_rules(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("not base_failed").collect()
+    lost = lambda q: np.mean([not r.kept for r in rows if r.quality == q])
+    assert lost(1) < 0.02 and lost(0) > 0.5
+
+
 # ---- 8 lines
 
 
