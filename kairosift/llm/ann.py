@@ -3,10 +3,11 @@
 Centroids come from balanced k-means on a sample of at most about ``sample`` vectors; every valid vector is then
 put into the list of its nearest centroid and, if it lies near a boundary, also into up to ``replicas`` - 1 others
 whose centroids are at most (1 + ``closure``) times as far. Centroids are found by beam search over a neighbour
-graph held in memory (at most ``max_lists`` centroids, so its size is bounded). A query looks into all the lists whose
+graph held in memory (at most ``max_lists`` centroids, so its size is bounded; beyond ``max_lists`` * ``per_list``
+vectors the lists grow with the data). A query looks into all the lists whose
 centroids are at most (1 + ``reach``) times as far as its nearest, and into the next ones as long as those hold under
 40 * k vectors; where the beam ends before that, the query ranks all the centroids. Lists and their queries are joined in blocks of
-at most about ``block`` vectors and ``block`` queries, so no task holds a whole hot list; each block gives every
+at most about ``block`` vectors and ``block`` queries, dealt before any exchange, so no task holds a whole hot list; each block gives every
 query its nearest, measured again in double precision on the original vectors.
 
 Defined cases
@@ -207,10 +208,10 @@ def nearest(
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
 
-    shape = blocks(posted, "nv").join(blocks(probes, "nq"), "list")  # max_lists rows at most
+    shape = stored(blocks(posted, "nv").join(blocks(probes, "nq"), "list"), "blocks")  # max_lists rows at most, so it may go to all executors
 
     def dealt(df: DataFrame, own: str, other: str, mine: str, copies: str) -> DataFrame:
-        df = df.join(shape, "list").withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int"))
+        df = df.join(F.broadcast(shape), "list").withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).select("list", "bv", "bq", "vec_id", "v")
 
     keys = ["list", "bv", "bq"]

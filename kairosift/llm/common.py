@@ -92,6 +92,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has a column so named."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def fields(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more]])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, fields, small_slices, stored, with_columns, without
+from .common import ASCII_SPACE, fields, fresh, small_slices, stored, with_columns, without
 
 H = ["__h1", "__h2"]
 
@@ -44,7 +44,7 @@ def key_hash(line: str, min_chars: int) -> tuple[int, int] | None:
 
 def _keys(min_chars: int):
     def run(batches):
-        for batch in small_slices(batches, 2000):
+        for batch in small_slices(batches, 500):
             ids, h1, h2 = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k in {k for k in (key_hash(x, min_chars) for x in text.split("\n")) if k}:
@@ -58,7 +58,7 @@ def _keys(min_chars: int):
 
 def _drop(min_chars: int):
     def run(batches):
-        for batch in small_slices(batches, 2000):
+        for batch in small_slices(batches, 500):
             kept, n_lines, n_dropped = [], [], []
             drops = batch.column(batch.schema.get_field_index("__drop")).to_pylist()
             for text, drop in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), drops):
@@ -136,7 +136,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     common = stored(common, "line-common")  # a plain table: Spark then splits a hot line
     drops = keys.join(common, H).where(F.col("__id") != F.col("owner"))
     drops = drops.groupBy("__id").agg(F.collect_set(F.struct(*H)).alias("__drop"))
-    joined = docs.join(drops, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    (own,) = fresh(docs, "__id")
+    joined = docs.join(drops.withColumnRenamed("__id", own), F.col("doc_id") == F.col(own), "left").drop(own)
     return joined.mapInArrow(_drop(min_chars), fields(docs, ("n_lines", T.LongType()), ("n_dropped", T.LongType())))
 
 

@@ -10,9 +10,10 @@ are compared on full sets with the bucket's smallest set alone, its leader, so a
 members. Links between other members are found level by level without comparing all pairs: let y and z be members of
 buckets led by x, one of them not linked with x. Both have at least as many shingles as x, so to reach the similarity
 they must share a shingle that x hasn't got. So members are put into new buckets, one for each such shingle (rarest
-first, as many as the needed overlap asks for); there again all are compared with the smallest one alone, and so on
-until no bucket holds a member apart from its leader. Leaders grow from level to level, so this ends; independent
-edits share nothing outside of x and make no bucket, however large the group is.
+first, as many as the needed overlap asks for); there all are compared with its few leaders (the smallest of each of
+``LEADERS`` hash classes), and what is apart from the first of these goes on to the next level, until no bucket is
+left. Leaders grow from level to level, so this ends; independent edits share nothing outside of x and make no bucket,
+however large the group is.
 
 Defined cases
 * null, empty or wordless text: n_shingles 0, linked with nothing;
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, small_slices, stored
+from .common import forget, fresh, small_slices, stored
 from .components import components
 
 _U = np.uint64
@@ -145,15 +146,16 @@ def _compare(batches):
             shared.append(len(b) - len(extra))
             more.append(extra.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(shared, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
+            [*batch.columns[:2], pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(shared, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
             names=_COMPARED.names,
         )
 
 
-_PAIR = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
-_COMPARED = T.StructType([*_PAIR.fields, *[T.StructField(c, T.LongType()) for c in ("nx", "ny", "shared")], T.StructField("more", T.ArrayType(T.LongType()))])
+_COMPARED = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("nx", "ny", "shared")], T.StructField("more", T.ArrayType(T.LongType()))])
 
 
+#: Leaders of a bucket after the first level: a member is compared with so many at most.
+LEADERS = 8
 _RANK = "shiftleft({n}, 40) | (xxhash64({id}) & 1099511627775)"  # by size; ties by hash
 
 
@@ -175,34 +177,43 @@ class NearDuplicates:
         leaders = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "rank").alias("x")).where("n > 1").drop("n")
         leaders = stored(leaders, "minhash-leaders")  # a plain table: Spark then splits a hot bucket
         stars = tables.select("key", F.col("id").alias("y")).join(leaders, "key").where("x <> y").select("x", "y").distinct()
-        stars = self._compared(stars)  # all of them: members unlike their leader may be alike
+        pairs = stored(stars, "minhash-pairs")
         forget(leaders)
+        self.sets = self._sets_of(pairs)
         linked = F.expr(f"100 * shared >= {self.percent} * (nx + ny - shared)")
-        links = [stars.where(linked).select("x", "y")]
-        labels, done = components(links[0]), stars.select("x", "y")
+        found = self._compared(pairs)  # all of them: members unlike their leader may be alike
+        labels = components(found.where(linked).select("x", "y"))
+        stars, seen = found, pairs  # the stars of the next level, and all the pairs that were in a star
         while True:
-            stars = self._compared(self._beside(stars.withColumn("apart", ~linked), labels).join(done, ["x", "y"], "left_anti"))
-            if stars.isEmpty():
+            pairs = self._beside(stars.withColumn("apart", ~linked), labels)
+            if pairs is None:
                 break
-            links.append(stars.where(linked).select("x", "y"))
-            done = done.union(stars.select("x", "y"))
-        return components(reduce(DataFrame.union, links)) if len(links) > 1 else labels
-
-    def _compared(self, pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "minhash-pairs")
+            new = self._compared(stored(pairs.join(found, ["x", "y"], "left_anti").select("x", "y"), "minhash-pairs"))
+            found = found.union(new)
+            fresh_pairs = stored(pairs.where("first").select("x", "y").join(seen, ["x", "y"], "left_anti"), "minhash-pairs")
+            if fresh_pairs.isEmpty():
+                break
+            # a leader that has new members makes buckets of all its members, the ones it had before too
+            seen = seen.union(fresh_pairs)
+            again = seen.join(fresh_pairs.select("x").distinct(), "x", "left_semi")
+            stars = found.join(again, ["x", "y"], "left_semi")
+        forget(self.sets)
+        return components(found.where(linked).select("x", "y"))
+
+    def _sets_of(self, pairs: DataFrame) -> DataFrame:
+        """(id, shingles) of all that is in ``pairs``; no later level asks for another."""
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
         own = self.nodes.select("id", "t1", "t2").join(ids.hint("merge"), "id", "left_semi")
         texts = self.core.drop("id").join(own.hint("merge"), ["t1", "t2"]).groupBy("id").agg(F.max("text").alias("text"))
-        sets = stored(texts.mapInArrow(_sets(self.k), T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])), "minhash-sets")
-        a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
-        b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-        out = stored(pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_compare, _COMPARED), "minhash-stars")
-        forget(pairs)
-        forget(sets)
-        return out
-
-    def _beside(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Stars of the next level: leaders and members of buckets (x, shingle outside of x) of the members of x."""
+        return stored(texts.mapInArrow(_sets(self.k), T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])), "minhash-sets")
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        a = self.sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
+        b = self.sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
+        return stored(pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_compare, _COMPARED), "minhash-stars")
+
+    def _beside(self, stars: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Pairs of the next level (x, y, first): leaders and members of buckets (x, shingle outside of x) of the members of x."""
         of = labels.select(F.col("node").alias("y"), F.col("component").alias("c"))
         rows = stars.join(of, "y", "left").withColumn("c", F.coalesce("c", "y"))
         # What a member must share outside of x with another one to link with it, where it is the larger of the two:
@@ -210,16 +221,21 @@ class NearDuplicates:
         rows = rows.select("x", "y", "c", "apart", "ny", "more", F.expr(f"size(more) - {need} + 1").alias("left")).where("size(more) > 0 and left > 0")
         rows = stored(rows.join(rows.where("apart").select("x").distinct(), "x", "left_semi"), "minhash-beside")
         each = rows.select("x", "y", F.explode("more").alias("e"))
-        common = stored(each.groupBy("x", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-common")
+        common = stored(each.groupBy("x", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-common")  # a plain table: Spark then splits a hot shingle
+        if common.isEmpty():
+            return None
         each = each.join(common, ["x", "e"]).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
         each = rows.select("x", "y", "c", "apart", "ny", "left", F.size("more").alias("n")).join(each, ["x", "y"])
         left = (F.col("left") - F.col("n") + F.size("es")).cast("int")  # shingles that no other member has come first
         each = each.where(left > 0).select("x", "y", "c", "apart", F.expr(_RANK.format(n="ny", id="y")).alias("rank"), F.explode(F.slice("es", F.lit(1), left)).alias("s"))
         each = stored(each.select("x", "s.e", "y", "c", "apart", "rank"), "minhash-buckets")
-        leaders = each.groupBy("x", "e").agg(F.min_by("y", "rank").alias("to"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("apart").alias("open"))
+        by_class = each.groupBy("x", "e", F.pmod(F.xxhash64("y", F.lit(7)), F.lit(LEADERS)).alias("h")).agg(F.min(F.struct("rank", "y")).alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("apart").alias("open"))
+        leaders = by_class.groupBy("x", "e").agg(F.array_sort(F.collect_list("least")).alias("to"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("open").alias("open"))  # LEADERS at most
         leaders = stored(leaders.where("open and c0 <> c1").select("x", "e", "to"), "minhash-leaders")
-        met = each.join(leaders, ["x", "e"]).where("y <> to").select(F.col("to").alias("x"), "y").distinct()
-        return met
+        met = each.join(leaders, ["x", "e"]).select("y", "rank", F.posexplode("to").alias("nth", "l")).where("y <> l.y")
+        swap = F.col("rank") < F.col("l.rank")  # the smaller set comes first
+        met = met.select(F.when(swap, F.col("y")).otherwise(F.col("l.y")).alias("x"), F.when(swap, F.col("l.y")).otherwise(F.col("y")).alias("y"), (F.col("nth") == 0).alias("first"))
+        return stored(met.groupBy("x", "y").agg(F.max("first").alias("first")), "minhash-pairs")
 
 
 def text_keys() -> tuple[Column, Column]:
@@ -248,9 +264,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less every row whose doc_id isn't the least one of its text's component."""
     gone = labelled_rows(docs, shingle, percent).where("doc_id <> component_id").select("doc_id", "t1", "t2").distinct()
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
-    a, b = text_keys()
-    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (a == F.col("__t1")) & (b == F.col("__t2")), "left_anti")
+    own = fresh(docs, "__id", "__t1", "__t2")
+    gone = gone.select(*[F.col(c).alias(o) for c, o in zip(("doc_id", "t1", "t2"), own)])
+    on = [a == F.col(o) for a, o in zip((F.col("doc_id"), *text_keys()), own)]
+    return docs.join(gone, on, "left_anti")
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,15 +33,16 @@ N-grams are keyed by 54 bits of hash, texts by 128 bits.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, forget, joined_blocks, small_slices, stored, without
+from .common import fields, forget, fresh, joined_blocks, small_slices, stored, without
 
 _U = np.uint64
 MAX_WORD = 20
@@ -552,11 +553,16 @@ class Judge:
             found = rest.mapInArrow(count, fields(rest, ("n_words", T.LongType())))
             return found.withColumns({c: F.lit(None).cast("double") for c in names[1:3]}).withColumn("kept", F.col("n_words") > 0)
         scored = self.scored if docs is self.docs else self._scores(rest)
-        verdicts = self._judged(scored).select("t1", "t2", F.col("lang").alias("__lang"), *names).dropDuplicates(["t1", "t2", "__lang"])
-        t1, t2 = self._keys()
-        keyed = rest.withColumns({"__t1": t1, "__t2": t2, "__l": F.coalesce("lang", F.lit(""))})
-        on = (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")) & (F.col("__l") == F.col("__lang"))
-        return keyed.join(verdicts.hint("merge"), on, "left").select(*[F.col(f"`{c}`") for c in rest.columns], *names)
+        verdicts = self._judged(scored).select("t1", "t2", "lang", *names).dropDuplicates(["t1", "t2", "lang"])
+        keyed, right, on = self._by_text(rest, verdicts, names)
+        return keyed.join(right.hint("merge"), on, "left").select(*[F.col(f"`{c}`") for c in rest.columns], *names)
+
+    def _by_text(self, docs: DataFrame, verdicts: DataFrame, names: list[str]) -> tuple:
+        """Both tables with the keys of a text under names of their own, and the condition that joins them."""
+        left, right = fresh(docs, "__t1", "__t2", "__lang"), fresh(docs, "__v1", "__v2", "__vlang")
+        keyed = docs.withColumns(dict(zip(left, (*self._keys(), F.coalesce("lang", F.lit(""))))))
+        verdicts = verdicts.select(*[F.col(c).alias(r) for c, r in zip(("t1", "t2", "lang"), right)], *names)
+        return keyed, verdicts, reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in zip(left, right)])
 
 
 def judge(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
@@ -569,11 +575,9 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     found = Judge(docs, labels, **limits)
     if found.model.empty:
         return found.score(docs).where("kept").select(*docs.columns)
-    good = found._judged(found.scored).where("kept").select("t1", "t2", F.col("lang").alias("__lang")).distinct()
-    t1, t2 = found._keys()
-    keyed = docs.withColumns({"__t1": t1, "__t2": t2, "__l": F.coalesce("lang", F.lit(""))})
-    on = (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")) & (F.col("__l") == F.col("__lang"))
-    return keyed.join(good.hint("merge"), on, "left_semi").select(*docs.columns)
+    good = found._judged(found.scored).where("kept").select("t1", "t2", "lang").distinct()
+    keyed, right, on = found._by_text(docs, good, [])
+    return keyed.join(right.hint("merge"), on, "left_semi").select(*docs.columns)
 
 
 def op3_quality_lm(spark, sf_dir: str) -> DataFrame:

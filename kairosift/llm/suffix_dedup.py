@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, forget, small_slices, stored, with_columns, without
+from .common import fields, forget, fresh, small_slices, stored, with_columns, without
 from .suffix_sort import suffix_array
 
 _U = np.uint64
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, as_text
 
     As text (whole characters alone are removed) or, if not ``as_text``, in ``kept`` as bytes, exactly.
     """
-    docs = without(docs, "n_bytes", "n_removed", "n_spans", *([] if as_text else ["kept"]))
+    docs = without(docs, "n_bytes", "n_removed", "n_spans", "__d1", "__d2", "__bytes", "__spans", "__twins", *([] if as_text else ["kept"]))
     hashed = docs.mapInArrow(_hashed, fields(docs, ("__d1", _L), ("__d2", _L), ("__bytes", _L)))
     texts = docs.where("text is not null").select("text")
     anchors = stored(texts.mapInArrow(_anchors(length), _struct(d1=_L, d2=_L, h=_L, s0=_L, s1=_L, p=_L)).distinct(), "suffix-anchors")
@@ -344,11 +344,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, as_text
     by_text = places.groupBy("d1", "d2").agg(F.flatten(F.collect_list(moved)).alias("__spans"))
     twins = hashed.where(F.col("__bytes") >= length).groupBy(F.col("__d1").alias("d1"), F.col("__d2").alias("d2")).agg((F.count(F.lit(1)) > 1).alias("__twins"))
     info = twins.join(by_text, ["d1", "d2"], "left").where(F.col("__twins") | F.col("__spans").isNotNull())
-    out = hashed.join(info, (F.col("__d1") == F.col("d1")) & (F.col("__d2") == F.col("d2")), "left").drop("d1", "d2")
+    a, b = fresh(hashed, "__h1", "__h2")
+    info = info.select(F.col("d1").alias(a), F.col("d2").alias(b), "__spans", "__twins")
+    out = hashed.join(info, (F.col("__d1") == F.col(a)) & (F.col("__d2") == F.col(b)), "left").drop(a, b)
     schema = fields(docs, ("n_bytes", _L), ("n_removed", _L), ("n_spans", _L)) if as_text else fields(docs, ("n_bytes", _L), ("kept", _B), ("n_removed", _L), ("n_spans", _L))
     return out.withColumnRenamed("__bytes", "n_bytes").mapInArrow(_removed(length, as_text), schema)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, as_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, as_text=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed")
+    )

@@ -1,17 +1,20 @@
 """Operator 1: URL filter by association rules.
 
 Spark's FP-growth mines combinations of URL tokens and the label from labelled pages; combinations that imply the
-bad label with enough confidence, support and lift become block rules. Rules are kept in an inverted index under
-their rarest token: a URL meets a rule only through that token, and the rest of the rule is then compared. A list
-of host and path rules of the user's own goes before the mined ones.
+bad label with enough confidence, support and lift become block rules. Tokens that are on the same labelled pages are
+one item for the miner (a host whose pages share twenty tokens would else give 2^20 combinations); a rule's part is met
+by any of the item's tokens. Rules are kept in an inverted index under their rarest part: a URL meets a rule only
+through one of that part's tokens, and the rest of the rule is then compared. A list of host and path rules of the
+user's own goes before the mined ones.
 
 Defined cases
 * null url or one without '://': host, path and tokens are empty, so no rule fits and the verdict is allow;
 * host: A-Z alone are lower-cased; a host rule fits its host and subdomains, the longest rule string wins;
-* a page labelled more than once counts once, bad if any label is bad; null labels don't count;
+* labels come by page_id, so rows that share one share its labels; a page labelled more than once counts once, bad if
+  any label is bad; null labels and null ids don't count;
 * no labels, or none that is bad: no mined rule, all other pages are allowed; empty table: empty result;
-* rows are judged alone, so repeated rows get the same verdict; other columns are left out.
-Mined combinations are bounded by 1/min_support and the tokens of a URL, whatever the number of pages.
+* urls are judged alone, whatever their page_id is (shared or null), so equal urls get equal verdicts; other columns
+  are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
 
@@ -71,11 +76,22 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001,
     baskets = pages.select("page_id", tokens_of(F.col("url")).alias("items")).join(bad, "page_id")
     baskets = baskets.select("bad", F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
     n, n_bad = baskets.agg(F.count(F.lit(1)), F.count_if("bad")).first()
-    empty = pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double")
+    empty = pages.sparkSession.createDataFrame([], "antecedent array<string>, parts array<array<string>>, confidence double, support double, lift double")
     if not n or not n_bad:
         return empty
-    found = FPGrowth(itemsCol="items", minSupport=max(min_support, 3 / n), minConfidence=min_confidence).fit(baskets.select("items")).freqItemsets
-    found = found.select(F.array_sort("items").alias("items"), "freq")
+    baskets = stored(baskets.withColumn("row", F.xxhash64(F.monotonically_increasing_id())), "url-baskets")
+    each = baskets.select("row", F.explode("items").alias("token")).where(F.col("token") != BAD)
+    least = max(min_support, 3 / n)
+    # pages of a token by their number and two sums of hashes: equal ones are the same pages
+    marks = [F.count(F.lit(1)).alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("m1"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("m2")]
+    tokens = stored(each.groupBy("token").agg(*marks).where(F.col("n") >= least * n), "url-tokens")
+    items = tokens.groupBy("n", "m1", "m2").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("tokens"))
+    items = stored(items.select("item", "tokens"), "url-items")
+    of = items.select("item", F.explode("tokens").alias("token"))
+    kept = each.join(of, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    mined = baskets.select("row", "bad").join(kept, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(mined.where(F.size("items") > 0)).freqItemsets
+    found = found.select(F.array_sort("items").alias("items"), (F.col("freq")).alias("freq"))
     with_label = found.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("hits"))
     rules = with_label.join(found, "items").select(
         F.col("items").alias("antecedent"),
@@ -83,35 +99,39 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.001,
         (F.col("hits") / n).alias("support"),
         (F.col("hits") / F.col("freq") / (n_bad / n)).alias("lift"),
     )
-    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
+    rules = stored(rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)), "url-rules")
     parts = rules.select("antecedent", "confidence", F.explode("antecedent").alias("left_out"))
     parts = parts.select("antecedent", "confidence", F.array_remove("antecedent", F.col("left_out")).alias("part"))
     shorter = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("of_part"))
     worse = parts.join(shorter, "part").where("of_part >= confidence").select("antecedent").distinct()
-    return rules.join(worse, "antecedent", "left_anti")
+    rules = rules.join(worse, "antecedent", "left_anti")
+    whole = rules.select("antecedent", F.explode("antecedent").alias("item")).join(items, "item").groupBy("antecedent").agg(F.collect_list("tokens").alias("parts"))
+    return stored(rules.join(whole, "antecedent").select("antecedent", "parts", "confidence", "support", "lift"), "url-rules")
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_id, matched, confidence) of each page that meets a rule; the most confident rule, then the least by text."""
-    rarity = rules.select(F.explode("antecedent").alias("token")).groupBy("token").count()
-    index = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(rarity, "token")
-    index = index.groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
-    tokens = pages.select("page_id", tokens_of(F.col("url")).alias("tokens"))
-    met = tokens.select("page_id", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    met = met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    return met.groupBy("page_id").agg(F.max(F.struct("confidence", F.array_join("antecedent", " ").alias("matched"))).alias("best")).select("page_id", "best.matched", "best.confidence")
+    """(url, matched, confidence) of each different url that meets a rule; the most confident rule, then the last by text."""
+    pieces = rules.select("antecedent", "confidence", "parts", F.posexplode("parts").alias("nth", "part"))
+    often = pieces.groupBy("part").count()
+    index = pieces.join(often, "part").groupBy("antecedent").agg(F.min_by(F.struct("part", "parts", "confidence"), F.struct("count", "nth")).alias("x"))
+    index = index.select("antecedent", "x.parts", "x.confidence", F.explode("x.part").alias("token"))
+    urls = pages.where("url is not null").select("url").distinct()
+    met = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token").withColumn("tokens", tokens_of(F.col("url")))
+    met = met.where(F.forall("parts", lambda p: F.arrays_overlap(p, F.col("tokens"))))
+    return met.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("antecedent", " ").alias("matched"))).alias("best")).select("url", "best.matched", "best.confidence")
+
+
+def judge(pages: DataFrame, rules: DataFrame, own=RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, matched, confidence) of every row of ``pages`` (page_id, url)."""
+    rule, verdict = own_rule(F.col("host"), F.col("path"), own)
+    judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = judged.join(match_rules(pages, rules), "url", "left")
+    mined = F.when(F.col("matched").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "matched", "confidence")
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    matched = match_rules(pages, mine_rules(pages, labels))
-    rule, verdict = own_rule(F.col("host"), F.col("path"))
-    judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = judged.join(matched, "page_id", "left")
-    return judged.select(
-        "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("matched").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "matched", "confidence",
-    )
+    return judge(pages, mine_rules(pages, labels))

@@ -58,8 +58,34 @@ def test_mined_rules_against_counting(spark):
                 want[items] = hits / freq
     want = {i: c for i, c in want.items() if not any(i - {x} in want and want[i - {x}] >= c for x in i)}
     assert {frozenset(r.antecedent): round(r.confidence, 9) for r in rules} == {i: round(c, 9) for i, c in want.items()}
-    matched = {r.page_id for r in url_filter.match_rules(pages, spark.createDataFrame(rules)).collect()}
-    assert matched == {i for i, (t, _) in enumerate(baskets) if any(w <= t for w in want)} | {901}
+    found = url_filter.mine_rules(pages, labels, 0.01, 0.6, 1.2)
+    out = {r.page_id: r for r in url_filter.judge(pages, found).collect()}
+    assert {i for i, r in out.items() if r.matched} == {i for i, (t, _) in enumerate(baskets) if any(w <= t for w in want)} | {901}
+    best = lambda t: max((c, " ".join(sorted(w))) for w, c in want.items() if w <= t)
+    assert all((round(r.confidence, 9), r.matched, r.verdict) == (round(best(baskets[i][0])[0], 9), best(baskets[i][0])[1], "block") for i, r in out.items() if r.matched and i < 300)
+
+
+def test_urls_are_judged_alone(spark):
+    rules = spark.createDataFrame([(["h=spam"], [["h=bad", "h=spam"]], 1.0, 1.0, 2.0), (["h=spam", "p=x"], [["h=bad", "h=spam"], ["p=x"]], 0.9, 1.0, 2.0)], "antecedent array<string>, parts array<array<string>>, confidence double, support double, lift double")
+    rows = [(1, "http://spam.net/"), (1, "http://good.net/x"), (None, "http://spam.net/"), (None, None), (2, "no url"), (3, "http://bad.net/x"), (3, "http://bad.net/x"), (4, ""), (5, "http://spam.example.org/es/1"), (6, "http://" + "x" * 100_000)]
+    pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, Matched string")
+    out = sorted(((r.page_id or 0, r.verdict, r.matched) for r in url_filter.judge(pages, rules).collect()), key=str)
+    want = [(1, "block", "h=spam"), (1, "allow", None), (0, "block", "h=spam"), (0, "allow", None), (2, "allow", None), (3, "block", "h=spam"), (3, "block", "h=spam"), (4, "allow", None), (5, "block", "h=spam"), (6, "allow", None)]
+    assert out == sorted(want, key=str)
+    assert url_filter.judge(pages.limit(0), rules).count() == 0 and url_filter.judge(pages, rules.limit(0)).where("verdict = 'block'").count() == 1
+
+
+def test_tokens_that_go_together_are_one_item(spark):
+    """Twenty tokens on the same pages would be 2^20 combinations."""
+    same = "/".join(f"t{chr(97 + i)}" for i in range(20))
+    rows = [(i, f"http://spam.net/{same}") for i in range(30)] + [(100 + i, f"http://good{i % 5}.net/x") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i, _ in rows], "page_id long, bad boolean")
+    rules = url_filter.mine_rules(pages, labels).collect()
+    assert len(rules) == 1 and len(rules[0].parts[0]) == 21
+    probe = spark.createDataFrame([(1, "http://other.org/tc"), (2, "http://spam.net/"), (3, "http://good1.net/x")], "page_id long, url string")
+    found = url_filter.judge(probe, url_filter.mine_rules(pages, labels), ())
+    assert {r.page_id: r.verdict for r in found.collect()} == {1: "block", 2: "block", 3: "allow"}
 
 
 def test_no_labels(spark):
