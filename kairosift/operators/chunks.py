@@ -51,14 +51,15 @@ def chunk_blocks(blocks: DataFrame, target: int = 512, most: int = 800, overlap:
 
     def per_document(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for b in pdf.sort_values("block_id").itertuples():
+        for b in pdf.sort_values("number").itertuples():
             own = [*b.section_path, b.text] if b.type == "HEADING" else list(b.section_path)
             for i, (start, end, tokens) in enumerate(cut(b.text, most, overlap)):
                 rows.append((b.doc_id, b.title, b.block_id, own, b.type == "HEADING" and i == 0, start, end, b.text[start:end], tokens))
         numbers = number_pieces([(tuple(r[3]), r[4], r[8]) for r in rows], target, most)
         return pd.DataFrame([(*r[:4], *r[5:], n, i) for i, (r, n) in enumerate(zip(rows, numbers))], columns=_PIECES)
 
-    pieces = blocks.select("doc_id", "title", "block_id", "type", "text", "section_path").groupBy("doc_id").applyInPandas(
+    number = F.expr("cast(substring(block_id, 2) as long)").alias("number")  # as text, b10000 would come before b1001
+    pieces = blocks.select("doc_id", "title", "block_id", number, "type", "text", "section_path").groupBy("doc_id").applyInPandas(
         per_document, "doc_id long, title string, block_id string, section array<string>, start int, end int, text string, tokens int, ordinal int, at int"
     )
     return group_pieces(pieces)

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SERVED
+from ..sources.intake import blank
 
 IN_FLIGHT = ["PENDING", "RUNNING"]
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """The run of highest attempt of every version."""
-    rank = F.row_number().over(Window.partitionBy("version_id").orderBy(F.desc("attempt")))
+    """The run of highest attempt of every version; of equal attempts the one of the largest run_id."""
+    rank = F.row_number().over(Window.partitionBy("version_id").orderBy(F.desc("attempt"), F.desc("run_id")))
     return runs.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
@@ -66,20 +67,24 @@ def orphans(df: DataFrame, parent: DataFrame, *keys: str) -> DataFrame:
 
 
 def publication_failures(versions: DataFrame, chunks: DataFrame, representations: DataFrame, mentions: DataFrame, srg: str, active_srg: str) -> DataFrame:
-    """(version_id, failure): why a version may not be published; none: it may."""
-    mine = chunks.groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.countDistinct("ordinal").alias("d"))
-    own = versions.join(mine, "version_id", "left")
-    checks = [
-        own.where("n is null").select("version_id", F.lit("no_chunks").alias("failure")),
-        own.where("n is not null and (lo <> 0 or hi <> n - 1 or d <> n)").select("version_id", F.lit("ordinal_gap").alias("failure")),
-        chunks.where("span_start < 0 or span_end > length(source_text) or span_start > span_end").select("version_id", F.lit("span_outside").alias("failure")),
-        missing_vectors(chunks, representations, srg).select("version_id", F.lit("missing_vector").alias("failure")),
-        chunks.where("trim(source_text) = ''").select("version_id", F.lit("empty_lexical").alias("failure")),
-        mentions.where("start_offset >= end_offset").select("version_id", F.lit("broken_mention").alias("failure")),
-    ]
+    """(version_id, failure): why a version may not be published; none: it may. Chunks are grouped once."""
+    built = representations.where(F.col("srg") == srg).select("chunk_id").distinct().withColumn("built", F.lit(True))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    owner = versions.select("version_id", F.col("document_id").alias("of_document"), F.col("corpus_id").alias("of_corpus"))
+    mine = chunks.join(built, "chunk_id", "left").join(owner, "version_id").groupBy("version_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.countDistinct("ordinal").alias("d"),
+        any_(F.expr("span_start < 0 or span_end > length(source_text) or span_start > span_end")).alias("span_outside"),
+        any_(F.col("built").isNull()).alias("missing_vector"),
+        any_(blank(F.col("source_text"))).alias("empty_lexical"),
+        any_(~F.col("document_id").eqNullSafe(F.col("of_document")) | ~F.col("corpus_id").eqNullSafe(F.col("of_corpus"))).alias("wrong_lineage"),
+    )
+    own = versions.select("version_id").join(mine, "version_id", "left")
+    named = [F.when(F.col(c), F.lit(c)) for c in ("span_outside", "missing_vector", "empty_lexical", "wrong_lineage")]
+    found = F.array_compact(F.array(F.when(F.col("n").isNull(), F.lit("no_chunks")), F.when(F.expr("lo <> 0 or hi <> n - 1 or d <> n"), F.lit("ordinal_gap")), *named))
+    checks = [own.select("version_id", F.explode(found).alias("failure")), mentions.where("start_offset >= end_offset").select("version_id", F.lit("broken_mention").alias("failure")).distinct()]
     if srg != active_srg:
         checks.append(versions.select("version_id", F.lit("superseded_representation").alias("failure")))
-    return reduce(DataFrame.union, checks).distinct()
+    return reduce(DataFrame.union, checks)
 
 
 def cut_over(documents: DataFrame, versions: DataFrame, failures: DataFrame) -> DataFrame:

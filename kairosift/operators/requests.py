@@ -84,7 +84,7 @@ def retrieve(
     asked = spark.range(1).select(F.lit(1).alias("query_id"), F.lit(request["query"]).alias("text"), F.array(*[F.lit(float(x)) for x in query_vector]).alias("qv"))
     check()
     found = eligible.select(F.col("chunk_id").alias("item"), F.col("source_text").alias("text"), "document_id")
-    ranked = {"lexical": routes.lexical(asked.select("query_id", "text"), routes.postings(found), config.route_limit, all_terms=False)}
+    ranked = {"lexical": routes.lexical(asked.select("query_id", "text"), found, config.route_limit, all_terms=False)}
     mine = vectors.join(eligible.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("item"), "v")
     ranked["dense"] = routes.dense(asked.select("query_id", "qv"), mine, config.route_limit)
     check()

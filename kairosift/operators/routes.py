@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import order_key, relation
 
 
-def cosine(a: Column, b: Column) -> Column:
+#: Rows of a side that is sent to all executors: queries or intents of requests; more of them go in rounds.
+SENT = 10_000
+
+
+def dot(a: Column, b: Column) -> Column:
     """In double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def rounds(asked: DataFrame, key: str, most: int = SENT) -> list[DataFrame]:
+    """``asked`` in parts of about ``most`` rows at most, dealt by ``key``: each may be sent to the executors."""
+    n = -(-asked.count() // most)
+    return [asked] if n < 2 else [asked.where(F.pmod(F.xxhash64(key), F.lit(2 * n)) == i) for i in range(2 * n)]
+
+
 def top(scored: DataFrame, k: int, item: str, query: str = "query_id") -> DataFrame:
     """The k best of each query, higher scores first, ties to the smaller item; ``rank`` from 1."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int, digits: int | None = None, own: bool = True) -> DataFrame:
     """Exact cosine over eligible ``vectors`` (item, v) for a stated set of ``queries`` (query_id, qv).
 
-    Every query needs every vector; the queries of a request are few, so they are the side sent to the executors.
+    Every query needs every vector, so queries go to the vectors, in rounds of a bounded size; lengths are taken once a
+    vector. ``own`` false: a query isn't its own candidate. ``digits``: scores are rounded before they rank.
     """
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "item", cosine("qv", "v").alias("score"))
-    return top(scored, k, "item")
+    v = vectors.withColumn("nv", F.sqrt(dot(F.col("v"), F.col("v"))))
+    best = []
+    for part in rounds(queries.withColumn("nq", F.sqrt(dot(F.col("qv"), F.col("qv")))), "query_id"):
+        score = dot(F.col("qv"), F.col("v")) / (F.col("nq") * F.col("nv"))
+        met = v.join(F.broadcast(part)) if own else v.join(F.broadcast(part), F.col("item") != F.col("query_id"))
+        best.append(top(met.select("query_id", "item", (score if digits is None else F.round(score, digits)).alias("score")), k, "item"))
+    return reduce(DataFrame.unionByName, best)
 
 
 def terms(text: Column) -> Column:
@@ -34,16 +55,22 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(item, term, tf, first): the inverted index of ``chunks`` (item, text)."""
+def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(item, term, tf, first): the inverted index of ``chunks`` (item, text), of the terms in ``only`` (term) if given."""
     each = chunks.select("item", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
     return each.groupBy("item", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first"))
 
 
-def lexical(queries: DataFrame, index: DataFrame, k: int, all_terms: bool = True) -> DataFrame:
-    """Items with all (or any) of a query's terms; score: sum of 1 + ln(tf). ``queries`` (query_id, text)."""
+def lexical(queries: DataFrame, chunks: DataFrame, k: int, all_terms: bool = True) -> DataFrame:
+    """Items of ``chunks`` (item, text) with all (or any) of a query's terms; score: sum of 1 + ln(tf).
+
+    ``queries`` (query_id, text). Only terms that are asked for are counted and shuffled.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     n = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    index = postings(chunks, asked.select("term").distinct())
     hits = index.join(asked, "term").groupBy("query_id", "item").agg(F.sum(1 + F.log("tf")).alias("score"), F.count(F.lit(1)).alias("hits"))
     if all_terms:
         hits = hits.join(n, "query_id").where("hits = n")
@@ -71,10 +98,12 @@ def temporal(intents: DataFrame, mentions: DataFrame, k: int, kind: str = "OVERL
     """Items whose mentions (item, mention_id, bound_low, bound_high, ...) stand in the relation to an intent
     (query_id, q_low, q_high): the strongest mention ranks, the number of all that match is kept.
     """
-    joined = mentions.where("bound_low is not null").join(F.broadcast(intents))  # the intents of a request are few
-    hit = joined.where(relation(kind, F.col("bound_low"), F.col("bound_high"), F.col("q_low"), F.col("q_high"), tolerance))
+    known, hits = mentions.where("bound_low is not null"), []
+    for part in rounds(intents, "query_id"):
+        joined = known.join(F.broadcast(part))
+        hits.append(joined.where(relation(kind, F.col("bound_low"), F.col("bound_high"), F.col("q_low"), F.col("q_high"), tolerance)))
     distance = F.abs((F.col("bound_low") + F.col("bound_high")) - (F.col("q_low") + F.col("q_high"))) / 2
-    hit = hit.withColumn("distance", distance)
+    hit = reduce(DataFrame.unionByName, hits).withColumn("distance", distance)
     best = hit.groupBy("query_id", "item").agg(F.min(F.struct("distance", "mention_id")).alias("b"), F.count(F.lit(1)).alias("n_matches"))
     return top(best.select("query_id", "item", (-F.col("b.distance")).alias("score"), F.col("b.mention_id").alias("mention_id"), "n_matches"), k, "item")
 
@@ -84,4 +113,4 @@ def asked_bounds(y: int, m: int | None = None, d: int | None = None) -> tuple[in
     return key(y, m or 1, d or 1), key(y, m or 12, d or 31)
 
 
-__all__ = ["asked_bounds", "cosine", "dense", "lexical", "literal", "needs_fallback", "order_key", "phrase", "postings", "temporal", "terms", "top"]
+__all__ = ["asked_bounds", "cosine", "dense", "dot", "lexical", "literal", "needs_fallback", "order_key", "phrase", "postings", "rounds", "temporal", "terms", "top"]

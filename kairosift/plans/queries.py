@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tmp
-from ..operators import blocks, chunks, evidence, fusion, lifecycle, represent, routes
+from ..operators import blocks, chunks, evidence, fusion, lifecycle, represent, requests, routes
 from ..sources import intake
 from ..streaming import runs
 from . import tables as t
@@ -28,7 +28,7 @@ def query(name: str, body: str | None = None, *needs: str):
 
 
 def items(spark, d):
-    return t.lines(spark, d).select(F.expr("doc_id * 1000 + ordinal").alias("item"), F.col("line").alias("text"), "doc_id", "source")
+    return t.lines(spark, d).select(F.expr("concat(doc_id, ':', ordinal)").alias("item"), F.col("line").alias("text"), "doc_id", "source")
 
 
 # ---- sources
@@ -40,9 +40,9 @@ def _(spark, d):
     return p.select("page_id", intake.media_type(F.col("url")).alias("media_type"))
 
 
-@query("SRC2_size_gate", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 4000 THEN 'too_large' WHEN trim(text) = '' THEN 'empty' END AS reject FROM documents")
+@query("SRC2_size_gate", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 4000 THEN 'too_large' WHEN regexp_matches(text, '^\\s*$') THEN 'empty' END AS reject FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' \t' || chr(10) ELSE text END AS text FROM documents)")
 def _(spark, d):
-    files = t.read(spark, d, "documents").select("doc_id", F.lit("a.txt").alias("path"), F.col("text").cast("binary").alias("content"))
+    files = t.read(spark, d, "documents").select("doc_id", F.lit("a.txt").alias("path"), F.expr("if(doc_id % 5 = 0, ' \t\n', text)").cast("binary").alias("content"))
     return intake.intake(files, 4000).select("doc_id", "reject")
 
 
@@ -58,14 +58,13 @@ def _(spark, d):
     return docs.select("doc_id", intake.valid_key(key).alias("valid"))
 
 
-@query("SRC5_decode", "SELECT doc_id, length(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10))) AS n, count(*) OVER () AS n_docs FROM documents")
+@query("SRC5_decode", "SELECT doc_id, length(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10))) AS n FROM documents")
 def _(spark, d):
     docs = t.read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\r\n").cast("binary").alias("c"))
-    n = docs.count()
-    return docs.select("doc_id", F.length(intake.decode(F.col("c"))).alias("n"), F.lit(n).cast("long").alias("n_docs"))
+    return docs.select("doc_id", F.length(intake.decode(F.col("c"))).alias("n"))
 
 
-_PAGES = "paged AS (SELECT doc_id, ordinal // 3 AS page, ordinal % 3 AS line_no, CASE ordinal % 3 WHEN 0 THEN 'Report page ' || (ordinal // 3) ELSE line END AS line FROM lines WHERE doc_id % 2 = 0)"
+_PAGES = "paged AS (SELECT doc_id, ordinal // 3 AS page, ordinal % 3 AS line_no, CASE ordinal % 3 WHEN 0 THEN 'Report page ' || (ordinal // 3) ELSE line END AS line FROM lines)"
 
 
 @query(
@@ -74,7 +73,7 @@ _PAGES = "paged AS (SELECT doc_id, ordinal // 3 AS page, ordinal % 3 AS line_no,
     "lines",
 )
 def _(spark, d):
-    p = t.lines(spark, d).where("doc_id % 2 = 0").select("doc_id", F.expr("cast(floor(ordinal / 3) as int)").alias("page"), F.expr("ordinal % 3").alias("line_no"), F.expr("if(ordinal % 3 = 0, concat('Report page ', cast(floor(ordinal / 3) as int)), line)").alias("line"))
+    p = t.lines(spark, d).select("doc_id", F.expr("cast(floor(ordinal / 3) as int)").alias("page"), F.expr("ordinal % 3").alias("line_no"), F.expr("if(ordinal % 3 = 0, concat('Report page ', cast(floor(ordinal / 3) as int)), line)").alias("line"))
     return intake.running_lines(p).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("removed").alias("n_removed"))
 
 
@@ -229,12 +228,12 @@ def _(spark, d):
 @query(
     "JOIN6_revalidation",
     "SELECT c.chunk_id, CASE WHEN c.corpus_id NOT IN ('src0', 'src1', 'src2', 'src3') THEN 'OUT_OF_SCOPE' WHEN d.active_version_id <> c.version_id THEN 'VERSION_REPLACED' WHEN v.status NOT IN ('READY', 'READY_DEGRADED') THEN 'NOT_SERVED' "
-    "WHEN v.published_pg <> c.pg THEN 'GENERATION_REPLACED' WHEN c.chunk_id NOT IN (SELECT chunk_id FROM reps WHERE srg = 'srg1') THEN 'REPRESENTATION_MISSING' END AS reason FROM chunks c JOIN docs d USING (document_id) JOIN versions v USING (version_id) WHERE c.ordinal < 3",
+    "WHEN v.published_pg <> c.pg THEN 'GENERATION_REPLACED' WHEN c.chunk_id NOT IN (SELECT chunk_id FROM reps WHERE srg = 'srg1') THEN 'REPRESENTATION_MISSING' END AS reason FROM chunks c JOIN docs d USING (document_id) JOIN versions v USING (version_id)",
     "reps", "docs", "versions",
 )
 def _(spark, d):
     c, *rest = _lifecycle(spark, d)
-    return lifecycle.rejection_reason(c.where("ordinal < 3"), *rest)
+    return lifecycle.rejection_reason(c, *rest)
 
 
 @query("JOIN9_coverage", "SELECT u.unit, count(DISTINCT e.family) AS n_items, CASE WHEN count(DISTINCT e.family) >= 100 THEN 'SUPPORTED' WHEN count(DISTINCT e.family) > 0 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS support FROM (SELECT unnest(range(0, 25)) AS unit) u LEFT JOIN (SELECT * FROM evidence WHERE flag = 'R' AND unit <> 3) e USING (unit) GROUP BY u.unit", "evidence")
@@ -286,13 +285,13 @@ def _(spark, d):
 
 
 def _texts(spark, d):
-    """Documents whose lines become paragraphs, each third line a short heading without a stop."""
-    lines = t.lines(spark, d).select("doc_id", "ordinal", F.expr("if(ordinal % 3 = 0, regexp_replace(substring(line, 1, 30), '[.!?,;:]+$', ''), line)").alias("line"))
+    """Documents whose lines become paragraphs, each third line without the stop at its end, a heading if it is short."""
+    lines = t.lines(spark, d).select("doc_id", "ordinal", F.expr("if(ordinal % 3 = 0, regexp_replace(line, '[.!?,;:]+$', ''), line)").alias("line"))
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x.line), "\n\n").alias("text"))
 
 
 _BLOCKS = (
-    ", raw AS (SELECT doc_id, ordinal, regexp_replace(CASE WHEN ordinal % 3 = 0 THEN regexp_replace(substring(line, 1, 30), '[.!?,;:]+$', '') ELSE line END, '^\\s+|\\s+$', '', 'g') AS tx FROM lines), "
+    ", raw AS (SELECT doc_id, ordinal, regexp_replace(CASE WHEN ordinal % 3 = 0 THEN regexp_replace(line, '[.!?,;:]+$', '') ELSE line END, '^\\s+|\\s+$', '', 'g') AS tx FROM lines), "
     "bl AS (SELECT doc_id, ordinal, tx, length(tx) <= 80 AND NOT regexp_matches(tx, '[.!?,;:]$') AS heading, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS i FROM raw WHERE tx <> ''), "
     "blocks AS (SELECT doc_id, 'b' || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), '0') AS block_id, CASE WHEN heading THEN 'HEADING' ELSE 'PARAGRAPH' END AS type, tx AS text, i, CASE WHEN NOT heading THEN last_value(CASE WHEN heading THEN tx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS section FROM bl) "
 )
@@ -354,8 +353,8 @@ def _(spark, d):
 def _markdown(spark, d):
     """Documents as Markdown: every fifth line a heading of some depth, then items, rows, fences and prose."""
     line = F.expr(
-        "case ordinal % 5 when 0 then concat(repeat('#', cast(doc_id % 3 + ordinal % 2 + 1 as int)), ' ', substring(line, 1, 20)) when 1 then concat('- ', substring(line, 1, 40)) "
-        "when 2 then concat('| ', ordinal, ' | b |') when 3 then concat('```\n', substring(line, 1, 30), '\n```') else concat(line, '\n') end"
+        "case ordinal % 5 when 0 then concat(repeat('#', cast(doc_id % 3 + ordinal % 2 + 1 as int)), ' ', line) when 1 then concat('- ', line) "
+        "when 2 then concat('| ', line, ' | b |') when 3 then concat('```\n', line, '\n```') else concat(line, '\n') end"
     )
     lines = t.lines(spark, d).select("doc_id", "ordinal", line.alias("line"))
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x.line), "\n").alias("text"))
@@ -406,12 +405,13 @@ def _(spark, d):
 
 _FAIL = (
     "SELECT version_id, 'ordinal_gap' AS failure FROM ok GROUP BY version_id HAVING min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1 UNION SELECT version_id, 'no_chunks' FROM versions WHERE version_id NOT IN (SELECT version_id FROM ok) "
-    "UNION SELECT version_id, 'missing_vector' FROM ok WHERE chunk_id NOT IN (SELECT chunk_id FROM reps WHERE srg = 'srg1') UNION SELECT version_id, 'empty_lexical' FROM ok WHERE trim(source_text) = '' UNION SELECT version_id, 'broken_mention' FROM versions WHERE version_id % 17 = 0"
+    "UNION SELECT version_id, 'missing_vector' FROM ok WHERE chunk_id NOT IN (SELECT chunk_id FROM reps WHERE srg = 'srg1') UNION SELECT version_id, 'empty_lexical' FROM ok WHERE regexp_matches(source_text, '^\\s*$') UNION SELECT version_id, 'wrong_lineage' FROM ok WHERE version_id % 23 = 0 UNION SELECT version_id, 'broken_mention' FROM versions WHERE version_id % 17 = 0"
 )
 
 
 def _failures(spark, d):
     c = t.chunks(spark, d).where("not (version_id % 5 = 0 and ordinal = 1) and version_id % 19 <> 0 and (version_id % 2 = 0 or (ordinal % 11 <> 10 and ordinal % 5 <> 4))")
+    c = c.withColumn("corpus_id", F.expr("if(version_id % 23 = 0, 'moved', corpus_id)"))
     m = t.versions(spark, d).where("version_id % 17 = 0").select("version_id", F.lit(5).alias("start_offset"), F.lit(5).alias("end_offset"))
     return lifecycle.publication_failures(t.versions(spark, d), c, t.representations(spark, d), m, "srg1", "srg1")
 
@@ -566,14 +566,9 @@ def _(spark, d):
 # ---- routes and fusion
 
 
-def _asked(spark, d, n=5):
-    v = t.read(spark, d, "embeddings")
-    return v.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), v.where(F.col("vec_id") >= n).select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
-
-
 _DENSE = (
     "SELECT query_id, item, score, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS r FROM (SELECT q.vec_id AS query_id, v.vec_id AS item, "
-    "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.vec_id >= 5)) WHERE r <= 20"
+    "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)) WHERE r <= 20"
 )
 
 
@@ -581,18 +576,17 @@ _DENSE = (
 @query("RET12_route_limit", _DENSE)
 @query("WIN3_route_rank", _DENSE)
 def _(spark, d):
-    q, v = _asked(spark, d)
-    scored = v.join(F.broadcast(q)).select("query_id", "item", F.round(routes.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
-    return routes.top(scored, 20, "item").withColumn("rank", F.col("rank").cast("long"))
+    v = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    asked = v.where("item % 50 = 0").select(F.col("item").alias("query_id"), F.col("v").alias("qv"))
+    return routes.dense(asked, v, 20, digits=6, own=False).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _questions(spark, d):
-    b = t.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""), 1, 3), " ").alias("text"))
-    return b
+    return t.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _ASKED = (
-    ", asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:3]) AS term FROM benchmark), wanted AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id), "
+    ", asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark), wanted AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id), "
     "hits AS (SELECT query_id, item, round(sum(1 + ln(tf)), 9) AS score, count(*) AS hits FROM posts JOIN asked USING (term) GROUP BY ALL) "
 )
 _TOP = "SELECT query_id, item, score, CAST(r AS BIGINT) AS rank FROM (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS r FROM hits {}) WHERE r <= 10"
@@ -604,21 +598,21 @@ ORACLE["RET22_multi_corpus"] = ORACLE["RET7_lexical_any"]
 
 @_named("RET7_lexical")
 def _(spark, d):
-    return routes.lexical(_questions(spark, d), routes.postings(items(spark, d)), 10).withColumn("rank", F.col("rank").cast("long"))
+    return routes.lexical(_questions(spark, d), items(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @_named("RET7_lexical_any")
 @_named("RET22_multi_corpus")
 def _(spark, d):
-    return routes.lexical(_questions(spark, d), routes.postings(items(spark, d)), 10, all_terms=False).withColumn("rank", F.col("rank").cast("long"))
+    return routes.lexical(_questions(spark, d), items(spark, d), 10, all_terms=False).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("RET9_phrase", "SELECT doc_id * 1000 + ordinal AS item FROM lines WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ', ' in the ')", "lines")
+@query("RET9_phrase", "SELECT doc_id || ':' || ordinal AS item FROM lines WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ', ' in the ')", "lines")
 def _(spark, d):
     return routes.phrase(items(spark, d), ["in", "the"])
 
 
-@query("RET8_literal", "SELECT doc_id * 1000 + ordinal AS item FROM lines WHERE list_contains(string_split_regex(lower(line), '\\s+'), 'the,')", "lines")
+@query("RET8_literal", "SELECT doc_id || ':' || ordinal AS item FROM lines WHERE list_contains(string_split_regex(lower(line), '\\s+'), 'the,')", "lines")
 def _(spark, d):
     return routes.literal(items(spark, d), "the,")
 
@@ -633,8 +627,7 @@ def _(spark, d):
 def _(spark, d):
     explicit = F.when(F.col("event_type") == "signup", F.lit("TIMELINE"))
     kind = F.when(F.col("event_type") == "view", F.lit("POINT")).when(F.col("event_type") == "click", F.lit("BEFORE"))
-    derived = F.when(kind.isin("POINT", "RECURRING"), F.lit("TEMPORAL_POINT")).when(kind.isNotNull(), F.lit("TEMPORAL_RANGE")).otherwise(F.lit("FACT_LOOKUP"))
-    return t.read(spark, d, "events").select("event_id", F.coalesce(explicit, derived).alias("profile"))
+    return t.read(spark, d, "events").select("event_id", requests.profile(explicit, kind).alias("profile"))
 
 
 def _routes(spark, d):
@@ -696,12 +689,31 @@ def _(spark, d):
     return t.mentions(spark, d).select("mention_id", fusion.origin_weight(F.col("origin"), F.col("mention_id") % 2 == 0).alias("weight"))
 
 
-@query("RET19_route_failure", "SELECT user_id, CASE WHEN bool_or(event_type = 'view') AND bool_or(event_type = 'click') THEN 'SUCCESS_WITH_CANDIDATES' WHEN bool_or(event_type IN ('view', 'click')) THEN 'SUCCESS_DEGRADED' ELSE 'FAILURE' END AS outcome FROM (SELECT * FROM events WHERE event_id % 20 = 0) GROUP BY user_id")
-@query("RET25_outcomes", "SELECT user_id, CASE WHEN bool_or(event_type = 'view') AND bool_or(event_type = 'click') THEN 'SUCCESS_WITH_CANDIDATES' WHEN bool_or(event_type IN ('view', 'click')) THEN 'SUCCESS_DEGRADED' ELSE 'FAILURE' END AS outcome FROM (SELECT * FROM events WHERE event_id % 20 = 0) GROUP BY user_id")
+_OUTCOME = (
+    "SELECT user_id, CASE WHEN v = 0 AND c = 0 AND NOT (p > 0) THEN 'FAILURE' WHEN v = 0 OR c = 0 THEN 'SUCCESS_DEGRADED' WHEN p > 0 THEN 'SUCCESS_WITH_CANDIDATES' ELSE 'SUCCESS_NO_CANDIDATES' END AS outcome "
+    "FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS v, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'purchase') AS p FROM events GROUP BY {})"
+)
+
+
+def _events_outcome(spark, d):
+    """A view stands for a dense route that worked, a click for a lexical one, a purchase for a candidate."""
+    is_ = lambda kind: F.count_if(F.col("event_type") == kind)
+    e = t.read(spark, d, "events").groupBy("user_id").agg(is_("view").alias("v"), is_("click").alias("c"), is_("purchase").alias("p"))
+    dense, lexical = F.col("v") > 0, F.col("c") > 0
+    return e.select("user_id", requests.outcome(F.col("p"), dense, lexical, dense & lexical, F.lit(True)).alias("outcome"))
+
+
+@query("RET25_outcomes", _OUTCOME.format("user_id"))
+def _(spark, d):
+    return _events_outcome(spark, d)
+
+
+@query("RET19_route_failure", "SELECT user_id, hour, outcome FROM (" + _OUTCOME.format("user_id, date_trunc('hour', ts)").replace("SELECT user_id, CASE", "SELECT user_id, hour, CASE").replace("(SELECT user_id, count", "(SELECT user_id, date_trunc('hour', ts) AS hour, count") + ")")
 def _(spark, d):
-    e = t.read(spark, d, "events").where("event_id % 20 = 0").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "view").alias("dense"), F.bool_or(F.col("event_type") == "click").alias("lexical"))
-    out = F.when(F.col("dense") & F.col("lexical"), F.lit("SUCCESS_WITH_CANDIDATES")).when(F.col("dense") | F.col("lexical"), F.lit("SUCCESS_DEGRADED")).otherwise(F.lit("FAILURE"))
-    return e.select("user_id", out.alias("outcome"))
+    is_ = lambda kind: F.count_if(F.col("event_type") == kind)
+    e = t.read(spark, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(is_("view").alias("v"), is_("click").alias("c"), is_("purchase").alias("p"))
+    dense, lexical = F.col("v") > 0, F.col("c") > 0
+    return e.select("user_id", "hour", requests.outcome(F.col("p"), dense, lexical, dense & lexical, F.lit(True)).alias("outcome"))
 
 
 ORACLE["EVAL_metrics"] = _EV + _FUSED + (
@@ -808,9 +820,9 @@ def _(spark, d):
     return r.select("run_id", runs.after_failure(F.col("attempt"), F.col("event_type") != "error").alias("state"), runs.backoff_seconds(F.col("attempt")).alias("backoff"))
 
 
-@query("STR8_settle", "SELECT version_id, CASE WHEN count(DISTINCT event_type) < 5 THEN 'RUNNING' WHEN bool_or(value > 99) THEN 'READY_DEGRADED' ELSE 'READY' END AS status FROM runs WHERE run_id % 7 = 0 GROUP BY version_id", "runs")
+@query("STR8_settle", "SELECT version_id, CASE WHEN count(DISTINCT event_type) < 5 THEN 'RUNNING' WHEN bool_or(value > 99) THEN 'READY_DEGRADED' ELSE 'READY' END AS status FROM runs GROUP BY version_id", "runs")
 def _(spark, d):
-    r = t.runs(spark, d).where("run_id % 7 = 0").groupBy("version_id").agg(F.countDistinct("event_type").alias("n"), F.bool_or(F.col("value") > 99).alias("degraded"))
+    r = t.runs(spark, d).groupBy("version_id").agg(F.countDistinct("event_type").alias("n"), F.bool_or(F.col("value") > 99).alias("degraded"))
     return r.select("version_id", runs.settled(F.col("n"), F.col("degraded")).alias("status"))
 
 
@@ -845,9 +857,9 @@ def _(spark, d):
     return evidence.ancestry(r, 4)
 
 
-@query("ORC7_completion", "SELECT query_id, CASE WHEN NOT bool_or(ok) THEN 'REJECTED' WHEN coalesce(bool_and(CASE WHEN required THEN ok END), true) AND bool_and(ok) THEN 'COMPLETED' ELSE 'COMPLETED_DEGRADED' END AS status FROM (SELECT version_id AS query_id, event_type AS source, event_type IN ('view', 'click') AS required, bool_or(value > 90) AS ok FROM runs WHERE run_id % 9 = 0 GROUP BY ALL) GROUP BY query_id", "runs")
+@query("ORC7_completion", "SELECT query_id, CASE WHEN NOT bool_or(ok) THEN 'REJECTED' WHEN coalesce(bool_and(CASE WHEN required THEN ok END), true) AND bool_and(ok) THEN 'COMPLETED' ELSE 'COMPLETED_DEGRADED' END AS status FROM (SELECT version_id AS query_id, event_type AS source, event_type IN ('view', 'click') AS required, bool_or(value > 90) AS ok FROM runs GROUP BY ALL) GROUP BY query_id", "runs")
 def _(spark, d):
-    r = t.runs(spark, d).where("run_id % 9 = 0").select(F.col("version_id").alias("query_id"), F.col("event_type").alias("source"), F.col("event_type").isin("view", "click").alias("required"), (F.col("value") > 90).alias("ok"))
+    r = t.runs(spark, d).select(F.col("version_id").alias("query_id"), F.col("event_type").alias("source"), F.col("event_type").isin("view", "click").alias("required"), (F.col("value") > 90).alias("ok"))
     return evidence.completion(r)
 
 

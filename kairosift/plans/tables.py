@@ -100,7 +100,7 @@ SQL = {
     "evidence": "evidence AS (SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey % 200 AS query_id, min(l_partkey) AS family, min(l_suppkey) % 20 AS unit, min(l_suppkey) AS source, "
     "min(l_extendedprice) AS score, min(CAST(floor(l_quantity) AS INT)) AS tokens, min(l_tax) AS value, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber)",
     "runs": "runs AS (SELECT event_id AS run_id, user_id AS version_id, ts, event_type, value, event_id % 4 + 1 AS attempt, event_type = 'purchase' AS finished FROM events)",
-    "posts": "posts AS (SELECT doc_id * 1000 + ordinal AS item, term, count(*) AS tf, min(pos) AS first FROM (SELECT doc_id, ordinal, p - 1 AS pos, w[p] AS term FROM "
+    "posts": "posts AS (SELECT doc_id || ':' || ordinal AS item, term, count(*) AS tf, min(pos) AS first FROM (SELECT doc_id, ordinal, p - 1 AS pos, w[p] AS term FROM "
     "(SELECT doc_id, ordinal, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, ordinal, list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM lines))) GROUP BY ALL)",
 }
 _NEEDS = {"chunks": ["lines"], "reps": ["lines", "chunks"], "bounded": ["mentions"], "posts": ["lines"]}

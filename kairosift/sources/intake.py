@@ -13,6 +13,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
+def blank(text: Column) -> Column:
+    """Nothing but white space of any kind."""
+    return text.rlike(r"^\s*$")
+
+
 def media_type(path: Column) -> Column:
     """By the file's extension, whatever its case; null if it isn't served."""
     kinds = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
@@ -30,7 +35,7 @@ def intake(files: DataFrame, limit: int = UPLOAD_LIMIT) -> DataFrame:
         "reject",
         F.when(F.col("media_type").isNull(), F.lit("unsupported_media_type"))
         .when(F.length("content") > limit, F.lit("too_large"))
-        .when(F.trim(decode(F.col("content"))) == "", F.lit("empty")),
+        .when(blank(decode(F.col("content"))), F.lit("empty")),
     )
 
 
@@ -62,7 +67,7 @@ def running_lines(pages: DataFrame, least_pages: int = 3) -> DataFrame:
     A page's first and last non-blank line is removed if, its digits masked, it is an edge on more than half of the
     pages of a document of ``least_pages`` pages or more.
     """
-    filled = F.when(F.trim("line") != "", F.col("line_no"))
+    filled = F.when(~blank(F.col("line")), F.col("line_no"))
     page = Window.partitionBy("doc_id", "page")
     marked = pages.withColumns({"first": F.min(filled).over(page), "last": F.max(filled).over(page)})
     marked = marked.withColumn("edge", (F.col("line_no") == F.col("first")) | (F.col("line_no") == F.col("last")))
