@@ -10,10 +10,10 @@ are compared on full sets with the bucket's smallest set alone, its leader, so a
 members. Links between other members are found level by level without comparing all pairs: let y and z be members of
 buckets led by x, one of them not linked with x. Both have at least as many shingles as x, so to reach the similarity
 they must share a shingle that x hasn't got. So members are put into new buckets, one for each such shingle (rarest
-first, as many as the needed overlap asks for); there all are compared with its few leaders (the smallest of each of
-``LEADERS`` hash classes), and what is apart from the first of these goes on to the next level, until no bucket is
-left. Leaders grow from level to level, so this ends; independent edits share nothing outside of x and make no bucket,
-however large the group is.
+first, as many as the needed overlap asks for); there all are compared with the bucket's few leaders (the smallest of
+its hash classes). A bucket of leaders alone is done; the others go on to the next level by their shingles outside of
+the first leader, until no bucket is left. Leaders grow from level to level, so this ends; independent edits share
+nothing outside of x and make no bucket, however large the group is.
 
 Defined cases
 * null, empty or wordless text: n_shingles 0, linked with nothing;
@@ -154,8 +154,9 @@ def _compare(batches):
 _COMPARED = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("nx", "ny", "shared")], T.StructField("more", T.ArrayType(T.LongType()))])
 
 
-#: Leaders of a bucket after the first level: a member is compared with so many at most.
-LEADERS = 8
+#: Leaders of a bucket after the first level, twice as many at each further one up to CLASSES, which are hash classes
+#: of the members: a member is compared with so many at most.
+LEADERS, CLASSES = 8, 256
 _RANK = "shiftleft({n}, 40) | (xxhash64({id}) & 1099511627775)"  # by size; ties by hash
 
 
@@ -183,9 +184,9 @@ class NearDuplicates:
         linked = F.expr(f"100 * shared >= {self.percent} * (nx + ny - shared)")
         found = self._compared(pairs)  # all of them: members unlike their leader may be alike
         labels = components(found.where(linked).select("x", "y"))
-        stars, seen = found, pairs  # the stars of the next level, and all the pairs that were in a star
+        stars, seen, most, first = found, pairs, LEADERS, found  # the stars of the next level, and all the pairs that were in a star
         while True:
-            pairs = self._beside(stars.withColumn("apart", ~linked), labels)
+            pairs = self._beside(stars.withColumn("apart", ~linked), labels, most)
             if pairs is None:
                 break
             new = self._compared(stored(pairs.join(found, ["x", "y"], "left_anti").select("x", "y"), "minhash-pairs"))
@@ -196,9 +197,10 @@ class NearDuplicates:
             # a leader that has new members makes buckets of all its members, the ones it had before too
             seen = seen.union(fresh_pairs)
             again = seen.join(fresh_pairs.select("x").distinct(), "x", "left_semi")
-            stars = found.join(again, ["x", "y"], "left_semi")
+            stars, most = found.join(again, ["x", "y"], "left_semi"), min(2 * most, CLASSES)
         forget(self.sets)
-        return components(found.where(linked).select("x", "y"))
+        links = found.where(linked).select("x", "y")
+        return labels if found is first or links.count() == first.where(linked).count() else components(links)
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         """(id, shingles) of all that is in ``pairs``; no later level asks for another."""
@@ -212,8 +214,9 @@ class NearDuplicates:
         b = self.sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
         return stored(pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_compare, _COMPARED), "minhash-stars")
 
-    def _beside(self, stars: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Pairs of the next level (x, y, first): leaders and members of buckets (x, shingle outside of x) of the members of x."""
+    def _beside(self, stars: DataFrame, labels: DataFrame, most: int) -> DataFrame | None:
+        """Pairs of the next level (x, y, first): leaders and members of buckets (x, shingle outside of x) of the members of x;
+        ``first``: x is the first leader of a bucket with more members than leaders."""
         of = labels.select(F.col("node").alias("y"), F.col("component").alias("c"))
         rows = stars.join(of, "y", "left").withColumn("c", F.coalesce("c", "y"))
         # What a member must share outside of x with another one to link with it, where it is the larger of the two:
@@ -229,12 +232,17 @@ class NearDuplicates:
         left = (F.col("left") - F.col("n") + F.size("es")).cast("int")  # shingles that no other member has come first
         each = each.where(left > 0).select("x", "y", "c", "apart", F.expr(_RANK.format(n="ny", id="y")).alias("rank"), F.explode(F.slice("es", F.lit(1), left)).alias("s"))
         each = stored(each.select("x", "s.e", "y", "c", "apart", "rank"), "minhash-buckets")
-        by_class = each.groupBy("x", "e", F.pmod(F.xxhash64("y", F.lit(7)), F.lit(LEADERS)).alias("h")).agg(F.min(F.struct("rank", "y")).alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("apart").alias("open"))
-        leaders = by_class.groupBy("x", "e").agg(F.array_sort(F.collect_list("least")).alias("to"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("open").alias("open"))  # LEADERS at most
-        leaders = stored(leaders.where("open and c0 <> c1").select("x", "e", "to"), "minhash-leaders")
-        met = each.join(leaders, ["x", "e"]).select("y", "rank", F.posexplode("to").alias("nth", "l")).where("y <> l.y")
+        shape = [F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("apart").alias("open")]
+        by_class = each.groupBy("x", "e", F.pmod(F.xxhash64("y", F.lit(7)), F.lit(CLASSES)).alias("h")).agg(F.min(F.struct("rank", "y")).alias("least"), F.count(F.lit(1)).alias("n"), *shape)
+        shape = [F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("open").alias("open")]
+        leaders = by_class.groupBy("x", "e").agg(F.slice(F.array_sort(F.collect_list("least")), 1, most).alias("to"), F.sum("n").alias("n"), *shape)  # CLASSES at most
+        leaders = leaders.where("open and c0 <> c1").select("x", "e", "to", (F.col("n") > F.size("to")).alias("more"))
+        leaders = stored(leaders, "minhash-leaders")
+        if leaders.isEmpty():
+            return None
+        met = each.join(leaders, ["x", "e"]).select("y", "rank", "more", F.posexplode("to").alias("nth", "l")).where("y <> l.y")
         swap = F.col("rank") < F.col("l.rank")  # the smaller set comes first
-        met = met.select(F.when(swap, F.col("y")).otherwise(F.col("l.y")).alias("x"), F.when(swap, F.col("l.y")).otherwise(F.col("y")).alias("y"), (F.col("nth") == 0).alias("first"))
+        met = met.select(F.when(swap, F.col("y")).otherwise(F.col("l.y")).alias("x"), F.when(swap, F.col("l.y")).otherwise(F.col("y")).alias("y"), (F.col("more") & (F.col("nth") == 0)).alias("first"))
         return stored(met.groupBy("x", "y").agg(F.max("first").alias("first")), "minhash-pairs")
 
 
