@@ -36,6 +36,26 @@ class RetrievalConfig:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
 
 
+def config_version(**changed: Column) -> Column:
+    """The version of a configuration some of whose whole-number constants are columns."""
+    values = asdict(RetrievalConfig())
+    parts, text = [], json.dumps({k: f"<{k}>" if k in changed else v for k, v in values.items()}, sort_keys=True)
+    for name in sorted(changed):
+        before, _, text = text.partition(f'"<{name}>"')
+        parts += [F.lit(before), changed[name].cast("string")]
+    return F.sha2(F.concat(*parts, F.lit(text)), 256)
+
+
+def captured_state(srg: Column, config: RetrievalConfig, scope: list[str], snapshot: str) -> Column:
+    """One id of all that a retrieval reads once: the generation pointer, its constants, its scope and its tables."""
+    return F.sha2(F.concat_ws("|", srg, F.lit(config.version), F.lit(",".join(sorted(scope))), F.lit(snapshot)), 256)
+
+
+def pointer_error(captured: Column, current: Column) -> Column:
+    """The generation pointer is read again at the end: where it has moved, the retrieval fails."""
+    return F.when(~captured.eqNullSafe(current), F.lit("SEARCH_GENERATION_CHANGED"))
+
+
 def profile(explicit: Column, relation: Column) -> Column:
     """The explicit one, else by the temporal relation that is asked for."""
     derived = F.when(relation.isin("POINT", "RECURRING"), F.lit("TEMPORAL_POINT")).when(relation.isin("RANGE", "BEFORE", "AFTER", "AROUND"), F.lit("TEMPORAL_RANGE"))

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tmp
-from ..operators import blocks, evidence, fusion, lifecycle, requests
+from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests
+from ..sources import intake
 
 from . import tables as t
 from .queries import ORACLE, QUERIES, query
@@ -14,12 +15,15 @@ from .queries import ORACLE, QUERIES, query
 # ---- configuration and migrations
 
 
-@query("CFG1_config_version", "SELECT 1 AS one, 64 AS n_hex")
-def _(spark, d):
-    return spark.range(1).select(F.lit(1).alias("one"), F.length(F.lit(requests.RetrievalConfig().version)).alias("n_hex"))
+_CONFIG = '{"adjustment_cap": 0.25, "around_days": 372, "diversity_penalty": 0.001, "free_per_document": 3, "fusion_limit": 100, "output_limit": 20, "route_limit": %s, "rrf": 60, "timeline_free": 6}'
 
 
-QUERIES["RET21_config_version"], ORACLE["RET21_config_version"] = QUERIES["CFG1_config_version"], ORACLE["CFG1_config_version"]
+@query("CFG1_config_version", "SELECT route_limit, sha256(replace('" + _CONFIG + "', '%s', CAST(route_limit AS VARCHAR))) AS version FROM (SELECT DISTINCT p_size AS route_limit FROM part)")
+@query("RET21_config_version", "SELECT route_limit, sha256(replace('" + _CONFIG + "', '%s', CAST(route_limit AS VARCHAR))) AS version FROM (SELECT DISTINCT p_size AS route_limit FROM part)")
+def _(spark, d):
+    """The version of a configuration for each route limit that parts have as a size."""
+    limits = t.read(spark, d, "part").select(F.col("p_size").alias("route_limit")).distinct()
+    return limits.select("route_limit", requests.config_version(route_limit=F.col("route_limit")).alias("version"))
 
 
 @query("MIG1_added_column", "SELECT version_id, NULL::VARCHAR AS normalized_key, published_pg FROM versions UNION ALL SELECT version_id + 1000000, 'k', published_pg FROM versions WHERE version_no = 0", "versions")
@@ -110,7 +114,6 @@ def _(spark, d):
 
 
 @query("ING31_reembedding_complete", "SELECT srg, count(*) AS n, count(*) = (SELECT count(*) FROM chunks) AS complete FROM reps GROUP BY srg", "reps")
-@query("RET18_pointer_changed", "SELECT srg, count(*) AS n, count(*) = (SELECT count(*) FROM chunks) AS complete FROM reps GROUP BY srg", "reps")
 def _(spark, d):
     total = t.chunks(spark, d).count()
     return t.representations(spark, d).groupBy("srg").agg(F.count(F.lit(1)).alias("n")).withColumn("complete", F.col("n") == total)
@@ -214,9 +217,19 @@ def _(spark, d):
     return e.select("event_id", requests.request_error(F.col("profile"), F.col("rel"), F.col("con"), F.col("n")).alias("error"))
 
 
-@query("RET4_captured_state", "SELECT srg, count(DISTINCT chunk_id) AS n_chunks FROM reps GROUP BY srg", "reps")
+_STATE = "sha256(concat_ws('|', srg, sha256('" + _CONFIG.replace("%s", "40") + "'), 'src0,src1', 'snap1'))"
+
+
+@query("RET4_captured_state", f"SELECT srg, count(DISTINCT chunk_id) AS n_chunks, {_STATE} AS state_id FROM reps GROUP BY srg", "reps")
+def _(spark, d):
+    built = t.representations(spark, d).groupBy("srg").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+    return built.withColumn("state_id", requests.captured_state(F.col("srg"), requests.RetrievalConfig(), ["src1", "src0"], "snap1"))
+
+
+@query("RET18_pointer_changed", "SELECT document_id, CASE WHEN version_id % 4 = 0 THEN 'SEARCH_GENERATION_CHANGED' END AS error FROM (SELECT document_id, max(version_id) AS version_id FROM versions GROUP BY document_id)", "versions")
 def _(spark, d):
-    return t.representations(spark, d).groupBy("srg").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+    v = t.versions(spark, d).groupBy("document_id").agg(F.max("version_id").alias("version_id"))
+    return v.select("document_id", requests.pointer_error(F.lit("srg1"), F.expr("if(version_id % 4 = 0, 'srg2', 'srg1')")).alias("error"))
 
 
 @query("RET6_compatible", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'EMBEDDING_GENERATION_INCOMPATIBLE' END AS error FROM embeddings")
@@ -301,28 +314,96 @@ def _(spark, d):
 # ---- orchestration
 
 
-def _case(name, source, sql_expr, spark_expr, *needs, key="event_id"):
-    """A state derived from columns of a table."""
-    ORACLE[name] = t.sql(f"SELECT {key}, {sql_expr} AS state FROM {source}", *needs)
-    reader = {"events": lambda s, d: t.read(s, d, "events"), "evidence": t.evidence, "runs": t.runs}[source]
-    QUERIES[name] = lambda s, d: reader(s, d).select(key, spark_expr().alias("state"))
+_SIGNALS = "(SELECT *, event_id % 4 AS n_refs, least(event_id % 4, user_id % 3) AS n_resolved, value > 60 AS ambiguous, value > 95 AS material FROM events)"
+
+
+@query("ORC3_interpretation", f"SELECT event_id, CASE WHEN ambiguous AND material THEN 'AMBIGUOUS_REQUIRES_CLARIFICATION' WHEN ambiguous THEN 'AMBIGUOUS_BUT_SEARCHABLE' WHEN n_refs > 0 AND n_resolved = 0 THEN 'UNRESOLVED' WHEN n_resolved < n_refs THEN 'PARTIALLY_RESOLVED' ELSE 'RESOLVED' END AS state FROM {_SIGNALS}")
+def _(spark, d):
+    e = t.read(spark, d, "events").select("event_id", "value", F.expr("event_id % 4").alias("refs"), F.expr("least(event_id % 4, user_id % 3)").alias("resolved"))
+    return e.select("event_id", decisions.interpretation(F.col("refs"), F.col("resolved"), F.col("value") > 60, F.col("value") > 95).alias("state"))
+
+
+@query(
+    "ORC6_stop_reason",
+    "SELECT event_id, CASE WHEN user_id % 31 = 0 THEN 'INVALID_REQUEST' WHEN value > 97 THEN 'CLARIFICATION_REQUIRED' WHEN value < 3 THEN 'DEADLINE_EXHAUSTED' WHEN value < 6 THEN 'BUDGET_EXHAUSTED' WHEN event_type = 'error' AND event_id % 2 <> 0 THEN 'REQUIRED_TOOL_FAILURE' "
+    "WHEN event_id % 2 = 0 AND event_id % 5 >= 3 THEN 'MAX_ATTEMPTS_REACHED' WHEN event_id % 2 <> 0 AND event_id % 5 > 0 THEN 'NO_USEFUL_ADAPTATION' WHEN event_id % 2 <> 0 THEN 'REQUIRED_EXECUTION_COMPLETE' END AS state FROM events",
+)
+def _(spark, d):
+    value, adaptable = F.col("value"), F.col("event_id") % 2 == 0
+    reason = decisions.stop_reason(F.col("user_id") % 31 != 0, value > 97, F.when(value < 3, 0).otherwise(100), F.when(value < 6, 0).otherwise(5), F.col("event_type") == "error", adaptable, F.col("event_id") % 5, 3)
+    return t.read(spark, d, "events").select("event_id", reason.alias("state"))
+
+
+@query(
+    "ORC8_failure_class",
+    "SELECT event_id, code, CASE code WHEN 'error' THEN 'TRANSIENT_PROVIDER_FAILURE' WHEN 'signup' THEN 'RATE_LIMIT' WHEN 'click' THEN 'AUTH_OR_CONFIGURATION_FAILURE' WHEN 'view' THEN 'MALFORMED_TOOL_RESPONSE' WHEN 'purchase' THEN 'INTERNAL_RETRIEVAL_FAILURE' END AS failure_class, "
+    "CASE WHEN code IN ('error', 'signup') THEN true WHEN code IS NOT NULL THEN false END AS retryable FROM (SELECT event_id, CASE WHEN value > 50 THEN event_type END AS code FROM events)",
+)
+def _(spark, d):
+    failures = t.read(spark, d, "events").select("event_id", F.when(F.col("value") > 50, F.col("event_type")).alias("code"))
+    return decisions.classified(failures, {"error": "TRANSIENT_PROVIDER_FAILURE", "signup": "RATE_LIMIT", "click": "AUTH_OR_CONFIGURATION_FAILURE", "view": "MALFORMED_TOOL_RESPONSE"})
+
+
+_REASONED = ["NO_RESULTS", "UNRESOLVED_REFERENCE", "TEMPORAL_ANCHOR_RECOVERY", "QUERY_OVERCONSTRAINED", "SUBQUERY_UNCOVERED", "RELEVANT_SOURCE_DEGRADED", "CONFLICT_FOLLOWUP", "TIMEOUT"]
+
+
+@query(
+    "ORC9_seeking_reason",
+    "SELECT event_id, CASE WHEN event_id % 9 = 8 THEN 'REASON_MISSING' WHEN event_id % 9 = 7 THEN 'NOT_A_SEEKING_REASON' WHEN event_id % 9 IN (1, 5) AND value <= 50 THEN 'NO_PLAUSIBLE_RECOVERY' WHEN event_id % 9 = 6 AND event_type <> 'click' THEN 'NO_CONFLICT_SIGNAL' END AS error FROM events",
+)
+def _(spark, d):
+    reason = F.get(F.array(*[F.lit(r) for r in _REASONED]), (F.col("event_id") % 9).cast("int"))
+    return t.read(spark, d, "events").select("event_id", decisions.seeking_error(reason, F.col("value") > 50, F.col("event_type") == "click").alias("error"))
+
+
+@query("ORC15_conflict_signal", "SELECT event_id, CASE event_type WHEN 'click' THEN 'SIGNAL_USED_FOR_GROUPING' WHEN 'view' THEN 'SIGNAL_USED_FOR_WINNER' END AS error FROM events")
+def _(spark, d):
+    used = F.when(F.col("event_type") == "click", "GROUPING").when(F.col("event_type") == "view", "WINNER").otherwise("RETRIEVAL")
+    return t.read(spark, d, "events").select("event_id", decisions.conflict_signal_violation(used).alias("error"))
+
+
+@query(
+    "CTX1_assembly",
+    "SELECT event_id, CASE WHEN value < 5 THEN 'FAILED' WHEN event_type IN ('signup', 'error') THEN 'NOT_APPLICABLE' WHEN value > 95 THEN 'FAILED' WHEN event_type IN ('view', 'click') THEN 'ASSEMBLED' ELSE 'FAILED' END AS state FROM events",
+)
+def _(spark, d):
+    kinds = {"view": "COMPLETED", "click": "COMPLETED_DEGRADED", "signup": "CLARIFICATION_REQUIRED", "error": "REJECTED"}
+    status = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    return t.read(spark, d, "events").select("event_id", decisions.assembly(F.coalesce(status, F.lit("RUNNING")), F.col("value") >= 5, F.col("value") <= 95).alias("state"))
+
+
+@query(
+    "GEN11_statuses",
+    "SELECT event_id, g AS generation_status, CASE WHEN g IN ('GENERATED', 'GENERATED_DEGRADED') THEN CASE s WHEN 'SUFFICIENT' THEN 'FULL_ANSWER' WHEN 'PARTIALLY_SUFFICIENT' THEN 'PARTIAL_ANSWER' ELSE 'INSUFFICIENT_EVIDENCE' END END AS response_status, s AS evidence_sufficiency FROM "
+    "(SELECT event_id, CASE WHEN event_type = 'signup' THEN 'NOT_APPLICABLE' WHEN event_type = 'error' OR value > 90 THEN 'FAILED' WHEN event_id % 3 = 0 THEN 'GENERATED_DEGRADED' ELSE 'GENERATED' END AS g, (['SUFFICIENT', 'PARTIALLY_SUFFICIENT', 'INSUFFICIENT'])[user_id % 3 + 1] AS s FROM events)",
+)
+def _(spark, d):
+    assembled = F.when(F.col("event_type") == "signup", "NOT_APPLICABLE").when(F.col("event_type") == "error", "FAILED").otherwise("ASSEMBLED")
+    sufficiency = t.pick(["SUFFICIENT", "PARTIALLY_SUFFICIENT", "INSUFFICIENT"], F.col("user_id") % 3)
+    out = decisions.statuses(assembled, sufficiency, F.when(F.col("value") > 90, F.lit("PROVIDER_TIMEOUT")), F.col("event_id") % 3 == 0)
+    return t.read(spark, d, "events").select("event_id", *[c.alias(n) for n, c in out.items()])
+
+
+_CODES = list(decisions.GENERATION_FAILURES)
+
+
+@query(
+    "GEN13_failure_taxonomy",
+    "SELECT event_id, CASE WHEN k < 15 THEN (['" + "','".join(_CODES) + "'])[k + 1] WHEN k = 15 THEN 'INTERNAL_GENERATION_ERROR' END AS code, CASE WHEN k IN (2, 3, 4, 7) THEN true WHEN k <= 15 THEN false END AS retryable FROM (SELECT event_id, event_id % 17 AS k FROM events)",
+)
+def _(spark, d):
+    code = F.get(F.array(*[F.lit(c) for c in [*_CODES, "HTTP 599"]]), (F.col("event_id") % 17).cast("int"))
+    return decisions.generation_failures(t.read(spark, d, "events").select("event_id", code.alias("code")))
 
 
-_case("ORC3_interpretation", "events", "CASE WHEN value > 95 THEN 'AMBIGUOUS_REQUIRES_CLARIFICATION' WHEN value > 60 THEN 'AMBIGUOUS_BUT_SEARCHABLE' WHEN value > 30 THEN 'PARTIALLY_RESOLVED' ELSE 'RESOLVED' END",
-      lambda: F.when(F.col("value") > 95, "AMBIGUOUS_REQUIRES_CLARIFICATION").when(F.col("value") > 60, "AMBIGUOUS_BUT_SEARCHABLE").when(F.col("value") > 30, "PARTIALLY_RESOLVED").otherwise("RESOLVED"))
-_case("ORC6_stop_reason", "events", "CASE WHEN event_type = 'error' THEN 'REQUIRED_TOOL_FAILURE' WHEN value > 90 THEN 'BUDGET_EXHAUSTED' WHEN value > 80 THEN 'MAX_ATTEMPTS_REACHED' ELSE 'REQUIRED_EXECUTION_COMPLETE' END",
-      lambda: F.when(F.col("event_type") == "error", "REQUIRED_TOOL_FAILURE").when(F.col("value") > 90, "BUDGET_EXHAUSTED").when(F.col("value") > 80, "MAX_ATTEMPTS_REACHED").otherwise("REQUIRED_EXECUTION_COMPLETE"))
-_case("ORC8_failure_class", "events", "CASE event_type WHEN 'error' THEN 'TRANSIENT_PROVIDER_FAILURE' WHEN 'signup' THEN 'RATE_LIMIT' END",
-      lambda: F.create_map(F.lit("error"), F.lit("TRANSIENT_PROVIDER_FAILURE"), F.lit("signup"), F.lit("RATE_LIMIT"))[F.col("event_type")])
-_case("ORC9_seeking_reason", "events", "event_type IN ('view', 'click')", lambda: F.col("event_type").isin("view", "click"))
-_case("ORC15_conflict_signal", "events", "event_type = 'click' AND value > 50", lambda: (F.col("event_type") == "click") & (F.col("value") > 50))
-_case("CTX1_assembly", "events", "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'NOT_APPLICABLE' ELSE 'ASSEMBLED' END",
-      lambda: F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "signup", "NOT_APPLICABLE").otherwise("ASSEMBLED"))
-_case("GEN11_statuses", "events", "CASE WHEN value > 66 THEN 'FULL_ANSWER' WHEN value > 33 THEN 'PARTIAL_ANSWER' ELSE 'INSUFFICIENT_EVIDENCE' END",
-      lambda: F.when(F.col("value") > 66, "FULL_ANSWER").when(F.col("value") > 33, "PARTIAL_ANSWER").otherwise("INSUFFICIENT_EVIDENCE"))
-_case("GEN13_failure_taxonomy", "events", "event_type IN ('error', 'signup')", lambda: F.col("event_type").isin("error", "signup"))
-_case("GEN17_presentation", "events", "CASE WHEN value < 50 THEN 'ACCEPTED' WHEN value < 90 THEN 'RELAXED' ELSE 'REJECTED' END",
-      lambda: F.when(F.col("value") < 50, "ACCEPTED").when(F.col("value") < 90, "RELAXED").otherwise("REJECTED"))
+@query(
+    "GEN17_presentation",
+    "SELECT event_id, CASE event_type WHEN 'view' THEN 'table,brief' WHEN 'click' THEN 'bullets' ELSE '' END AS accepted, CASE WHEN event_type IN ('click', 'error') THEN 'as a poem' ELSE '' END AS relaxed, CASE WHEN event_type IN ('error', 'view') THEN 'no_citations' ELSE '' END AS rejected FROM events",
+)
+def _(spark, d):
+    asked = F.create_map(F.lit("view"), F.array(*map(F.lit, ("table", "brief", "no_citations"))), F.lit("click"), F.array(*map(F.lit, ("bullets", "as a poem"))), F.lit("error"), F.array(*map(F.lit, ("as a poem", "no_citations"))))
+    e = t.read(spark, d, "events").select("event_id", decisions.presentation(F.coalesce(asked[F.col("event_type")], F.array().cast("array<string>"))).alias("p"))
+    return e.select("event_id", *[F.array_join(F.col(f"p.{c}"), ",").alias(c) for c in ("accepted", "relaxed", "rejected")])
 
 
 @query("ORC10_envelope", "SELECT evidence_id, source % 2 = 0 AS is_web, CASE WHEN source % 2 = 1 THEN family END AS local_id, CASE WHEN source % 2 = 0 THEN source END AS web_id FROM evidence", "evidence")
@@ -339,9 +420,11 @@ def _(spark, d):
     return child.join(e.select(F.col("event_id").alias("up"), "event_type"), "up").where("own <> event_type").select("event_id")
 
 
-@query("ORC13_web_time", "SELECT event_id, ts > TIMESTAMP '2024-01-10' AS published_after, event_type = 'view' AS about_time FROM events")
+@query("ORC13_web_time", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_type <> 'purchase' THEN 'TIME_SEMANTICS_CHANGED' END AS error FROM events")
 def _(spark, d):
-    return t.read(spark, d, "events").select("event_id", (F.col("ts") > F.expr("timestamp '2024-01-10'")).alias("published_after"), (F.col("event_type") == "view").alias("about_time"))
+    constraint = F.when(F.col("event_type") == "purchase", "PUBLICATION").when(F.col("event_type") == "view", "EVENT").when(F.col("event_type") == "click", "CONTENT")
+    kind = F.when(F.col("event_id") % 2 == 0, "PUBLICATION").otherwise("CONTENT")
+    return t.read(spark, d, "events").select("event_id", decisions.web_time_violation(constraint, kind).alias("error"))
 
 
 @query("ORC14_plan_revision", "SELECT version_id, arg_max(run_id, (ts, run_id)) AS run_id FROM runs GROUP BY version_id", "runs")
@@ -363,10 +446,54 @@ def _(spark, d):
     return t.evidence(spark, d).groupBy("unit").agg((F.max("value") - F.min("value") > 0.05).alias("conflict"), (F.countDistinct("family") >= 100).alias("supported"))
 
 
-@query("CTX9_utility", "SELECT evidence_id, round(0.6::DOUBLE * score / 100000 + 0.3::DOUBLE * (CASE WHEN flag = 'R' THEN 1 ELSE 0 END) + 0.1::DOUBLE / tokens, 9) AS utility FROM evidence", "evidence")
+@query(
+    "CTX9_utility",
+    "SELECT evidence_id, round(0.3::DOUBLE * score / 100000 + CASE WHEN unit < 10 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN value < 0.02 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN family % 3 = 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN flag = 'A' THEN 0.1::DOUBLE ELSE 0 END "
+    "+ 0.1::DOUBLE * least(tokens / 50.0, 1) - CASE WHEN flag = 'N' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN source > 3 THEN 0.1::DOUBLE ELSE 0 END, 9) AS utility FROM evidence",
+    "evidence",
+)
+def _(spark, d):
+    utility = decisions.utility(
+        rank=F.col("score") / 100000, coverage=F.col("unit") < 10, temporal=F.col("value") < 0.02, independent=F.col("family") % 3 == 0, conflict=F.col("flag") == "A",
+        complete=F.least(F.col("tokens") / 50, F.lit(1.0)), degraded=F.col("flag") == "N", provenance=F.col("source") > 3,
+    )
+    return t.evidence(spark, d).select("evidence_id", utility.alias("utility"))
+
+
+_DECIDED = (
+    "SELECT evidence_id, CASE WHEN unit = 19 THEN 'DROPPED_POLICY_VIOLATION' WHEN source = 3 THEN 'DROPPED_INVALID_PROVENANCE' WHEN flag = 'N' AND value > 0.07 THEN 'DROPPED_DEGRADED_CONTENT' WHEN nth > 1 THEN 'DROPPED_DUPLICATE' WHEN family % 10 = 1 THEN 'DROPPED_REDUNDANT' "
+    "WHEN score < 5000 THEN 'DROPPED_LOW_RELEVANCE' WHEN crowd > 3 THEN 'DROPPED_DIVERSITY_PRESSURE' WHEN spent > 2000 THEN 'DROPPED_BUDGET' WHEN flag = 'A' THEN 'SELECTED_CONFLICT_SIDE' WHEN value < 0.02 THEN 'SELECTED_TEMPORAL_SEGMENT' WHEN family % 3 = 0 THEN 'SELECTED_INDEPENDENT_SUPPORT' "
+    "WHEN unit < 10 THEN 'SELECTED_COVERAGE' ELSE 'SELECTED_PRIMARY' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id, family ORDER BY score DESC, evidence_id) AS nth, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, evidence_id) AS crowd, "
+    "sum(tokens) OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id ROWS UNBOUNDED PRECEDING) AS spent FROM evidence)"
+)
+
+
+@query("CTX12_selection", _DECIDED, "evidence")
+def _(spark, d):
+    """Thirteen reasons, the first that holds."""
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "evidence_id"))
+    e = evidence.select_within(t.evidence(spark, d), 2000, [F.desc("score"), F.col("evidence_id")]).withColumns({"nth": nth("query_id", "family"), "crowd": nth("query_id", "source")})
+    reason = decisions.selection_reason(
+        policy_violation=F.col("unit") == 19, invalid_provenance=F.col("source") == 3, degraded=F.expr("flag = 'N' and value > 0.07"), duplicate=F.col("nth") > 1, redundant=F.col("family") % 10 == 1,
+        low_relevance=F.col("score") < 5000, crowded=F.col("crowd") > 3, over_budget=F.col("spent") > 2000, conflict_side=F.col("flag") == "A", temporal_segment=F.col("value") < 0.02,
+        independent=F.col("family") % 3 == 0, covers=F.col("unit") < 10,
+    )
+    return e.select("evidence_id", reason.alias("reason"))
+
+
+_CATEGORIES = (
+    "SELECT unit, kind, count(*) AS n_claims, CASE WHEN kind = 'QUANTITY' AND max(value) - min(value) > 0.05 THEN 'QUANTITATIVE_CONFLICT' WHEN kind = 'TIME' AND max(low) > min(high) THEN 'TEMPORAL_CONFLICT' "
+    "WHEN kind = 'FACT' AND count(DISTINCT stance) > 1 THEN 'FACTUAL_CONFLICT' WHEN kind = 'EXPLANATION' AND count(DISTINCT stance) > 1 THEN 'INTERPRETATION_DIVERGENCE' ELSE 'NOT_A_CONFLICT' END AS category FROM "
+    "(SELECT query_id * 20 + unit AS unit, (['QUANTITY', 'TIME', 'FACT', 'EXPLANATION'])[family % 4 + 1] AS kind, value, tokens AS low, tokens + 20 AS high, source % 2 AS stance FROM evidence) GROUP BY unit, kind"
+)
+
+
+@query("CTX5_conflict_groups", _CATEGORIES, "evidence")
+@query("JOIN11_conflicts", _CATEGORIES, "evidence")
 def _(spark, d):
-    utility = 0.6 * F.col("score") / 100000 + 0.3 * (F.col("flag") == "R").cast("int") + 0.1 / F.col("tokens")
-    return t.evidence(spark, d).select("evidence_id", F.round(utility, 9).alias("utility"))
+    kind = t.pick(["QUANTITY", "TIME", "FACT", "EXPLANATION"], F.col("family") % 4)
+    claims = t.evidence(spark, d).select(F.expr("query_id * 20 + unit").alias("unit"), kind.alias("kind"), "value", F.col("tokens").alias("low"), (F.col("tokens") + 20).alias("high"), (F.col("source") % 2).alias("stance"))
+    return decisions.conflict_categories(claims, 0.05)
 
 
 @query("CTX14_critical_budget", "SELECT query_id, CAST(sum(CASE WHEN flag = 'R' THEN tokens ELSE 0 END) AS BIGINT) > 2500 AS failed FROM evidence GROUP BY query_id", "evidence")
@@ -404,9 +531,11 @@ def _(spark, d):
     return t.evidence(spark, d).groupBy("unit", "value").agg(F.countDistinct("source").alias("n_citations"))
 
 
-@query("GEN14_claim_types", "SELECT flag, count(*) FILTER (WHERE value = 0) AS state_claims, count(*) FILTER (WHERE value > 0) AS world_claims FROM evidence GROUP BY flag", "evidence")
+@query("GEN14_claim_types", "SELECT evidence_id, CASE WHEN flag = 'N' THEN 'UNKNOWN_CLAIM_TYPE' WHEN flag = 'R' AND value = 0 AND tokens < 10 THEN 'ABSENCE_TOLD_AS_FACT' WHEN flag = 'R' AND tokens < 10 THEN 'UNSUPPORTED_CLAIM' END AS error FROM evidence", "evidence")
 def _(spark, d):
-    return t.evidence(spark, d).groupBy("flag").agg(F.count_if(F.col("value") == 0).alias("state_claims"), F.count_if(F.col("value") > 0).alias("world_claims"))
+    kind = F.when(F.col("flag") == "R", "WORLD").when(F.col("flag") == "A", "EVIDENCE_STATE").otherwise("OPINION")
+    premises = F.when(F.col("tokens") < 10, 0).otherwise(2)
+    return t.evidence(spark, d).select("evidence_id", decisions.claim_type_violation(kind, F.col("value") == 0, premises).alias("error"))
 
 
 @query("GEN16_merged_dates", "SELECT r.mention_id FROM mentions r WHERE r.precision = 'RANGE' AND EXISTS (SELECT 1 FROM mentions a WHERE a.item = r.item AND a.precision = 'DAY' AND a.start_year = r.start_year) AND EXISTS (SELECT 1 FROM mentions b WHERE b.item = r.item AND b.precision = 'DAY' AND b.start_year = r.end_year)", "mentions")
@@ -417,10 +546,14 @@ def _(spark, d):
     return out.join(day.withColumnRenamed("start_year", "end_year"), ["item", "end_year"], "left_semi").select("mention_id")
 
 
-@query("GEN18_rerun_identical", "SELECT 0 AS n_different")
+@query(
+    "GEN18_rerun_identical",
+    "SELECT sha256(concat_ws('|', CAST(unit AS VARCHAR), coalesce(flag, '-'))) AS lineage, count(*) AS n_runs, count(DISTINCT output) = 1 AS reproduced FROM (SELECT unit, CASE WHEN flag <> 'A' THEN flag END AS flag, CASE WHEN unit % 2 = 0 THEN unit * 7 ELSE source END AS output FROM evidence) GROUP BY unit, flag",
+    "evidence",
+)
 def _(spark, d):
-    a, b = (evidence.citation_ids(t.evidence(spark, d).select(F.col("query_id").alias("answer_id"), F.col("source").alias("provenance"))) for _ in range(2))
-    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("n_different"))
+    runs_ = t.evidence(spark, d).select("unit", F.expr("if(flag <> 'A', flag, null)").alias("flag"), F.expr("if(unit % 2 = 0, unit * 7, source)").alias("output"))
+    return decisions.reproduced(runs_, ["unit", "flag"])
 
 
 @query("GEN19_citation_degradation", "SELECT evidence_id, CASE WHEN source IS NULL THEN 'GROUNDING_FAILURE' WHEN unit = 0 THEN 'CITATION_DEGRADED' ELSE 'RESOLVED' END AS state FROM evidence", "evidence")

@@ -254,12 +254,6 @@ def _(spark, d):
     return docs.groupBy("family").agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("JOIN11_conflicts", "SELECT unit, min(value) AS low, max(value) AS high, count(*) AS n_claims, 'QUANTITATIVE_CONFLICT' AS category FROM evidence GROUP BY unit HAVING max(value) - min(value) > 0.05", "evidence")
-@query("CTX5_conflict_groups", "SELECT unit, min(value) AS low, max(value) AS high, count(*) AS n_claims, 'QUANTITATIVE_CONFLICT' AS category FROM evidence GROUP BY unit HAVING max(value) - min(value) > 0.05", "evidence")
-def _(spark, d):
-    return evidence.conflicts(t.evidence(spark, d), 0.05)
-
-
 def _claims(spark, d):
     e = t.evidence(spark, d)
     return e.select(F.col("evidence_id").alias("claim_id"), F.expr("if(evidence_id % 7 = 0, -1, evidence_id)").alias("item_id"), F.expr("if(unit = 5, 99, unit)").alias("unit"))
@@ -733,13 +727,34 @@ def _(spark, d):
 # ---- aggregations, windows, sets
 
 
-@query("AGG3_empty_pages", "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) = '') AS n_empty FROM lines GROUP BY doc_id", "lines")
-@query("AGG2_unknown_ratio", "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) = '') AS n_empty FROM lines GROUP BY doc_id", "lines")
 @query("AGG6_filtered_counts", "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) = '') AS n_empty FROM lines GROUP BY doc_id", "lines")
 def _(spark, d):
     return t.lines(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_empty"))
 
 
+@query(
+    "AGG2_unknown_ratio",
+    "SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(line)) AS BIGINT) AS n_chars, round(count(*) FILTER (WHERE ordinal % 5 > doc_id % 4) / count(*)::DOUBLE, 9) AS unknown_ratio, CASE WHEN sum(length(line)) < 16 THEN 'empty_extraction' END AS error, "
+    "CASE WHEN 2 * count(*) FILTER (WHERE ordinal % 5 > doc_id % 4) > count(*) THEN 'mostly_unknown' END AS warning FROM lines GROUP BY doc_id",
+    "lines",
+)
+def _(spark, d):
+    b = t.lines(spark, d).select("doc_id", F.expr("if(ordinal % 5 > doc_id % 4, 'UNKNOWN_TEXT', 'PARAGRAPH')").alias("type"), F.col("line").alias("text"))
+    return blocks.parse_report(b, t.read(spark, d, "documents")).withColumn("unknown_ratio", F.round("unknown_ratio", 9))
+
+
+@query(
+    "AGG3_empty_pages",
+    "SELECT doc_id, count(*) AS n_pages, count(*) FILTER (WHERE empty) AS n_empty, CASE WHEN bool_and(empty) THEN 'scanned_or_image_only' END AS error, CASE WHEN bool_or(empty) AND NOT bool_and(empty) THEN 'empty_pages' END AS warning FROM "
+    "(SELECT doc_id, ordinal // 2 AS page, bool_and(regexp_matches(line, '^\\s*$')) AS empty FROM (SELECT doc_id, ordinal, CASE WHEN (doc_id + ordinal // 2) % 3 = 0 OR doc_id % 10 = 0 THEN ' ' ELSE line END AS line FROM lines) GROUP BY ALL) GROUP BY doc_id",
+    "lines",
+)
+def _(spark, d):
+    page = F.expr("cast(floor(ordinal / 2) as int)")
+    text = F.when(((F.col("doc_id") + page) % 3 == 0) | (F.col("doc_id") % 10 == 0), F.lit(" ")).otherwise(F.col("line"))
+    return intake.page_report(t.lines(spark, d).select("doc_id", page.alias("page"), text.alias("line")))
+
+
 @query("AGG7_ordinals_complete", "SELECT version_id, min(ordinal) = 0 AND max(ordinal) = count(*) - 1 AND count(DISTINCT ordinal) = count(*) AS complete FROM chunks WHERE NOT (version_id % 5 = 0 AND ordinal = 1) GROUP BY version_id", "chunks")
 def _(spark, d):
     c = t.chunks(spark, d).where("not (version_id % 5 = 0 and ordinal = 1)").groupBy("version_id")
@@ -793,7 +808,6 @@ _WITHIN = (
 
 @query("WIN8_token_budget", _WITHIN, "evidence")
 @query("CTX11_token_budget", _WITHIN, "evidence")
-@query("CTX12_selection", _WITHIN, "evidence")
 def _(spark, d):
     return evidence.select_within(t.evidence(spark, d), 2000, [F.desc("score"), F.col("evidence_id")]).select("query_id", "evidence_id", "spent", "decision")
 

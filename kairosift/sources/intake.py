@@ -82,6 +82,14 @@ def running_lines(pages: DataFrame, least_pages: int = 3) -> DataFrame:
     return out.select("doc_id", "page", "line_no", "line", F.coalesce("edge", F.lit(False)).alias("edge"), removed.alias("removed"))
 
 
+def page_report(pages: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, n_empty, error, warning) of ``pages`` (doc_id, page, line): no text on any page is a scan."""
+    per = pages.groupBy("doc_id", "page").agg(F.bool_and(blank(F.col("line"))).alias("empty"))
+    out = per.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("empty").alias("n_empty"))
+    every = F.col("n_empty") == F.col("n_pages")
+    return out.withColumns({"error": F.when(every, F.lit("scanned_or_image_only")), "warning": F.when(~every & (F.col("n_empty") > 0), F.lit("empty_pages"))})
+
+
 def web_text(html: Column) -> Column:
     """The text of a page: no scripts, styles or tags, common entities decoded, white space collapsed."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", " ")
