@@ -156,7 +156,7 @@ _COMPARED = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T
 
 #: Leaders of a bucket after the first level, twice as many at each further one up to CLASSES, which are hash classes
 #: of the members: a member is compared with so many at most.
-LEADERS, CLASSES = 8, 256
+LEADERS, CLASSES = 32, 256
 _RANK = "shiftleft({n}, 40) | (xxhash64({id}) & 1099511627775)"  # by size; ties by hash
 
 
@@ -232,14 +232,15 @@ class NearDuplicates:
         left = (F.col("left") - F.col("n") + F.size("es")).cast("int")  # shingles that no other member has come first
         each = each.where(left > 0).select("x", "y", "c", "apart", F.expr(_RANK.format(n="ny", id="y")).alias("rank"), F.explode(F.slice("es", F.lit(1), left)).alias("s"))
         each = stored(each.select("x", "s.e", "y", "c", "apart", "rank"), "minhash-buckets")
-        shape = [F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("apart").alias("open")]
-        by_class = each.groupBy("x", "e", F.pmod(F.xxhash64("y", F.lit(7)), F.lit(CLASSES)).alias("h")).agg(F.min(F.struct("rank", "y")).alias("least"), F.count(F.lit(1)).alias("n"), *shape)
-        shape = [F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("open").alias("open")]
-        leaders = by_class.groupBy("x", "e").agg(F.slice(F.array_sort(F.collect_list("least")), 1, most).alias("to"), F.sum("n").alias("n"), *shape)  # CLASSES at most
-        leaders = leaders.where("open and c0 <> c1").select("x", "e", "to", (F.col("n") > F.size("to")).alias("more"))
-        leaders = stored(leaders, "minhash-leaders")
-        if leaders.isEmpty():
+        same = [F.sum(F.xxhash64("y", F.lit(n)).cast("decimal(38,0)")).alias(f"s{n}") for n in (1, 2)]  # of buckets with the same members one is enough
+        open_ = each.groupBy("x", "e").agg(F.count(F.lit(1)).alias("n"), *same, F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("apart").alias("open")).where("n > 1 and open and c0 <> c1")
+        open_ = stored(open_.groupBy("x", "n", "s1", "s2").agg(F.min("e").alias("e")).select("x", "e", "n"), "minhash-open")  # a plain table: Spark then splits a hot bucket
+        if open_.isEmpty():
             return None
+        each = each.join(open_, ["x", "e"])
+        by_class = each.groupBy("x", "e", F.pmod(F.xxhash64("y", F.lit(7)), F.lit(CLASSES)).alias("h")).agg(F.min(F.struct("rank", "y")).alias("least"), F.max("n").alias("n"))
+        leaders = by_class.groupBy("x", "e").agg(F.slice(F.array_sort(F.collect_list("least")), 1, most).alias("to"), F.max("n").alias("n"))  # CLASSES at most
+        leaders = stored(leaders.select("x", "e", "to", (F.col("n") > F.size("to")).alias("more")), "minhash-leaders")
         met = each.join(leaders, ["x", "e"]).select("y", "rank", "more", F.posexplode("to").alias("nth", "l")).where("y <> l.y")
         swap = F.col("rank") < F.col("l.rank")  # the smaller set comes first
         met = met.select(F.when(swap, F.col("y")).otherwise(F.col("l.y")).alias("x"), F.when(swap, F.col("l.y")).otherwise(F.col("y")).alias("y"), (F.col("more") & (F.col("nth") == 0)).alias("first"))
