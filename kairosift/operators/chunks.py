@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
-#: Tokenizers by name: the spans of a text's tokens.
-TOKENIZERS = {"words": lambda text: [m.span() for m in _TOKEN.finditer(text)]}
 
 
-def cut(text: str, most: int, overlap: int, tokenizer: str = "words") -> list[tuple[int, int, int]]:
+@functools.cache
+def tokenizer(name: str):
+    """The function that gives the spans of a text's tokens: ``words``, or a byte-pair vocabulary of ranks by its name."""
+    if name == "words":
+        return lambda text: [m.span() for m in _TOKEN.finditer(text)]
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        tokens = encoding.encode_ordinary(text)
+        starts = encoding.decode_with_offsets(tokens)[1]
+        return list(zip(starts, [*starts[1:], len(text)]))
+
+    return spans
+
+
+def cut(text: str, most: int, overlap: int, by: str = "words") -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces of a text; over ``most`` tokens it is cut with ``overlap``."""
-    spans = TOKENIZERS[tokenizer](text)
+    spans = tokenizer(by)(text)
     if len(spans) <= most:
         return [(0, len(text), len(spans))]
     out = []
@@ -44,7 +65,7 @@ def number_pieces(pieces: list[tuple[str, bool, int]], target: int, most: int) -
     return numbers
 
 
-def chunk_blocks(blocks: DataFrame, target: int = 512, most: int = 800, overlap: int = 64) -> DataFrame:
+def chunk_blocks(blocks: DataFrame, target: int = 512, most: int = 800, overlap: int = 64, by: str = "words") -> DataFrame:
     """Chunks (doc_id, ordinal, title, section_path, source_text, ...) of ``blocks``
     (doc_id, title, block_id, type, text, section_path); the blocks of a document go to one task.
     """
@@ -53,7 +74,7 @@ def chunk_blocks(blocks: DataFrame, target: int = 512, most: int = 800, overlap:
         rows = []
         for b in pdf.sort_values("number").itertuples():
             own = [*b.section_path, b.text] if b.type == "HEADING" else list(b.section_path)
-            for i, (start, end, tokens) in enumerate(cut(b.text, most, overlap)):
+            for i, (start, end, tokens) in enumerate(cut(b.text, most, overlap, by)):
                 rows.append((b.doc_id, b.title, b.block_id, own, b.type == "HEADING" and i == 0, start, end, b.text[start:end], tokens))
         numbers = number_pieces([(tuple(r[3]), r[4], r[8]) for r in rows], target, most)
         return pd.DataFrame([(*r[:4], *r[5:], n, i) for i, (r, n) in enumerate(zip(rows, numbers))], columns=_PIECES)
@@ -69,16 +90,30 @@ _PIECES = ["doc_id", "title", "block_id", "section", "start", "end", "text", "to
 
 
 def group_pieces(pieces: DataFrame) -> DataFrame:
+    """A row for each chunk of ``pieces``; where these have a page, the first and the last page of the chunk."""
+    page = F.col("page") if "page" in pieces.columns else F.lit(None).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct("at", "block_id", "start", "end", "text")))
-    grouped = pieces.groupBy("doc_id", "title", "ordinal").agg(ordered.alias("p"), F.sum("tokens").cast("int").alias("token_count"), F.min_by("section", "at").alias("section_path"))
+    grouped = pieces.groupBy("doc_id", "title", "ordinal").agg(ordered.alias("p"), F.sum("tokens").cast("int").alias("token_count"), F.min_by("section", "at").alias("section_path"), F.min(page).alias("page_start"), F.max(page).alias("page_end"))
     source = F.array_join(F.transform("p", lambda x: x.text), "\n\n")
     return grouped.select(
         "doc_id", "ordinal", "section_path", source.alias("source_text"), contextualize(F.col("title"), F.col("section_path"), source).alias("contextualized_text"),
         F.transform("p", lambda x: F.struct(x.block_id.alias("block_id"), x.start.alias("start"), x.end.alias("end"))).alias("source_spans"),
-        "token_count", F.sha2(source, 256).alias("content_hash"),
+        "token_count", F.sha2(source, 256).alias("content_hash"), "page_start", "page_end",
     )
 
 
+def split_tables(rows: DataFrame, per_piece: int) -> DataFrame:
+    """(doc_id, table_id, piece, text) of table ``rows`` (doc_id, table_id, at, text): pieces of ``per_piece`` rows, each
+    with the header (the table's first row) before them; a table of nothing but a header is one piece.
+    """
+    whole = Window.partitionBy("doc_id", "table_id").orderBy("at")
+    numbered = rows.withColumns({"no": F.row_number().over(whole) - 1, "header": F.first("text").over(whole)})
+    numbered = numbered.withColumn("piece", F.greatest(F.floor((F.col("no") - 1) / per_piece), F.lit(0)).cast("long"))
+    body = F.array_sort(F.collect_list(F.when(F.col("no") > 0, F.struct("no", "text"))))
+    pieces = numbered.groupBy("doc_id", "table_id", "piece").agg(F.first("header").alias("header"), body.alias("body"))
+    return pieces.select("doc_id", "table_id", "piece", F.array_join(F.concat(F.array("header"), F.transform("body", lambda x: x.text)), "\n").alias("text"))
+
+
 def contextualize(title: Column, path: Column, text: Column) -> Column:
     return F.concat(F.array_join(F.concat(F.array(title), path), " > "), F.lit("\n\n"), text)
 

@@ -94,6 +94,28 @@ def cut_over(documents: DataFrame, versions: DataFrame, failures: DataFrame) ->
     return documents.join(newest, "document_id", "left").withColumn("active_version_id", F.coalesce("new_version_id", "active_version_id")).drop("new_version_id")
 
 
+def deletion_states(documents: DataFrame, tombstones: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``documents`` with ``deletion``: null without a tombstone, DELETING while chunks of it are left, then DELETED.
+
+    A document with a tombstone isn't eligible from then on, whatever is still to be cleaned.
+    """
+    gone = tombstones.select("document_id").distinct().withColumn("gone", F.lit(True))
+    left = chunks.select("document_id").distinct().withColumn("left", F.lit(True))
+    state = F.when(F.col("gone") & F.col("left"), F.lit("DELETING")).when(F.col("gone"), F.lit("DELETED"))
+    return documents.join(gone, "document_id", "left").join(left, "document_id", "left").withColumn("deletion", state).drop("gone", "left")
+
+
+def capabilities(degraded: Column) -> Column:
+    """Capability -> state of a version with these ``degraded`` capabilities: search always works once it is served."""
+    state = lambda name: F.when(F.array_contains(degraded, name), F.lit("DEGRADED")).otherwise(F.lit("READY"))
+    return F.create_map(F.lit("SEMANTIC"), F.lit("READY"), F.lit("LEXICAL"), F.lit("READY"), F.lit("TEMPORAL"), state("TEMPORAL"), F.lit("PROVENANCE_LOCATION"), state("PROVENANCE_LOCATION"))
+
+
+def pointer_violations(pointer: DataFrame) -> DataFrame:
+    """(n, fine): the table of the one global pointer has a single row, of id 1."""
+    return pointer.agg(F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) == 1) & F.coalesce(F.bool_and(F.col("id") == 1), F.lit(False))).alias("fine"))
+
+
 def published_status(degraded: Column) -> Column:
     return F.when(F.size(degraded) > 0, F.lit("READY_DEGRADED")).otherwise(F.lit("READY"))
 

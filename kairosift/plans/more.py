@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tmp
-from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests
-from ..sources import intake
+from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests, routes
+from ..streaming import runs
 
 from . import tables as t
 from .queries import ORACLE, QUERIES, query
@@ -54,7 +56,7 @@ def _(spark, d):
 
 @query("ING9_dispatch", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/pdf' ELSE 'unsupported_media_type' END AS parser FROM pages")
 def _(spark, d):
-    from ..sources import intake
+    from ..streaming import runs
 
     p = t.read(spark, d, "pages").select("page_id", t.pick(["a.txt", "a.md", "a.pdf", "a.bin"], F.expr("page_id % 4")).alias("path"))
     return p.select("page_id", F.coalesce(intake.media_type(F.col("path")), F.lit("unsupported_media_type")).alias("parser"))
@@ -66,7 +68,6 @@ def _(spark, d):
 
 
 @query("ING17_degraded", "SELECT document_id, CASE WHEN document_id % 6 = 0 THEN 'READY_DEGRADED' ELSE 'READY' END AS status FROM docs", "docs")
-@query("ING34_capabilities", "SELECT document_id, CASE WHEN document_id % 6 = 0 THEN 'READY_DEGRADED' ELSE 'READY' END AS status FROM docs", "docs")
 def _(spark, d):
     degraded = F.expr("if(document_id % 6 = 0, map('temporal', 'degraded'), cast(map() as map<string,string>))")
     return t.documents(spark, d).select("document_id", lifecycle.published_status(degraded).alias("status"))
@@ -101,7 +102,6 @@ def _(spark, d):
 
 @query("ING28_delete_cascade", "SELECT chunk_id FROM chunks WHERE document_id % 9 <> 0", "chunks")
 @query("D13_cascade", "SELECT chunk_id FROM chunks WHERE document_id % 9 <> 0", "chunks")
-@query("ING33_tombstones", "SELECT chunk_id FROM chunks WHERE document_id % 9 <> 0", "chunks")
 def _(spark, d):
     gone = t.documents(spark, d).where("document_id % 9 = 0").select("document_id")
     return t.chunks(spark, d).join(gone, "document_id", "left_anti").select("chunk_id")
@@ -127,17 +127,15 @@ def _(spark, d):
 
 
 @query("ING36_run_metrics", "SELECT c.version_id, count(*) AS n_chunks, CAST(sum(length(source_text)) AS BIGINT) AS n_chars, count(r.chunk_id) AS n_vectors FROM chunks c LEFT JOIN (SELECT * FROM reps WHERE srg = 'srg1') r USING (chunk_id) GROUP BY c.version_id", "reps")
-@query("RET24_metadata", "SELECT c.version_id, count(*) AS n_chunks, CAST(sum(length(source_text)) AS BIGINT) AS n_chars, count(r.chunk_id) AS n_vectors FROM chunks c LEFT JOIN (SELECT * FROM reps WHERE srg = 'srg1') r USING (chunk_id) GROUP BY c.version_id", "reps")
 def _(spark, d):
     r = t.representations(spark, d).where("srg = 'srg1'").withColumn("has", F.lit(1))
     c = t.chunks(spark, d).join(r, "chunk_id", "left").groupBy("version_id")
     return c.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("source_text")).alias("n_chars"), F.count("has").alias("n_vectors"))
 
 
-@query("D4_single_pointer", "SELECT count(*) AS n, bool_and(n_name = 1) AS fine FROM (SELECT n_regionkey, 1 AS n_name FROM nation WHERE n_nationkey = 1)")
+@query("D4_single_pointer", "SELECT count(*) AS n, count(*) = 1 AND coalesce(bool_and(n_nationkey = 1), false) AS fine FROM nation WHERE n_regionkey = 1 AND n_nationkey < 2")
 def _(spark, d):
-    one = t.read(spark, d, "nation").where("n_nationkey = 1").select(F.lit(1).alias("id"))
-    return one.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("id") == 1).alias("fine"))
+    return lifecycle.pointer_violations(t.read(spark, d, "nation").where("n_regionkey = 1 and n_nationkey < 2").withColumnRenamed("n_nationkey", "id"))
 
 
 @query("D9_unique_mentions", "SELECT item, start_year, start_month, start_day, count(*) AS n FROM mentions GROUP BY ALL HAVING count(*) > 1", "mentions")
@@ -238,16 +236,52 @@ def _(spark, d):
     return v.select("vec_id", requests.representation_error(F.col("model"), F.col("dims"), "fake", 64).alias("error"))
 
 
-@query("SNK2_retrieve")
-@query("RET23_candidates")
-@query("RET17_final_validation")
-def _(spark, d):
+_SCOPE = ["src0", "src1", "src2", "src3"]
+
+
+def _retrieval(spark, d, moved: bool = False, **request):
+    """A retrieval over the tables; ``moved``: before the final check every fifth document has got another version."""
     tables = {"chunks": t.chunks(spark, d), "documents": t.documents(spark, d), "versions": t.versions(spark, d), "representations": t.representations(spark, d)}
+    tables["mentions"] = t.bounded(spark, d).withColumn("item", F.expr("concat((item % 200) * 10 + (item % 200) % 3, ':0')"))
     v = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("v"))
     vectors = tables["chunks"].select("chunk_id", "document_id").join(v, "document_id").select("chunk_id", "v")
-    asked = t.read(spark, d, "embeddings").where("vec_id = 1").first()["embedding"]
-    out = requests.retrieve(spark, {"query": "the of and", "corpora": ["src0", "src1", "src2", "src3"]}, tables, vectors, asked)
-    return out.select("item", "document_id", "source_text", "routes", "score", "rank")
+    asked = t.read(spark, d, "embeddings").where("vec_id = 1").select("embedding").head(1)
+    later = tables | {"documents": tables["documents"].withColumn("active_version_id", F.expr("if(document_id % 5 = 0, -1, active_version_id)"))}
+    request = {"query": "the of and", "corpora": _SCOPE} | request
+    return requests.retrieve(spark, request, tables, vectors, asked[0][0] if asked else None, fresh=(lambda: (later, "srg1")) if moved else None)
+
+
+@query("SNK2_retrieve")
+def _(spark, d):
+    return _retrieval(spark, d).candidates.select("item", "document_id", "source_text", "routes", "score", "rank")
+
+
+@query("RET17_final_validation")
+def _(spark, d):
+    """The candidates that are left after a change of versions, filled up from the next ones."""
+    return _retrieval(spark, d, moved=True).candidates.select("item", "document_id", "rank")
+
+
+@query("RET23_candidates")
+def _(spark, d):
+    """Candidates of a question about a time, with their lineage and the mentions that stand behind them."""
+    low, high = routes.asked_bounds(-3, 3)[0], routes.asked_bounds(-1, 6)[1]
+    found = _retrieval(spark, d, relation="RANGE", q_low=low, q_high=high).candidates
+    return found.select("item", "document_id", "version_id", "corpus_id", "source_text", "routes", "n_routes", "score", "adjustment", "rank", F.array_join(F.transform("mentions", lambda m: m.cast("string")), ",").alias("mentions"), "config_version")
+
+
+@query("RET24_metadata")
+def _(spark, d):
+    """Candidates by route, whether the fallback ran, rejects by reason; latencies aren't results."""
+    out = _retrieval(spark, d, moved=True, query="the AB12 of")
+    rows = [("route", name, x["candidates"]) for name, x in out.routes.items()] + [("reject", name, n) for name, n in out.rejected.items()] + [("fallback", str(out.fallback), 1), ("outcome", out.outcome, 1)]
+    return spark.createDataFrame(rows, "what string, name string, n long")
+
+
+@query("TMP22_derived_intents")
+def _(spark, d):
+    asked = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("What was signed in "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit("?")).alias("text"))
+    return requests.derive_intents(asked, enabled=True)
 
 
 @query("RET25_outcome_states", "SELECT event_id, CASE WHEN (event_type = 'error' AND value < 50) AND NOT (user_id % 2 = 0 AND event_id % 3 > 0) THEN 'FAILURE' WHEN event_type = 'error' OR value < 10 THEN 'SUCCESS_DEGRADED' WHEN event_id % 3 > 0 THEN 'SUCCESS_WITH_CANDIDATES' ELSE 'SUCCESS_NO_CANDIDATES' END AS outcome FROM events")
@@ -301,9 +335,11 @@ def _(spark, d):
     return t.chunks(spark, d).join(r, "chunk_id", "left").groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.count("has").alias("represented"))
 
 
-@query("STR1_poll_batches", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+@query("STR1_poll_batches", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, d):
-    return t.read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    stream = runs.poll(spark, d, "events.parquet", "event_type string").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    base, name = spark.conf.get("spark.checkpoint.dir", None), f"polled_{uuid.uuid4().hex}"
+    return runs.drain(spark, stream, name, f"{base.rstrip('/')}/{name}" if base else None, "complete")
 
 
 @query("STR9_idempotent", "SELECT version_id, attempt, min(run_id) AS run_id FROM runs GROUP BY ALL", "runs")
@@ -574,3 +610,85 @@ def _(spark, d):
     return found.join(allowed, "item", "left_anti").agg(F.count(F.lit(1)).alias("n_leaked"))
 
 
+
+
+@query("ING33_tombstones", "SELECT document_id, CASE WHEN document_id % 18 = 0 THEN 'DELETED' WHEN document_id % 9 = 0 THEN 'DELETING' END AS deletion FROM docs", "docs")
+def _(spark, d):
+    docs = t.documents(spark, d)
+    return lifecycle.deletion_states(docs, docs.where("document_id % 9 = 0"), t.chunks(spark, d).where("document_id % 18 <> 0")).select("document_id", "deletion")
+
+
+@query("ING34_capabilities", "SELECT document_id, 'READY' AS semantic, 'READY' AS lexical, CASE WHEN document_id % 6 = 0 THEN 'DEGRADED' ELSE 'READY' END AS temporal, CASE WHEN document_id % 4 = 0 THEN 'DEGRADED' ELSE 'READY' END AS provenance FROM docs", "docs")
+def _(spark, d):
+    lost = F.array_compact(F.array(F.when(F.col("document_id") % 6 == 0, F.lit("TEMPORAL")), F.when(F.col("document_id") % 4 == 0, F.lit("PROVENANCE_LOCATION"))))
+    c = t.documents(spark, d).select("document_id", lifecycle.capabilities(lost).alias("c"))
+    return c.select("document_id", *[F.col("c")[k].alias(n) for k, n in (("SEMANTIC", "semantic"), ("LEXICAL", "lexical"), ("TEMPORAL", "temporal"), ("PROVENANCE_LOCATION", "provenance"))])
+
+
+@query(
+    "ING29_table_split",
+    "SELECT doc_id, table_id, p AS piece, concat_ws(chr(10), header, body) AS text FROM (SELECT doc_id, table_id, p, any_value(header) AS header, string_agg(line, chr(10) ORDER BY no) FILTER (WHERE no > 0) AS body FROM (SELECT *, greatest((no - 1) // 3, 0) AS p FROM "
+    "(SELECT doc_id, ordinal // 10 AS table_id, line, ordinal % 10 AS no, first_value(line) OVER (PARTITION BY doc_id, ordinal // 10 ORDER BY ordinal) AS header FROM lines)) GROUP BY doc_id, table_id, p)",
+    "lines",
+)
+def _(spark, d):
+    rows = t.lines(spark, d).select("doc_id", F.expr("cast(floor(ordinal / 10) as long)").alias("table_id"), F.col("ordinal").alias("at"), F.col("line").alias("text"))
+    return chunks.split_tables(rows, 3)
+
+
+@query("TOP4_newest_corpora", "SELECT user_id AS corpus_id, min(ts) AS created_at FROM events GROUP BY user_id")
+def _(spark, d):
+    """A corpus begins with its first event; newest first."""
+    return t.read(spark, d, "events").groupBy(F.col("user_id").alias("corpus_id")).agg(F.min("ts").alias("created_at")).orderBy(F.desc("created_at"), "corpus_id")
+
+
+def _marked(spark, d, line):
+    lines = t.lines(spark, d).select("doc_id", "ordinal", F.expr(line).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x.line), "\n")
+    return lines.groupBy("doc_id").agg(text.alias("text"))
+
+
+@query("ING4_list_items", "SELECT doc_id, 'LIST_ITEM' AS type, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text, count(*) AS n FROM lines GROUP BY ALL", "lines")
+def _(spark, d):
+    b = blocks.markdown_blocks(_marked(spark, d, "concat(if(ordinal % 2 = 0, '- ', '12) '), line)"))
+    return b.groupBy("doc_id", "type", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ING5_table_rows", "SELECT doc_id, 'TABLE_TEXT' AS type, '| ' || line || ' |' AS text, count(*) AS n FROM lines WHERE ordinal % 3 <> 1 GROUP BY ALL", "lines")
+def _(spark, d):
+    b = blocks.markdown_blocks(_marked(spark, d, "if(ordinal % 3 = 1, '|:--|--|', concat('| ', line, ' |'))"))
+    return b.groupBy("doc_id", "type", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ING6_fences", "SELECT doc_id, 'UNKNOWN_TEXT' AS type, string_agg(line, ' ' ORDER BY ordinal) AS text FROM lines GROUP BY doc_id", "lines")
+def _(spark, d):
+    """Every third document's fence isn't closed."""
+    whole = _marked(spark, d, "line").withColumn("text", F.concat(F.lit("```\n"), "text", F.when(F.col("doc_id") % 3 == 0, "").otherwise("\n```")))
+    return blocks.markdown_blocks(whole).select("doc_id", "type", "text")
+
+
+@query("TMP6_relative", "SELECT o_orderkey AS doc_id, 'two years later' AS text, 'UNKNOWN' AS precision, 'UNCERTAIN' AS certainty, NULL::INT AS start_year FROM orders")
+def _(spark, d):
+    b = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("b0000").alias("block_id"), F.lit("It ended two years later.").alias("text"))
+    return tmp.recognize(b).select("doc_id", "text", "precision", "certainty", "start_year")
+
+
+@query("TMP8_day_is_no_year", "SELECT o_orderkey AS doc_id, year(o_orderdate) AS start_year FROM orders WHERE o_orderkey % 2 = 0")
+def _(spark, d):
+    text = F.expr("concat('In ', date_format(o_orderdate, 'MMMM'), ' ', if(o_orderkey % 2 = 0, year(o_orderdate), day(o_orderdate)), ' it was cold')")
+    b = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("b0000").alias("block_id"), text.alias("text"))
+    return tmp.recognize(b).select("doc_id", "start_year")
+
+
+@query("AGG5_page_spans", "SELECT doc_id, ordinal // 4 AS ordinal, min(ordinal // 3) AS page_start, max(ordinal // 3) AS page_end, CAST(sum(length(line)) AS BIGINT) AS token_count, count(*) AS n_spans FROM lines GROUP BY doc_id, ordinal // 4", "lines")
+def _(spark, d):
+    p = t.lines(spark, d).select("doc_id", F.lit("t").alias("title"), F.expr("cast(floor(ordinal / 4) as long)").alias("ordinal"), F.array(F.lit("s")).alias("section"), F.col("ordinal").alias("at"), F.lit("b").alias("block_id"), F.lit(0).alias("start"), F.length("line").alias("end"), F.col("line").alias("text"), F.length("line").alias("tokens"), F.expr("cast(floor(ordinal / 3) as int)").alias("page"))
+    return chunks.group_pieces(p).select("doc_id", "ordinal", "page_start", "page_end", F.col("token_count").cast("long").alias("token_count"), F.size("source_spans").cast("long").alias("n_spans"))
+
+
+@query("ING15_tokenizer")
+def _(spark, d):
+    """Chunks whose sizes are tokens of a byte-pair vocabulary."""
+    b = blocks.text_blocks(t.read(spark, d, "documents").select("doc_id", "text"))
+    b = b.select("doc_id", F.lit("t").alias("title"), "block_id", "type", "text", F.array_compact(F.array("section")).alias("section_path"))
+    return chunks.chunk_blocks(b, target=256, most=400, overlap=32, by="byte_bpe_50k").select("doc_id", "ordinal", "token_count", "content_hash")

@@ -367,9 +367,9 @@ def _(spark, d):
     return out.select("doc_id", "ordinal", F.array_join("section_path", " > ").alias("section"), "token_count", "content_hash", F.size("source_spans").alias("n_spans"))
 
 
-@query("ING11_split_windows", "SELECT doc_id, list_aggregate(list_filter(range(0, greatest(n_chars, 1), 736), lambda s: s = 0 OR s + 64 < n_chars), 'count') AS n_pieces FROM documents")
+@query("ING11_split_windows", "SELECT doc_id, list_aggregate(list_filter(range(0, greatest(n, 1), 736), lambda s: s = 0 OR s + 64 < n), 'count') AS n_pieces FROM (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n FROM documents)")
 def _(spark, d):
-    return t.read(spark, d, "documents").select("doc_id", F.size(chunks.split_windows(F.col("n_chars"))).cast("long").alias("n_pieces"))
+    return t.read(spark, d, "documents").select("doc_id", F.size(chunks.split_windows(F.size(routes.terms(F.col("text"))))).cast("long").alias("n_pieces"))
 
 
 @query("ING12_chunk_groups", "SELECT doc_id, ordinal // 4 AS ordinal, string_agg(line, chr(10) || chr(10) ORDER BY ordinal) AS source_text, CAST(sum(length(line)) AS BIGINT) AS token_count FROM lines GROUP BY doc_id, ordinal // 4", "lines")

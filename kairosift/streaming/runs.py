@@ -75,8 +75,13 @@ def running_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_count_runs, OUTPUT, STATE, "update", "NoTimeout")
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:
+def poll(spark: SparkSession, folder: str, pattern: str, schema: str, files: int = 1) -> DataFrame:
+    """A stream of the rows of the files of ``folder`` that match, ``files`` of them with each poll."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def drain(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str | None, mode: str = "update") -> DataFrame:
     """Run a stream over all there is now into a table in memory, and return that table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
     return spark.table(name)
