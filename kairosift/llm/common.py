@@ -18,7 +18,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: job that writes a table go when the table is there.
 WRITING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
@@ -122,6 +122,12 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def given_back(batches):
+    """The same batches; a worker gives Arrow's free memory back at the end, as it stays for the jobs that follow."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def small_slices(batches, rows: int):
     """The same rows in batches of at most ``rows``, to bound what a task holds at once."""
     for batch in batches:

@@ -5,15 +5,15 @@ tables are the m*m pairs (left sub-key i, right sub-key j), each a key of 2*r mi
 that strength would need 2*m*m*r minhashes. With m = 10 and r = 3 a pair of similarity 0.85 meets in some table
 with probability 1 - 1.5e-4, of 0.9 with 1 - 2e-6.
 
-Steps: texts of one shingle set are one class. In every table, the members of a bucket
-are compared on full sets with the bucket's smallest set alone, its leader, so a bucket gives no more pairs than
-members. Links between other members are found level by level without comparing all pairs: let y and z be members of
-buckets led by x, one of them not linked with x. Both have at least as many shingles as x, so to reach the similarity
-they must share a shingle that x hasn't got. So members are put into new buckets, one for each such shingle (rarest
-first, as many as the needed overlap asks for); there all are compared with the bucket's few leaders (the smallest of
-its hash classes). A bucket of leaders alone is done; the others go on to the next level by their shingles outside of
-the first leader, until no bucket is left. Leaders grow from level to level, so this ends; independent edits share
-nothing outside of x and make no bucket, however large the group is.
+Steps: texts of one shingle set are one class. In every table, the members of a bucket are compared on full sets with
+the bucket's smallest set alone, its leader, so a bucket gives no more pairs than members. Links between other members
+are found level by level without comparing all pairs: let y and z be members of buckets led by x, one of them not
+linked with x. Both have at least as many shingles as x, so to reach the similarity they must share a shingle that x
+hasn't got. So members are put into new buckets, one for each such shingle (rarest first, as many as the needed overlap
+asks for; of buckets with the same members one is kept). There all are compared with the bucket's leaders: all of a few
+members, else the smallest of some hash classes. A bucket of leaders alone is done; the others go on to the next level
+by their shingles outside of the first leader, until no bucket is left. Leaders grow from level to level, so this ends;
+independent edits share nothing outside of x and make no bucket, however large the group is.
 
 Defined cases
 * null, empty or wordless text: n_shingles 0, linked with nothing;
@@ -44,7 +44,7 @@ class WordHashes(dict):
     """Hash of each word met, kept in a worker up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -238,7 +238,8 @@ class NearDuplicates:
         if open_.isEmpty():
             return None
         each = each.join(open_, ["x", "e"])
-        by_class = each.groupBy("x", "e", F.pmod(F.xxhash64("y", F.lit(7)), F.lit(CLASSES)).alias("h")).agg(F.min(F.struct("rank", "y")).alias("least"), F.max("n").alias("n"))
+        h = F.when(F.col("n") <= most, F.col("y")).otherwise(F.pmod(F.xxhash64("y", F.lit(7)), F.lit(CLASSES))).alias("h")  # a small bucket's members all lead
+        by_class = each.groupBy("x", "e", h).agg(F.min(F.struct("rank", "y")).alias("least"), F.max("n").alias("n"))
         leaders = by_class.groupBy("x", "e").agg(F.slice(F.array_sort(F.collect_list("least")), 1, most).alias("to"), F.max("n").alias("n"))  # CLASSES at most
         leaders = stored(leaders.select("x", "e", "to", (F.col("n") > F.size("to")).alias("more")), "minhash-leaders")
         met = each.join(leaders, ["x", "e"]).select("y", "rank", "more", F.posexplode("to").alias("nth", "l")).where("y <> l.y")

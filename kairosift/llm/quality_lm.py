@@ -42,12 +42,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, forget, fresh, joined_blocks, small_slices, stored, without
+from .common import fields, forget, fresh, given_back, joined_blocks, small_slices, stored, without
 
 _U = np.uint64
 MAX_WORD = 20
 #: Characters handled at once, and documents and characters of a chunk at most.
-PIECE, CHUNK_DOCS, CHUNK_CHARS = 1_000_000, 1024, 4_000_000
+PIECE, CHUNK_DOCS, CHUNK_CHARS = 250_000, 1024, 2_000_000
 #: The low bits of a key are left free for a document's place in its chunk: 54 bits tell n-grams apart.
 _PLACE = _U(CHUNK_DOCS - 1)
 START, END = _U(0x5354415254) << _U(20), _U(0x454E44) << _U(20)
@@ -167,7 +167,7 @@ def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def chunks(batches, texts: int):
     """(batch, texts) of chunks within CHUNK_DOCS and CHUNK_CHARS; a longer text is a chunk of its own."""
-    for batch in small_slices(batches, CHUNK_DOCS):
+    for batch in given_back(small_slices(batches, CHUNK_DOCS)):
         all_texts = [t or "" for t in batch.column(texts).to_pylist()]
         at = size = 0
         for i, t in enumerate(all_texts):
