@@ -6,6 +6,8 @@ A stage takes (spark, docs, sf_dir), ``docs`` with the columns of documents, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,35 +22,53 @@ from kairosift.llm.suffix_dedup import remove_repeats
 PASSAGE_BYTES = 200
 
 
-def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``; n_chars follows the text."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
-    return docs.select(*like.columns)
+def _rewritten(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with the texts that ``operator`` gives; the other columns pass by it, so no name clashes; n_chars follows."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    out = operator(packed)
+    columns = {c: F.col("others").getField(c).alias(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in others:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[columns[c] for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that read like trusted text; the others go."""
+    """Documents that read like trusted text; the others go.
+
+    Null, empty and blank texts go; without a label all others stay; repeated rows are judged alike; a row of null
+    doc_id is judged by its text.
+    """
     return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of three documents or more stay in one."""
-    return _as_documents(drop_repeated_lines(docs), docs)
+    """Lines of three documents or more stay in the one of the largest doc_id.
+
+    Null text becomes empty; rows of null doc_id keep their lines and don't count; repeated rows of one doc_id count
+    each, and all keep a line that this doc_id owns.
+    """
+    return _rewritten(docs, drop_repeated_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8."""
+    """The document of the least doc_id of each group of near duplicates: five words, similarity 0.8.
+
+    Null, empty and wordless texts and rows of null doc_id stay; rows of one doc_id are judged by their own texts.
+    """
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once go."""
-    return _as_documents(remove_repeats(docs, length=PASSAGE_BYTES), docs)
+    """Passages of 200 bytes or more that occur more than once go, all copies of them; whole characters alone.
+
+    Null text becomes empty; repeated rows repeat each other, so all of a long one goes; shorter texts stay.
+    """
+    return _rewritten(docs, lambda df: remove_repeats(df, length=PASSAGE_BYTES))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of what is left, in length buckets and batches."""
+    """Every token of what is left, in length buckets and batches; null and empty texts are a piece of 0 tokens."""
     return pack_documents(docs)
 
 
