@@ -51,6 +51,21 @@ def interpretation(references: Column, resolved: Column, ambiguous: Column, mate
     )
 
 
+def required_sources(policy: Column) -> dict[str, Column]:
+    """Which sources a policy makes obligatory."""
+    return {"local_required": policy.isin("LOCAL_ONLY", "HYBRID"), "web_required": policy.isin("WEB_ONLY", "HYBRID")}
+
+
+def current_plans(revisions: DataFrame) -> DataFrame:
+    """(query_id, revision, plan, n_revisions, in_order) of the append-only ``revisions`` (query_id, revision, plan).
+
+    The highest revision is the plan; a trace with a gap or a repeated number isn't in order.
+    """
+    per = revisions.groupBy("query_id").agg(F.max(F.struct("revision", "plan")).alias("last"), F.count(F.lit(1)).alias("n_revisions"), F.countDistinct("revision").alias("d"), F.min("revision").alias("lo"))
+    in_order = (F.col("d") == F.col("n_revisions")) & (F.col("lo") == 1) & (F.col("last.revision") == F.col("n_revisions"))
+    return per.select("query_id", "last.revision", "last.plan", "n_revisions", in_order.alias("in_order"))
+
+
 def stop_reason(valid: Column, clarify: Column, left_ms: Column, left_calls: Column, required_failed: Column, adaptable: Column, attempts: Column, most: int) -> Column:
     """Why gathering ends; null while a justified action remains. ``adaptable``: a bounded change of strategy would help."""
     return first_of(
@@ -163,6 +178,25 @@ def generation_failures(failures: DataFrame, key: str = "code") -> DataFrame:
     return failures.withColumn(key, known).withColumn("retryable", retry[F.col(key)])
 
 
+def attempt_violation(semantic: Column, transport: Column, most_semantic: int = 2, most_transport: int = 3) -> Column:
+    """One attempt and one repair; transport retries are counted apart."""
+    return first_of(("REPAIR_EXHAUSTED", semantic > most_semantic), ("PROVIDER_UNAVAILABLE", transport > most_transport))
+
+
+def repaired(claims: DataFrame, bindings: DataFrame, disclosures: DataFrame) -> DataFrame:
+    """(answer_id, claim_id, n_bindings, disclosures): what can be mended without another generation.
+
+    ``bindings`` (answer_id, claim_id, item_id) are taken once each; an optional claim (answer_id, claim_id, optional)
+    without one goes, an obligatory one stays with 0; the answer's mandatory ``disclosures`` (answer_id, disclosure)
+    are put in.
+    """
+    n = bindings.distinct().groupBy("answer_id", "claim_id").agg(F.count(F.lit(1)).alias("n_bindings"))
+    kept = claims.join(n, ["answer_id", "claim_id"], "left").na.fill(0, ["n_bindings"]).where("n_bindings > 0 or not optional")
+    told = disclosures.distinct().groupBy("answer_id").agg(F.array_sort(F.collect_list("disclosure")).alias("disclosures"))
+    out = kept.join(told, "answer_id", "left")
+    return out.select("answer_id", "claim_id", "n_bindings", F.coalesce("disclosures", F.array().cast("array<string>")).alias("disclosures"))
+
+
 def claim_type_violation(claim_type: Column, negated: Column, n_premises: Column) -> Column:
     """What the evidence doesn't show may not be told as a fact of the world, nor a fact as a state of the evidence."""
     return first_of(

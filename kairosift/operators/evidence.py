@@ -99,6 +99,12 @@ def select_within(items: DataFrame, budget: int, order: list[Column]) -> DataFra
     return items.withColumn("spent", spent).withColumn("decision", decision)
 
 
+def assembly_trace(chosen: DataFrame, config: str) -> DataFrame:
+    """For each query and decision of ``chosen`` (query_id, decision, tokens, place): counts, tokens, places, configuration."""
+    per = chosen.groupBy("query_id", "decision").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+    return per.withColumn("config", F.lit(config))
+
+
 def trim(text: Column, tokens: Column, limit: int) -> Column:
     """(extent, text) by words: FULL, or EXTRACTED to the first ``limit`` words."""
     words = F.split(text, " ")

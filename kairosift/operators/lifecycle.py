@@ -94,6 +94,19 @@ def cut_over(documents: DataFrame, versions: DataFrame, failures: DataFrame) ->
     return documents.join(newest, "document_id", "left").withColumn("active_version_id", F.coalesce("new_version_id", "active_version_id")).drop("new_version_id")
 
 
+def existing_versions(uploads: DataFrame, versions: DataFrame) -> DataFrame:
+    """``uploads`` (corpus_id, source_hash, ...) with the least document_id that holds the same bytes in the corpus, or null."""
+    held = versions.groupBy("corpus_id", "source_hash").agg(F.min("document_id").alias("existing"))
+    return uploads.join(held, ["corpus_id", "source_hash"], "left")
+
+
+def swapped_pointer(pointer: DataFrame, chunks: DataFrame, representations: DataFrame, srg: str) -> DataFrame:
+    """The one-row ``pointer`` (id, srg), moved to the generation ``srg`` if that holds a vector of every chunk."""
+    missing = missing_vectors(chunks, representations, srg).agg((F.count(F.lit(1)) == 0).alias("complete"))  # one row
+    moved = pointer.crossJoin(missing)  # one row with one row
+    return moved.select("id", F.when(F.col("complete"), F.lit(srg)).otherwise(F.col("srg")).alias("srg"))
+
+
 def deletion_states(documents: DataFrame, tombstones: DataFrame, chunks: DataFrame) -> DataFrame:
     """``documents`` with ``deletion``: null without a tombstone, DELETING while chunks of it are left, then DELETED.
 

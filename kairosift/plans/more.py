@@ -113,10 +113,14 @@ def _(spark, d):
     return t.chunks(spark, d).join(moved, "document_id").select("chunk_id", F.col("new_corpus").alias("corpus_id"))
 
 
-@query("ING31_reembedding_complete", "SELECT srg, count(*) AS n, count(*) = (SELECT count(*) FROM chunks) AS complete FROM reps GROUP BY srg", "reps")
+@query("ING31_reembedding_complete", "SELECT 1 AS id, CASE WHEN (SELECT count(*) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM reps WHERE srg = 'srg1')) = 0 THEN 'srg1' ELSE 'srg0' END AS srg, 'incomplete' AS what UNION ALL SELECT 1, 'srg2', 'complete'", "reps")
 def _(spark, d):
-    total = t.chunks(spark, d).count()
-    return t.representations(spark, d).groupBy("srg").agg(F.count(F.lit(1)).alias("n")).withColumn("complete", F.col("n") == total)
+    """A pointer that stays, as its next generation lacks vectors, and one that moves."""
+    pointer = spark.range(1).select(F.lit(1).alias("id"), F.lit("srg0").alias("srg"))
+    c, r = t.chunks(spark, d), t.representations(spark, d)
+    stays = lifecycle.swapped_pointer(pointer, c, r, "srg1").withColumn("what", F.lit("incomplete"))
+    built = c.select("chunk_id", F.lit("srg2").alias("srg"))
+    return stays.union(lifecycle.swapped_pointer(pointer, c, built, "srg2").withColumn("what", F.lit("complete")))
 
 
 @query("ING32_rechunk_cutover", "SELECT pg, count(*) AS n FROM chunks WHERE pg = 'pg1' OR pg = 'pg0' AND document_id % 2 = 0 GROUP BY pg", "chunks")
@@ -463,9 +467,9 @@ def _(spark, d):
     return t.read(spark, d, "events").select("event_id", decisions.web_time_violation(constraint, kind).alias("error"))
 
 
-@query("ORC14_plan_revision", "SELECT version_id, arg_max(run_id, (ts, run_id)) AS run_id FROM runs GROUP BY version_id", "runs")
+@query("ORC14_plan_revision", "SELECT version_id AS query_id, max(attempt) AS revision, arg_max(run_id, (attempt, run_id)) AS plan, count(*) AS n_revisions, count(DISTINCT attempt) = count(*) AND min(attempt) = 1 AND max(attempt) = count(*) AS in_order FROM runs GROUP BY version_id", "runs")
 def _(spark, d):
-    return t.runs(spark, d).groupBy("version_id").agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("run_id"))
+    return decisions.current_plans(t.runs(spark, d).select(F.col("version_id").alias("query_id"), F.col("attempt").alias("revision"), F.col("run_id").alias("plan")))
 
 
 # ---- context and answers
@@ -556,10 +560,15 @@ def _(spark, d):
     return t.evidence(spark, d).join(gathered, "family", "left_anti").select("evidence_id")
 
 
-@query("CTX18_trace", "SELECT query_id, decision, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT query_id, tokens, CASE WHEN sum(tokens) OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id ROWS UNBOUNDED PRECEDING) <= 2000 THEN 'SELECTED_PRIMARY' ELSE 'DROPPED_BUDGET' END AS decision FROM evidence) GROUP BY ALL", "evidence")
+@query(
+    "CTX18_trace",
+    "SELECT query_id, decision, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, min(place) AS first_place, max(place) AS last_place, 'budget=2000' AS config FROM (SELECT query_id, tokens, row_number() OVER w AS place, CASE WHEN sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) <= 2000 THEN 'SELECTED_PRIMARY' ELSE 'DROPPED_BUDGET' END AS decision FROM evidence WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, evidence_id)) GROUP BY query_id, decision",
+    "evidence",
+)
 def _(spark, d):
-    chosen = evidence.select_within(t.evidence(spark, d), 2000, [F.desc("score"), F.col("evidence_id")])
-    return chosen.groupBy("query_id", "decision").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+    order = [F.desc("score"), F.col("evidence_id")]
+    chosen = evidence.select_within(t.evidence(spark, d), 2000, order).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return evidence.assembly_trace(chosen, "budget=2000")
 
 
 @query("GEN12_conflict_sides", "SELECT unit, value, count(DISTINCT source) AS n_citations FROM evidence GROUP BY ALL", "evidence")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tmp
-from ..operators import blocks, chunks, evidence, fusion, lifecycle, represent, requests, routes
+from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, represent, requests, routes
 from ..sources import intake
 from ..streaming import runs
 from . import tables as t
@@ -51,11 +51,17 @@ def _(spark, d):
     return intake.put_artifacts(t.read(spark, d, "documents").select(F.col("text").cast("binary").alias("content")))
 
 
-@query("SRC4_valid_key", "SELECT doc_id, regexp_matches(CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE substr(sha256(text), 1, 2) || '/' || sha256(text) END, '^[0-9a-f]{2}/[0-9a-f]{64}$') AS valid FROM documents")
+@query(
+    "SRC4_get_delete",
+    "SELECT key, CASE WHEN doc_id % 3 = 0 THEN 'malformed_key' WHEN doc_id % 5 = 0 THEN 'unknown_key' END AS error, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN length(text) END AS n FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN sha256(text || doc_id) ELSE substr(sha256(text || doc_id), 1, 2) || '/' || sha256(text || doc_id) END AS key FROM documents)",
+)
 def _(spark, d):
-    docs = t.read(spark, d, "documents")
-    key = F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise(intake.artifact_key(F.col("text").cast("binary")))
-    return docs.select("doc_id", intake.valid_key(key).alias("valid"))
+    """Texts stored under their keys, those of every fifth document deleted again, and asked for; some keys are malformed."""
+    docs = t.read(spark, d, "documents").select("doc_id", F.concat("text", F.col("doc_id").cast("string")).cast("binary").alias("whole"), F.col("text").alias("content"))
+    stored = docs.select("doc_id", intake.artifact_key(F.col("whole")).alias("key"), "content")
+    left = intake.delete_artifacts(stored, stored.where("doc_id % 5 = 0"))
+    key = F.when(F.col("doc_id") % 3 == 0, F.sha2("whole", 256)).otherwise(intake.artifact_key(F.col("whole")))
+    return intake.get_artifacts(left, docs.select(key.alias("key"))).select("key", "error", F.length("content").alias("n"))
 
 
 @query("SRC5_decode", "SELECT doc_id, length(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10))) AS n FROM documents")
@@ -109,9 +115,10 @@ def _(spark, d):
     return t.documents(spark, d).groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n_documents")).orderBy("corpus_id")
 
 
-@query("FLT2_exact_duplicates", "SELECT corpus_id, source_hash, min(document_id) AS document_id, count(*) AS n FROM versions GROUP BY ALL", "versions")
+@query("FLT2_exact_duplicates", "SELECT u.doc_id, v.existing FROM (SELECT doc_id, source AS corpus_id, sha256(text || CASE WHEN doc_id % 2 = 0 THEN '1' ELSE 'x' END) AS source_hash FROM documents) u LEFT JOIN (SELECT corpus_id, source_hash, min(document_id) AS existing FROM versions GROUP BY ALL) v USING (corpus_id, source_hash)", "versions")
 def _(spark, d):
-    return t.versions(spark, d).groupBy("corpus_id", "source_hash").agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("n"))
+    up = t.read(spark, d, "documents").select("doc_id", F.col("source").alias("corpus_id"), F.expr("sha2(concat(text, if(doc_id % 2 = 0, '1', 'x')), 256)").alias("source_hash"))
+    return lifecycle.existing_versions(up, t.versions(spark, d)).select("doc_id", "existing")
 
 
 @query("FLT4_latest_run", "SELECT version_id, max(attempt) AS attempt FROM runs GROUP BY version_id", "runs")
@@ -477,11 +484,16 @@ _COMPONENTS = "SELECT mention_id, precision, bound_low, bound_high FROM bounded"
 
 
 @query("TMP11_bounds", _COMPONENTS, "bounded")
-@query("TMP10_order_key", _COMPONENTS, "bounded")
 def _(spark, d):
     return t.bounded(spark, d).select("mention_id", "precision", F.col("bound_low").cast("long").alias("bound_low"), F.col("bound_high").cast("long").alias("bound_high"))
 
 
+@query("TMP10_order_key", "SELECT o_orderkey, y * 372 + (month(o_orderdate) - 1) * 31 + day(o_orderdate) - 1 AS key FROM (SELECT *, year(o_orderdate) - CASE WHEN o_orderkey % 2 = 0 THEN 4000 ELSE 0 END AS y FROM orders)")
+def _(spark, d):
+    o = t.read(spark, d, "orders").withColumn("y", F.expr("year(o_orderdate) - if(o_orderkey % 2 = 0, 4000, 0)"))
+    return o.select("o_orderkey", tmp.order_key(F.col("y"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).cast("long").alias("key"))
+
+
 _LOW, _HIGH = routes.asked_bounds(-3, 3), routes.asked_bounds(-1, 6)
 for _name, _kind, _where in (
     ("TMP12_overlap", "OVERLAP", f"bound_low <= {_HIGH[1]} AND bound_high >= {_LOW[0]}"),
@@ -587,7 +599,7 @@ _TOP = "SELECT query_id, item, score, CAST(r AS BIGINT) AS rank FROM (SELECT que
 _POSTS = t.sql("SELECT 1", "posts").removesuffix(" SELECT 1")
 ORACLE["RET7_lexical"] = _POSTS + _ASKED + _TOP.format("JOIN wanted USING (query_id) WHERE hits = n")
 ORACLE["RET7_lexical_any"] = _POSTS + _ASKED + _TOP.format("")
-ORACLE["RET22_multi_corpus"] = ORACLE["RET7_lexical_any"]
+ORACLE["RET22_multi_corpus"] = _POSTS + _ASKED.replace("FROM posts JOIN asked", "FROM (SELECT * FROM posts WHERE CAST(split_part(item, ':', 1) AS BIGINT) IN (SELECT doc_id FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3'))) JOIN asked") + _TOP.format("")
 
 
 @_named("RET7_lexical")
@@ -596,11 +608,17 @@ def _(spark, d):
 
 
 @_named("RET7_lexical_any")
-@_named("RET22_multi_corpus")
 def _(spark, d):
     return routes.lexical(_questions(spark, d), items(spark, d), 10, all_terms=False).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_named("RET22_multi_corpus")
+def _(spark, d):
+    """One ranked set over the corpora of the scope, without quotas."""
+    mine = items(spark, d).where(F.col("source").isin(_SCOPE))
+    return routes.lexical(_questions(spark, d), mine, 10, all_terms=False).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("RET9_phrase", "SELECT doc_id || ':' || ordinal AS item FROM lines WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ', ' in the ')", "lines")
 def _(spark, d):
     return routes.phrase(items(spark, d), ["in", "the"])
@@ -828,12 +846,17 @@ def _(spark, d):
 
 
 @query("STR6_retry", "SELECT run_id, CASE WHEN event_type <> 'error' AND attempt < 3 THEN 'PENDING' ELSE 'FAILED' END AS state, attempt * 30 AS backoff FROM runs", "runs")
-@query("STR7_unclassified", "SELECT run_id, CASE WHEN event_type <> 'error' AND attempt < 3 THEN 'PENDING' ELSE 'FAILED' END AS state, attempt * 30 AS backoff FROM runs", "runs")
 def _(spark, d):
     r = t.runs(spark, d)
     return r.select("run_id", runs.after_failure(F.col("attempt"), F.col("event_type") != "error").alias("state"), runs.backoff_seconds(F.col("attempt")).alias("backoff"))
 
 
+@query("STR7_unclassified", "SELECT run_id, CASE WHEN event_type IN ('error', 'view') THEN event_type ELSE 'unexpected' END AS reason, CASE WHEN event_type = 'error' AND attempt < 3 THEN 'PENDING' ELSE 'FAILED' END AS state FROM runs", "runs")
+def _(spark, d):
+    found = runs.failure(F.col("event_type"), {"error": True, "view": False})
+    return t.runs(spark, d).select("run_id", found["reason"].alias("reason"), runs.after_failure(F.col("attempt"), found["retryable"]).alias("state"))
+
+
 @query("STR8_settle", "SELECT version_id, CASE WHEN count(DISTINCT event_type) < 5 THEN 'RUNNING' WHEN bool_or(value > 99) THEN 'READY_DEGRADED' ELSE 'READY' END AS status FROM runs GROUP BY version_id", "runs")
 def _(spark, d):
     r = t.runs(spark, d).groupBy("version_id").agg(F.countDistinct("event_type").alias("n"), F.bool_or(F.col("value") > 99).alias("degraded"))
@@ -854,11 +877,16 @@ def _(spark, d):
 
 
 @query("ORC1_source_policy", "SELECT event_id, CASE WHEN user_id % 3 > 0 AND value > 50 THEN 'HYBRID' WHEN user_id % 3 > 0 THEN 'LOCAL_ONLY' WHEN value > 50 THEN 'WEB_ONLY' ELSE 'REJECT' END AS policy FROM events")
-@query("ORC2_evidence_policy", "SELECT event_id, CASE WHEN user_id % 3 > 0 AND value > 50 THEN 'HYBRID' WHEN user_id % 3 > 0 THEN 'LOCAL_ONLY' WHEN value > 50 THEN 'WEB_ONLY' ELSE 'REJECT' END AS policy FROM events")
 def _(spark, d):
     return t.read(spark, d, "events").select("event_id", evidence.source_policy(F.col("user_id") % 3 > 0, F.col("value") > 50).alias("policy"))
 
 
+@query("ORC2_evidence_policy", "SELECT event_id, user_id % 3 > 0 AS local_required, value > 50 AS web_required FROM events")
+def _(spark, d):
+    required = decisions.required_sources(evidence.source_policy(F.col("user_id") % 3 > 0, F.col("value") > 50))
+    return t.read(spark, d, "events").select("event_id", *[c.alias(n) for n, c in required.items()])
+
+
 @query("ORC4_budgets", "SELECT run_id, row_number() OVER (PARTITION BY version_id ORDER BY ts, run_id) AS call_no, row_number() OVER (PARTITION BY version_id ORDER BY ts, run_id) > 20 AS over_budget FROM runs", "runs")
 def _(spark, d):
     r = t.runs(spark, d).withColumnRenamed("version_id", "query_id")
@@ -922,16 +950,23 @@ def _(spark, d):
     return e.withColumn("invalid", F.col("n_bound") < F.col("n_premises"))
 
 
-@query("GEN8_repair", "SELECT query_id, CAST(count(DISTINCT family) AS BIGINT) AS n_bindings FROM evidence WHERE flag <> 'N' GROUP BY query_id", "evidence")
+@query(
+    "GEN8_repair",
+    "SELECT query_id AS answer_id, unit AS claim_id, count(DISTINCT family) FILTER (WHERE flag <> 'N') AS n_bindings, CASE WHEN query_id % 2 = 0 THEN 'CONFLICT,GAP' ELSE '' END AS disclosures FROM evidence GROUP BY query_id, unit HAVING count(DISTINCT family) FILTER (WHERE flag <> 'N') > 0 OR unit % 3 > 0",
+    "evidence",
+)
 def _(spark, d):
-    e = t.evidence(spark, d).where("flag <> 'N'").select("query_id", "family").distinct()
-    return e.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_bindings"))
+    e = t.evidence(spark, d).select(F.col("query_id").alias("answer_id"), F.col("unit").alias("claim_id"), F.col("family").alias("item_id"), "flag")
+    claims = e.select("answer_id", "claim_id").distinct().withColumn("optional", F.col("claim_id") % 3 == 0)
+    told = e.where("answer_id % 2 = 0").select("answer_id", F.explode(F.array(F.lit("GAP"), F.lit("CONFLICT"))).alias("disclosure"))
+    out = decisions.repaired(claims, e.where("flag <> 'N'").select("answer_id", "claim_id", "item_id"), told)
+    return out.withColumn("disclosures", F.array_join("disclosures", ","))
 
 
-@query("GEN9_attempt_counters", "SELECT version_id, count(*) FILTER (WHERE event_type = 'view') AS semantic, count(*) FILTER (WHERE event_type = 'error') AS transport, count(*) FILTER (WHERE event_type = 'view') > 2 AS exceeded FROM runs GROUP BY version_id", "runs")
+@query("GEN9_attempt_counters", "SELECT version_id, semantic, transport, CASE WHEN semantic > 2 THEN 'REPAIR_EXHAUSTED' WHEN transport > 3 THEN 'PROVIDER_UNAVAILABLE' END AS error FROM (SELECT version_id, date_trunc('day', ts) AS day, count(*) FILTER (WHERE event_type = 'view') AS semantic, count(*) FILTER (WHERE event_type = 'error') AS transport FROM runs GROUP BY ALL)", "runs")
 def _(spark, d):
-    r = t.runs(spark, d).groupBy("version_id").agg(F.count_if(F.col("event_type") == "view").alias("semantic"), F.count_if(F.col("event_type") == "error").alias("transport"))
-    return r.withColumn("exceeded", F.col("semantic") > 2)
+    r = t.runs(spark, d).groupBy("version_id", F.date_trunc("day", "ts").alias("day")).agg(F.count_if(F.col("event_type") == "view").alias("semantic"), F.count_if(F.col("event_type") == "error").alias("transport"))
+    return r.select("version_id", "semantic", "transport", decisions.attempt_violation(F.col("semantic"), F.col("transport")).alias("error"))
 
 
 @query("GEN15_time_scope", f"SELECT item, bool_or(coalesce(bound_low <= {_HIGH[1]} AND bound_high >= {_LOW[0]} AND bound_low <= bound_high, false)) AS grounded FROM bounded GROUP BY item", "bounded")

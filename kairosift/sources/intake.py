@@ -49,6 +49,18 @@ def put_artifacts(files: DataFrame) -> DataFrame:
     return files.select(artifact_key(F.col("content")).alias("key"), F.length("content").cast("long").alias("byte_size")).dropDuplicates(["key"])
 
 
+def get_artifacts(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` (key) with the stored content and ``error``: a malformed key, an unknown one, or null."""
+    found = keys.join(stored.select("key", "content").withColumn("held", F.lit(True)), "key", "left")
+    error = F.when(~F.coalesce(valid_key(F.col("key")), F.lit(False)), F.lit("malformed_key")).when(F.col("held").isNull(), F.lit("unknown_key"))
+    return found.select("key", "content", error.alias("error"))
+
+
+def delete_artifacts(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """What is left of ``stored``; keys that it hasn't got are passed over."""
+    return stored.join(keys.select("key"), "key", "left_anti")
+
+
 def valid_key(key: Column) -> Column:
     return key.rlike("^[0-9a-f]{2}/[0-9a-f]{64}$")
 

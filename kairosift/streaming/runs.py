@@ -30,6 +30,12 @@ def after_failure(attempts: Column, retryable: Column) -> Column:
     return F.when(retryable & (attempts < MAX_ATTEMPTS), F.lit("PENDING")).otherwise(F.lit("FAILED"))
 
 
+def failure(code: Column, known: dict[str, bool]) -> dict[str, Column]:
+    """The reason and whether it may be retried, by the ``known`` codes; an unclassified failure may not."""
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return {"reason": F.when(names[code].isNotNull(), code).otherwise(F.lit("unexpected")), "retryable": F.coalesce(names[code], F.lit(False))}
+
+
 def backoff_seconds(attempts: Column) -> Column:
     return attempts * BACKOFF_S
 
