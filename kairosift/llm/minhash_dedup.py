@@ -156,7 +156,7 @@ _COMPARED = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T
 
 #: Leaders of a bucket after the first level, twice as many at each further one up to CLASSES, which are hash classes
 #: of the members: a member is compared with so many at most.
-LEADERS, CLASSES = 32, 256
+LEADERS, CLASSES = 8, 256
 _RANK = "shiftleft({n}, 40) | (xxhash64({id}) & 1099511627775)"  # by size; ties by hash
 
 
@@ -184,13 +184,15 @@ class NearDuplicates:
         linked = F.expr(f"100 * shared >= {self.percent} * (nx + ny - shared)")
         found = self._compared(pairs)  # all of them: members unlike their leader may be alike
         labels = components(found.where(linked).select("x", "y"))
-        stars, seen, most, first = found, pairs, LEADERS, found  # the stars of the next level, and all the pairs that were in a star
+        stars, seen, most = found, pairs, LEADERS  # the stars of the next level, and all the pairs that were in a star
         while True:
             pairs = self._beside(stars.withColumn("apart", ~linked), labels, most)
             if pairs is None:
                 break
             new = self._compared(stored(pairs.join(found, ["x", "y"], "left_anti").select("x", "y"), "minhash-pairs"))
             found = found.union(new)
+            if not new.where(linked).isEmpty():  # what hangs together needs no more links
+                labels = components(found.where(linked).select("x", "y"))
             fresh_pairs = stored(pairs.where("first").select("x", "y").join(seen, ["x", "y"], "left_anti"), "minhash-pairs")
             if fresh_pairs.isEmpty():
                 break
@@ -199,8 +201,7 @@ class NearDuplicates:
             again = seen.join(fresh_pairs.select("x").distinct(), "x", "left_semi")
             stars, most = found.join(again, ["x", "y"], "left_semi"), min(2 * most, CLASSES)
         forget(self.sets)
-        links = found.where(linked).select("x", "y")
-        return labels if found is first or links.count() == first.where(linked).count() else components(links)
+        return labels
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         """(id, shingles) of all that is in ``pairs``; no later level asks for another."""
@@ -222,7 +223,8 @@ class NearDuplicates:
         # What a member must share outside of x with another one to link with it, where it is the larger of the two:
         need = f"greatest(1, cast(ceil({self.percent / 100} * ny - 1e-9) as long) - shared)"
         rows = rows.select("x", "y", "c", "apart", "ny", "more", F.expr(f"size(more) - {need} + 1").alias("left")).where("size(more) > 0 and left > 0")
-        rows = stored(rows.join(rows.where("apart").select("x").distinct(), "x", "left_semi"), "minhash-beside")
+        several = rows.groupBy("x").agg(F.max("apart").alias("open"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("open and c0 <> c1")
+        rows = stored(rows.join(several.select("x"), "x", "left_semi"), "minhash-beside")
         each = rows.select("x", "y", F.explode("more").alias("e"))
         common = stored(each.groupBy("x", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-common")  # a plain table: Spark then splits a hot shingle
         if common.isEmpty():
@@ -237,15 +239,19 @@ class NearDuplicates:
         open_ = stored(open_.groupBy("x", "n", "s1", "s2").agg(F.min("e").alias("e")).select("x", "e", "n"), "minhash-open")  # a plain table: Spark then splits a hot bucket
         if open_.isEmpty():
             return None
-        each = each.join(open_, ["x", "e"])
         h = F.when(F.col("n") <= most, F.col("y")).otherwise(F.pmod(F.xxhash64("y", F.lit(7)), F.lit(CLASSES))).alias("h")  # a small bucket's members all lead
-        by_class = each.groupBy("x", "e", h).agg(F.min(F.struct("rank", "y")).alias("least"), F.max("n").alias("n"))
+        by_class = each.join(open_, ["x", "e"]).groupBy("x", "e", h).agg(F.min(F.struct("rank", "y", "c")).alias("least"), F.max("n").alias("n"))
         leaders = by_class.groupBy("x", "e").agg(F.slice(F.array_sort(F.collect_list("least")), 1, most).alias("to"), F.max("n").alias("n"))  # CLASSES at most
         leaders = stored(leaders.select("x", "e", "to", (F.col("n") > F.size("to")).alias("more")), "minhash-leaders")
-        met = each.join(leaders, ["x", "e"]).select("y", "rank", "more", F.posexplode("to").alias("nth", "l")).where("y <> l.y")
+        # of one component only the first leader and its members meet, where the bucket goes on
+        met = each.join(leaders, ["x", "e"]).withColumn("to", F.filter(F.transform("to", lambda l, i: F.struct(l.rank.alias("rank"), l.y.alias("y"), l.c.alias("c"), (i == 0).alias("first"))), lambda l: (l.c != F.col("c")) | (l.first & F.col("more"))))
+        met = met.select("y", "rank", "more", F.explode("to").alias("l")).where("y <> l.y")
         swap = F.col("rank") < F.col("l.rank")  # the smaller set comes first
-        met = met.select(F.when(swap, F.col("y")).otherwise(F.col("l.y")).alias("x"), F.when(swap, F.col("l.y")).otherwise(F.col("y")).alias("y"), (F.col("more") & (F.col("nth") == 0)).alias("first"))
-        return stored(met.groupBy("x", "y").agg(F.max("first").alias("first")), "minhash-pairs")
+        met = met.select(F.when(swap, F.col("y")).otherwise(F.col("l.y")).alias("x"), F.when(swap, F.col("l.y")).otherwise(F.col("y")).alias("y"), (F.col("more") & F.col("l.first")).alias("first"))
+        out = stored(met.groupBy("x", "y").agg(F.max("first").alias("first")), "minhash-pairs")
+        for done in (rows, common, each, open_, leaders):
+            forget(done)
+        return out
 
 
 def text_keys() -> tuple[Column, Column]:
