@@ -14,6 +14,16 @@ from ..functions.temporal import order_key, relation
 SENT = 10_000
 
 
+# English words that a full-text search leaves out of a question.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can
+will just don should now
+""".split()
+
+
 def dot(a: Column, b: Column) -> Column:
     """In double precision."""
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -66,9 +76,9 @@ def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
 def lexical(queries: DataFrame, chunks: DataFrame, k: int, all_terms: bool = True) -> DataFrame:
     """Items of ``chunks`` (item, text) with all (or any) of a query's terms; score: sum of 1 + ln(tf).
 
-    ``queries`` (query_id, text). Only terms that are asked for are counted and shuffled.
+    ``queries`` (query_id, text); stop words aren't asked for. Only terms that are asked for are counted and shuffled.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).where(~F.col("term").isin(STOP_WORDS))
     n = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     index = postings(chunks, asked.select("term").distinct())
     hits = index.join(asked, "term").groupBy("query_id", "item").agg(F.sum(1 + F.log("tf")).alias("score"), F.count(F.lit(1)).alias("hits"))

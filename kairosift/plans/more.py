@@ -251,7 +251,7 @@ def _retrieval(spark, d, moved: bool = False, **request):
     vectors = tables["chunks"].select("chunk_id", "document_id").join(v, "document_id").select("chunk_id", "v")
     asked = t.read(spark, d, "embeddings").where("vec_id = 1").select("embedding").head(1)
     later = tables | {"documents": tables["documents"].withColumn("active_version_id", F.expr("if(document_id % 5 = 0, -1, active_version_id)"))}
-    request = {"query": "the of and", "corpora": _SCOPE} | request
+    request = {"query": "the end of thanea", "corpora": _SCOPE} | request
     return requests.retrieve(spark, request, tables, vectors, asked[0][0] if asked else None, fresh=(lambda: (later, "srg1")) if moved else None)
 
 

@@ -592,7 +592,7 @@ def _questions(spark, d):
 
 
 _ASKED = (
-    ", asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark), wanted AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id), "
+    ", asked AS (SELECT * FROM (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark) WHERE term NOT IN ('" + "','".join(routes.STOP_WORDS) + "')), wanted AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id), "
     "hits AS (SELECT query_id, item, round(sum(1 + ln(tf)), 9) AS score, count(*) AS hits FROM posts JOIN asked USING (term) GROUP BY ALL) "
 )
 _TOP = "SELECT query_id, item, score, CAST(r AS BIGINT) AS rank FROM (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS r FROM hits {}) WHERE r <= 10"

@@ -177,12 +177,12 @@ def test_retrieval(spark):
     request = {"query": "the bridge", "corpora": ["one"]}
     out = requests.retrieve(spark, request, tables, vectors, [1.0, 0.0])
     rows = out.candidates.orderBy("rank").collect()
-    assert out.outcome == "SUCCESS_WITH_CANDIDATES" and out.routes["dense"]["candidates"] == 5 and out.routes["lexical"]["candidates"] == 4 and not out.fallback
+    assert out.outcome == "SUCCESS_WITH_CANDIDATES" and out.routes["dense"]["candidates"] == 5 and out.routes["lexical"]["candidates"] == 3 and not out.fallback
     assert rows[0].item == "c0" and rows[0].routes == "dense,lexical" and abs(rows[0].score - 2 / 61) < 1e-9 and {r.item for r in rows} == {"c0", "c1", "c2", "c3", "c5"}
     # a version that changes meanwhile: its candidates go and the others move up
     later = tables | {"documents": tables["documents"].withColumn("active_version_id", F.expr("if(document_id = 1, -1, active_version_id)"))}
     out = requests.retrieve(spark, request, tables, vectors, [1.0, 0.0], requests.RetrievalConfig(output_limit=2), fresh=lambda: (later, "srg1"))
-    assert [r.item for r in out.candidates.orderBy("rank").collect()] == ["c2", "c5"] and out.rejected == {"VERSION_REPLACED": 2}
+    assert [r.item for r in out.candidates.orderBy("rank").collect()] == ["c2", "c3"] and out.rejected == {"VERSION_REPLACED": 2}
     out = requests.retrieve(spark, request, tables, vectors, [1.0, 0.0], fresh=lambda: (tables, "srg2"))
     assert out.outcome == "FAILURE" and out.errors == ["SEARCH_GENERATION_CHANGED"] and out.candidates is None
     out = requests.retrieve(spark, request | {"query": "AB12"}, tables, vectors, None)
