@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lang_crf, line_dedup, minhash_dedup, packing, piece_codec, quality_lm, risk_rules, suffix_dedup, url_filter
+from . import ann, html_extract, lang_crf, line_dedup, minhash_dedup, packing, piece_codec, quality_lm, risk_rules, suffix_dedup, url_filter, whitening, word_runs
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_packing": packing.op9_packing,
         "op10_ann": ann.op10_ann,
+        "op11_html_extract": html_extract.op11_html_extract,
+        "op12_word_runs": word_runs.op12_word_runs,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": _pipeline,
     }
 
