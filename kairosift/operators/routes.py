@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import order_key, relation
-
+from . import textsearch
+from .intervals import overlaps
 
 #: Rows of a side that is sent to all executors: queries or intents of requests; more of them go in rounds.
 SENT = 10_000
@@ -29,10 +30,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def rounds(asked: DataFrame, key: str, most: int = SENT) -> list[DataFrame]:
     """``asked`` in parts of about ``most`` rows at most, dealt by ``key``: each may be sent to the executors."""
     n = -(-asked.count() // most)
@@ -66,11 +63,11 @@ def terms(text: Column) -> Column:
 
 
 def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(item, term, tf, first): the inverted index of ``chunks`` (item, text), of the terms in ``only`` (term) if given."""
-    each = chunks.select("item", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+    """(item, term, tf, first): the inverted index of ``chunks`` (item, text), of the terms in ``only`` (term) if given; made in each row."""
+    each = textsearch.postings(chunks, terms)
     if only is not None:
         each = each.join(only, "term", "left_semi")
-    return each.groupBy("item", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first"))
+    return each.select("item", "term", F.size("positions").cast("long").alias("tf"), F.get("positions", F.lit(0)).alias("first"))
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int, all_terms: bool = True) -> DataFrame:
@@ -87,33 +84,36 @@ def lexical(queries: DataFrame, chunks: DataFrame, k: int, all_terms: bool = Tru
     return top(hits.select("query_id", "item", F.round("score", 9).alias("score")), k, "item")
 
 
-def phrase(chunks: DataFrame, words: list[str]) -> DataFrame:
-    """Items of ``chunks`` (item, text) that hold the words next to each other."""
-    padded = F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" "))
-    return chunks.where(padded.contains(" " + " ".join(words) + " ")).select("item")
-
-
-def literal(chunks: DataFrame, token: str) -> DataFrame:
-    """Fallback: unstemmed, whole tokens by white space, whatever their case."""
-    return chunks.where(F.array_contains(F.split(F.lower("text"), r"\s+"), token.lower())).select("item")
-
-
 def needs_fallback(query: Column, n_primary: Column) -> Column:
     """No primary hit, a quoted phrase, or a token like an identifier."""
     mixed = query.rlike(r"(^|\s)([a-zA-Z]+[0-9][a-zA-Z0-9]*|[0-9]+[a-zA-Z][a-zA-Z0-9]*)(\s|$)")
     return (n_primary == 0) | query.contains('"') | mixed | query.rlike(r"[A-Za-z0-9][._/-][A-Za-z0-9]") | query.rlike(r"(^|\s)[A-Z]{2,}(\s|$)")
 
 
-def temporal(intents: DataFrame, mentions: DataFrame, k: int, kind: str = "OVERLAP", tolerance: int = 0) -> DataFrame:
-    """Items whose mentions (item, mention_id, bound_low, bound_high, ...) stand in the relation to an intent
-    (query_id, q_low, q_high): the strongest mention ranks, the number of all that match is kept.
+def matches(intents: DataFrame, mentions: DataFrame, kind: str = "OVERLAP", tolerance: int = 0) -> DataFrame:
+    """All pairs (query_id, item, mention_id, distance) of an intent and a mention that stands in the relation to it.
+
+    ``intents`` (query_id, q_low, q_high; for RECURRING q_month, q_day), ``mentions`` (item, mention_id, bound_low, bound_high;
+    start_month, start_day). POINT, RANGE, OVERLAP and AROUND join on bins, RECURRING on month and day. BEFORE and AFTER
+    match a constant share of all pairs, so there the intents go to the mentions, in rounds of a bounded size.
     """
-    known, hits = mentions.where("bound_low is not null"), []
-    for part in rounds(intents, "query_id"):
-        joined = known.join(F.broadcast(part))
-        hits.append(joined.where(relation(kind, F.col("bound_low"), F.col("bound_high"), F.col("q_low"), F.col("q_high"), tolerance)))
-    distance = F.abs((F.col("bound_low") + F.col("bound_high")) - (F.col("q_low") + F.col("q_high"))) / 2
-    hit = reduce(DataFrame.unionByName, hits).withColumn("distance", distance)
+    known = mentions.where("bound_low <= bound_high")
+    if kind == "RECURRING":
+        day = (F.col("start_month") == F.col("q_month")) & (F.col("start_day") == F.col("q_day"))
+        return known.join(intents, day).select("query_id", "item", "mention_id", F.lit(0.0).alias("distance"))
+    distance = (F.abs((F.col("bound_low") + F.col("bound_high")) - (F.col("q_low") + F.col("q_high"))) / 2).alias("distance")
+    if kind in ("BEFORE", "AFTER"):
+        holds = relation(kind, F.col("bound_low"), F.col("bound_high"), F.col("q_low"), F.col("q_high"))
+        hit = reduce(DataFrame.unionByName, [known.join(F.broadcast(part), holds) for part in rounds(intents, "query_id")])
+        return hit.select("query_id", "item", "mention_id", distance)
+    wide = F.lit(tolerance if kind == "AROUND" else 0)
+    asked = intents.select("query_id", "q_low", "q_high", (F.col("q_low") - wide).alias("__low"), (F.col("q_high") + wide).alias("__high")).where("q_low <= q_high")
+    return overlaps(known.select("item", "mention_id", "bound_low", "bound_high"), asked, ("bound_low", "bound_high"), ("__low", "__high")).select("query_id", "item", "mention_id", distance)
+
+
+def temporal(intents: DataFrame, mentions: DataFrame, k: int, kind: str = "OVERLAP", tolerance: int = 0) -> DataFrame:
+    """Items with a mention that matches an intent (see ``matches``), nearest first: the strongest mention ranks, the number of all that match is kept."""
+    hit = matches(intents, mentions, kind, tolerance)
     best = hit.groupBy("query_id", "item").agg(F.min(F.struct("distance", "mention_id")).alias("b"), F.count(F.lit(1)).alias("n_matches"))
     return top(best.select("query_id", "item", (-F.col("b.distance")).alias("score"), F.col("b.mention_id").alias("mention_id"), "n_matches"), k, "item")
 
@@ -123,4 +123,4 @@ def asked_bounds(y: int, m: int | None = None, d: int | None = None) -> tuple[in
     return key(y, m or 1, d or 1), key(y, m or 12, d or 31)
 
 
-__all__ = ["asked_bounds", "cosine", "dense", "dot", "lexical", "literal", "needs_fallback", "order_key", "phrase", "postings", "rounds", "temporal", "terms", "top"]
+__all__ = ["asked_bounds", "dense", "dot", "lexical", "matches", "needs_fallback", "order_key", "postings", "rounds", "temporal", "terms", "top"]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal as tmp
 from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests, routes
+from ..sources import intake
 from ..streaming import runs
-
+from . import search  # noqa: F401  its queries are registered
 from . import tables as t
 from .queries import ORACLE, QUERIES, query
 
@@ -56,8 +57,6 @@ def _(spark, d):
 
 @query("ING9_dispatch", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/pdf' ELSE 'unsupported_media_type' END AS parser FROM pages")
 def _(spark, d):
-    from ..streaming import runs
-
     p = t.read(spark, d, "pages").select("page_id", t.pick(["a.txt", "a.md", "a.pdf", "a.bin"], F.expr("page_id % 4")).alias("path"))
     return p.select("page_id", F.coalesce(intake.media_type(F.col("path")), F.lit("unsupported_media_type")).alias("parser"))
 

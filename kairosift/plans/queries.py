@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tmp
-from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, represent, requests, routes
+from ..operators import blocks, chunks, decisions, evidence, fusion, intervals, lifecycle, represent, requests, routes
 from ..sources import intake
 from ..streaming import runs
 from . import tables as t
@@ -175,16 +175,16 @@ def _(spark, d):
 
 @query("JOIN1_containment", "SELECT m.doc_id, m.ordinal, m.s, c.piece FROM m JOIN c ON c.doc_id = m.doc_id AND c.ordinal = m.ordinal AND c.a <= m.s AND m.e <= c.b", "lines")
 def _(spark, d):
-    lines = t.lines(spark, d).select("doc_id", "ordinal", F.length("line").alias("n")).where("n >= 30")
-    m = lines.select("doc_id", "ordinal", F.expr("cast((doc_id * 7 + ordinal * 13) % (n - 9) as int)").alias("s")).withColumn("e", F.col("s") + 10)
+    lines = t.lines(spark, d).select("doc_id", "ordinal", F.length("line").alias("n")).where("n > 0")
+    m = lines.select("doc_id", "ordinal", "n", F.expr("cast((doc_id * 7 + ordinal * 13) % greatest(n - 9, 1) as int)").alias("s")).withColumn("e", F.least(F.col("s") + 10, F.col("n"))).drop("n")
     c = lines.select("doc_id", "ordinal", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(40))).alias("a"))
     c = c.select("doc_id", "ordinal", "a", F.least(F.col("a") + 60, F.col("n")).alias("b"), F.expr("cast(a / 40 as int)").alias("piece"))
-    return m.join(c, ["doc_id", "ordinal"]).where("a <= s and e <= b").select("doc_id", "ordinal", "s", "piece")
+    return intervals.contained(c, m, ["doc_id", "ordinal"], ("a", "b"), ("s", "e")).select("doc_id", "ordinal", "s", "piece")
 
 
 ORACLE["JOIN1_containment"] = ORACLE["JOIN1_containment"].replace(
     " SELECT m.doc_id",
-    ", l AS (SELECT doc_id, ordinal, length(line) AS n FROM lines WHERE length(line) >= 30), m AS (SELECT doc_id, ordinal, (doc_id * 7 + ordinal * 13) % (n - 9) AS s, (doc_id * 7 + ordinal * 13) % (n - 9) + 10 AS e FROM l), "
+    ", l AS (SELECT doc_id, ordinal, length(line) AS n FROM lines WHERE length(line) > 0), m AS (SELECT doc_id, ordinal, (doc_id * 7 + ordinal * 13) % greatest(n - 9, 1) AS s, least((doc_id * 7 + ordinal * 13) % greatest(n - 9, 1) + 10, n) AS e FROM l), "
     "c AS (SELECT doc_id, ordinal, a, least(a + 60, n) AS b, a // 40 AS piece FROM (SELECT *, unnest(range(0, n, 40)) AS a FROM l)) SELECT m.doc_id",
     1,
 )
@@ -523,7 +523,6 @@ _BEST = (
 
 @query("TMP18_strongest", _BEST, "bounded")
 @query("RET11_temporal_route", _BEST, "bounded")
-@query("JOIN7_intents", _BEST, "bounded")
 @query("WIN7_strongest_mention", _BEST, "bounded")
 def _(spark, d):
     intents = spark.range(1).select(F.lit(1).alias("query_id"), F.lit(_LOW[0]).alias("q_low"), F.lit(_HIGH[1]).alias("q_high"))
@@ -619,16 +618,6 @@ def _(spark, d):
     return routes.lexical(_questions(spark, d), mine, 10, all_terms=False).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("RET9_phrase", "SELECT doc_id || ':' || ordinal AS item FROM lines WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ', ' in the ')", "lines")
-def _(spark, d):
-    return routes.phrase(items(spark, d), ["in", "the"])
-
-
-@query("RET8_literal", "SELECT doc_id || ':' || ordinal AS item FROM lines WHERE list_contains(string_split_regex(lower(line), '\\s+'), 'the,')", "lines")
-def _(spark, d):
-    return routes.literal(items(spark, d), "the,")
-
-
 @query("RET10_fallback", "SELECT p_partkey, regexp_matches(q, '(^|\\s)([a-zA-Z]+[0-9][a-zA-Z0-9]*|[0-9]+[a-zA-Z][a-zA-Z0-9]*)(\\s|$)') OR contains(q, '\"') OR p_size % 10 = 0 OR regexp_matches(q, '[A-Za-z0-9][._/-][A-Za-z0-9]') OR regexp_matches(q, '(^|\\s)[A-Z]{2,}(\\s|$)') AS fallback FROM (SELECT *, p_name || CASE p_partkey % 4 WHEN 0 THEN ' AB12' WHEN 1 THEN ' \"x y\"' ELSE '' END AS q FROM part)")
 def _(spark, d):
     p = t.read(spark, d, "part").select("p_partkey", F.expr("concat(p_name, case p_partkey % 4 when 0 then ' AB12' when 1 then ' \"x y\"' else '' end)").alias("q"), F.expr("if(p_size % 10 = 0, 0, 1)").alias("n"))
