@@ -6,14 +6,19 @@ that strength would need 2*m*m*r minhashes. With m = 10 and r = 3 a pair of simi
 with probability 1 - 1.5e-4, of 0.9 with 1 - 2e-6.
 
 Steps: texts of one shingle set are one class. In every table, the members of a bucket are compared on full sets with
-the bucket's smallest set alone, its leader, so a bucket gives no more pairs than members. Links between other members
-are found level by level without comparing all pairs: let y and z be members of buckets led by x, one of them not
+the bucket's smallest set alone, its leader, so a bucket gives no more pairs than members. A leader with its members is a
+star. A star whose members are all linked with it, or all in one component by then, is done. Of the others, each with at
+most ``CELLS`` shingles in all (and bounded work) goes to one task, which finds the links that join its components by
+counting what each member outside of the largest component shares with all members; it emits fewer links than members.
+
+Larger stars go on in levels without comparing all pairs: let y and z be members of buckets led by x, one of them not
 linked with x. Both have at least as many shingles as x, so to reach the similarity they must share a shingle that x
 hasn't got. So members are put into new buckets, one for each such shingle (rarest first, as many as the needed overlap
 asks for; of buckets with the same members one is kept). There all are compared with the bucket's leaders: all of a few
-members, else the smallest of some hash classes. A bucket of leaders alone is done; the others go on to the next level
-by their shingles outside of the first leader, until no bucket is left. Leaders grow from level to level, so this ends;
-independent edits share nothing outside of x and make no bucket, however large the group is.
+members, else the smallest of some hash classes. A bucket of leaders alone is done; the others are stars of their first
+leader, finished by a task where they fit, else put into buckets by their shingles outside of that leader. Leaders grow
+from level to level, so this ends; independent edits share nothing outside of x and make no bucket, however large the
+group is, and a star of so many members that it doesn't fit is split at each level by shingles that not all have.
 
 Defined cases
 * null, empty or wordless text: n_shingles 0, linked with nothing;
@@ -151,20 +156,55 @@ def _compare(batches):
         )
 
 
+def _links_within(percent: int):
+    """Links between members (x, y, c: component, shingles) of a star, as many as join components that aren't joined yet.
+
+    Every pair of two components has a member outside of the largest one, so these alone count what they share with all.
+    """
+
+    def run(star: pa.Table) -> pa.Table:
+        ids, label = star["y"].to_numpy(), star["c"].to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), _U) for s in star["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        shingle, which = np.unique(np.concatenate(sets), return_inverse=True)
+        holder = np.repeat(np.arange(len(ids)), sizes)[np.argsort(which, kind="stable")]
+        df = np.bincount(which, minlength=len(shingle))
+        at = np.cumsum(df) - df
+        parts = np.split(which, np.cumsum(sizes)[:-1])
+        names, number, count = np.unique(label, return_inverse=True, return_counts=True)
+        root = np.arange(len(names))
+        out = []
+        for z in np.flatnonzero(number != count.argmax()):
+            n = df[parts[z]]
+            places = np.repeat(at[parts[z]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(holder[places], minlength=len(ids))
+            for y in np.flatnonzero((100 * shared >= percent * (sizes[z] + sizes - shared)) & (root[number] != root[number[z]])):
+                a, b = root[number[z]], root[number[y]]
+                if a != b:
+                    out.append((ids[z], ids[y]))
+                    root[root == b] = a
+        return pa.table({"x": pa.array([a for a, _ in out], pa.int64()), "y": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 _COMPARED = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("nx", "ny", "shared")], T.StructField("more", T.ArrayType(T.LongType()))])
 
 
 #: Leaders of a bucket after the first level, twice as many at each further one up to CLASSES, which are hash classes
 #: of the members: a member is compared with so many at most.
 LEADERS, CLASSES = 32, 256
+#: A star is finished by one task if its members have so many shingles in all (8 bytes each), and a thousand times as many
+#: over all members: some seconds of work. Larger ones go on to the next level.
+CELLS = 4_000_000
 _RANK = "shiftleft({n}, 40) | (xxhash64({id}) & 1099511627775)"  # by size; ties by hash
 
 
 class NearDuplicates:
     """One run over ``docs``: ``features`` holds the rows, ``nodes`` the different sets by 64 bits of their hash."""
 
-    def __init__(self, docs: DataFrame, k: int, percent: int, m: int, r: int):
-        self.k, self.percent = k, percent
+    def __init__(self, docs: DataFrame, k: int, percent: int, m: int, r: int, cells: int = CELLS):
+        self.k, self.percent, self.cells = k, percent, cells
         self.core = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), *text_keys(), "text")
         self.features = stored(self.core.mapInArrow(_features(k, m, r), _FEATURES), "minhash")
         first = F.min_by(F.struct("t1", "t2", "n_shingles", "left_keys", "right_keys"), F.struct("id", "t1", "t2")).alias("f")
@@ -183,16 +223,22 @@ class NearDuplicates:
         self.sets = self._sets_of(pairs)
         linked = F.expr(f"100 * shared >= {self.percent} * (nx + ny - shared)")
         found = self._compared(pairs)  # all of them: members unlike their leader may be alike
-        labels = components(found.where(linked).select("x", "y"))
+        links = found.where(linked).select("x", "y")
+        labels = components(links)
         stars, seen, most = found, pairs, LEADERS  # the stars of the next level, and all the pairs that were in a star
         while True:
-            pairs = self._beside(stars.withColumn("apart", ~linked), labels, most)
+            stars, inside = self._finished(stars.withColumn("apart", ~linked), labels)
+            if inside is not None and not inside.isEmpty():
+                links = links.union(inside)
+                labels = components(links)
+            pairs = None if stars is None else self._beside(stars, labels, most)
             if pairs is None:
                 break
             new = self._compared(stored(pairs.join(found, ["x", "y"], "left_anti").select("x", "y"), "minhash-pairs"))
             found = found.union(new)
             if not new.where(linked).isEmpty():  # what hangs together needs no more links
-                labels = components(found.where(linked).select("x", "y"))
+                links = links.union(new.where(linked).select("x", "y"))
+                labels = components(links)
             fresh_pairs = stored(pairs.where("first").select("x", "y").join(seen, ["x", "y"], "left_anti"), "minhash-pairs")
             if fresh_pairs.isEmpty():
                 break
@@ -203,6 +249,20 @@ class NearDuplicates:
         forget(self.sets)
         return labels
 
+    def _finished(self, stars: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """The stars that are left for another level, and the links that a task found in each star within the bounds."""
+        of = labels.select(F.col("node").alias("y"), F.col("component").alias("c"))
+        rows = stars.select("x", "y", "apart", "ny").join(of, "y", "left").withColumn("c", F.coalesce("c", "y"))
+        ended = rows.groupBy("x").agg(F.max("apart").alias("open"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("ny").alias("cells"))
+        ended = ended.where("open and c0 <> c1").select("x", F.expr(f"cells <= {self.cells} and n * cells <= {1000 * self.cells}").alias("fits"))
+        ended = stored(ended, "minhash-open")  # a plain table: Spark then splits a hot star
+        fits = {r["fits"] for r in ended.select("fits").distinct().collect()}
+        inside = None
+        if True in fits:
+            mine = rows.join(ended.where("fits").select("x"), "x").select("x", "y", "c").join(self.sets.select(F.col("id").alias("y"), "shingles"), "y")
+            inside = stored(mine.groupBy("x").applyInArrow(_links_within(self.percent), T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])), "minhash-inside")
+        return stars.join(ended.where("not fits").select("x"), "x", "left_semi") if False in fits else None, inside
+
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         """(id, shingles) of all that is in ``pairs``; no later level asks for another."""
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
@@ -258,9 +318,9 @@ def text_keys() -> tuple[Column, Column]:
     return F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")
 
 
-def labelled_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
+def labelled_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3, cells: int = CELLS) -> DataFrame:
     """(doc_id, t1, t2, n_shingles, component_id) of every row of ``docs`` with a doc_id; t1 and t2 are keys of its text."""
-    found = NearDuplicates(docs, shingle, percent, m, r)
+    found = NearDuplicates(docs, shingle, percent, m, r, cells)
     labels = found.run()
     reps = found.nodes.select("id", "rep").join(labels, F.col("id") == F.col("node"), "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -270,9 +330,9 @@ def labelled_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int =
     return rows.select(F.col("id").alias("doc_id"), "t1", "t2", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, r: int = 3, cells: int = CELLS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, any more)."""
-    out = labelled_rows(docs, shingle, percent, m, r).drop("t1", "t2")
+    out = labelled_rows(docs, shingle, percent, m, r, cells).drop("t1", "t2")
     nulls = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nulls).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

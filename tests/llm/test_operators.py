@@ -205,8 +205,9 @@ def test_texts_of_one_doc_id_are_dropped_alone(spark):
     assert minhash_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_group_that_shares_much_beside_its_leader(spark):
-    """Members of one bucket family that share different extras, some of them linked with their leader and some not."""
+@pytest.mark.parametrize("cells, leaders", [(minhash_dedup.CELLS, 32), (0, 32), (0, 1), (6_000, 2)])
+def test_group_that_shares_much_beside_its_leader(spark, monkeypatch, cells, leaders):
+    """Finished by tasks, by levels alone, and by both. Members of one bucket family that share different extras, some of them linked with their leader and some not."""
     rng = random.Random(12)
     core = [f"c{i}" for i in range(80)]
     blocks = [[f"b{j}x{i}" for i in range(14)] for j in range(6)]
@@ -214,7 +215,9 @@ def test_group_that_shares_much_beside_its_leader(spark):
     for i in range(150):
         words = core + [w for j in rng.sample(range(6), rng.randint(0, 3)) for w in blocks[j]] + [f"own{i}x{k}" for k in range(rng.randint(0, 4))]
         docs.append(" ".join(words))
-    rows = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 1, 85).collect()}
+    monkeypatch.setattr(minhash_dedup, "LEADERS", leaders)
+    monkeypatch.setattr(minhash_dedup, "CLASSES", 2 * leaders)
+    rows = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 1, 85, cells=cells).collect()}
     assert [rows[i] for i in range(len(docs))] == [c for _, c in brute_components(docs, 1, 85)]
 
 
@@ -247,14 +250,15 @@ def test_links_beside_leaders_that_are_unlike(spark):
     assert rows[2] == 1 and [rows[d] for d, _ in docs] == [docs[c][0] for _, c in want]
 
 
-def test_links_in_a_pool_of_passages(spark):
+@pytest.mark.parametrize("cells", [minhash_dedup.CELLS, 0])
+def test_links_in_a_pool_of_passages(spark, cells):
     rng = random.Random(6)
     pool = [" ".join(f"p{i}x{j}" for j in range(8)) for i in range(60)]
     docs = [" ".join(rng.sample(pool, rng.randint(20, 30))) for _ in range(600)]
     for i in range(0, 100, 2):
         parts = docs[i].split(" ")
         docs[i + 1] = " ".join(parts[:-6] + [f"n{i}y{j}" for j in range(6)])
-    rows = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 3, 85).collect()}
+    rows = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 3, 85, cells=cells).collect()}
     assert [rows[i] for i in range(600)] == [c for _, c in brute_components(docs, 3, 85)]
 
 
