@@ -1,19 +1,15 @@
-"""Requests: validation, captured state, profiles, budgets of time, outcomes and traces of a retrieval."""
+"""Requests: validation, captured state, profiles, intents and outcomes, as columns."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import time
-from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from . import fusion, lifecycle, routes
 
 # Names of profiles and reasons.
 PROFILES = ["FACT_LOOKUP", "TEMPORAL_POINT", "TEMPORAL_RANGE", "TIMELINE", "BROAD"]
@@ -26,6 +22,7 @@ class RetrievalConfig:
 
     route_limit: int = 40
     fusion_limit: int = 100
+    literal_fallback: bool = True
     output_limit: int = 20
     rrf: int = 60
     adjustment_cap: float = 0.25
@@ -83,10 +80,6 @@ def outcome(n_candidates: Column, dense_ok: Column, lexical_ok: Column, all_ok:
     )
 
 
-class DeadlineExceeded(RuntimeError):
-    pass
-
-
 def derive_intents(queries: DataFrame, enabled: bool = False) -> DataFrame:
     """(query_id, relation, q_low, q_high) of the first resolved date that is found in each query's text; off by default."""
     blocks = queries.select(F.col("query_id").alias("doc_id"), F.lit("b0000").alias("block_id"), "text").where(F.lit(enabled))
@@ -94,107 +87,3 @@ def derive_intents(queries: DataFrame, enabled: bool = False) -> DataFrame:
     first = found.groupBy(F.col("doc_id").alias("query_id")).agg(F.min_by(F.struct("precision", "bound_low", "bound_high"), "start_offset").alias("m"))
     relation = F.when(F.col("m.precision") == "RANGE", F.lit("RANGE")).otherwise(F.lit("POINT"))
     return first.select("query_id", relation.alias("relation"), F.col("m.bound_low").alias("q_low"), F.col("m.bound_high").alias("q_high"))
-
-
-@dataclass
-class Retrieval:
-    """What a retrieval gives: its outcome, ranked candidates (null after a failure) and how it went."""
-
-    outcome: str
-    candidates: DataFrame | None
-    errors: list[str]
-    routes: dict[str, dict]
-    rejected: dict[str, int]
-    fallback: bool
-    config_version: str
-
-
-class _Clock:
-    def __init__(self, limit_ms: float | None):
-        self.began, self.limit = time.monotonic(), limit_ms
-
-    def check(self) -> None:
-        if self.limit and (time.monotonic() - self.began) * 1000 > self.limit:
-            raise DeadlineExceeded("REQUEST_DEADLINE_EXCEEDED")
-
-
-def _held(ranked: DataFrame) -> DataFrame:
-    """A route's ranking (route_limit rows at most) run now, once."""
-    rows = ranked.toArrow()
-    return ranked.sparkSession.createDataFrame(rows, ranked.schema)
-
-
-def retrieve(
-    spark: SparkSession, request: dict, tables: dict[str, DataFrame], vectors: DataFrame, query_vector: list[float] | None,
-    config: RetrievalConfig | None = None, srg: str = "srg1", fresh: Callable[[], tuple[dict[str, DataFrame], str]] | None = None,
-) -> Retrieval:
-    """One local retrieval over eligible chunks.
-
-    ``request``: query, corpora, and optional profile, relation with q_low and q_high, source_time, deadline_ms.
-    ``tables`` as for ``lifecycle.eligible_chunks`` and, for the temporal route, mentions (item, mention_id, origin,
-    bounds); ``vectors`` (chunk_id, v). Routes run one after the other, each to its limit, the deadline between them:
-    dense, lexical (any term), literal where the lexical route needs it, temporal where a relation is asked for. A
-    route without an input or without a match isn't lost; one that can't run is. They are fused by reciprocal ranks,
-    adjusted by time within the cap, diversified by document, and checked again on what ``fresh`` reads (tables and
-    pointer): a moved pointer fails the request, rejected candidates give way to the next ones.
-    """
-    config, clock = config or RetrievalConfig(), _Clock(request.get("deadline_ms"))
-    out = Retrieval("FAILURE", None, [], {}, {}, False, config.version)
-    state = [tables[n] for n in ("documents", "versions", "representations")]
-    eligible = lifecycle.eligible_chunks(tables["chunks"], *state, request["corpora"], srg)
-    found = eligible.select(F.col("chunk_id").alias("item"), F.col("source_text").alias("text"), "document_id")
-    asked = spark.range(1).select(F.lit(1).alias("query_id"), F.lit(request["query"]).alias("text"))
-    ranked: dict[str, DataFrame] = {}
-
-    def run(name: str, plan: Callable[[], DataFrame]) -> int:
-        clock.check()
-        at = time.monotonic()
-        ranked[name] = _held(plan().select("query_id", "item", "rank"))
-        n = ranked[name].count()
-        out.routes[name] = {"candidates": n, "ms": round((time.monotonic() - at) * 1000)}
-        return n
-
-    if query_vector is None:
-        out.errors.append("QUERY_EMBEDDING_MISSING")
-    else:
-        q = asked.select("query_id", F.array(*[F.lit(float(x)) for x in query_vector]).alias("qv"))
-        mine = vectors.join(eligible.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("item"), "v")
-        run("dense", lambda: routes.dense(q, mine, config.route_limit))
-    n = run("lexical", lambda: routes.lexical(asked, found, config.route_limit, all_terms=False))
-    out.fallback = bool(spark.range(1).select(routes.needs_fallback(F.lit(request["query"]), F.lit(n))).first()[0])
-    if out.fallback:
-        words = sorted(set(request["query"].lower().replace('"', " ").split()))
-        hits = reduce(DataFrame.union, [routes.literal(found.select("item", "text"), w) for w in words]) if words else None
-        if hits is not None:
-            run("literal", lambda: routes.top(hits.groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("score")).withColumn("query_id", F.lit(1)), config.route_limit, "item"))
-    if request.get("relation"):
-        kind = {"POINT": "OVERLAP", "RANGE": "OVERLAP"}.get(request["relation"], request["relation"])
-        intent = asked.select("query_id", F.lit(request["q_low"]).alias("q_low"), F.lit(request["q_high"]).alias("q_high"))
-        dated = tables["mentions"].join(found.select("item"), "item", "left_semi")
-        run("temporal", lambda: routes.temporal(intent, dated, config.route_limit, kind, config.around_days))
-    clock.check()
-    fused = fusion.fuse(fusion.ranked_union(**ranked), config.rrf).where(F.col("rank") <= config.fusion_limit).join(found.select("item", "document_id"), "item")
-    if request.get("relation"):  # what a mention of the wanted origin adds, within the cap
-        origin = dated.groupBy("item").agg(F.max(fusion.origin_weight(F.col("origin"), F.lit(bool(request.get("source_time"))))).alias("weight"))
-        fused = fusion.adjust(fused.join(origin, "item", "left"), 0.01 * F.coalesce("weight", F.lit(0.0)), config.adjustment_cap).drop("weight")
-    free = config.timeline_free if request.get("profile") == "TIMELINE" else config.free_per_document
-    placed = fusion.diversify(fused, "document_id", free, config.diversity_penalty).drop("document_id")
-    shortlist = placed.withColumnRenamed("item", "chunk_id").join(tables["chunks"].select("chunk_id", "document_id", "version_id", "corpus_id", "pg", "source_text"), "chunk_id")
-    shortlist = spark.createDataFrame(shortlist.toArrow(), shortlist.schema)  # fusion_limit rows at most
-    now, pointer = fresh() if fresh else (tables, srg)
-    if pointer != srg:
-        out.errors.append("SEARCH_GENERATION_CHANGED")
-        return out
-    clock.check()
-    checked = lifecycle.rejection_reason(shortlist, *[now[n] for n in ("documents", "versions", "representations")], request["corpora"], srg)
-    checked = spark.createDataFrame(checked.toArrow(), checked.schema)
-    out.rejected = {r["reason"]: r["count"] for r in checked.where("reason is not null").groupBy("reason").count().collect()}
-    good = shortlist.join(checked.where("reason is null").select("chunk_id"), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "item")
-    good = fusion.ranks(good.drop("rank")).where(F.col("rank") <= config.output_limit)
-    if request.get("relation"):
-        lineage = dated.groupBy("item").agg(F.array_sort(F.collect_set("mention_id")).alias("mentions"))
-        good = good.join(lineage, "item", "left")
-    out.candidates = good.withColumn("config_version", F.lit(config.version))
-    state_of = outcome(F.lit(good.count()), F.lit("dense" in ranked), F.lit("lexical" in ranked), F.lit(not out.errors), F.lit("temporal" in ranked))
-    out.outcome = spark.range(1).select(state_of).first()[0]
-    return out

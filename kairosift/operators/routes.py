@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,59 @@ def top(scored: DataFrame, k: int, item: str, query: str = "query_id") -> DataFr
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _nearest(asked: pa.Table, k: int, digits: int | None, own: bool):
+    """Of each block of vectors the k best of every query, and all that tie with the last of them."""
+    ids = asked["query_id"].to_numpy()
+    qv = np.array(asked["qv"].to_pylist(), float)
+    qv /= np.linalg.norm(qv, axis=1, keepdims=True)
+    scopes = asked["scope"].to_pylist()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                v = np.array(part.column(1).to_pylist(), float)
+                length = np.linalg.norm(v, axis=1)
+                fine = np.flatnonzero(length > 0)
+                items = part.column(0).take(pa.array(fine))
+                score = qv @ (v[fine] / length[fine, None]).T
+                if digits is not None:
+                    score = np.round(score, digits)
+                if not own:
+                    score[ids[:, None] == items.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                if any(s is not None for s in scopes):
+                    corpora = part.column(2).take(pa.array(fine)).to_pylist()
+                    in_ = {c: np.array([s is None or c in s for s in scopes]) for c in set(corpora)}
+                    score[~np.array([in_[c] for c in corpora]).reshape(len(corpora), -1).T] = -np.inf
+                least = np.sort(score, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(ids), 1), -np.inf)
+                q, i = np.nonzero((score >= least) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), items.take(pa.array(i)), pa.array(score[q, i])], names=["query_id", "item", "score"])
+
+    return run
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int, digits: int | None = None, own: bool = True) -> DataFrame:
-    """Exact cosine over eligible ``vectors`` (item, v) for a stated set of ``queries`` (query_id, qv).
+    """Exact cosine of ``vectors`` (item, v, corpus_id if queries have a scope) for ``queries`` (query_id, qv, optional scope: its corpora).
 
-    Every query needs every vector, so queries go to the vectors, in rounds of a bounded size; lengths are taken once a
-    vector. ``own`` false: a query isn't its own candidate. ``digits``: scores are rounded before they rank.
+    Every query needs every vector, so queries go to the vectors as a matrix, in rounds of a bounded size; each block of
+    vectors gives its best ones only. ``own`` false: a query isn't its own candidate. ``digits``: scores are rounded before
+    they rank. Vectors that are null, zero, of another length or with null or non-finite entries have no cosine and no rank.
     """
-    v = vectors.withColumn("nv", F.sqrt(dot(F.col("v"), F.col("v"))))
+    good = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(c, lambda x: x != 0)
+    scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("array<string>")
+    asked = queries.where(good("qv")).select("query_id", "qv", scope.alias("scope"))
+    corpus = F.col("corpus_id") if "scope" in queries.columns else F.lit(None).cast("string")
+    sizes = [r[0] for r in asked.select(F.size("qv")).distinct().collect()]  # lengths of vectors, one as a rule
     best = []
-    for part in rounds(queries.withColumn("nq", F.sqrt(dot(F.col("qv"), F.col("qv")))), "query_id"):
-        score = dot(F.col("qv"), F.col("v")) / (F.col("nq") * F.col("nv"))
-        met = v.join(F.broadcast(part)) if own else v.join(F.broadcast(part), F.col("item") != F.col("query_id"))
-        best.append(top(met.select("query_id", "item", (score if digits is None else F.round(score, digits)).alias("score")), k, "item"))
-    return reduce(DataFrame.unionByName, best)
+    for size in sizes:
+        mine = vectors.where(good("v") & (F.size("v") == size)).select("item", "v", corpus.alias("corpus_id"))
+        for part in rounds(asked.where(F.size("qv") == size), "query_id"):
+            kind = {f.name: f.dataType.simpleString() for f in vectors.schema}["item"]
+            rows = part.toArrow()  # a round's queries
+            best.append(mine.mapInArrow(_nearest(rows, k, digits, own), f"query_id {part.schema['query_id'].dataType.simpleString()}, item {kind}, score double"))
+    if not best:
+        return top(asked.join(vectors.limit(0), F.lit(False)).select("query_id", "item", F.lit(0.0).alias("score")), k, "item")
+    return top(reduce(DataFrame.unionByName, best), k, "item")
 
 
 def terms(text: Column) -> Column:
@@ -86,8 +128,8 @@ def lexical(queries: DataFrame, chunks: DataFrame, k: int, all_terms: bool = Tru
 
 def needs_fallback(query: Column, n_primary: Column) -> Column:
     """No primary hit, a quoted phrase, or a token like an identifier."""
-    mixed = query.rlike(r"(^|\s)([a-zA-Z]+[0-9][a-zA-Z0-9]*|[0-9]+[a-zA-Z][a-zA-Z0-9]*)(\s|$)")
-    return (n_primary == 0) | query.contains('"') | mixed | query.rlike(r"[A-Za-z0-9][._/-][A-Za-z0-9]") | query.rlike(r"(^|\s)[A-Z]{2,}(\s|$)")
+    mixed = query.rlike(r"(^|[^a-zA-Z0-9])([a-zA-Z]+[0-9][a-zA-Z0-9]*|[0-9]+[a-zA-Z][a-zA-Z0-9]*)([^a-zA-Z0-9]|$)")
+    return (n_primary == 0) | query.contains('"') | mixed | query.rlike(r"[A-Za-z0-9][._/-][A-Za-z0-9]") | query.rlike(r"(^|[^a-zA-Z0-9])[A-Z]{2,}([^a-zA-Z0-9]|$)")
 
 
 def matches(intents: DataFrame, mentions: DataFrame, kind: str = "OVERLAP", tolerance: int = 0) -> DataFrame:

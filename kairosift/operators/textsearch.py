@@ -19,6 +19,8 @@ Defined cases: null or empty texts have no words; null questions ask for nothing
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,10 +96,13 @@ def _covers(parts: Column) -> Column:
     return F.aggregate(F.array_sort(ends), state, lambda s, e: counted(step(s, e)), lambda s: s.score)
 
 
-def search(questions: DataFrame, index: DataFrame, k: int, vocabulary: DataFrame | None = None, stop_words: list[str] = ()) -> DataFrame:
+def search(
+    questions: DataFrame, index: DataFrame, k: int, vocabulary: DataFrame | None = None, stop_words: list[str] = (), within: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(query_id, item, score, rank): the k best items of ``index`` for each of ``questions`` (query_id, text).
 
-    ``vocabulary`` (term, stem): the English reading, with ``stop_words`` left out; None: the literal one.
+    ``vocabulary`` (term, stem): the English reading, with ``stop_words`` left out; None: the literal one. ``within``: keeps
+    the pairs (query_id, item, ...) that may be candidates at all.
     """
     parts = operands(questions, stop_words)
     asked = parts.select("query_id", "clause", "part", "negated", F.size("words").alias("n"), F.explode("words").alias("w")).select("*", "w.offset", "w.term").drop("w")
@@ -113,6 +118,7 @@ def search(questions: DataFrame, index: DataFrame, k: int, vocabulary: DataFrame
     lead = lead.where("df > 0").select("query_id", "clause", "lead.*")
     wanted = asked.join(lead, ["query_id", "clause", "part", "offset"]).select("query_id", "clause", "term")
     candidates = met.join(wanted, "term").select("query_id", "clause", "item").distinct()
+    candidates = within(candidates) if within else candidates
     hits = candidates.join(asked, ["query_id", "clause"]).join(met, ["item", "term"])
     at = F.struct("offset", F.transform("positions", lambda p: p - F.col("offset")).alias("starts"))
     hits = hits.groupBy("query_id", "clause", "item", "part", "negated", "n").agg(F.collect_list(at).alias("found"), F.collect_set("offset").alias("offsets"), F.max("offset").alias("last"), F.min("offset").alias("first"))

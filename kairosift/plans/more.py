@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tmp
-from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests, routes
+from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests, retrieval, routes
 from ..sources import intake
 from ..streaming import runs
 from . import search  # noqa: F401  its queries are registered
@@ -18,7 +20,7 @@ from .queries import ORACLE, QUERIES, query
 # ---- configuration and migrations
 
 
-_CONFIG = '{"adjustment_cap": 0.25, "around_days": 372, "diversity_penalty": 0.001, "free_per_document": 3, "fusion_limit": 100, "output_limit": 20, "route_limit": %s, "rrf": 60, "timeline_free": 6}'
+_CONFIG = '{"adjustment_cap": 0.25, "around_days": 372, "diversity_penalty": 0.001, "free_per_document": 3, "fusion_limit": 100, "literal_fallback": true, "output_limit": 20, "route_limit": %s, "rrf": 60, "timeline_free": 6}'
 
 
 @query("CFG1_config_version", "SELECT route_limit, sha256(replace('" + _CONFIG + "', '%s', CAST(route_limit AS VARCHAR))) AS version FROM (SELECT DISTINCT p_size AS route_limit FROM part)")
@@ -242,43 +244,106 @@ def _(spark, d):
 _SCOPE = ["src0", "src1", "src2", "src3"]
 
 
-def _retrieval(spark, d, moved: bool = False, **request):
-    """A retrieval over the tables; ``moved``: before the final check every fifth document has got another version."""
+def _state(spark, d) -> retrieval.State:
+    """The engine's tables; a mention belongs to a line of the document of its item, a chunk has the vector of its document."""
     tables = {"chunks": t.chunks(spark, d), "documents": t.documents(spark, d), "versions": t.versions(spark, d), "representations": t.representations(spark, d)}
-    tables["mentions"] = t.bounded(spark, d).withColumn("item", F.expr("concat((item % 200) * 10 + (item % 200) % 3, ':0')"))
-    v = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("v"))
-    vectors = tables["chunks"].select("chunk_id", "document_id").join(v, "document_id").select("chunk_id", "v")
-    asked = t.read(spark, d, "embeddings").where("vec_id = 1").select("embedding").head(1)
-    later = tables | {"documents": tables["documents"].withColumn("active_version_id", F.expr("if(document_id % 5 = 0, -1, active_version_id)"))}
-    request = {"query": "the end of thanea", "corpora": _SCOPE} | request
-    return requests.retrieve(spark, request, tables, vectors, asked[0][0] if asked else None, fresh=(lambda: (later, "srg1")) if moved else None)
+    tables["mentions"] = t.bounded(spark, d).withColumn("item", F.expr("concat(item * 10 + item % 3, ':', mention_id % 8)"))
+    v = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").cast("array<double>").alias("v"))
+    tables["vectors"] = tables["chunks"].select("chunk_id", "document_id").join(v, "document_id").select("chunk_id", "v")
+    return retrieval.State(tables, snapshot="snap1", model="fake", dims=64)
+
+
+def _asked(spark, d):
+    """Every benchmark text as a request, with the vector of its number; each third asks for a time, each sixth of them for a time of the source."""
+    low, high = routes.asked_bounds(-3, 3)[0], routes.asked_bounds(-1, 6)[1]
+    v = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("query_vector"))
+    words = F.slice(F.split("text", " "), 1, 4)
+    asked = t.read(spark, d, "benchmark").join(v, "item_id", "left").select(F.col("item_id").alias("query_id"), F.array_join(words, " or ").alias("query"), "query_vector")
+    timed, sourced = F.col("query_id") % 3 == 1, F.col("query_id") % 6 == 1
+    when = lambda c, value: F.when(c, F.lit(value))
+    return asked.withColumns({
+        "corpora": F.array(*[F.lit(c) for c in [*_SCOPE, "nowhere"]]), "relation": when(timed, "RANGE"), "q_low": when(timed, low), "q_high": when(timed, high),
+        "constraint": when(sourced, "SOURCE_TIME"), "s_low": when(sourced, low), "s_high": when(sourced, high),
+    })
+
+
+def _later(spark, d) -> Callable[[], retrieval.State]:
+    """Reads the tables; from the second time on every fifth document has got another version."""
+    states = [_state(spark, d)]
+    moved = states[0].tables["documents"].withColumn("active_version_id", F.expr("if(document_id % 5 = 0, -1, active_version_id)"))
+    states.append(replace(states[0], tables=states[0].tables | {"documents": moved}))
+    return lambda: states.pop(0) if len(states) > 1 else states[0]
+
+
+def _told(out: retrieval.Outcome):
+    """Requests with their maps as text; latencies aren't results."""
+    text = lambda c: F.concat_ws(",", F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e.key, e.value)))
+    return out.requests.select("query_id", "outcome", F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings"), "profile", "fallback", text("route_counts").alias("routes"), text("rejected").alias("rejected"), "n_candidates")
 
 
 @query("SNK2_retrieve")
 def _(spark, d):
-    return _retrieval(spark, d).candidates.select("item", "document_id", "source_text", "routes", "score", "rank")
+    out = retrieval.retrieve(spark, _asked(spark, d), lambda: _state(spark, d))
+    return out.candidates.select("query_id", "item", "document_id", "source_text", "routes", "score", "rank")
 
 
 @query("RET17_final_validation")
 def _(spark, d):
     """The candidates that are left after a change of versions, filled up from the next ones."""
-    return _retrieval(spark, d, moved=True).candidates.select("item", "document_id", "rank")
+    return retrieval.retrieve(spark, _asked(spark, d), _later(spark, d)).candidates.select("query_id", "item", "document_id", "rank")
 
 
 @query("RET23_candidates")
 def _(spark, d):
-    """Candidates of a question about a time, with their lineage and the mentions that stand behind them."""
-    low, high = routes.asked_bounds(-3, 3)[0], routes.asked_bounds(-1, 6)[1]
-    found = _retrieval(spark, d, relation="RANGE", q_low=low, q_high=high).candidates
-    return found.select("item", "document_id", "version_id", "corpus_id", "source_text", "routes", "n_routes", "score", "adjustment", "rank", F.array_join(F.transform("mentions", lambda m: m.cast("string")), ",").alias("mentions"), "config_version")
+    """Candidates with their lineage, each route's rank and score, and the mentions that stand behind them."""
+    found = retrieval.retrieve(spark, _asked(spark, d), lambda: _state(spark, d)).candidates
+    signal = lambda e: F.concat(e.key, F.lit(":"), e.value["rank"], F.lit(":"), F.round(e.value["score"], 6))
+    return found.select(
+        "query_id", "item", "document_id", "version_id", "corpus_id", "source_text", "routes", "n_routes", F.concat_ws(",", F.transform(F.map_entries("signals"), signal)).alias("signals"),
+        "score", "adjustment", "rank", F.array_join(F.transform("mentions", lambda m: m.cast("string")), ",").alias("mentions"),
+    )
 
 
 @query("RET24_metadata")
 def _(spark, d):
-    """Candidates by route, whether the fallback ran, rejects by reason; latencies aren't results."""
-    out = _retrieval(spark, d, moved=True, query="the AB12 of")
-    rows = [("route", name, x["candidates"]) for name, x in out.routes.items()] + [("reject", name, n) for name, n in out.rejected.items()] + [("fallback", str(out.fallback), 1), ("outcome", out.outcome, 1)]
-    return spark.createDataFrame(rows, "what string, name string, n long")
+    """Of every request its outcome, reasons, scope warnings, candidates by route, whether the fallback ran, and rejects by reason."""
+    return _told(retrieval.retrieve(spark, _asked(spark, d), _later(spark, d)))
+
+
+@query("RET19_lost_route")
+def _(spark, d):
+    """The dense route can't read its vectors: the others answer, degraded."""
+    state = _state(spark, d)
+    broken = state.tables["vectors"].withColumn("v", F.when(F.length("chunk_id") >= 0, F.raise_error(F.lit("lost")).cast("array<double>")))
+    return _told(retrieval.retrieve(spark, _asked(spark, d), lambda: replace(state, tables=state.tables | {"vectors": broken})))
+
+
+@query("RET20_deadline")
+def _(spark, d):
+    """No route ends within a millisecond: every request fails, with the reason."""
+    return _told(retrieval.retrieve(spark, _asked(spark, d), lambda: _state(spark, d), deadline_ms=1))
+
+
+_BATCH = (
+    "SELECT event_id AS query_id, scope, warnings, profile, CASE WHEN rel IS NOT NULL AND q_low > q_high OR con IS NOT NULL AND q_low > 900 OR bad THEN 'INVALID_RETRIEVAL_REQUEST' WHEN scope = '' THEN 'NO_EXECUTABLE_CORPUS_SCOPE' WHEN event_id % 10 = 0 THEN 'EMBEDDING_GENERATION_INCOMPATIBLE' END AS error FROM "
+    "(SELECT *, coalesce(asked, CASE rel WHEN 'POINT' THEN 'TEMPORAL_POINT' WHEN 'AFTER' THEN 'TEMPORAL_RANGE' END, 'FACT_LOOKUP') AS profile, coalesce(asked = 'DEEP', false) OR coalesce(con = 'AUTHOR', false) AS bad, "
+    "CASE WHEN user_id % 3 > 0 AND EXISTS (SELECT 1 FROM documents WHERE source = 'src1') THEN 'src1' ELSE '' END AS scope, CASE WHEN user_id % 3 = 2 THEN '' ELSE 'lost' END AS warnings FROM "
+    "(SELECT *, CASE WHEN event_id % 7 = 0 THEN 'DEEP' WHEN event_id % 5 = 0 THEN 'BROAD' END AS asked, CASE event_type WHEN 'view' THEN 'POINT' WHEN 'click' THEN 'AFTER' END AS rel, CASE WHEN event_id % 11 = 0 THEN 'AUTHOR' WHEN event_id % 13 = 0 THEN 'SOURCE_TIME' END AS con, event_id % 1000 AS q_low, user_id % 1000 AS q_high FROM events))"
+)
+
+
+@query("RET2_checked_requests", _BATCH)
+def _(spark, d):
+    """Every event as a request, checked before any search: unknown profiles and constraints, bounds the wrong way round, corpora that don't exist, vectors of another model."""
+    pick = lambda text: F.expr(f"case {text} end")
+    asked = t.read(spark, d, "events").select(
+        F.col("event_id").alias("query_id"), F.lit("q").alias("query"), pick("when event_id % 7 = 0 then 'DEEP' when event_id % 5 = 0 then 'BROAD'").alias("profile"), pick("event_type when 'view' then 'POINT' when 'click' then 'AFTER'").alias("relation"),
+        pick("when event_id % 11 = 0 then 'AUTHOR' when event_id % 13 = 0 then 'SOURCE_TIME'").alias("constraint"), F.expr("cast(event_id % 1000 as int)").alias("q_low"), F.expr("cast(user_id % 1000 as int)").alias("q_high"),
+        F.expr("cast(event_id % 1000 as int)").alias("s_low"), F.lit(900).alias("s_high"), F.expr("case user_id % 3 when 0 then array('lost') when 1 then array('src1', 'lost', 'src1') else array('src1') end").alias("corpora"),
+        F.expr("transform(sequence(1, if(event_id % 10 = 0, 3, 64)), x -> double(x))").alias("query_vector"),
+    )
+    out = retrieval.checked_requests(asked, t.documents(spark, d), "fake", 64)
+    return out.select("query_id", F.concat_ws(",", "scope").alias("scope"), F.concat_ws(",", "warnings").alias("warnings"), F.expr("coalesce(profile, 'FACT_LOOKUP')").alias("profile"), "error")
 
 
 @query("TMP22_derived_intents")

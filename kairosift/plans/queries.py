@@ -618,7 +618,7 @@ def _(spark, d):
     return routes.lexical(_questions(spark, d), mine, 10, all_terms=False).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("RET10_fallback", "SELECT p_partkey, regexp_matches(q, '(^|\\s)([a-zA-Z]+[0-9][a-zA-Z0-9]*|[0-9]+[a-zA-Z][a-zA-Z0-9]*)(\\s|$)') OR contains(q, '\"') OR p_size % 10 = 0 OR regexp_matches(q, '[A-Za-z0-9][._/-][A-Za-z0-9]') OR regexp_matches(q, '(^|\\s)[A-Z]{2,}(\\s|$)') AS fallback FROM (SELECT *, p_name || CASE p_partkey % 4 WHEN 0 THEN ' AB12' WHEN 1 THEN ' \"x y\"' ELSE '' END AS q FROM part)")
+@query("RET10_fallback", "SELECT p_partkey, regexp_matches(q, '(^|[^a-zA-Z0-9])([a-zA-Z]+[0-9][a-zA-Z0-9]*|[0-9]+[a-zA-Z][a-zA-Z0-9]*)([^a-zA-Z0-9]|$)') OR contains(q, '\"') OR p_size % 10 = 0 OR regexp_matches(q, '[A-Za-z0-9][._/-][A-Za-z0-9]') OR regexp_matches(q, '(^|[^a-zA-Z0-9])[A-Z]{2,}([^a-zA-Z0-9]|$)') AS fallback FROM (SELECT *, p_name || CASE p_partkey % 4 WHEN 0 THEN ' AB12' WHEN 1 THEN ' \"x y\"' ELSE '' END AS q FROM part)")
 def _(spark, d):
     p = t.read(spark, d, "part").select("p_partkey", F.expr("concat(p_name, case p_partkey % 4 when 0 then ' AB12' when 1 then ' \"x y\"' else '' end)").alias("q"), F.expr("if(p_size % 10 = 0, 0, 1)").alias("n"))
     return p.select("p_partkey", routes.needs_fallback(F.col("q"), F.col("n")).alias("fallback"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +27,21 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("kairosift", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the cluster names it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = own.get() if own.isDefined() else None
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: computed once, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,8 @@ from kairosift.plans.more import ORACLE, QUERIES
 from kairosift.sources import intake
 from kairosift.streaming import runs
 
+from test_retrieval import small_engine
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -156,45 +158,6 @@ def test_derived_intents(spark):
     assert out == {1: ("POINT", *routes.asked_bounds(1944, 3)), 3: ("RANGE", routes.asked_bounds(-27)[0], routes.asked_bounds(14)[1])}
 
 
-def small_engine(spark):
-    """Six chunks of three documents; document 3 isn't in scope."""
-    chunk = lambda i, doc, text: (f"c{i}", doc * 10, doc, "one" if doc < 3 else "two", i, "pg", text)
-    c = [chunk(0, 1, "the old bridge"), chunk(1, 1, "a bridge of stone"), chunk(2, 2, "Bridge AB12 fell"), chunk(3, 2, "nothing here"), chunk(4, 3, "bridge bridge"), chunk(5, 2, "the river")]
-    docs = [(d, "one" if d < 3 else "two", d * 10) for d in (1, 2, 3)]
-    tables = {
-        "chunks": spark.createDataFrame(c, "chunk_id string, version_id long, document_id long, corpus_id string, ordinal long, pg string, source_text string"),
-        "documents": spark.createDataFrame(docs, "document_id long, corpus_id string, active_version_id long"),
-        "versions": spark.createDataFrame([(v, "READY", "pg") for _, _, v in docs], "version_id long, status string, published_pg string"),
-        "representations": spark.createDataFrame([(x[0], "srg1") for x in c], "chunk_id string, srg string"),
-        "mentions": spark.createDataFrame([("c1", 7, "CONTENT_MENTION", *routes.asked_bounds(1900)), ("c3", 8, "SOURCE_METADATA", *routes.asked_bounds(1900, 5)), ("c4", 9, "CONTENT_MENTION", *routes.asked_bounds(1900))], "item string, mention_id long, origin string, bound_low int, bound_high int"),
-    }
-    vectors = spark.createDataFrame([(x[0], [1.0, float(i)]) for i, x in enumerate(c)], "chunk_id string, v array<double>")
-    return tables, vectors
-
-
-def test_retrieval(spark):
-    tables, vectors = small_engine(spark)
-    request = {"query": "the bridge", "corpora": ["one"]}
-    out = requests.retrieve(spark, request, tables, vectors, [1.0, 0.0])
-    rows = out.candidates.orderBy("rank").collect()
-    assert out.outcome == "SUCCESS_WITH_CANDIDATES" and out.routes["dense"]["candidates"] == 5 and out.routes["lexical"]["candidates"] == 3 and not out.fallback
-    assert rows[0].item == "c0" and rows[0].routes == "dense,lexical" and abs(rows[0].score - 2 / 61) < 1e-9 and {r.item for r in rows} == {"c0", "c1", "c2", "c3", "c5"}
-    # a version that changes meanwhile: its candidates go and the others move up
-    later = tables | {"documents": tables["documents"].withColumn("active_version_id", F.expr("if(document_id = 1, -1, active_version_id)"))}
-    out = requests.retrieve(spark, request, tables, vectors, [1.0, 0.0], requests.RetrievalConfig(output_limit=2), fresh=lambda: (later, "srg1"))
-    assert [r.item for r in out.candidates.orderBy("rank").collect()] == ["c2", "c3"] and out.rejected == {"VERSION_REPLACED": 2}
-    out = requests.retrieve(spark, request, tables, vectors, [1.0, 0.0], fresh=lambda: (tables, "srg2"))
-    assert out.outcome == "FAILURE" and out.errors == ["SEARCH_GENERATION_CHANGED"] and out.candidates is None
-    out = requests.retrieve(spark, request | {"query": "AB12"}, tables, vectors, None)
-    assert out.outcome == "SUCCESS_DEGRADED" and out.fallback and out.routes["literal"]["candidates"] == 1 and [r.item for r in out.candidates.collect()] == ["c2"]
-    low, high = routes.asked_bounds(1900, 3)[0], routes.asked_bounds(1900, 7)[1]
-    out = requests.retrieve(spark, request | {"relation": "RANGE", "q_low": low, "q_high": high}, tables, vectors, [1.0, 0.0])
-    found = {r.item: r for r in out.candidates.collect()}
-    assert out.routes["temporal"]["candidates"] == 2 and found["c1"].mentions == [7] and "temporal" in found["c1"].routes and found["c0"].mentions is None and 0 < found["c3"].adjustment < found["c1"].adjustment
-    with pytest.raises(requests.DeadlineExceeded):
-        requests.retrieve(spark, request | {"deadline_ms": 0.001}, tables, vectors, [1.0, 0.0])
-
-
 def test_publication_checks_see_a_wrong_owner(spark):
     tables, _ = small_engine(spark)
     c = tables["chunks"].withColumns({"span_start": F.lit(0), "span_end": F.length("source_text"), "ordinal": F.expr("case chunk_id when 'c2' then 0 when 'c3' then 1 when 'c5' then 2 when 'c4' then 0 else ordinal end")})
@@ -205,15 +168,6 @@ def test_publication_checks_see_a_wrong_owner(spark):
     assert {(r.version_id, r.failure) for r in found.collect()} == {(30, "wrong_lineage"), (10, "empty_lexical"), (10, "span_outside")}
 
 
-def test_rounds_of_queries(spark):
-    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "item long, v array<double>")
-    q = v.selectExpr("item as query_id", "v as qv")
-    parts = routes.rounds(q, "query_id", 7)
-    assert len(parts) > 3 and sum(p.count() for p in parts) == 30
-    whole = routes.dense(q, v, 3, own=False)
-    assert whole.count() == 90 and whole.where("query_id = item").isEmpty()
-
-
 def test_streams(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.select("event_id", "ts", "user_id", "event_type").write.parquet(str(tmp_path / "in"))
