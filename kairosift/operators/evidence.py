@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import canonical
+
 # ---- orchestration
 
 
@@ -138,3 +140,15 @@ def citation_ids(bindings: DataFrame) -> DataFrame:
 def request_fits(parts: DataFrame, limit: int) -> DataFrame:
     """(query_id, total, fits) before any provider is called."""
     return parts.groupBy("query_id").agg(F.sum("tokens").alias("total")).withColumn("fits", F.col("total") <= limit)
+
+
+def consolidated(found: DataFrame) -> DataFrame:
+    """(identity, representative, n, associations) of ``found`` (evidence_id, url, and where it was found: route, run, ...).
+
+    The identity is the canonical url, without one the evidence_id; every association is kept, in order of evidence_id.
+    """
+    where = [c for c in found.columns if c not in ("evidence_id", "url")]
+    identity = F.coalesce(canonical(F.col("url")), F.concat(F.lit("id:"), F.col("evidence_id")))
+    return found.groupBy(identity.alias("identity")).agg(
+        F.min("evidence_id").alias("representative"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("evidence_id", *where))).alias("associations"),
+    )

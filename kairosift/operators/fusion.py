@@ -63,3 +63,22 @@ def ranking_metrics(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
         "query_id", F.round(F.col("found") / F.col("wanted"), 9).alias("recall"), F.round(F.col("found") / k, 9).alias("precision"),
         F.round("mrr", 9).alias("mrr"), F.round(F.col("dcg") / ideal, 9).alias("ndcg"), (F.col("found") > 0).alias("hit"),
     )
+
+
+def ablations(ranked: DataFrame, subsets: dict[str, list[str]], judged: DataFrame, k: int, constant: int = RRF) -> DataFrame:
+    """(subset, query_id, recall, temporal_recall) at k of every subset of routes, fused and ranked in one pass.
+
+    ``ranked`` (query_id, item, route, rank), ``judged`` (query_id, item, dated): the relevant items, and whether a date is what
+    makes them so. Each row goes to the subsets that have its route; temporal recall is null where no item is dated.
+    """
+    of = F.map_from_entries(F.array(*[F.struct(F.lit(r), F.array(*[F.lit(s) for s, held in subsets.items() if r in held])) for r in sorted({r for held in subsets.values() for r in held})]))
+    each = ranked.select("query_id", "item", "rank", F.explode(F.element_at(of, F.col("route"))).alias("subset"))
+    fused = each.groupBy("subset", "query_id", "item").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 12).alias("score"))
+    place = F.row_number().over(Window.partitionBy("subset", "query_id").orderBy(F.desc("score"), "item"))
+    best = fused.withColumn("place", place).where(F.col("place") <= k)
+    hit = best.join(judged, ["query_id", "item"]).groupBy("subset", "query_id").agg(F.count(F.lit(1)).alias("found"), F.count_if("dated").alias("found_dated"))
+    wanted = judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("dated").alias("n_dated"))
+    wanted = wanted.withColumn("subset", F.explode(F.array(*[F.lit(s) for s in subsets])))
+    out = wanted.join(hit, ["subset", "query_id"], "left").na.fill(0, ["found", "found_dated"])
+    dated = F.when(F.col("n_dated") > 0, F.round(F.col("found_dated") / F.col("n_dated"), 9))
+    return out.select("subset", "query_id", F.round(F.col("found") / F.col("n"), 9).alias("recall"), dated.alias("temporal_recall"))

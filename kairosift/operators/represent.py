@@ -26,6 +26,6 @@ def fake_embedding(texts: DataFrame, width: int = 1536) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[pdf.text.notna()]
-            yield pd.DataFrame({"item": pdf.item, "v": [unit_vector(x, width) for x in pdf.text]})
+            yield pd.DataFrame({"item": pdf["item"], "v": pd.Series([unit_vector(x, width) for x in pdf.text], index=pdf.index, dtype=object)})
 
-    return texts.select("item", "text").mapInPandas(run, "item long, v array<double>")
+    return texts.select("item", "text").mapInPandas(run, f"item {texts.schema['item'].dataType.simpleString()}, v array<double>")

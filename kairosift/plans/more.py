@@ -13,7 +13,7 @@ from ..functions import temporal as tmp
 from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests, retrieval, routes
 from ..sources import intake
 from ..streaming import runs
-from . import search  # noqa: F401  its queries are registered
+from . import effects, search  # noqa: F401  their queries are registered
 from . import tables as t
 from .queries import ORACLE, QUERIES, query
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import STAGES
+from ..session import saved
 
 MAX_ATTEMPTS = 3
 BACKOFF_S = 30
@@ -91,3 +94,22 @@ def drain(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str | N
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
     (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
     return spark.table(name)
+
+
+class StageLog:
+    """Runs stages of ingestion and keeps what each has counted while it wrote, without another job."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows, self.seconds = spark, [], {}
+
+    def run(self, stage: str, df: DataFrame, **counts: Column) -> DataFrame:
+        """The stage's rows, written; ``counts``: aggregates of whole numbers over them."""
+        seen, began = Observation(), time.monotonic()
+        out = saved(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), stage)
+        self.seconds[stage] = time.monotonic() - began
+        self.rows += [(stage, name, int(seen.get[name] or 0)) for name in counts]
+        return out
+
+    def metrics(self) -> DataFrame:
+        """(stage, metric, n); times are in ``seconds``, as they are no result."""
+        return self.spark.createDataFrame(self.rows, "stage string, metric string, n long")
