@@ -16,6 +16,7 @@ Defined cases
 * null text, or a text without a letter: 'und', score 0; no training document at all: every text is 'und';
 * equal means: the language that sorts first; null language or text: not trained on;
 * a word is a run of letters, lower-cased; digits, marks and symbols are skipped;
+* null doc_id: not held out, and not trained on, as its part isn't known;
 * rows are judged alone, from the text only (repeated rows alike); empty table: empty result.
 """
 
@@ -260,8 +261,8 @@ def _windows(most: int):
             ids, langs, out = [], [], []
             for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(text)
-                starts = range(0, len(words), WINDOW)
-                for s in starts[:: max(1, len(starts) // most)][:most]:
+                starts = np.arange(0, len(words), WINDOW)
+                for s in starts[np.unique(np.linspace(0, len(starts) - 1, most).round().astype(int))] if len(starts) else ():  # over the whole text
                     ids.append(doc)
                     langs.append(lang)
                     out.append(words[s : s + WINDOW])
@@ -305,7 +306,7 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
 
 def op4_lang_crf(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
     field = train(docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))))
     out = identify(docs.select("doc_id", held_out, "text"), field)
     return out.select("doc_id", "held_out", "lang_pred", "score", F.size("runs").cast("long").alias("n_runs"))

@@ -14,7 +14,8 @@ Defined cases
 * null text: no words, so the base rule rejects it; empty text alike;
 * null language: a stratum of its own; a document with several labels is good only if all are good, null
   labels don't count; no labels: no cutoffs, the base rule alone decides;
-* rows are judged alone (repeated rows alike); empty table: empty result.
+* rows are judged alone (repeated rows alike), but a labelled doc_id is one trial: of several rows the least counts;
+* null doc_id: judged, never a trial; empty table: empty result.
 """
 
 from __future__ import annotations
@@ -180,7 +181,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     counted = stored(counted.select("*", *[F.expr(e).alias(r) for r, e in RULES.items()]), "rule-counts")
     counted = counted.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     good = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    limits = cutoffs(counted.where("not base_failed").join(good, "doc_id"), risk, delta)
+    # a document is one trial, however often it is repeated: of several rows the least
+    trials = counted.where("not base_failed").join(good, "doc_id").groupBy("doc_id").agg(F.min(F.struct("stratum", "good", *RULES)).alias("t")).select("doc_id", "t.*")
+    limits = cutoffs(trials, risk, delta)
     limits = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
     failed = F.array_compact(F.array(*[F.when(F.col(r) > F.col("limits")[r], F.lit(r)) for r in RULES]))
     out = counted.join(limits, "stratum", "left").withColumn("rules", F.coalesce(failed, F.array().cast("array<string>")))

@@ -142,3 +142,31 @@ def test_queries_end_to_end(spark):
         mine = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
         assert [m[0] for m in mine] == list(range(1, 11)) and len({m[1] for m in mine} & {v for _, v in near}) >= 9
         assert all(abs(s - np.sqrt(((x[v] - x[q]) ** 2).sum())) < 1e-9 for _, v, s in mine)
+
+
+def test_repeated_labelled_rows_are_one_trial(spark):
+    """The rules of a table are those of the table whose labelled rows are there many times."""
+    from kairosift.llm import risk_rules
+
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    often = base.union(base.where("doc_id % 3 = 0")).union(base.where("doc_id % 3 = 0")).union(base.limit(1).selectExpr("cast(null as long)", "text", "lang"))
+    rules = lambda df: {(r.doc_id, r.kept, tuple(r.rules)) for r in risk_rules.judge(df, labels, risk=0.1, delta=0.5).collect() if r.doc_id is not None}
+    assert rules(often) == rules(base)
+
+
+def test_held_out_without_a_doc_id(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.union(docs.limit(3).selectExpr("cast(null as long) as doc_id", *docs.columns[1:])).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [r for r in lang_crf.op4_lang_crf(spark, str(tmp_path)).collect() if r.doc_id is None]
+    assert len(rows) == 3 and all(r.held_out is False and r.lang_pred for r in rows)
+
+
+def test_windows_lie_all_over_a_text():
+    import pyarrow as pa
+
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(32 * 9))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["x", "y"]), pa.array([text, ""])], names=["doc_id", "lang", "text"])
+    got = next(lang_crf._windows(3)(iter([batch]))).column(2).to_pylist()
+    words = text.split()
+    assert got == [words[:32], words[128:160], words[256:288]]
