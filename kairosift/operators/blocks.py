@@ -83,12 +83,20 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
 
 
 def parse_report(blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_blocks, n_chars, unknown_ratio, error, warning) of every document, those without blocks too."""
-    found = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("type") == "UNKNOWN_TEXT").alias("unknown"))
+    """(doc_id, n_blocks, n_chars, unknown_ratio, error, warning) of every document, those without blocks too.
+
+    Blocks that have a block_id must be numbered from 0 without gaps or repeats, else the error is block_order.
+    """
+    number = F.regexp_extract("block_id", "^b([0-9]+)$", 1).try_cast("long") if "block_id" in blocks.columns else F.lit(None).cast("long")
+    found = blocks.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("type") == "UNKNOWN_TEXT").alias("unknown"),
+        F.min(number).alias("low"), F.max(number).alias("high"), F.countDistinct(number).alias("different"),
+    )
     out = docs.select("doc_id").distinct().join(found, "doc_id", "left").na.fill(0, ["n", "chars", "unknown"])
     ratio = F.when(F.col("n") > 0, F.col("unknown") / F.col("n")).otherwise(F.lit(0.0))
+    ordered = F.coalesce((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("different") == F.col("n")), F.lit("block_id" not in blocks.columns))
     return out.select(
         "doc_id", F.col("n").alias("n_blocks"), F.col("chars").alias("n_chars"), ratio.alias("unknown_ratio"),
-        F.when((F.col("n") == 0) | (F.col("chars") < LEAST_CHARS), F.lit("empty_extraction")).alias("error"),
+        F.when((F.col("n") == 0) | (F.col("chars") < LEAST_CHARS), F.lit("empty_extraction")).when(~ordered, F.lit("block_order")).alias("error"),
         F.when(ratio > 0.5, F.lit("mostly_unknown")).alias("warning"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SERVED
-from ..sources.intake import blank
+from . import routes, textsearch
 
 IN_FLIGHT = ["PENDING", "RUNNING"]
 
@@ -66,6 +66,11 @@ def orphans(df: DataFrame, parent: DataFrame, *keys: str) -> DataFrame:
     return df.join(parent.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def no_lexeme(text: Column) -> Column:
+    """Nothing of the text can be asked for: no words, or stop words alone."""
+    return F.size(F.filter(textsearch.words(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(routes.STOP_WORDS))) == 0
+
+
 def publication_failures(versions: DataFrame, chunks: DataFrame, representations: DataFrame, mentions: DataFrame, srg: str, active_srg: str) -> DataFrame:
     """(version_id, failure): why a version may not be published; none: it may. Chunks are grouped once."""
     built = representations.where(F.col("srg") == srg).select("chunk_id").distinct().withColumn("built", F.lit(True))
@@ -75,13 +80,15 @@ def publication_failures(versions: DataFrame, chunks: DataFrame, representations
         F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.countDistinct("ordinal").alias("d"),
         any_(F.expr("span_start < 0 or span_end > length(source_text) or span_start > span_end")).alias("span_outside"),
         any_(F.col("built").isNull()).alias("missing_vector"),
-        any_(blank(F.col("source_text"))).alias("empty_lexical"),
+        any_(no_lexeme(F.col("source_text"))).alias("empty_lexical"),
         any_(~F.col("document_id").eqNullSafe(F.col("of_document")) | ~F.col("corpus_id").eqNullSafe(F.col("of_corpus"))).alias("wrong_lineage"),
     )
     own = versions.select("version_id").join(mine, "version_id", "left")
     named = [F.when(F.col(c), F.lit(c)) for c in ("span_outside", "missing_vector", "empty_lexical", "wrong_lineage")]
     found = F.array_compact(F.array(F.when(F.col("n").isNull(), F.lit("no_chunks")), F.when(F.expr("lo <> 0 or hi <> n - 1 or d <> n"), F.lit("ordinal_gap")), *named))
     checks = [own.select("version_id", F.explode(found).alias("failure")), mentions.where("start_offset >= end_offset").select("version_id", F.lit("broken_mention").alias("failure")).distinct()]
+    if "degraded" in versions.columns:  # what a version couldn't do isn't held against it
+        checks[1] = checks[1].join(versions.where(F.array_contains("degraded", "TEMPORAL")).select("version_id"), "version_id", "left_anti")
     if srg != active_srg:
         checks.append(versions.select("version_id", F.lit("superseded_representation").alias("failure")))
     return reduce(DataFrame.union, checks)

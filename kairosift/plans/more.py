@@ -13,7 +13,7 @@ from ..functions import temporal as tmp
 from ..operators import blocks, chunks, decisions, evidence, fusion, lifecycle, requests, retrieval, routes
 from ..sources import intake
 from ..streaming import runs
-from . import effects, search  # noqa: F401  their queries are registered
+from . import context, effects, search  # noqa: F401  their queries are registered
 from . import tables as t
 from .queries import ORACLE, QUERIES, query
 
@@ -182,13 +182,13 @@ def _(spark, d):
     return tmp.recognize(b).select(F.col("doc_id").alias("o_orderkey"), "certainty")
 
 
-@query("TMP9_offsets", "SELECT count(*) AS n, count(*) AS n_literal FROM orders")
+@query("TMP9_offsets", "SELECT o_orderkey, 6 AS start_offset, 6 + length(strftime(o_orderdate, '%-d %B %Y')) AS end_offset, strftime(o_orderdate, '%-d %B %Y') AS found FROM orders")
 def _(spark, d):
+    """Offsets are code points of the text as it stands: behind two characters of more than one byte."""
     text = F.concat(F.lit("é😀 on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(" x"))
     b = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("b0000").alias("block_id"), text.alias("text"))
-    m = tmp.recognize(b).withColumnRenamed("text", "found").join(b.select("doc_id", "text"), "doc_id")
-    literal = F.expr("substring(text, start_offset + 1, end_offset - start_offset) = found")
-    return m.agg(F.count(F.lit(1)).alias("n"), F.count_if(literal).alias("n_literal"))
+    m = tmp.recognize(b).drop("text").join(b.select("doc_id", "text"), "doc_id")
+    return m.select(F.col("doc_id").alias("o_orderkey"), "start_offset", "end_offset", F.expr("substring(text, start_offset + 1, end_offset - start_offset)").alias("found"))
 
 
 @query("TMP11_plain_bounds", "SELECT mention_id, CASE WHEN start_year IS NOT NULL THEN coalesce(end_year, start_year) * 372 + 371 END AS bound_high FROM mentions", "mentions")
@@ -676,11 +676,16 @@ def _(spark, d):
     return t.chunks(spark, d).groupBy(F.expr("cast(floor(length(source_text) / 100) as bigint)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("EVAL_leakage", "SELECT 0 AS n_leaked")
+@query("EVAL_leakage", "SELECT source AS corpus_id, source IN ('src0', 'src1', 'src2', 'src3') AS asked, 0 AS n_leaked FROM documents WHERE source IS NOT NULL GROUP BY source")
 def _(spark, d):
-    found = QUERIES["SNK2_retrieve"](spark, d)
-    allowed = QUERIES["JOIN5_eligibility"](spark, d).select(F.col("chunk_id").alias("item"))
-    return found.join(allowed, "item", "left_anti").agg(F.count(F.lit(1)).alias("n_leaked"))
+    """Candidates of all requests that aren't eligible, by corpus; and of a corpus that wasn't asked for every candidate is one."""
+    found = QUERIES["SNK2_retrieve"](spark, d).select("item", "document_id")
+    corpora = t.documents(spark, d).select("document_id", "corpus_id")
+    allowed = QUERIES["JOIN5_eligibility"](spark, d).select(F.col("chunk_id").alias("item"), F.lit(True).alias("fine"))
+    asked = F.col("corpus_id").isin(_SCOPE)
+    per = found.join(corpora, "document_id").join(allowed, "item", "left").groupBy("corpus_id").agg(F.count_if(F.col("fine").isNull() | ~asked).alias("n"))
+    every = corpora.select("corpus_id").distinct().where("corpus_id is not null").join(per, "corpus_id", "left")
+    return every.select("corpus_id", asked.alias("asked"), F.coalesce("n", F.lit(0)).cast("int").alias("n_leaked"))
 
 
 

@@ -92,13 +92,6 @@ ORACLE["SRC10_running_lines"] = ORACLE["SRC10_running_lines"].replace(
 )
 
 
-@query("SRC12_artifact_round_trip", "SELECT count(*) AS n_docs, count(*) AS n_same FROM documents")
-def _(spark, d):
-    docs = t.read(spark, d, "documents").select("doc_id", F.struct(F.col("source").alias("title"), F.split("text", "\n").alias("blocks")).alias("a"))
-    back = docs.select("a", F.from_json(F.to_json("a"), "title string, blocks array<string>").alias("b"))
-    return back.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("a") == F.col("b")).alias("n_same"))
-
-
 @query("SRC14_web_text", None)
 def _(spark, d):
     return t.read(spark, d, "pages").select("page_id", intake.web_text(F.col("html")).alias("text"))
@@ -406,7 +399,7 @@ def _(spark, d):
 
 _FAIL = (
     "SELECT version_id, 'ordinal_gap' AS failure FROM ok GROUP BY version_id HAVING min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1 UNION SELECT version_id, 'no_chunks' FROM versions WHERE version_id NOT IN (SELECT version_id FROM ok) "
-    "UNION SELECT version_id, 'missing_vector' FROM ok WHERE chunk_id NOT IN (SELECT chunk_id FROM reps WHERE srg = 'srg1') UNION SELECT version_id, 'empty_lexical' FROM ok WHERE regexp_matches(source_text, '^\\s*$') UNION SELECT version_id, 'wrong_lineage' FROM ok WHERE version_id % 23 = 0 UNION SELECT version_id, 'broken_mention' FROM versions WHERE version_id % 17 = 0"
+    "UNION SELECT version_id, 'missing_vector' FROM ok WHERE chunk_id NOT IN (SELECT chunk_id FROM reps WHERE srg = 'srg1') UNION SELECT version_id, 'empty_lexical' FROM ok WHERE source_text IS NULL OR len(list_filter(string_split_regex(lower(source_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND NOT list_contains(['" + "','".join(routes.STOP_WORDS) + "'], x))) = 0 UNION SELECT version_id, 'wrong_lineage' FROM ok WHERE version_id % 23 = 0 UNION SELECT version_id, 'broken_mention' FROM versions WHERE version_id % 17 = 0"
 )
 
 

@@ -73,33 +73,73 @@ def unreferenced(stored: DataFrame, *references: DataFrame) -> DataFrame:
     return stored.join(named.where("key is not null").distinct(), "key", "left_anti")
 
 
-def running_lines(pages: DataFrame, least_pages: int = 3) -> DataFrame:
-    """Lines of ``pages`` (doc_id, page, line_no, line) with ``edge`` and ``removed``.
-
-    A page's first and last non-blank line is removed if, its digits masked, it is an edge on more than half of the
-    pages of a document of ``least_pages`` pages or more.
-    """
+def _marked(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``edge``, ``first`` and ``last`` non-blank line of the page, and ``mask``: the line with its digits masked."""
     filled = F.when(~blank(F.col("line")), F.col("line_no"))
     page = Window.partitionBy("doc_id", "page")
     marked = pages.withColumns({"first": F.min(filled).over(page), "last": F.max(filled).over(page)})
     marked = marked.withColumn("edge", (F.col("line_no") == F.col("first")) | (F.col("line_no") == F.col("last")))
-    marked = marked.withColumn("mask", F.regexp_replace(F.trim("line"), "[0-9]+", "#"))
+    return marked.withColumn("mask", F.regexp_replace(F.trim("line"), "[0-9]+", "#"))
+
+
+def _edge_counts(marked: DataFrame, pages: DataFrame, least_pages: int) -> DataFrame:
     n_pages = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
     side = F.when(F.col("line_no") == F.col("first"), F.lit("first")).otherwise(F.lit("last"))
-    often = marked.where("edge").select("doc_id", "page", side.alias("side"), "mask").groupBy("doc_id", "side", "mask").agg(F.countDistinct("page").alias("seen"))
-    often = often.join(n_pages, "doc_id").where((F.col("n_pages") >= least_pages) & (2 * F.col("seen") > F.col("n_pages")))
+    seen = marked.where("edge").select("doc_id", "page", side.alias("side"), "mask").groupBy("doc_id", "side", "mask").agg(F.countDistinct("page").alias("seen"))
+    return seen.join(n_pages, "doc_id").withColumn("often", (F.col("n_pages") >= least_pages) & (2 * F.col("seen") > F.col("n_pages")))
+
+
+def edge_counts(pages: DataFrame, least_pages: int = 3) -> DataFrame:
+    """(doc_id, side, mask, seen, n_pages, often): on how many pages each masked first or last line is, and whether that is more than half of them."""
+    return _edge_counts(_marked(pages), pages, least_pages)
+
+
+def running_lines(pages: DataFrame, least_pages: int = 3) -> DataFrame:
+    """Lines of ``pages`` (doc_id, page, line_no, line) with ``edge`` and ``removed``.
+
+    A page's first and last non-blank line is removed if, its digits masked, it is an edge on more than half of the
+    pages of a document of ``least_pages`` pages or more.
+    """
+    marked = _marked(pages)
+    often = _edge_counts(marked, pages, least_pages).where("often")
     often = often.select("doc_id", "mask").distinct().withColumn("often", F.lit(True))
     out = marked.join(often, ["doc_id", "mask"], "left")
     removed = F.coalesce(F.col("edge") & F.col("often"), F.lit(False))
     return out.select("doc_id", "page", "line_no", "line", F.coalesce("edge", F.lit(False)).alias("edge"), removed.alias("removed"))
 
 
-def page_report(pages: DataFrame) -> DataFrame:
-    """(doc_id, n_pages, n_empty, error, warning) of ``pages`` (doc_id, page, line): no text on any page is a scan."""
+def file_error(content: Column) -> Column:
+    """Why a PDF file can't be read at all, from its own marks: no head or no end, or a dictionary of encryption."""
+    text = F.decode(content, "iso-8859-1")
+    return F.when(~text.contains("%PDF-") | ~text.contains("%%EOF"), F.lit("corrupt_document")).when(text.contains("/Encrypt"), F.lit("encrypted_document"))
+
+
+def page_report(pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_pages, n_empty, error, warning) of ``pages`` (doc_id, page, line): no text on any page is a scan; a page that failed is an empty one.
+
+    ``files`` (doc_id, content): the error of a file that can't be read comes first.
+    """
     per = pages.groupBy("doc_id", "page").agg(F.bool_and(blank(F.col("line"))).alias("empty"))
     out = per.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("empty").alias("n_empty"))
     every = F.col("n_empty") == F.col("n_pages")
-    return out.withColumns({"error": F.when(every, F.lit("scanned_or_image_only")), "warning": F.when(~every & (F.col("n_empty") > 0), F.lit("empty_pages"))})
+    error, broken = F.when(every, F.lit("scanned_or_image_only")), F.lit(None).cast("string")
+    if files is not None:
+        out, broken = out.join(files.select("doc_id", file_error(F.col("content")).alias("broken")), "doc_id", "left"), F.col("broken")
+    out = out.withColumns({"error": F.coalesce(broken, error), "warning": F.when(broken.isNull() & ~every & (F.col("n_empty") > 0), F.lit("empty_pages"))})
+    return out.select("doc_id", "n_pages", "n_empty", "error", "warning")
+
+
+ARTIFACT = "title string, blocks array<string>"
+
+
+def artifact(title: Column, blocks: Column) -> Column:
+    """A normalized document as JSON."""
+    return F.to_json(F.struct(title.alias("title"), blocks.alias("blocks")))
+
+
+def read_artifact(text: Column) -> Column:
+    """The document of an artifact; one that doesn't fit the schema is an error, not a null."""
+    return F.from_json(text, ARTIFACT, {"mode": "FAILFAST"})
 
 
 def web_text(html: Column) -> Column:
