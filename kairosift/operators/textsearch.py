@@ -85,15 +85,17 @@ def _covers(parts: Column) -> Column:
 
     def step(s: Column, e: Column) -> Column:
         last = F.transform(s.last, lambda x, i: F.when(i == e.part, F.greatest(x, e.start)).otherwise(x))
-        return F.struct(last.alias("last"), s["from"].alias("from"), s.score.alias("score"), e.end.alias("end"))
+        return F.struct(last.alias("last"), s["from"].alias("from"), s.score.alias("score"), e.end.alias("end"), e.final.alias("final"))
 
     def counted(s: Column) -> Column:
         low = F.array_min(s.last)
-        new = low > s["from"]
+        new = s.final & (low > s["from"])
         noise = F.greatest(F.lit(0), s.end - low + 1 - most)
         return F.struct(s.last.alias("last"), F.when(new, low).otherwise(s["from"]).alias("from"), (s.score + F.when(new, 1.0 / (1 + noise)).otherwise(0.0)).alias("score"))
 
-    return F.aggregate(F.array_sort(ends), state, lambda s, e: counted(step(s, e)), lambda s: s.score)
+    # of occurrences that end at one place, all are seen before a stretch is counted
+    marked = _once(F.array_sort(ends), lambda o: F.transform(o, lambda e, i: F.struct(e.end.alias("end"), e.start.alias("start"), e.part.alias("part"), (~F.get(o, i + 1).end.eqNullSafe(e.end)).alias("final"))))
+    return F.aggregate(marked, state, lambda s, e: counted(step(s, e)), lambda s: s.score)
 
 
 def search(
