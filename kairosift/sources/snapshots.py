@@ -22,7 +22,7 @@ class PublicationConflict(RuntimeError):
 @dataclass(frozen=True)
 class Snapshot:
     number: int
-    paths: dict[str, str]
+    paths: dict[str, list[str]]
     pointers: dict[str, str]
 
     @property
@@ -53,15 +53,15 @@ class Snapshots:
         return Snapshot(0, {}, {})
 
     def read(self, snapshot: Snapshot) -> dict[str, DataFrame]:
-        return {name: self.spark.read.parquet(path) for name, path in snapshot.paths.items()}
+        return {name: self.spark.read.parquet(*paths) for name, paths in snapshot.paths.items()}
 
-    def publish(self, base: Snapshot, changed: dict[str, DataFrame], **pointers: str) -> Snapshot:
-        """``base`` with other tables and pointers as the next snapshot; all of it or nothing."""
+    def publish(self, base: Snapshot, changed: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, **pointers: str) -> Snapshot:
+        """``base`` with other tables, with rows ``added`` to some, and with other pointers as the next snapshot; all of it or nothing."""
         paths = dict(base.paths)
         for name, df in changed.items():
-            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            paths[name] = path
+            paths[name] = [self._written(name, df)]
+        for name, df in (added or {}).items():
+            paths[name] = [*paths.get(name, []), self._written(name, df)]
         number, held = base.number + 1, base.pointers | pointers
         try:
             out = self._fs.create(self._path("pointer", f"{number}.json"), False)  # fails where the file is there
@@ -70,3 +70,8 @@ class Snapshots:
         out.write(bytearray((json.dumps({"paths": paths, "pointers": held}) + "\n").encode()))
         out.close()
         return Snapshot(number, paths, held)
+
+    def _written(self, name: str, df: DataFrame) -> str:
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
