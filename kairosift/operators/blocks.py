@@ -94,7 +94,7 @@ def parse_report(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     )
     out = docs.select("doc_id").distinct().join(found, "doc_id", "left").na.fill(0, ["n", "chars", "unknown"])
     ratio = F.when(F.col("n") > 0, F.col("unknown") / F.col("n")).otherwise(F.lit(0.0))
-    ordered = F.coalesce((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("different") == F.col("n")), F.lit("block_id" not in blocks.columns))
+    ordered = F.coalesce((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("different") == F.col("n")), F.lit(False)) | F.lit("block_id" not in blocks.columns)
     return out.select(
         "doc_id", F.col("n").alias("n_blocks"), F.col("chars").alias("n_chars"), ratio.alias("unknown_ratio"),
         F.when((F.col("n") == 0) | (F.col("chars") < LEAST_CHARS), F.lit("empty_extraction")).when(~ordered, F.lit("block_order")).alias("error"),
