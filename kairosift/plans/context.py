@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks, context, evidence, lifecycle
-from ..sources import intake
+from ..sources import intake, migrations
 from . import tables as t
 from .queries import ORACLE, query
 
@@ -150,3 +150,14 @@ def _(spark, d):
     b = t.lines(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).withColumn("at", at)
     b = b.select("doc_id", blocks.block_id(F.col("at")).alias("block_id"), F.lit("PARAGRAPH").alias("type"), F.concat("line", F.lit(" and sixteen characters")).alias("text"))
     return blocks.parse_report(b, b).select("doc_id", F.when(F.col("error") == "block_order", F.col("error")).alias("order_error"))
+
+
+@query("MIG1_revisions", "SELECT doc_id::VARCHAR AS document_id, source AS corpus_id, NULL::VARCHAR AS active_version_id, 'up' AS way FROM documents UNION ALL SELECT doc_id::VARCHAR, source, NULL, 'down and up' FROM documents WHERE doc_id % 2 = 0")
+def _(spark, d):
+    """The documents of the sixth revision at the newest one; and half of them taken from the newest back to the lifecycle and up again."""
+    docs = t.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("corpus_id"), F.lit("t").alias("title"))
+    six = migrations.upgrade(spark, {}, 0, 6) | {"documents": docs}
+    up = migrations.upgrade(spark, six, 6)["documents"].withColumn("way", F.lit("up"))
+    filled = migrations.upgrade(spark, {}, 0) | {"documents": docs.where("cast(document_id as long) % 2 = 0").withColumn("active_version_id", F.lit("v"))}
+    again = migrations.upgrade(spark, migrations.downgrade(filled, 7, 1), 1)["documents"].withColumn("way", F.lit("down and up"))
+    return up.unionByName(again).drop("title")
