@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, fresh, small_slices, stored
+from .common import forget, fresh, given_back, small_slices, stored
 from .components import components
 
 _U = np.uint64
@@ -49,7 +49,7 @@ class WordHashes(dict):
     """Hash of each word met, kept in a worker up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -111,7 +111,7 @@ _FEATURES = T.StructType(
 
 def _features(k: int, m: int, r: int):
     def run(batches):
-        for batch in small_slices(batches, 256):
+        for batch in small_slices(given_back(batches), 64):
             sets = [shingle_set(t, k) for t in batch.column(3).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             c1, c2 = [None] * len(sets), [None] * len(sets)
@@ -133,7 +133,7 @@ def _features(k: int, m: int, r: int):
 
 def _sets(k: int):
     def run(batches):
-        for batch in small_slices(batches, 256):
+        for batch in small_slices(given_back(batches), 64):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
     return run
@@ -141,7 +141,7 @@ def _sets(k: int):
 
 def _compare(batches):
     """Of each pair of full sets: both sizes, what they share, and the shingles of y alone."""
-    for batch in small_slices(batches, 1000):
+    for batch in small_slices(given_back(batches), 200):
         nx, ny, shared, more = [], [], [], []
         for a, b in zip(batch.column(2), batch.column(3)):
             a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
@@ -183,6 +183,7 @@ def _links_within(percent: int):
                 if a != b:
                     out.append((ids[z], ids[y]))
                     root[root == b] = a
+        pa.default_memory_pool().release_unused()  # else it stays for the groups that follow
         return pa.table({"x": pa.array([a for a, _ in out], pa.int64()), "y": pa.array([b for _, b in out], pa.int64())})
 
     return run
