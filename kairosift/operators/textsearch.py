@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stemmed
+from ..session import saved
 
 _PIECE = r'-?"[^"]*"?|[^\s"]+'
 
@@ -112,7 +113,8 @@ def search(
         stems = stemmed(asked)
         asked = asked.join(stems, "term").drop("term").join(vocabulary, "stem")
     asked = asked.select("query_id", "clause", "part", "negated", "n", "offset", "term")
-    met = index.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = saved(asked, "asked")
+    met = saved(index.join(asked.select("term").distinct(), "term", "left_semi"), "met")  # read three times
     # the rarest word of the positive operands of a clause brings its candidates; words of one stem are one
     frequent = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     slots = asked.where("not negated").join(frequent, "term", "left").groupBy("query_id", "clause", "part", "offset").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
