@@ -71,15 +71,6 @@ def independent_support(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("unit").agg(F.count(F.lit(1)).alias("n_evidence"), F.countDistinct("family").alias("n_families"))
 
 
-def conflicts(claims: DataFrame, tolerance: float) -> DataFrame:
-    """Units whose claims (unit, claim_id, value) differ by more than the tolerance: the extremes as sides, no winner.
-
-    Two claims of a unit conflict if and only if the least and the greatest do, so no pair is made.
-    """
-    sides = claims.groupBy("unit").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n_claims"))
-    return sides.where(F.col("high") - F.col("low") > tolerance).withColumn("category", F.lit("QUANTITATIVE_CONFLICT"))
-
-
 def coverage(units: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
     """(unit, n_items, support): SUPPORTED with ``least`` families, PARTIALLY_SUPPORTED with any, else UNSUPPORTED."""
     n = items.groupBy("unit").agg(F.countDistinct("family").alias("n"))

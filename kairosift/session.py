@@ -30,11 +30,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it."""
+    """The folder that the driver and all executors share, as the cluster names it; its own where none is named and there is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = own.get() if own.isDefined() else None
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import STAGES
-from ..session import saved
+from ..session import saved, shared_folder
 
 MAX_ATTEMPTS = 3
 BACKOFF_S = 30
@@ -90,10 +91,22 @@ def poll(spark: SparkSession, folder: str, pattern: str, schema: str, files: int
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str | None, mode: str = "update") -> DataFrame:
-    """Run a stream over all there is now into a table in memory, and return that table."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
-    return spark.table(name)
+    """Run a stream over all there is now and return its rows: of mode ``complete`` the last batch's, else all that were written.
+
+    Each batch is a folder of its own in the shared folder, written anew if the batch runs again.
+    """
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint or f"{folder}/checkpoint").start().awaitTermination()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    rows = spark.read.schema(f"{kinds}, batch long").parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    return rows.drop("batch")
 
 
 class StageLog:
