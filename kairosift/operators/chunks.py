@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +28,21 @@ def tokenizer(name: str):
     encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def spans(text: str) -> list[tuple[int, int]]:
-        tokens = encoding.encode_ordinary(text)
-        starts = encoding.decode_with_offsets(tokens)[1]
+        starts = encoding.decode_with_offsets(encoding.encode_ordinary(text))[1]
         return list(zip(starts, [*starts[1:], len(text)]))
 
+    spans.count = lambda text: len(encoding.encode_ordinary(text))
     return spans
 
 
 def cut(text: str, most: int, overlap: int, by: str = "words") -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces of a text; over ``most`` tokens it is cut with ``overlap``."""
-    spans = tokenizer(by)(text)
+    spans = tokenizer(by)
+    if hasattr(spans, "count"):  # where no cut is made, the places of the tokens aren't needed
+        n = spans.count(text)
+        if n <= most:
+            return [(0, len(text), n)]
+    spans = spans(text)
     if len(spans) <= most:
         return [(0, len(text), len(spans))]
     out = []
@@ -70,23 +75,27 @@ def chunk_blocks(blocks: DataFrame, target: int = 512, most: int = 800, overlap:
     (doc_id, title, block_id, type, text, section_path); the blocks of a document go to one task.
     """
 
-    def per_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_document(table: pa.Table) -> pa.Table:
         rows = []
-        for b in pdf.sort_values("number").itertuples():
-            own = [*b.section_path, b.text] if b.type == "HEADING" else list(b.section_path)
-            for i, (start, end, tokens) in enumerate(cut(b.text, most, overlap, by)):
-                rows.append((b.doc_id, b.title, b.block_id, own, b.type == "HEADING" and i == 0, start, end, b.text[start:end], tokens))
+        for b in sorted(table.to_pylist(), key=lambda b: b["number"]):
+            own = [*b["section_path"], b["text"]] if b["type"] == "HEADING" else b["section_path"]
+            for i, (start, end, tokens) in enumerate(cut(b["text"], most, overlap, by)):
+                rows.append((b["doc_id"], b["title"], b["block_id"], own, b["type"] == "HEADING" and i == 0, start, end, b["text"][start:end], tokens))
         numbers = number_pieces([(tuple(r[3]), r[4], r[8]) for r in rows], target, most)
-        return pd.DataFrame([(*r[:4], *r[5:], n, i) for i, (r, n) in enumerate(zip(rows, numbers))], columns=_PIECES)
+        columns = zip(*[(*r[:4], *r[5:], n, i) for i, (r, n) in enumerate(zip(rows, numbers))]) if rows else [[]] * len(_PIECES)
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _PIECES.types)], schema=_PIECES)
 
     number = F.expr("cast(substring(block_id, 2) as long)").alias("number")  # as text, b10000 would come before b1001
-    pieces = blocks.select("doc_id", "title", "block_id", number, "type", "text", "section_path").groupBy("doc_id").applyInPandas(
+    pieces = blocks.select("doc_id", "title", "block_id", number, "type", "text", "section_path").groupBy("doc_id").applyInArrow(
         per_document, "doc_id long, title string, block_id string, section array<string>, start int, end int, text string, tokens int, ordinal int, at int"
     )
     return group_pieces(pieces)
 
 
-_PIECES = ["doc_id", "title", "block_id", "section", "start", "end", "text", "tokens", "ordinal", "at"]
+_PIECES = pa.schema([
+    ("doc_id", pa.int64()), ("title", pa.string()), ("block_id", pa.string()), ("section", pa.list_(pa.string())), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()),
+    ("tokens", pa.int32()), ("ordinal", pa.int32()), ("at", pa.int32()),
+])
 
 
 def group_pieces(pieces: DataFrame) -> DataFrame:

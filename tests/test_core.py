@@ -181,3 +181,12 @@ def test_streams(spark, tmp_path):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_offsets_are_made_for_what_is_cut_only(monkeypatch):
+    import tiktoken
+
+    plain, asked = tiktoken.Encoding.decode_with_offsets, []
+    monkeypatch.setattr(tiktoken.Encoding, "decode_with_offsets", lambda self, tokens: asked.append(len(tokens)) or plain(self, tokens))
+    assert chunks.cut("hello world", 10, 3, "byte_bpe_50k") == [(0, 11, 2)] and not asked
+    assert len(chunks.cut("hello world " * 10, 10, 3, "byte_bpe_50k")) > 1 and len(asked) == 1
