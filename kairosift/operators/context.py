@@ -63,11 +63,15 @@ def priorities(items: DataFrame) -> DataFrame:
 def extracted(text: Column, limit: int) -> Column:
     """(extent, text, spans): the whole text, or its first ``limit`` words as they stand; spans are offsets in code points, end exclusive."""
     head = F.regexp_extract(text, r"^[ \t\n\r\f\x0b]*(?:[^ \t\n\r\f\x0b]+[ \t\n\r\f\x0b]+){0,%d}[^ \t\n\r\f\x0b]+" % (limit - 1), 0)
-    whole = F.regexp_extract(text, r"^([\s\S]*?)[ \t\n\r\f\x0b]*$", 1) == head
-    kept = F.when(whole | (head == ""), text).otherwise(head)
-    span = F.array(F.struct(F.lit(0).alias("start"), F.length(kept).alias("end")))
-    extent = F.when(whole | (head == ""), F.lit("FULL")).otherwise(F.lit("EXTRACTED"))
-    return F.when(text.isNotNull(), F.struct(extent.alias("extent"), kept.alias("text"), span.alias("spans")))
+
+    def told(head: Column) -> Column:
+        whole = (F.rtrim(text, F.lit(" \t\n\r\f\x0b")) == head) | (head == "")
+        kept = F.when(whole, text).otherwise(head)
+        span = F.array(F.struct(F.lit(0).alias("start"), F.length(kept).alias("end")))
+        return F.struct(F.when(whole, F.lit("FULL")).otherwise(F.lit("EXTRACTED")).alias("extent"), kept.alias("text"), span.alias("spans"))
+
+    # as an element of a list the head is made once, however often it is used
+    return F.when(text.isNotNull(), F.transform(F.array(head), told)[0])
 
 
 def relations(items: DataFrame) -> DataFrame:

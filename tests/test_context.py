@@ -83,3 +83,15 @@ def test_artifacts_are_validated(spark):
 def test_lexemes(spark):
     df = spark.createDataFrame([("...",), ("The of",), ("the bridge",), ("7",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(lifecycle.no_lexeme(F.col("t"))).collect()] == [True, True, False, False, True, True]
+
+
+def test_extracts_look_at_a_head_once(spark):
+    rows = [(1, " one  two \n"), (2, "one two three \x0b"), (3, " \t"), (4, ""), (5, None), (6, "one\x0btwo\xa0three " + " " * 9), (7, "one two" + " " * 60_000 + "three")]
+    df = spark.createDataFrame(rows, "id int, text string").select("id", context.extracted(F.col("text"), 2).alias("x"))
+    df = df.select("id", "x.extent", "x.text", F.col("x.spans")[0]["end"].alias("end"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1  # before: once for each of its uses, and a lazy one over the whole text
+    got = {r.id: (r.extent, r.text, r.end) for r in df.collect()}
+    assert got == {
+        1: ("FULL", " one  two \n", 11), 2: ("EXTRACTED", "one two", 7), 3: ("FULL", " \t", 2), 4: ("FULL", "", 0), 5: (None, None, None),
+        6: ("FULL", rows[5][1], 23), 7: ("EXTRACTED", "one two", 7),
+    }
