@@ -17,37 +17,45 @@ from ..sources.snapshots import Snapshot, Snapshots
 from . import lifecycle
 
 PARTS = 64
+#: A part is dealt to this many tasks at most, so a task has a share of a part only.
+_SHARES = 4
 
 
 def part(version: str = "version_id", parts: int = PARTS) -> F.Column:
     return F.pmod(F.xxhash64(version), F.lit(parts)).cast("int").alias("part")
 
 
+def _write(df: DataFrame, folder: str) -> None:
+    """The parts that ``df`` has, anew; other parts stay as they are. No shuffle: a task adds a file to each part it has rows of."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("part").parquet(folder)
+
+
 def write_parts(df: DataFrame, folder: str, parts: int = PARTS) -> None:
     """A whole table, by part; ``df`` has version_id."""
-    df.withColumn("part", part(parts=parts)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+    df.withColumn("part", part(parts=parts)).write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(folder)
 
 
-def _replace(df: DataFrame, folder: str) -> None:
-    """The parts that ``df`` has, anew; other parts stay as they are."""
-    df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+def reconciled(old: DataFrame, drafts: DataFrame, parts: int = PARTS) -> DataFrame:
+    """The ``old`` chunks (with part) against ``drafts`` (version_id, pg, ordinal, content_hash, ...): a row for each key of both, with its ``action``.
 
-
-def reconciled(old: DataFrame, drafts: DataFrame) -> DataFrame:
-    """``drafts`` (version_id, pg, ordinal, content_hash, ...) against the ``old`` chunks of the same versions and generations: all rows of
-    both with their ``action``. KEEP rows are the old ones, UPDATE and DELETE keep the old chunk_id, INSERT gets a new one."""
+    KEEP rows are the old ones, UPDATE keeps the old chunk_id, INSERT gets a new one, DELETE has nothing but its key and chunk_id.
+    STAY: old chunks of versions and generations without drafts. Texts are shuffled once, by version, and both sides meet there.
+    """
     key, fields = ["version_id", "pg", "ordinal"], [c for c in old.columns if c not in ("version_id", "pg", "ordinal", "chunk_id", "part")]
-    built = drafts.select("version_id", "pg").distinct()
-    mine = old.join(built, ["version_id", "pg"], "left_semi").select(*key, "chunk_id", F.struct(*fields).alias("was"))
-    new = drafts.select(*key, F.struct(*[F.col(c) if c in drafts.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in fields]).alias("now"))
-    both = mine.join(new, key, "full_outer")
+    mine = old.select("part", *key, "chunk_id", *fields, F.lit(False).alias("new"))
+    asked = [F.col(c) if c in drafts.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in fields]
+    both = mine.unionByName(drafts.select(part(parts=parts), *key, F.lit(None).cast("string").alias("chunk_id"), *asked, F.lit(True).alias("new")))
+    both = both.withColumn("share", F.pmod(F.xxhash64("version_id"), F.lit(parts * _SHARES))).repartition("share")
+    built, same = Window.partitionBy("share", "version_id", "pg"), Window.partitionBy("share", *key)
+    was, now = F.max(F.when(~F.col("new"), F.struct("content_hash", "chunk_id"))), F.max(F.when(F.col("new"), F.struct("content_hash")))
+    both = both.withColumns({"built": F.max("new").over(built), "was": was.over(same), "now": now.over(same)})
     action = (
-        F.when(F.col("was").isNull(), F.lit("INSERT")).when(F.col("now").isNull(), F.lit("DELETE"))
+        F.when(~F.col("built"), F.lit("STAY")).when(F.col("was").isNull(), F.lit("INSERT")).when(F.col("now").isNull(), F.lit("DELETE"))
         .when(F.col("was.content_hash").eqNullSafe(F.col("now.content_hash")), F.lit("KEEP")).otherwise(F.lit("UPDATE"))
     )
-    both = both.withColumn("action", action).withColumn("row", F.when(F.col("action").isin("KEEP", "DELETE"), F.col("was")).otherwise(F.col("now")))
-    chunk_id = F.coalesce("chunk_id", F.concat_ws(":", *key))
-    return both.select("action", chunk_id.alias("chunk_id"), *key, *[F.col(f"row.{c}").alias(c) for c in fields])
+    rows = both.withColumn("action", action).where(F.col("new") == F.col("action").isin("INSERT", "UPDATE"))
+    chunk_id = F.coalesce("chunk_id", "was.chunk_id", F.concat_ws(":", *key))
+    return rows.select("action", chunk_id.alias("chunk_id"), *key, *[F.when(F.col("action") != "DELETE", F.col(c)).alias(c) for c in fields], "part")
 
 
 def apply_chunks(spark: SparkSession, folder: str, drafts: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -57,29 +65,29 @@ def apply_chunks(spark: SparkSession, folder: str, drafts: DataFrame, parts: int
     other versions and generations, stay. Projections go first: where a run breaks in between, what is missing is missing
     and is made by the next run, and nothing points into a text that has changed. A second run with the same drafts changes nothing.
     """
-    touched = sorted(r["part"] for r in drafts.select(part(parts=parts)).distinct().collect())  # at most ``parts``
+    listed = lambda df: [r["part"] for r in df.select("part").distinct().collect()]  # noqa: E731  at most ``parts``
+    touched = listed(drafts.select(part(parts=parts)))
     here = F.col("part").isin(touched)
     old = spark.read.parquet(f"{folder}/chunks").where(here)
-    plan = saved(reconciled(old, drafts).withColumn("part", part(parts=parts)), "reconciled")
+    plan = saved(reconciled(old, drafts, parts), "reconciled", "zstd")
     gone = plan.where("action in ('UPDATE', 'DELETE')").select("chunk_id", "part")
     for name in ("representations", "mentions"):
         rows = spark.read.parquet(f"{folder}/{name}").where(here)
-        hit = rows.join(gone, ["chunk_id", "part"], "left_semi").select("part").distinct()
-        left = saved(rows.join(hit, "part", "left_semi").join(gone.select("chunk_id"), "chunk_id", "left_anti").select(*rows.columns), name)
+        told = saved(rows.join(gone.withColumn("__gone", F.lit(True)), ["chunk_id", "part"], "left"), name)
+        hit = listed(told.where("__gone"))
+        left = told.where(F.col("part").isin(hit) & F.col("__gone").isNull()).select(*rows.columns).repartition("part")
         # a dynamic overwrite leaves absent parts alone, so those that lose all their rows are dropped
-        emptied = [r["part"] for r in hit.join(left.select("part").distinct(), "part", "left_anti").collect()]
+        emptied = sorted({*hit} - {*listed(left)})
         if not left.isEmpty():
-            _replace(left, f"{folder}/{name}")
+            _write(left, f"{folder}/{name}")
         _drop(spark, f"{folder}/{name}", emptied)
-    changed = plan.where("action <> 'KEEP'").select("part").distinct()
-    others = old.join(changed, "part", "left_semi").join(plan.select("version_id", "pg").distinct(), ["version_id", "pg"], "left_anti")
-    mine = plan.where("action <> 'DELETE'").join(changed, "part", "left_semi")
-    whole = saved(others.select(*old.columns).unionByName(mine.select(*old.columns)), "chunks")
-    emptied = [r["part"] for r in changed.join(whole.select("part").distinct(), "part", "left_anti").collect()]
+    changed = listed(plan.where("action not in ('KEEP', 'STAY')"))
+    whole = plan.where(F.col("part").isin(changed) & (F.col("action") != "DELETE")).select(*old.columns)
+    emptied = sorted({*changed} - {*listed(whole)})
     if not whole.isEmpty():
-        _replace(whole, f"{folder}/chunks")
+        _write(whole, f"{folder}/chunks")
     _drop(spark, f"{folder}/chunks", emptied)
-    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return plan.where("action <> 'STAY'").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _drop(spark: SparkSession, folder: str, parts: list[int]) -> None:

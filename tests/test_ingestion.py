@@ -134,6 +134,21 @@ def test_reconciled_chunks(spark):
     assert {r.chunk_id for r in spark.read.parquet(f"{alone}/mentions").collect()} == {"3:0", "3:1", "3:2"}
 
 
+def test_reconciliation_moves_texts_once(spark, monkeypatch):
+    base, texts = folder(), ["".join(random.Random(i).choices("abcdefgh", k=2000)) for i in range(60)]
+    old = [(f"{v}:{n}", v, "pg1", n, texts[v], f"h{v}") for v in range(60) for n in range(9)]
+    ingestion.write_parts(chunk_rows(spark, old), f"{base}/chunks", 8)
+    for name in ("representations", "mentions"):
+        ingestion.write_parts(chunk_rows(spark, old).select("chunk_id", "version_id"), f"{base}/{name}", 8)
+    plans, plain = [], ingestion.saved
+    monkeypatch.setattr(ingestion, "saved", lambda df, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *rest))
+    drafts = chunk_rows(spark, [("", v, "pg1", n, texts[v], f"h{v}" if n else "new") for v in range(0, 60, 2) for n in range(9)]).drop("chunk_id")
+    assert {r.action: r.n for r in ingestion.apply_chunks(spark, base, drafts, 8).collect()} == {"KEEP": 240, "UPDATE": 30}
+    assert len(plans) == 3 and plans[0].count("Exchange hashpartitioning") == 1  # no table of all chunks but the plan's, and one shuffle for it
+    held = spark.read.parquet(f"{base}/chunks").select("chunk_id", "source_text", "content_hash").collect()
+    assert sorted(held) == sorted((i, text, "new" if v % 2 == 0 and n == 0 else h) for i, v, _, n, text, h in old)
+
+
 # ---- vectors
 
 
