@@ -159,14 +159,20 @@ def _(spark, d):
 ORACLE["JOIN3_applied"] = ORACLE["JOIN3_applied"].removesuffix(" SELECT 1") + f", {_DRAFTS}"
 
 
+#: Bytes of chunks in a file that is embedded, about.
+FILE = 32_000_000
+
+
 @query("ING19_committed_vectors", "SELECT version_id, count(*) AS n_chunks, count(*) AS n_vectors FROM chunks WHERE source_text IS NOT NULL GROUP BY version_id", "chunks")
 def _(spark, d):
-    """A vector of every chunk, committed batch by batch of the chunk table's files."""
+    """A vector of every chunk, committed batch by batch of the chunk table's files: files of a bounded size, dealt to two batches."""
     folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex[:12]}"
     c = t.chunks(spark, d).select("chunk_id", "version_id", "source_text").where("source_text is not null")
-    c.repartition(4, "chunk_id").write.parquet(f"{folder}/chunks")
+    size = c.agg(F.coalesce(F.sum(F.octet_length("source_text") + 64), F.lit(0))).first()[0]
+    n = max(4, -(-size // FILE))
+    c.repartition(n, "chunk_id").write.parquet(f"{folder}/chunks")
     embed = lambda df: represent.fake_embedding(df.select(F.col("chunk_id").alias("item"), "text"), 16).withColumnRenamed("item", "chunk_id")
-    v = ingestion.embed_batches(spark, f"{folder}/chunks", f"{folder}/out", f"{folder}/ledger", "srg1", embed, files=2)
+    v = ingestion.embed_batches(spark, f"{folder}/chunks", f"{folder}/out", f"{folder}/ledger", "srg1", embed, files=-(-n // 2))
     both = c.join(v.select("chunk_id", F.lit(1).alias("there")), "chunk_id", "left")
     return both.groupBy("version_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count("there").alias("n_vectors"))
 

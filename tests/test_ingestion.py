@@ -255,3 +255,17 @@ def test_queue_out_of_order_late_and_stale(spark):
     assert found[2] == [(0, "CLAIMED", 1), (300, "RECLAIMED", 1)]
     assert [x[1:] for x in found[3]] == [("CLAIMED", 1), ("PENDING", 1), ("CLAIMED", 2), ("PENDING", 2), ("CLAIMED", 3), ("FAILED", 3)]
     assert found[9] == [(3000, "CLAIMED", 1), (3100, "DONE", 1)] and not {4, 8, None} & set(found)
+
+
+def test_files_to_embed_are_bounded(spark, monkeypatch, tmp_path):
+    from kairosift.plans import effects
+    from kairosift.plans.more import QUERIES
+
+    spark.createDataFrame([(i, "\n".join(f"{i} {n} " + "x" * 900 for n in range(40)), "src0", "en") for i in range(30)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, plain = [], ingestion.embed_batches
+    monkeypatch.setattr(effects, "FILE", 200_000)
+    monkeypatch.setattr(effects.ingestion, "embed_batches", lambda spark, folder, *rest, files: seen.append((folder, files)) or plain(spark, folder, *rest, files=files))
+    got = {(r.version_id, r.n_chunks, r.n_vectors) for r in QUERIES["ING19_committed_vectors"](spark, str(tmp_path)).collect()}
+    assert got == {(i * 10 + no, 40, 40) for i in range(30) for no in range(i % 3 + 1)}
+    rows = spark.read.parquet(seen[0][0]).groupBy(F.input_file_name()).agg(F.sum(F.octet_length("source_text")).alias("n")).collect()
+    assert len(rows) == 12 and max(r.n for r in rows) < 300_000 and seen[0][1] == 6  # before: four files of any size
