@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical
+from ..session import saved
 
 # ---- orchestration
 
@@ -108,9 +109,20 @@ def trim(text: Column, tokens: Column, limit: int) -> Column:
 # ---- generation
 
 
+#: Claims that name one missing thing; beyond that the thing is sent to all executors (there are few such).
+HOT = 100_000
+
+
 def dangling(claims: DataFrame, key: str, known: DataFrame, code: str) -> DataFrame:
-    """(claim_id, code) of the claims that name something that isn't there."""
-    return claims.where(F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti").select("claim_id", F.lit(code).alias("code"))
+    """(claim_id, code) of the claims that name something that isn't there.
+
+    What is named is looked up once for all of its claims, so no task gets all the claims of one thing: a missing thing that
+    more than ``HOT`` claims name goes to the claims, the others meet them by a join.
+    """
+    named = claims.where(F.col(key).isNotNull()).select("claim_id", key)
+    lost = saved(named.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(known.select(key).distinct(), key, "left_anti"), "lost")
+    sides = [F.broadcast(lost.where(F.col("n") > HOT).select(key)), lost.where(F.col("n") <= HOT).select(key)]
+    return reduce(DataFrame.union, [named.join(side, key, "left_semi").select("claim_id", F.lit(code).alias("code")) for side in sides if not side.isEmpty()] or [named.limit(0).select("claim_id", F.lit(code).alias("code"))])
 
 
 def violations(*found: DataFrame) -> DataFrame:

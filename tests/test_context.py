@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from kairosift.operators import blocks, context, lifecycle
+from kairosift.operators import blocks, context, evidence, lifecycle
 from kairosift.sources import intake
 
 CLAIM = "query_id int, unit int, kind string, claim_id int, evidence_id int, value double, low int, high int, stance int"
@@ -95,3 +95,18 @@ def test_extracts_look_at_a_head_once(spark):
         1: ("FULL", " one  two \n", 11), 2: ("EXTRACTED", "one two", 7), 3: ("FULL", " \t", 2), 4: ("FULL", "", 0), 5: (None, None, None),
         6: ("FULL", rows[5][1], 23), 7: ("EXTRACTED", "one two", 7),
     }
+
+
+@pytest.mark.parametrize("hot", [0, 3, 100])
+def test_dangling_claims_of_one_thing_share_no_task(spark, monkeypatch, hot):
+    monkeypatch.setattr(evidence, "HOT", hot)
+    asked = [(i, -1 if i % 7 == 0 else None if i % 7 == 1 else i, i % 5) for i in range(200)] + [(201, 500, 1), (7, -1, 1)]
+    claims = spark.createDataFrame(asked, "claim_id int, item_id int, unit int")
+    known = spark.createDataFrame([(i, i % 3) for i in range(200) for _ in range(2)] + [(None, None)], "item_id int, unit int")
+    found = evidence.dangling(claims, "item_id", known, "ITEM")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((c, "ITEM") for c, i, _ in asked if i in (-1, 500))
+    assert sorted(tuple(r) for r in evidence.dangling(claims, "unit", known, "UNIT").collect()) == sorted((c, "UNIT") for c, _, u in asked if u > 2)
+    assert evidence.dangling(claims, "item_id", claims, "NONE").count() == 0
+    if hot == 3:  # the 30 claims of -1 aren't dealt by it
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()
+        assert evidence.violations(found, found).count() == len({c for c, i, _ in asked if i in (-1, 500)})
