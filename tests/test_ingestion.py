@@ -269,3 +269,26 @@ def test_files_to_embed_are_bounded(spark, monkeypatch, tmp_path):
     assert got == {(i * 10 + no, 40, 40) for i in range(30) for no in range(i % 3 + 1)}
     rows = spark.read.parquet(seen[0][0]).groupBy(F.input_file_name()).agg(F.sum(F.octet_length("source_text")).alias("n")).collect()
     assert len(rows) == 12 and max(r.n for r in rows) < 300_000 and seen[0][1] == 6  # before: four files of any size
+
+
+def test_a_silent_job_costs_few_state_calls():
+    calls = []
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or self.value
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    q = queue.Queue(60, 60)
+    q.handle, q.job, q.waiting = Held(None), Held(None), Held([])
+    assert list(q._advance((1,), [(5_000, 1, "BEAT")], Timers())) == []  # before: an empty frame
+    assert calls == ["get", "get", "put", "registerTimer"]  # before: two exists and a clear as well
+    q.waiting.value, q.job.value = [(0, 1, "BEAT"), (0, 2, "DONE")], None
+    frame = next(iter(q._advance((7,), [], Timers())))
+    assert frame.astype({"at": "int64"}).values.tolist() == [[7, 0, "CLAIMED", 1], [7, 0, "DONE", 1]] and str(frame.dtypes["attempts"]) == "int32"
