@@ -189,6 +189,11 @@ def encode_texts(docs: DataFrame, model: str | None = None, text: str = "text")
     return docs.mapInArrow(run, fields(docs, ("ids", T.ArrayType(T.IntegerType()))))
 
 
+def _decoded(codec: Pieces, column: pa.ListArray) -> pa.Array:
+    """The text of each list of ids; lists are made from numpy, as Arrow's own make a scalar of every id."""
+    return pa.array([codec.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in column], pa.string())
+
+
 def decode_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``docs`` with ``decoded``: the text of ``ids`` (null: '')."""
     model = model or default_model()
@@ -198,7 +203,7 @@ def decode_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
         codec = pieces(model)
         for batch in small_slices(batches, 500):
             column = batch.column(batch.schema.get_field_index("ids"))
-            yield with_columns(batch, {"decoded": pa.array([codec.decode(x.values.to_pylist()) if x.is_valid else "" for x in column], pa.string())})
+            yield with_columns(batch, {"decoded": _decoded(codec, column)})
 
     return docs.mapInArrow(run, fields(docs, ("decoded", T.StringType())))
 
