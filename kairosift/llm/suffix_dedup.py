@@ -14,6 +14,9 @@ passage is, and nothing is left out.
 
 Equal documents are one class too: with ``length`` bytes or more all of each is removed.
 
+A second, shorter length can be asked for beside it. A repeat of ``length`` bytes is a stretch of shorter ones, so
+the anchors are those of the shorter length, and only stretches of slices that may repeat at it are sliced anew.
+
 Defined cases: null text is empty; texts under ``length`` bytes lose nothing; rows that share a doc_id or have
 none are documents of their own; repeated rows repeat each other; empty table: empty result.
 """
@@ -104,11 +107,19 @@ def repeated_spans(texts: list[bytes], anchors: list[int], counts: list[int], le
         for i, j in zip(order, order[1:]):
             c = common(sides[i], sides[j])
             reach[i], reach[j] = max(reach[i], c), max(reach[j], c)
-    use = [i for i in range(len(texts)) if left[i] + right[i] >= length]
-    if len(use) < 2:
+    members: dict[bytes, list[int]] = {}  # what is left of equal slices is one class again
+    for i in range(len(texts)):
+        if left[i] + right[i] >= length:
+            members.setdefault(texts[i][anchors[i] - left[i] : anchors[i] + right[i]], []).append(i)
+    for own in members.values():
+        if len(own) > 1:
+            for i in own:
+                spans[i] = spans[i] or [(anchors[i] - left[i], anchors[i] + right[i])]
+    use = [own[0] for own in members.values()]
+    if len(use) < 2 or all(spans[i] for i in use):
         return spans
-    joined = b"\0".join(texts[i][anchors[i] - left[i] : anchors[i] + right[i]] for i in use)
-    sizes = np.array([left[i] + right[i] for i in use])
+    joined = b"\0".join(members)
+    sizes = np.array([len(part) for part in members])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     symbols = np.frombuffer(joined, np.uint8).astype(np.int64) + 2
     symbols[(begin + sizes)[:-1]] = 1
@@ -127,7 +138,7 @@ def repeated_spans(texts: list[bytes], anchors: list[int], counts: list[int], le
             twice[p] = twice[q] = True
         was = now
     for at, i in enumerate(use):
-        if counts[i] == 1:
+        if not spans[i]:
             hit = np.flatnonzero(twice[begin[at] : begin[at] + sizes[at]]) + anchors[i] - left[i]
             spans[i] = merge(zip(hit.tolist(), (hit + length).tolist()))
     return spans
@@ -158,48 +169,59 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _hashed(batches):
-    """Adds the 128-bit hash of the text (null: empty) and its bytes."""
-    for batch in small_slices(batches, 1000):
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        pairs = [_pair(t) for t in texts]
-        new = {"__d1": pa.array([p[0] for p in pairs], pa.int64()), "__d2": pa.array([p[1] for p in pairs], pa.int64()), "__bytes": pa.array([len(t) for t in texts], pa.int64())}
-        yield with_columns(batch, new)
-
-
 def _anchors(length: int):
+    """Rows (d1, d2, text) to a row for each slice."""
+
     def run(batches):
         for batch in small_slices(batches, 500):
-            d1, d2, parts = [], [], []
-            for t in batch.column(0).to_pylist():
-                t = t.encode("utf-8", "surrogatepass")
-                if len(t) >= length:
-                    a, b = _pair(t)
-                    found = slices(t, length)
-                    d1 += [a] * len(found[0])
-                    d2 += [b] * len(found[0])
-                    parts.append(found)
+            own, parts = [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                found = slices(t.encode("utf-8", "surrogatepass"), length)
+                own += [i] * len(found[0])
+                parts.append(found)
             columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *[pa.array(c) for c in columns]], names=["d1", "d2", "h", "s0", "s1", "p"])
+            own = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c) for c in columns]], names=["d1", "d2", "h", "s0", "s1", "p"])
 
     return run
 
 
-_SLICE = _struct(d1=_L, d2=_L, s0=_L, h=_L, c1=_L, c2=_L, p=_I, slice=_B)
+_SLICE = _struct(d1=_L, d2=_L, s0=_L, h=_L, c1=_L, c2=_L, p=_I, slice=_B, size=_I)
+
+
+def stretches(first: np.ndarray, last: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """First and last starts of the stretches of at least so many starts that slices, in order, make without a gap."""
+    begin = np.flatnonzero(np.concatenate([[True], first[1:] != last[:-1] + 1]))
+    end = np.concatenate([begin[1:] - 1, [len(first) - 1]])
+    return [(a, b) for a, b in zip(first[begin].tolist(), last[end].tolist()) if b - a + 1 >= least]
 
 
-def _cut_slices(length: int):
-    """Rows (d1, d2, text, slices list of (s0, s1, p, h)) to a row for each slice."""
+def _cut_slices(least: int, longer: int | None):
+    """Rows (d1, d2, text, slices list of (s0, s1, p, h)) to a row for each slice, and for those of ``longer`` in their stretches."""
 
     def run(batches):
         for batch in small_slices(batches, 200):
-            rows = []
-            for d1, d2, text, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            lists = batch.column(3)
+            ends, found = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            all_s0, all_s1, all_p, all_h = (found.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            own, columns, cut, size = [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 text = text.encode("utf-8", "surrogatepass")
-                for x in found:
-                    part = text[x["s0"] : x["s1"] + length]
-                    rows.append((d1, d2, x["s0"], x["h"], *_pair(part), x["p"] - x["s0"], part))
-            yield _rows(_SLICE.names, [pa.int64()] * 6 + [pa.int32(), pa.binary()], rows)
+                here = np.arange(ends[i], ends[i + 1])
+                here = here[np.argsort(all_s0[here])]
+                parts = [(least, all_h[here], all_s0[here], all_s1[here], all_p[here])]
+                for a, b in stretches(parts[0][2], parts[0][3], longer - least + 1) if longer else ():
+                    h, s0, s1, p = slices(text[a : b + least], longer)
+                    parts.append((longer, h, s0 + a, s1 + a, p + a))
+                for length, h, s0, s1, p in parts:
+                    own += [i] * len(h)
+                    size += [length] * len(h)
+                    columns.append((s0, h, p - s0))
+                    cut += [text[a : b + length] for a, b in zip(s0.tolist(), s1.tolist())]
+            s0, h, p = (np.concatenate(x) for x in zip(*columns)) if columns else [np.empty(0, np.int64)] * 3
+            pairs, own = [_pair(x) for x in cut], pa.array(own, pa.int64())
+            arrays = [batch.column(0).take(own), batch.column(1).take(own), pa.array(s0), pa.array(h), pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(p.astype(np.int32)), pa.array(cut, pa.binary()), pa.array(size, pa.int32())], names=_SLICE.names)
 
     return run
 
@@ -277,18 +299,20 @@ def solve_classes(classes: DataFrame, length: int, most: int, width: int) -> Dat
     return done.unionByName(back.toDF(*_CLASS, "spans")).unionByName(whole)
 
 
-def to_classes(parts: DataFrame) -> DataFrame:
+def to_classes(parts: DataFrame, *also: str) -> DataFrame:
     """Equal slices as one row, with their number."""
-    return parts.groupBy(*_CLASS).agg(F.sum("n").alias("n"), F.min("p").alias("p"), F.min("slice").alias("slice"))
+    return parts.groupBy(*also, *_CLASS).agg(F.sum("n").alias("n"), F.min("p").alias("p"), F.min("slice").alias("slice"))
 
 
-def _removed(length: int, as_text: bool):
+def _removed(length: int, as_text: bool, shorter: int | None):
     def run(batches):
         for batch in small_slices(batches, 500):
             at = batch.schema.get_field_index
-            kept, removed, runs = [], [], []
-            for text, spans, twins in zip(*(batch.column(at(c)).to_pylist() for c in ("text", "__spans", "__twins"))):
+            kept, removed, runs, covered = [], [], [], []
+            for text, spans, short, twins in zip(*(batch.column(at(c)).to_pylist() for c in ("text", "__spans", "__short", "__twins"))):
                 data = (text or "").encode("utf-8", "surrogatepass")
+                if shorter:
+                    covered.append(len(data) if twins and len(data) >= shorter else sum(b - a for a, b in merge((s["a"], s["b"]) for s in short or ())))
                 if twins and len(data) >= length:
                     gone = [(0, len(data))]
                 else:
@@ -303,11 +327,12 @@ def _removed(length: int, as_text: bool):
                 kept.append(b"".join(parts))
                 removed.append(sum(b - a for a, b in gone))
                 runs.append(len(gone))
-            left = [i for i, n in enumerate(batch.schema.names) if n not in ("__spans", "__twins", "__d1", "__d2")]
+            left = [i for i, n in enumerate(batch.schema.names) if n not in ("__spans", "__short", "__twins", "__d1", "__d2")]
             rest = pa.RecordBatch.from_arrays([batch.column(i) for i in left], names=[batch.schema.names[i] for i in left])
             kept = pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             new = {"text": kept} if as_text else {"kept": kept}
-            yield with_columns(rest, new | {"n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64())})
+            new |= {"n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
+            yield with_columns(rest, new | ({"n_shorter": pa.array(covered, pa.int64())} if shorter else {}))
 
     return run
 
@@ -319,40 +344,52 @@ def _whole(data: bytes, at: int, up: bool) -> int:
     return at
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, as_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, as_text: bool = True, shorter: int | None = None) -> DataFrame:
     """``docs`` (text, any more) with n_bytes, n_removed, n_spans and the rest of the text.
 
-    As text (whole characters alone are removed) or, if not ``as_text``, in ``kept`` as bytes, exactly.
+    As text (whole characters alone are removed) or, if not ``as_text``, in ``kept`` as bytes, exactly. With ``shorter``
+    (over 32, under ``length``) also n_shorter: the bytes covered by strings of that length that also start elsewhere;
+    they stay.
     """
-    docs = without(docs, "n_bytes", "n_removed", "n_spans", "__d1", "__d2", "__bytes", "__spans", "__twins", *([] if as_text else ["kept"]))
-    hashed = docs.mapInArrow(_hashed, fields(docs, ("__d1", _L), ("__d2", _L), ("__bytes", _L)))
-    texts = docs.where("text is not null").select("text")
-    anchors = stored(texts.mapInArrow(_anchors(length), _struct(d1=_L, d2=_L, h=_L, s0=_L, s1=_L, p=_L)).distinct(), "suffix-anchors")
+    inner = ["__d1", "__d2", "__bytes", "__spans", "__short", "__twins"]
+    docs = without(docs, "n_bytes", "n_removed", "n_spans", *inner, *([] if as_text else ["kept"]), *(["n_shorter"] if shorter else []))
+    least, text = shorter or length, F.coalesce("text", F.lit(""))
+    hashed = docs.withColumns({"__d1": F.xxhash64(text), "__d2": F.xxhash64(F.lit(K), text), "__bytes": F.octet_length(text).cast("long")})
+    own = hashed.where(F.col("__bytes") >= least).select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), "text")
+    anchors = stored(own.mapInArrow(_anchors(least), _struct(d1=_L, d2=_L, h=_L, s0=_L, s1=_L, p=_L)).distinct(), "suffix-anchors")
     again = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "suffix-again")  # a plain table: Spark then splits a hot hash
     wanted = anchors.join(again, "h").groupBy("d1", "d2").agg(F.collect_list(F.struct("s0", "s1", "p", "h")).alias("found"))
-    own = hashed.where(F.col("__bytes") >= length).select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), "text")
     one = own.groupBy("d1", "d2").agg(F.min("text").alias("text"))  # copies meet before the shuffle
-    cut = stored(one.join(wanted, ["d1", "d2"]).select("d1", "d2", "text", "found").mapInArrow(_cut_slices(length), _SLICE), "suffix-slices")
+    cut = stored(one.join(wanted, ["d1", "d2"]).select("d1", "d2", "text", "found").mapInArrow(_cut_slices(least, length if shorter else None), _SLICE), "suffix-slices")
     forget(anchors)
-    classes = stored(to_classes(cut.withColumn("n", F.lit(1).cast("long"))), "suffix-classes")
-    places = stored(cut.select("d1", "d2", "s0", *_CLASS), "suffix-places")
+    classes = stored(to_classes(cut.withColumn("n", F.lit(1).cast("long")), "size"), "suffix-classes")
+    places = stored(cut.select("d1", "d2", "s0", "size", *_CLASS), "suffix-places")
     forget(cut)
-    spans = stored(solve_classes(classes, length, most, length - K + 1), "suffix-spans")
-    forget(classes)
     moved = F.transform("spans", lambda x: F.struct((x.a + F.col("s0")).cast("int").alias("a"), (x.b + F.col("s0")).cast("int").alias("b")))
-    places = places.join(spans, _CLASS)
-    by_text = places.groupBy("d1", "d2").agg(F.flatten(F.collect_list(moved)).alias("__spans"))
-    twins = hashed.where(F.col("__bytes") >= length).groupBy(F.col("__d1").alias("d1"), F.col("__d2").alias("d2")).agg((F.count(F.lit(1)) > 1).alias("__twins"))
-    info = twins.join(by_text, ["d1", "d2"], "left").where(F.col("__twins") | F.col("__spans").isNotNull())
+    info = own.groupBy("d1", "d2").agg((F.count(F.lit(1)) > 1).alias("__twins"))
+    for name, size in (("__spans", length), ("__short", shorter)):
+        if size:
+            spans = stored(solve_classes(classes.where(F.col("size") == size).drop("size"), size, most, size - K + 1), "suffix-spans")
+            by_text = places.where(F.col("size") == size).join(spans, _CLASS).groupBy("d1", "d2").agg(F.flatten(F.collect_list(moved)).alias(name))
+            info = info.join(by_text, ["d1", "d2"], "left")
+        else:
+            info = info.withColumn(name, F.lit(None).cast(_SPANS))
+    forget(classes)
+    info = info.where(F.col("__twins") | F.col("__spans").isNotNull() | F.col("__short").isNotNull())
     a, b = fresh(hashed, "__h1", "__h2")
-    info = info.select(F.col("d1").alias(a), F.col("d2").alias(b), "__spans", "__twins")
+    info = info.select(F.col("d1").alias(a), F.col("d2").alias(b), "__spans", "__short", "__twins")
     out = hashed.join(info, (F.col("__d1") == F.col(a)) & (F.col("__d2") == F.col(b)), "left").drop(a, b)
-    schema = fields(docs, ("n_bytes", _L), ("n_removed", _L), ("n_spans", _L)) if as_text else fields(docs, ("n_bytes", _L), ("kept", _B), ("n_removed", _L), ("n_spans", _L))
-    return out.withColumnRenamed("__bytes", "n_bytes").mapInArrow(_removed(length, as_text), schema)
+    more = [("n_bytes", _L), *([] if as_text else [("kept", _B)]), ("n_removed", _L), ("n_spans", _L), *([("n_shorter", _L)] if shorter else [])]
+    return out.withColumnRenamed("__bytes", "n_bytes").mapInArrow(_removed(length, as_text, shorter), fields(docs, *more))
+
+
+#: Bytes of the passages that op7 counts beside those it removes; 50 words have more in any of the languages.
+SHORTER = 200
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, as_text=False).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed")
-    )
+    return remove_repeats(docs, as_text=False, shorter=SHORTER).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed"),
+        F.col("n_shorter").alias(f"n_repeated_{SHORTER}"), (F.col("n_shorter") > 0).alias(f"repeats_{SHORTER}"),
+    )

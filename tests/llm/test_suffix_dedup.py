@@ -59,6 +59,27 @@ def test_against_every_window(spark, most):
     assert len(rows) == len(texts)
 
 
+@pytest.mark.parametrize("most", [1024, 3])
+def test_shorter_repeats_are_counted_beside(spark, most):
+    texts = corpus(random.Random(most + 1))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, length=100, most=most, as_text=False, shorter=45).collect()}
+    for i, ((n, removed, runs, kept), short) in enumerate(zip(brute(texts, 100), brute(texts, 45))):
+        r = rows[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["n_shorter"]) == (n, removed, runs, kept, short[1]), i
+
+
+def test_query_shows_passages_under_its_limit(spark, tmp_path):
+    rng = random.Random(7)
+    own = lambda: "".join(rng.choices("abcdefgh ", k=700))
+    passage = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(55))  # over 50 words, under 400 bytes
+    docs = [(1, own() + passage + own()), (2, own() + passage), (3, own()), (4, None), (5, own() + "x" * 150)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(passage) < 398
+    got = {r.doc_id: (r.n_removed, r.n_repeated_200 >= len(passage), r.repeats_200) for r in suffix_dedup.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, True, True), 2: (0, True, True), 3: (0, False, False), 4: (0, False, False), 5: (0, False, False)}
+
+
 def test_text_keeps_whole_characters(spark):
     docs = spark.createDataFrame([(1, "é" * 120 + "1"), (2, "é" * 120 + "2"), (None, None)], "doc_id long, text string")
     out = suffix_dedup.remove_repeats(docs, length=101).collect()
