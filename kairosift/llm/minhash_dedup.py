@@ -8,8 +8,9 @@ with probability 1 - 1.5e-4, of 0.9 with 1 - 2e-6.
 Steps: texts of one shingle set are one class. In every table, the members of a bucket are compared on full sets with
 the bucket's smallest set alone, its leader, so a bucket gives no more pairs than members. A leader with its members is a
 star. A star whose members are all linked with it, or all in one component by then, is done. Of the others, each with at
-most ``CELLS`` shingles in all (and bounded work) goes to one task, which finds the links that join its components by
-counting what each member outside of the largest component shares with all members; it emits fewer links than members.
+most ``CELLS`` shingles in all (and bounded work) goes to one task, which finds the links that join its components: members
+are compared by what they differ in from what most of them share (``Differences``), and only those that have a rare
+difference in common are counted; it emits fewer links than members.
 
 Larger stars go on in levels without comparing all pairs: let y and z be members of buckets led by x, one of them not
 linked with x. Both have at least as many shingles as x, so to reach the similarity they must share a shingle that x
@@ -156,33 +157,96 @@ def _compare(batches):
         )
 
 
+class Differences:
+    """Sets by what they differ in from the shingles that most of them have, the core.
+
+    What two sets share is |core| - lost - lost' + common, where lost are a set's missing shingles of the core and common
+    the differences, lost or extra, of both. So they are linked where (100 + percent) * common >= weight + weight' - slack,
+    with weight = 100 * lost + percent * extra. Where that is 0 at most, nothing needs counting: such sets are linked with
+    the lightest one too. All others share a difference among the first ones of both, the rarest coming first: of as many
+    as they have in common at least, all but one may be left out. A set's own edits come first and nobody shares them.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        n, sizes, self.unit = len(sets), np.array([len(s) for s in sets]), 100 + percent
+        which, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        core = np.flatnonzero(2 * df > n)
+        slot = np.full(len(df), -1, np.int32)
+        slot[core] = np.arange(len(core))
+        slot, holder = slot[which], np.repeat(np.arange(n, dtype=np.int32), sizes)
+        missing = np.ones((n, len(core)), bool)  # fewer than twice the shingles of all
+        missing[holder[slot >= 0], slot[slot >= 0]] = False
+        who, what = np.nonzero(missing)
+        lost = np.bincount(who, minlength=n)
+        extra = sizes + lost - len(core)
+        self.size, self.weight, self.slack = lost + extra, 100 * lost + percent * extra, (100 - percent) * len(core)
+        key = np.concatenate([which[slot < 0], core[what]])
+        self.held = np.bincount(key, minlength=len(df))
+        place = np.empty(len(df), np.int64)
+        place[np.argsort(self.held, kind="stable")] = np.arange(len(df))
+        cells = np.sort(np.concatenate([holder[slot < 0], who]) * len(df) + place[key])
+        self.held = np.sort(self.held)
+        self.lightest = self.weight.argmin()
+        self.near = self.weight + self.weight.min() <= self.slack  # linked with the lightest
+        least = np.where(self.near, self.slack - self.weight.min() + 1, self.weight.min())  # weight of the others to look for
+        least = np.maximum(least, -(-percent * (self.weight - self.slack) // 100))  # with fewer differences it can't share enough
+        need = np.maximum(1, -(-(self.weight + least - self.slack) // self.unit))
+        self.key, self.begin = cells % len(df), np.cumsum(self.size) - self.size
+        holder = (cells // len(df)).astype(np.int32)
+        self.all = self._posted(holder, self.key)
+        first = np.arange(len(cells)) - self.begin[holder] <= (self.size - need)[holder]
+        first &= np.bincount(self.key[first], minlength=len(df))[self.key] > 1
+        self.first_size = np.bincount(holder[first], minlength=n)
+        self.first_key, self.first_begin = self.key[first], np.cumsum(self.first_size) - self.first_size
+        self.first = self._posted(holder[first], self.first_key)
+
+    def _posted(self, holder: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = np.bincount(key, minlength=len(self.held))
+        return holder[np.argsort(key, kind="stable")], np.cumsum(n) - n, n
+
+    @staticmethod
+    def _holders(posted: tuple[np.ndarray, ...], keys: np.ndarray) -> np.ndarray:
+        holder, start, count = posted
+        n = count[keys]
+        return holder[np.repeat(start[keys] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def candidates(self, z: int) -> np.ndarray:
+        """All that may be linked with z but need counting."""
+        seen = np.zeros(len(self.size), bool)
+        seen[self._holders(self.first, self.first_key[self.first_begin[z] : self.first_begin[z] + self.first_size[z]])] = True
+        seen[z] = False
+        y = np.flatnonzero(seen)
+        return y[self.unit * np.minimum(self.size[y], self.size[z]) >= self.weight[y] + self.weight[z] - self.slack]
+
+    def linked(self, z: int, y: np.ndarray) -> np.ndarray:
+        common = np.bincount(self._holders(self.all, self.key[self.begin[z] : self.begin[z] + self.size[z]]), minlength=len(self.size))
+        return y[self.unit * common[y] >= self.weight[y] + self.weight[z] - self.slack]
+
+
 def _links_within(percent: int):
     """Links between members (x, y, c: component, shingles) of a star, as many as join components that aren't joined yet.
 
-    Every pair of two components has a member outside of the largest one, so these alone count what they share with all.
+    Every pair of two components has a member outside of the largest one, so these alone look for the others.
     """
 
     def run(star: pa.Table) -> pa.Table:
         ids, label = star["y"].to_numpy(), star["c"].to_numpy()
-        sets = [np.frombuffer(s.as_buffer(), _U) for s in star["shingles"]]
-        sizes = np.array([len(s) for s in sets])
-        shingle, which = np.unique(np.concatenate(sets), return_inverse=True)
-        holder = np.repeat(np.arange(len(ids)), sizes)[np.argsort(which, kind="stable")]
-        df = np.bincount(which, minlength=len(shingle))
-        at = np.cumsum(df) - df
-        parts = np.split(which, np.cumsum(sizes)[:-1])
-        names, number, count = np.unique(label, return_inverse=True, return_counts=True)
-        root = np.arange(len(names))
+        found = Differences([np.frombuffer(s.as_buffer(), _U) for s in star["shingles"]], percent)
+        number = np.unique(label, return_inverse=True)[1]
         out = []
-        for z in np.flatnonzero(number != count.argmax()):
-            n = df[parts[z]]
-            places = np.repeat(at[parts[z]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            shared = np.bincount(holder[places], minlength=len(ids))
-            for y in np.flatnonzero((100 * shared >= percent * (sizes[z] + sizes - shared)) & (root[number] != root[number[z]])):
-                a, b = root[number[z]], root[number[y]]
-                if a != b:
+
+        def join(z: int, linked: np.ndarray) -> None:
+            for y in linked:
+                if number[y] != number[z]:
                     out.append((ids[z], ids[y]))
-                    root[root == b] = a
+                    number[number == number[y]] = number[z]
+
+        join(found.lightest, np.flatnonzero(found.near))
+        for z in np.flatnonzero((number != np.bincount(number).argmax()) & (found.first_size > 0)):
+            y = found.candidates(z)
+            y = y[number[y] != number[z]]
+            if len(y):
+                join(z, found.linked(z, y))
         pa.default_memory_pool().release_unused()  # else it stays for the groups that follow
         return pa.table({"x": pa.array([a for a, _ in out], pa.int64()), "y": pa.array([b for _, b in out], pa.int64())})
 
@@ -195,7 +259,7 @@ _COMPARED = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T
 #: Leaders of a bucket after the first level, twice as many at each further one up to CLASSES, which are hash classes
 #: of the members: a member is compared with so many at most.
 LEADERS, CLASSES = 32, 256
-#: A star is finished by one task if its members have so many shingles in all (8 bytes each), and a thousand times as many
+#: A star is finished by one task if its members have so many shingles in all (8 bytes each), and ten thousand times as many
 #: over all members: some seconds of work. Larger ones go on to the next level.
 CELLS = 4_000_000
 _RANK = "shiftleft({n}, 40) | (xxhash64({id}) & 1099511627775)"  # by size; ties by hash
@@ -255,7 +319,7 @@ class NearDuplicates:
         of = labels.select(F.col("node").alias("y"), F.col("component").alias("c"))
         rows = stars.select("x", "y", "apart", "ny").join(of, "y", "left").withColumn("c", F.coalesce("c", "y"))
         ended = rows.groupBy("x").agg(F.max("apart").alias("open"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("ny").alias("cells"))
-        ended = ended.where("open and c0 <> c1").select("x", F.expr(f"cells <= {self.cells} and n * cells <= {1000 * self.cells}").alias("fits"))
+        ended = ended.where("open and c0 <> c1").select("x", F.expr(f"cells <= {self.cells} and n * cells <= {10_000 * self.cells}").alias("fits"))
         ended = stored(ended, "minhash-open")  # a plain table: Spark then splits a hot star
         fits = {r["fits"] for r in ended.select("fits").distinct().collect()}
         inside = None

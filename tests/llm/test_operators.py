@@ -233,6 +233,38 @@ def test_components(spark):
     assert out == {n: c for n, c in label.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+@pytest.mark.parametrize("origins, edits", [(1, 40), (1, 6), (3, 20)])
+def test_a_star_is_finished_by_its_members_differences(origins, edits):
+    """Members far from all others are counted with few; the components are those of all pairs."""
+    rng = random.Random(origins * edits)
+    texts = [[f"o{o}w{i}" for i in range(120)] for o in range(origins)]
+    for _ in range(400):
+        words = list(rng.choice(texts if rng.random() < 0.2 else texts[:origins]))
+        for _ in range(rng.randint(0, edits)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 2)] = rng.choices(["new", f"n{rng.random()}", "w"], k=rng.randint(0, 1))
+        texts.append(words)
+    sets = list({s.tobytes(): s for s in (minhash_dedup.shingle_set(" ".join(w), 3) for w in texts)}.values())
+    star = pa.table({"x": pa.array([0] * len(sets), pa.int64()), "y": pa.array(range(len(sets)), pa.int64()), "c": pa.array([min(i, i // 2 * 2) for i in range(len(sets))], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    plain = [set(s.tolist()) for s in sets]
+    alike = lambda a, b: 100 * len(plain[a] & plain[b]) >= 85 * len(plain[a] | plain[b])
+
+    def components_of(links):
+        label = star["c"].to_pylist()
+        for a, b in links:
+            label = [label[a] if c == label[b] else c for c in label]
+        return {frozenset(i for i, c in enumerate(label) if c == one) for one in label}
+
+    got = minhash_dedup._links_within(85)(star).to_pylist()
+    assert all(alike(r["x"], r["y"]) for r in got)
+    assert components_of([(r["x"], r["y"]) for r in got]) == components_of([(a, b) for a in range(len(sets)) for b in range(a) if alike(a, b)])
+    found = minhash_dedup.Differences(sets, 85)
+    for z in range(len(sets)):
+        near = set(np.flatnonzero(found.near)) if found.near[z] else set()
+        assert {y for y in range(len(sets)) if y != z and alike(z, y)} <= near | set(found.candidates(z))
+    assert sum(len(found.candidates(z)) for z in range(len(sets))) < len(sets) ** 2 / (4 if origins == 1 else 2)
+
+
 def test_links_beside_leaders_that_are_unlike(spark):
     """Two near copies; every bucket they meet in is led by a third document with six to eight of their 60 words."""
     x = [f"w{i}" for i in range(60)]
